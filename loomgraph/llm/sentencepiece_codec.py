@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import byte_batches, unused_name
 from .spm import BPE, Probe, Vocabulary, probe, units
@@ -202,7 +203,8 @@ def encode_and_decode(docs: DataFrame, text_col: str = "text", model: str = MODE
     vocabulary = Vocabulary.read(model)
     keep = [c for c in docs.columns if c not in (ids, decoded) and c != text_col]
     narrow = docs.select(*keep, F.col(text_col))
-    schema = narrow.schema.add(unused_name(narrow, "loom_ids"), "array<int>").add(unused_name(narrow, "loom_decoded"), "string")
+    more = [T.StructField(unused_name(narrow, "loom_ids"), T.ArrayType(T.IntegerType())), T.StructField(unused_name(narrow, "loom_decoded"), T.StringType())]
+    schema = T.StructType([*narrow.schema.fields, *more])
     out = narrow.mapInArrow(_codec(vocabulary), schema)
     back = [F.col(c) for c in docs.columns if c not in (ids, decoded)]
-    return out.select(*back, F.col(schema[-2].name).alias(ids), F.col(schema[-1].name).alias(decoded))
+    return out.select(*back, F.col(more[0].name).alias(ids), F.col(more[1].name).alias(decoded))

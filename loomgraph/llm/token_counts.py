@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import byte_batches, unused_name
 from .sentencepiece_codec import MODEL, SLICE
@@ -128,5 +129,6 @@ def count_tokens(docs: DataFrame, text_col: str = "text", model: str = MODEL, na
     vocabulary = Vocabulary.read(model)
     keep = [c for c in docs.columns if c not in (text_col, name)]
     narrow = docs.select(*keep, F.col(text_col))
-    schema = docs.select(*keep).schema.add(unused_name(narrow, "loom_count"), "long")
-    return narrow.mapInArrow(_counted(vocabulary), schema).withColumnRenamed(schema[-1].name, name)
+    count = T.StructField(unused_name(narrow, "loom_count"), T.LongType())
+    schema = T.StructType([*docs.select(*keep).schema.fields, count])
+    return narrow.mapInArrow(_counted(vocabulary), schema).withColumnRenamed(count.name, name)
