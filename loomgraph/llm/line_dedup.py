@@ -1,12 +1,12 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one line a group.
 
 A line is what stands between two line feeds.  Its normalised form is lower
-case with every run of other than letters and digits as one space.  Lines of
-fewer than ``min_words`` words (blank ones too) are left alone.  Two different
-normalised lines are linked if their 64-bit word SimHashes differ in at most
-``radius`` bits and their edit similarity, 1 - distance / longer length, is at
-least ``similarity``.  Of each connected group only the first occurrence stays
-(smallest document id, then line number).
+case with every run of ASCII characters other than letters and digits as one
+space, none at the ends.  Lines of fewer than ``min_words`` words (blank ones
+too) are left alone.  Two different normalised lines are linked if their 64-bit
+word SimHashes differ in at most ``radius`` bits and their edit similarity,
+1 - distance / longer length, is at least ``similarity``.  Of each connected
+group only the first occurrence stays (smallest document id, then line number).
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +23,17 @@ from .common import Workspace, byte_batches, connected_components, is_empty, tex
 from .hamming import BKTree, block_keys, plan
 
 MIN_WORDS = 5
-RADIUS = 5
+RADIUS = 3
 SIMILARITY = 0.8
 #: Bytes of text that a worker turns into lines at once.
-SLICE = 4 << 20
-#: An array block costs about a thousandth of a row for each row that it meets.
+SLICE = 1 << 20
+#: In array blocks a meeting costs about a thousandth of a row.
 MEETING = 0.05
+#: Blocks of up to so many rows are compared by shifting the whole array.
+SMALL = 64
+#: What normalising makes of each byte; bytes of non-ASCII characters stay.
+TABLE = bytes(b if b >= 128 or b == 10 or chr(b).isalnum() else 32 for b in range(256)).lower()
+P = 0x9E3779B97F4A7C15
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -81,57 +85,99 @@ def edit_similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     return edit_distance(a, b) <= most
 
 
-def normalise(lines: pa.Array) -> pa.Array:
-    return pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(lines), r"[^\p{L}\p{N}]+", " "), " ")
+def normalise(lines: pa.Array) -> list[str]:
+    return [b" ".join(x.encode().translate(TABLE).split()).decode() for x in pc.utf8_lower(lines).to_pylist()]
 
 
-def word_simhash(lines: pa.Array) -> np.ndarray:
-    """SimHash of each line (one word or more) over its words: bit set if set in over half of them."""
-    words = pc.split_pattern(lines, " ")
-    if isinstance(words, pa.ChunkedArray):
-        words = words.combine_chunks()
-    offsets = words.offsets.to_numpy()
-    coded = words.flatten().dictionary_encode()
-    hashes = np.array([xxhash.xxh64_intdigest(w, 7) for w in coded.dictionary.to_pylist()], np.uint64)
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    codes = coded.indices.to_numpy()
-    out = np.zeros(len(lines), np.uint64)
+_powers = np.ones(1, np.uint64)
+
+
+def powers(n: int) -> np.ndarray:
+    """1, P, P^2 ... modulo 2^64."""
+    global _powers
+    if len(_powers) < n:
+        with np.errstate(over="ignore"):
+            _powers = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(2 * n, P, np.uint64))])
+    return _powers[:n]
+
+
+def mix(h: np.ndarray, salt: int) -> np.ndarray:
+    """A bijection that spreads each bit over all (the finalizer of a public 64-bit hash)."""
+    with np.errstate(over="ignore"):
+        h = h + np.uint64(salt)
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        return h ^ (h >> np.uint64(33))
+
+
+def rolled(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Polynomial hash of each run of values."""
+    at = np.arange(len(values)) - np.repeat(starts, sizes)
+    with np.errstate(over="ignore"):
+        return np.add.reduceat(values * powers(int(sizes.max()))[at], starts)
+
+
+def simhash(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """SimHash of each run of word hashes: a bit is set if it is set in over half of them.
+
+    Bits are counted as bytes, eight to an integer, in runs of at most 255 words.
+    """
+    out = np.zeros(len(starts), np.uint64)
     weight = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    step = 1 << 18  # words
+    stops = starts + sizes
     at = 0
-    while at < len(lines):
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + step, "right")) - 1)
-        base = offsets[at]
-        counts = np.add.reduceat(bits[codes[base : offsets[end]]], offsets[at:end] - base, axis=0, dtype=np.int64)
-        n = np.diff(offsets[at : end + 1])
-        out[at:end] = ((2 * counts > n[:, None]) * weight).sum(axis=1, dtype=np.uint64)
+    while at < len(starts):
+        end = max(at + 1, int(np.searchsorted(stops, starts[at] + (1 << 18), "right")))
+        base, part = starts[at:end], sizes[at:end]
+        bits = np.unpackbits(words[base[0] : stops[end - 1]].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64)
+        runs = -(-part // 255)
+        first = np.cumsum(runs) - runs
+        begin = np.repeat(base - base[0], runs) + 255 * (np.arange(int(runs.sum())) - np.repeat(first, runs))
+        counts = np.add.reduceat(np.add.reduceat(bits, begin, axis=0).view(np.uint8), first, axis=0, dtype=np.int64)
+        out[at:end] = ((2 * counts > part[:, None]) * weight).sum(axis=1, dtype=np.uint64)
         at = end
     return out
 
 
 def line_table(keys: pa.Array, ids: pa.Array, texts: pa.Array, min_words: int) -> pa.RecordBatch:
-    """A row for each line of min_words words or more: its document, number, 128-bit hash and SimHash."""
-    parts = pc.split_pattern(texts, "\n")
-    if isinstance(parts, pa.ChunkedArray):
-        parts = parts.combine_chunks()
-    offsets = parts.offsets.to_numpy()
-    sizes = np.diff(offsets)
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    number = np.arange(len(doc)) - np.repeat(offsets[:-1] - offsets[0], sizes)
-    clean = normalise(parts.flatten())
-    wanted = pc.greater_equal(pc.count_substring(clean, " "), min_words - 1)
-    if min_words <= 1:
-        wanted = pc.and_(wanted, pc.greater(pc.binary_length(clean), 0))
-    take = np.flatnonzero(wanted.to_numpy(zero_copy_only=False))
-    lines = clean.take(pa.array(take))
-    digest = xxhash.xxh3_128_digest
-    h = np.frombuffer(b"".join([digest(x) for x in lines.to_pylist()]), ">i8").astype(np.int64).reshape(-1, 2) if len(take) else np.zeros((0, 2), np.int64)
-    fp = word_simhash(lines).view(np.int64) if len(take) else np.zeros(0, np.int64)
-    at = pa.array(doc[take])
-    return pa.RecordBatch.from_arrays(
-        [keys.take(at), ids.take(at), pa.array(number[take].astype(np.int32)), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(fp)],
-        names=["dkey", "id", "line", "h1", "h2", "fp"],
-    )
+    """A row for each line of min_words words or more (one at least): its document, number, 128-bit hash and SimHash."""
+    low = pc.utf8_lower(texts)
+    offsets = np.frombuffer(low.buffers()[1], np.int32)[low.offset : low.offset + len(low) + 1].astype(np.int64)
+    data = (low.buffers()[2].slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes() if offsets[-1] > offsets[0] else b"").translate(TABLE)
+    offsets = offsets - offsets[0]
+    raw = np.frombuffer(data, np.uint8)
+    names = ["dkey", "id", "line", "h1", "h2", "fp"]
+    blank = (raw == 32) | (raw == 10)
+    before = np.concatenate([[True], blank[:-1]]) if len(raw) else blank
+    before[offsets[:-1][offsets[:-1] < len(raw)]] = True
+    starts = np.flatnonzero(~blank & before)
+    take = np.zeros(0, np.int64)
+    if len(starts):
+        after = np.concatenate([blank[1:], [True]])
+        ends_of_docs = offsets[1:][offsets[1:] > 0] - 1
+        after[ends_of_docs] = True
+        sizes = np.flatnonzero(~blank & after) + 1 - starts
+        doc = np.searchsorted(offsets[:-1], starts, "right") - 1
+        feeds = np.flatnonzero(raw == 10)
+        line = np.searchsorted(feeds, starts)
+        opens = np.concatenate([[True], (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])])
+        begin = np.flatnonzero(opens)
+        count = np.diff(np.append(begin, len(starts)))
+        take = np.flatnonzero(count >= min_words)
+    if not len(take):
+        none = pa.array([], pa.int64())
+        return pa.RecordBatch.from_arrays([keys.slice(0, 0), ids.slice(0, 0), none.cast(pa.int32()), none, none, none], names=names)
+    words = rolled(raw[~blank].astype(np.uint64) + np.uint64(1), np.cumsum(sizes) - sizes, sizes)
+    words = mix(words, 1)[np.repeat(count >= min_words, count)]
+    kept = count[take]
+    first = np.cumsum(kept) - kept
+    h1 = mix(rolled(words, first, kept), 2).view(np.int64)
+    h2 = mix(rolled(mix(words, 3), first, kept), 4).view(np.int64)
+    fp = simhash(words, first, kept).view(np.int64)
+    of = doc[begin[take]]
+    number = line[begin[take]] - np.searchsorted(feeds, offsets[:-1])[of]
+    at = pa.array(of)
+    return pa.RecordBatch.from_arrays([keys.take(at), ids.take(at), pa.array(number.astype(np.int32)), pa.array(h1), pa.array(h2), pa.array(fp)], names=names)
 
 
 def _lines(min_words: int):
@@ -145,48 +191,52 @@ def _lines(min_words: int):
     return run
 
 
+def near_rows(keys: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
+    """Whether each row (sorted by key) has another one of its key within the radius."""
+    near = np.zeros(len(keys), bool)
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sizes = np.diff(np.append(starts, len(keys)))
+    large = sizes > SMALL
+    left = np.flatnonzero(np.repeat((sizes > 1) & ~large, sizes))
+    for shift in range(1, SMALL):
+        left = left[left + shift < len(keys)]
+        left = left[keys[left] == keys[left + shift]]
+        if not len(left):
+            break
+        hit = left[np.bitwise_count(fps[left] ^ fps[left + shift]) <= radius]
+        near[hit] = near[hit + shift] = True
+    for a, n in zip(starts[large].tolist(), sizes[large].tolist()):
+        x = fps[a : a + n]
+        step = max(1, (1 << 20) // n)
+        for at in range(0, n, step):
+            near[a + at : a + min(n, at + step)] = (np.bitwise_count(x[at : at + step, None] ^ x[None, :]) <= radius).sum(axis=1) > 1
+    return near
+
+
 def _near(radius: int):
-    """Within each block (rows come sorted by key): a spanning forest of the SimHash links."""
-
-    def links(fps: list[int], ids: list[int]) -> tuple[list[int], list[int]]:
-        x = np.array(fps, np.int64).view(np.uint64)
-        near = np.zeros(len(x), bool)
-        step = max(1, (1 << 21) // len(x))
-        for at in range(0, len(x), step):
-            near[at : at + step] = (np.bitwise_count(x[at : at + step, None] ^ x[None, :]) <= radius).sum(axis=1) > 1
-        some = np.flatnonzero(near)
-        tree, left, right = BKTree(radius), [], []
-        for k, v in enumerate(x[some].tolist()):
-            for i, j in tree.add(v):
-                left.append(ids[some[i]])
-                right.append(ids[some[j]])
-        return left, right
+    """A spanning forest of the SimHash links of each block; a task holds 24 bytes a row of its share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fps, ids = None, [], []
+        got = [[np.asarray(b.column(c)) for c in range(3)] for b in batches if b.num_rows]
+        if not got:
+            return
+        keys, fps, ids = (np.concatenate([g[c] for g in got]) for c in range(3))
+        del got
+        order = np.argsort(keys, kind="stable")
+        keys, fps, ids = keys[order], fps[order].view(np.uint64), ids[order]
+        some = np.flatnonzero(near_rows(keys, fps, radius))
+        key, tree, members = None, BKTree(radius), []
         left: list[int] = []
         right: list[int] = []
-
-        def close():
-            if len(fps) > 1:
-                a, b = links(fps, ids)
-                left.extend(a)
-                right.extend(b)
-
-        for batch in batches:
-            for k, fp, i in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                if k != key:
-                    close()
-                    key, fps, ids = k, [], []
-                fps.append(fp)
-                ids.append(i)
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-                left.clear()
-                right.clear()
-        close()
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+        for k, fp, i in zip(keys[some].tolist(), fps[some].tolist(), ids[some].tolist()):
+            if k != key:
+                key, tree, members = k, BKTree(radius), []
+            members.append(i)
+            for p, q in tree.add(fp):
+                left.append(members[p])
+                right.append(members[q])
+        for at in range(0, len(left), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(left[at : at + (1 << 16)], pa.int64()), pa.array(right[at : at + (1 << 16)], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -200,7 +250,7 @@ def _verified(radius: int, similarity: float):
         texts: list[str] = []
         for batch in batches:
             left, right = [], []
-            clean = normalise(batch.column(3)).to_pylist()
+            clean = normalise(batch.column(3))
             for g, fp, i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), clean):
                 if g != group:
                     group, tree, ids, texts = g, BKTree(radius), [], []
@@ -229,8 +279,7 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, r
     )
     tables = plan(distinct.count(), radius, MEETING)
     keyed = distinct.select(F.explode(block_keys(F.col("fp"), tables)).alias("k"), "fp", F.col("h1").alias("node"))
-    dealt = keyed.repartition(parts, "k").sortWithinPartitions("k")
-    near = work.save(dealt.mapInArrow(_near(radius), "a long, b long"), "near")
+    near = work.save(keyed.repartition(parts, "k").mapInArrow(_near(radius), "a long, b long"), "near")
     groups = distinct.select("h1", "h2", "first", F.lit(None).cast("long").alias("g"), "n").limit(0)
     if not is_empty(near):
         close = connected_components(near, work).withColumnRenamed("component", "g")
@@ -238,7 +287,7 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, r
         # The text of each such line, from its first occurrence.
         named = members.select("g", "fp", "h1", F.col("first.dkey").alias("dkey"), F.col("first.line").alias("line"))
         per_doc = named.groupBy("dkey").agg(F.collect_list(F.struct("line", "g", "fp", "h1")).alias("wanted"))
-        text = narrow.select("dkey", "text").join(per_doc, "dkey")
+        text = narrow.select("dkey", "text").join(per_doc.hint("shuffle_hash"), "dkey")
         split = text.select(F.split("text", "\n").alias("parts"), "wanted").select(F.explode("wanted").alias("w"), "parts")
         lined = split.select("w.g", "w.fp", "w.h1", F.get("parts", F.col("w.line")).alias("text")).dropDuplicates(["g", "h1"])
         sorted_groups = lined.repartition(parts, "g").sortWithinPartitions("g", "h1")
@@ -271,7 +320,7 @@ def dedup_lines(
     gone = dropped_lines(docs, id_col, text_col, min_words, radius, similarity)
     key, lost = unused_name(docs, "line_key"), unused_name(docs, "lines_gone")
     keyed = docs.withColumn(key, F.xxhash64(id_col, text_col))
-    joined = keyed.join(gone.select(F.col("dkey").alias(key), F.col("gone").alias(lost)), key, "left")
+    joined = keyed.join(gone.select(F.col("dkey").alias(key), F.col("gone").alias(lost)).hint("shuffle_hash"), key, "left")
     parts = F.split(F.col(text_col), "\n")
     numbers = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(lost))
     rest = F.array_join(F.transform(numbers, lambda i: F.get(parts, i)), "\n")

@@ -1,8 +1,6 @@
 import random
-import re
 
 import pytest
-import xxhash
 from loomgraph.llm.line_dedup import RADIUS, dedup_lines, edit_distance, edit_similar
 
 SF = "/root/testdata/sf0.001"
@@ -18,15 +16,24 @@ def slow_distance(a, b):
     return row[-1]
 
 
+M = (1 << 64) - 1
+P = 0x9E3779B97F4A7C15
+
+
 def norm(line):
-    import regex
+    spaced = "".join(c if ord(c) > 127 or c.isalnum() else " " for c in line.lower())
+    return " ".join(w for w in spaced.split(" ") if w)
+
 
-    return regex.sub(r"[^\p{L}\p{N}]+", " ", line.lower()).strip(" ")
+def mix(h, salt):
+    h = (h + salt) & M
+    h = ((h ^ h >> 33) * 0xFF51AFD7ED558CCD) & M
+    h = ((h ^ h >> 33) * 0xC4CEB9FE1A85EC53) & M
+    return h ^ h >> 33
 
 
 def simhash(line):
-    words = line.split(" ")
-    hashes = [xxhash.xxh64_intdigest(w, 7) for w in words]
+    hashes = [mix(sum((b + 1) * pow(P, i, 1 << 64) for i, b in enumerate(w.encode())) & M, 1) for w in line.split(" ")]
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
 
