@@ -34,7 +34,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text encoded at once, units advanced at once, and units remembered by a worker.
 SLICE = 4 << 20
 BLOCK = 1 << 15
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 
 
 def _advance(words: list[str], length: int, p: Probe) -> np.ndarray:
@@ -142,6 +142,17 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(self.flat[index], pa.int32()))
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(vocabulary: Vocabulary) -> Encoder:
+    """One for each worker process and model, so that tasks share what it remembers."""
+    if vocabulary.digest not in _encoders:
+        _encoders.clear()
+        _encoders[vocabulary.digest] = Encoder(vocabulary)
+    return _encoders[vocabulary.digest]
+
+
 def decode(ids: pa.ListArray, v: Vocabulary) -> pa.Array:
     """Texts of id lists; ids outside the vocabulary give nothing, bytes that are no UTF-8 give U+FFFD each."""
     size = len(v.surface)
@@ -180,12 +191,12 @@ def _lenient(raw: bytes) -> str:
 
 def _codec(vocabulary: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        coder = encoder(vocabulary)
         for batch in batches:
             text = batch.column(batch.num_columns - 1)
             sizes = pc.binary_length(text).fill_null(0).to_numpy(zero_copy_only=False)
             for a, b in byte_batches([range(n) for n in sizes.tolist()], SLICE):
-                ids = encoder.encode(text.slice(a, b - a))
+                ids = coder.encode(text.slice(a, b - a))
                 rest = [batch.column(c).slice(a, b - a) for c in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*rest, text.slice(a, b - a), ids, decode(ids, vocabulary)], names=[*batch.schema.names, "ids", "decoded"])
 

@@ -19,6 +19,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Fixed values of the file format: what an unknown character costs beside the lowest piece.
 UNKNOWN_PENALTY = 10.0
 P = np.uint64(0x9E3779B97F4A7C15)
+FILTER_BITS = 20
 
 
 class Vocabulary:
@@ -88,11 +89,13 @@ class Probe:
                 keys[more] = keys[more] * P + self.points[:n][more, i].astype(np.uint64) + np.uint64(1)
         self.order = np.argsort(keys, kind="stable")
         self.keys = keys[self.order]
+        #: By the highest bits of a hash: whether a piece can have it.
+        self.likely = np.zeros(1 << FILTER_BITS, bool)
+        self.likely[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
         self.scores = np.append(v.scores, v.unknown_score)
-        self.index = {p: i for i, p in enumerate(v.pieces)}
+        self.rank = dict(zip(v.pieces, v.scores.tolist()))
         self._pairs: dict[int, bool] = {}
-        self._pair_keys = np.zeros(0, np.int64)
-        self._pair_values = np.zeros(0, bool)
+        self._none = self._main = self._recent = (np.zeros(0, np.int64), np.zeros(0, bool))
 
     def prefix(self, chars: np.ndarray) -> np.ndarray:
         out = np.zeros((chars.shape[0], chars.shape[1] + 1), np.uint64)
@@ -106,42 +109,17 @@ class Probe:
         length = end - start
         with np.errstate(over="ignore"):
             key = prefix[:, end] - prefix[:, start] * self.powers[length]
-        at = np.minimum(np.searchsorted(self.keys, key), self.size - 1)
-        hit = np.flatnonzero(self.keys[at] == key)
         out = np.full(len(key), -1, np.int64)
+        hit = np.flatnonzero(self.likely[(key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
         if len(hit):
-            piece = self.order[at[hit]]
+            at = np.minimum(np.searchsorted(self.keys, key[hit]), self.size - 1)
+            equal = self.keys[at] == key[hit]
+            hit = hit[equal]
+            piece = self.order[at[equal]]
             same = (self.lengths[piece] == length) & (self.points[piece, :length] == chars[hit, start:end]).all(axis=1)
             out[hit[same]] = piece[same]
         return out
 
-    def merged(self, chars: np.ndarray) -> np.ndarray:
-        """Boundaries (row x position) that remain when adjacent symbols are merged, best score first, leftmost on ties."""
-        rows, n = chars.shape
-        prefix = self.prefix(chars)
-        score = np.full((rows, n + 1, n + 1), -np.inf, np.float32)
-        for start in range(n):
-            for end in range(start + 2, min(n, start + self.vocabulary.longest) + 1):
-                piece = self.find(chars, prefix, start, end)
-                score[:, start, end] = np.where(piece >= 0, self.scores[piece], -np.inf)
-        cut = np.ones((rows, n + 1), bool)
-        live = np.arange(rows)
-        position = np.arange(n + 1)
-        while len(live) and n > 1:
-            c = cut[live]
-            before = np.maximum.accumulate(np.where(c, position, -1), axis=1)
-            before = np.concatenate([np.full((len(live), 1), -1), before[:, :-1]], axis=1)
-            after = np.minimum.accumulate(np.where(c, position, n + 1)[:, ::-1], axis=1)[:, ::-1]
-            after = np.concatenate([after[:, 1:], np.full((len(live), 1), n + 1)], axis=1)
-            inner = c[:, 1:n]
-            value = score[live[:, None], before[:, 1:n].clip(0), after[:, 1:n].clip(0, n)]
-            value = np.where(inner, value, -np.inf)
-            best = value.argmax(axis=1)
-            some = value[np.arange(len(live)), best] > -np.inf
-            cut[live[some], best[some] + 1] = False
-            live = live[some]
-        return cut
-
     def pair_fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether merging the text of two pieces gives just these two (left -1: right alone).
 
@@ -149,69 +127,64 @@ class Probe:
         merges give if and only if each neighbouring pair is.
         """
         key = (left + 1) * (self.size + 1) + right
-        if len(self._pair_keys):
-            at = np.minimum(np.searchsorted(self._pair_keys, key), len(self._pair_keys) - 1)
-            known = self._pair_keys[at] == key
-        else:
-            at, known = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-        if not known.all():
-            self._learn(np.unique(key[~known]))
-            at = np.searchsorted(self._pair_keys, key)
-        return self._pair_values[at]
+        out = np.zeros(len(key), bool)
+        rest = np.arange(len(key))
+        for keys, values in (self._main, self._recent):
+            if len(keys) and len(rest):
+                at = np.minimum(np.searchsorted(keys, key[rest]), len(keys) - 1)
+                known = keys[at] == key[rest]
+                out[rest[known]] = values[at[known]]
+                rest = rest[~known]
+        if len(rest):
+            new, back = np.unique(key[rest], return_inverse=True)
+            fits = np.fromiter((self._fits(k) for k in new.tolist()), bool, len(new))
+            out[rest] = fits[back]
+            self._recent = self._joined(self._recent, (new, fits))
+            if len(self._recent[0]) > 1 << 14:
+                if len(self._main[0]) > 1 << 22:  # a bound on memory; what is forgotten is worked out again
+                    self._main = self._none
+                self._main, self._recent = self._joined(self._main, self._recent), self._none
+        return out
+
+    @staticmethod
+    def _joined(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.concatenate([a[0], b[0]])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], np.concatenate([a[1], b[1]])[order]
 
-    def _learn(self, keys: np.ndarray) -> None:
-        left, right = keys // (self.size + 1) - 1, keys % (self.size + 1)
-        width = np.where(left >= 0, self.lengths[left], 0)
-        total = width + self.lengths[right]
-        fits = np.zeros(len(keys), bool)
-        for n in np.unique(total).tolist():
-            which = np.flatnonzero(total == n)
-            for part in np.array_split(which, max(1, len(which) * n * n // (1 << 21))):
-                chars = np.zeros((len(part), n), np.uint32)
-                for w in np.unique(width[part]).tolist():
-                    rows = np.flatnonzero(width[part] == w)
-                    if w:
-                        chars[rows, :w] = self.points[left[part[rows]], :w]
-                    chars[rows, w:] = self.points[right[part[rows]], : n - w]
-                cut = self.merged(chars)
-                cut[np.arange(len(part)), width[part]] ^= True
-                cut[:, 0] = cut[:, n] = False
-                inside = (width[part] > 0) & (width[part] < n)
-                # Only the boundary between the two may be left.
-                fits[part] = ~cut.any(axis=1) & (inside | (width[part] == 0))
-        if len(self._pair_keys) > 1 << 22:  # a bound on memory; what is forgotten is worked out again
-            self._pair_keys, self._pair_values = np.zeros(0, np.int64), np.zeros(0, bool)
-            self._pairs.clear()
-        merged = np.concatenate([self._pair_keys, keys])
-        order = np.argsort(merged, kind="stable")
-        self._pair_keys = merged[order]
-        self._pair_values = np.concatenate([self._pair_values, fits])[order]
+    def _fits(self, key: int) -> bool:
+        left, right = key // (self.size + 1) - 1, key % (self.size + 1)
+        pieces = self.vocabulary.pieces
+        a, b = pieces[left] if left >= 0 else "", pieces[right]
+        return self.merge_text(a + b) == ([a, b] if a else [b])
 
     def pair_fits_one(self, left: int, right: int) -> bool:
         key = (left + 1) * (self.size + 1) + right
         got = self._pairs.get(key)
         if got is None:
-            pieces = self.vocabulary.pieces
-            a, b = pieces[left] if left >= 0 else "", pieces[right]
-            got = self.merge_text(a + b) == ([a, b] if a else [b])
             if len(self._pairs) > 1 << 20:
                 self._pairs.clear()
-            self._pairs[key] = got
+            got = self._pairs[key] = self._fits(key)
         return got
 
     def merge_text(self, text: str) -> list[str]:
-        """The merges on one string, step by step."""
-        parts, index, scores = list(text), self.index, self.scores
-        while len(parts) > 1:
-            best, where = -np.inf, -1
-            for i in range(len(parts) - 1):
-                p = index.get(parts[i] + parts[i + 1])
-                if p is not None and scores[p] > best:
-                    best, where = scores[p], i
+        """What the merges make of a string: adjacent symbols are joined, best score first, leftmost on ties."""
+        rank = self.rank.get
+        parts = list(text)
+        values = [rank(a + b) for a, b in zip(parts, parts[1:])]
+        while True:
+            best, where = None, -1
+            for i, x in enumerate(values):
+                if x is not None and (best is None or x > best):
+                    best, where = x, i
             if where < 0:
-                break
+                return parts
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
-        return parts
+            del values[where]
+            if where:
+                values[where - 1] = rank(parts[where - 1] + parts[where])
+            if where < len(values):
+                values[where] = rank(parts[where] + parts[where + 1])
 
 
 _probes: dict[str, Probe] = {}

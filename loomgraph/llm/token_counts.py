@@ -106,13 +106,24 @@ class Counter:
         return np.diff(total[offsets])
 
 
+_counters: dict[str, Counter] = {}
+
+
+def counter(vocabulary: Vocabulary) -> Counter:
+    """One for each worker process and model, so that tasks share what it remembers."""
+    if vocabulary.digest not in _counters:
+        _counters.clear()
+        _counters[vocabulary.digest] = Counter(vocabulary)
+    return _counters[vocabulary.digest]
+
+
 def _counted(vocabulary: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(vocabulary)
+        known = counter(vocabulary)
         for batch in batches:
             text = batch.column(batch.num_columns - 1)
             sizes = pc.binary_length(text).fill_null(0).to_numpy(zero_copy_only=False)
-            got = [counter.counts(text.slice(a, b - a)) for a, b in byte_batches([range(n) for n in sizes.tolist()], SLICE)]
+            got = [known.counts(text.slice(a, b - a)) for a, b in byte_batches([range(n) for n in sizes.tolist()], SLICE)]
             total = np.concatenate(got) if got else np.zeros(0, np.int64)
             rest = [batch.column(c) for c in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(total)], names=[*batch.schema.names[:-1], "n"])
