@@ -80,14 +80,13 @@ class Lines(HTMLParser):
         self.links = 0
         self.anchors = 0
         self.count = 0
-        #: text, characters in links, tags, element, dropped
-        self.lines: list[tuple[str, int, int, int, bool]] = []
+        #: text, characters in links, tags since the line before, element
+        self.lines: list[tuple[str, int, int, int]] = []
 
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split()) if self.parts else ""
         if text:
-            _, dropped, _, number = self.open[-1]
-            self.lines.append((text, self.links, self.count, number, dropped))
+            self.lines.append((text, self.links, self.count, self.open[-1][3]))
             self.count = 0
         self.parts, self.links = [], 0
 
@@ -160,11 +159,13 @@ class Lines(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
+        if self.open[-1][1]:
+            return
         self.parts.append(data)
         if self.anchors:
             self.links += len(data)
 
-    def finish(self) -> list[tuple[str, int, int, int, bool]]:
+    def finish(self) -> list[tuple[str, int, int, int]]:
         self.close()
         self._flush()
         return self.lines
@@ -181,15 +182,13 @@ def main_text(html: str) -> str:
     page = Lines()
     page.feed(html)
     lines = page.finish()
-    live = [x for x in lines if not x[4]]
-    if not live:
+    if not lines:
         return ""
-    ratios = np.array([0.0 if x[4] else max(0, len(x[0]) - x[1]) / max(1, x[2]) for x in lines])
-    smooth = smoothed(ratios)
-    content = [x for x, r in zip(lines, smooth.tolist()) if not x[4] and r > THRESHOLD * float(smooth.std())] or live
+    smooth = smoothed(np.array([max(0, len(x[0]) - x[1]) / max(1, x[2]) for x in lines]))
+    content = [x for x, r in zip(lines, smooth.tolist()) if r > THRESHOLD * float(smooth.std())] or lines
     mass: dict[int, int] = {}
     total = 0
-    for text, in_links, _, element, _ in content:
+    for text, in_links, _, element in content:
         size = max(0, len(text) - in_links)
         total += size
         while element >= 0:
@@ -197,8 +196,9 @@ def main_text(html: str) -> str:
             element = page.parents[element]
     chosen = [e for e in mass if page.tags[e] in ("article", "main") and 2 * mass[e] >= total]
     if chosen:
-        # The innermost one; of several equally deep the one with most text, then the first.
-        region = max(chosen, key=lambda e: (mass[e] * 10 >= 9 * max(mass[c] for c in chosen), e if mass[e] * 10 >= 9 * max(mass[c] for c in chosen) else mass[e]))
+        # The innermost of those that hold nearly as much as the fullest (an inner element has the higher number).
+        most = max(mass[e] for e in chosen)
+        region = max(e for e in chosen if 10 * mass[e] >= 9 * most)
     else:
         region = max((e for e in mass if 10 * mass[e] >= 9 * total), default=0)
     inside = {region: True, -1: False}
@@ -213,7 +213,7 @@ def main_text(html: str) -> str:
         return inside[e]
 
     named = bool(chosen)
-    kept = [text for text, in_links, _, element, dropped in lines if not dropped and within(element) and (named or in_links * 5 < len(text) * 4)]
+    kept = [text for text, in_links, _, element in lines if within(element) and (named or in_links * 5 < len(text) * 4)]
     return "\n\n".join(kept)
 
 

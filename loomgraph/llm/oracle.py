@@ -1 +1,106 @@
-ORACLE: dict[str, str] = {}
+"""SQL for DuckDB that gives the same rows as the registered queries, where SQL can."""
+
+from __future__ import annotations
+
+from .quality import CAPITALS, EDGES, STRONGEST, SYMBOLS, WEAKEST
+from .source_mixing import BUDGET, EXPONENTS, SEED, STEPS, SWEEPS
+
+OP2 = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL
+  SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), marked AS (
+  SELECT *, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS body,
+         replace(replace(replace(role, '\', '\s'), chr(10), '\n'), '<', '\l') AS head
+  FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+       CAST(sum(12 + length(head) + 1 + length(body) + 11) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
+_BIN = "(" + " + ".join(f"CASE WHEN {{v}} >= {k} THEN 1 ELSE 0 END" for k in EDGES) + ")"
+_SHARE = "CASE WHEN length(t) > 0 THEN CAST(floor((length(t) - length(translate(t, '{chars}', ''))) * 1000 / length(t)) AS BIGINT) ELSE 0 END"
+
+OP9 = f"""
+WITH d AS (SELECT doc_id, source AS host, lang AS path, coalesce(text, '') AS t FROM documents),
+s AS (SELECT doc_id, host, path, {_SHARE.format(chars=SYMBOLS)} AS a, {_SHARE.format(chars=CAPITALS)} AS b,
+        CAST(floor(len(list_distinct(string_split(t, ' '))) * 20 / len(string_split(t, ' '))) AS BIGINT) AS f3,
+        least(CAST(floor(length(t) / len(string_split(t, ' '))) AS BIGINT), 15) AS f4 FROM d),
+f AS (SELECT s.doc_id, host, path, {_BIN.format(v="a")} AS f1, {_BIN.format(v="b")} AS f2, f3, f4, good FROM s
+      LEFT JOIN (SELECT doc_id, max(quality) AS good FROM labels WHERE quality IN (0, 1) GROUP BY doc_id) l ON l.doc_id = s.doc_id),
+c AS (SELECT f, bin, sum(good) AS g, count(*) - sum(good) AS x FROM (
+        SELECT 1 AS f, f1 AS bin, good FROM f UNION ALL SELECT 2, f2, good FROM f UNION ALL SELECT 3, f3, good FROM f UNION ALL SELECT 4, f4, good FROM f)
+      WHERE good IS NOT NULL GROUP BY f, bin),
+n AS (SELECT f, sum(g) AS good, sum(x) AS bad, count(*) AS bins FROM c GROUP BY f),
+w AS (SELECT c.f, c.bin, ln((g + 1) / (good + bins)) - ln((x + 1) / (bad + bins)) AS w FROM c JOIN n USING (f)),
+p AS (SELECT (good + 1) / (good + bad + 2) AS share FROM n WHERE f = 1),
+e AS (SELECT f.*, coalesce(w1.w, 0) + coalesce(w2.w, 0) + coalesce(w3.w, 0) + coalesce(w4.w, 0) AS evidence FROM f
+      LEFT JOIN w w1 ON w1.f = 1 AND w1.bin = f1 LEFT JOIN w w2 ON w2.f = 2 AND w2.bin = f2
+      LEFT JOIN w w3 ON w3.f = 3 AND w3.bin = f3 LEFT JOIN w w4 ON w4.f = 4 AND w4.bin = f4),
+m AS (SELECT e.*, coalesce(good * 1000, CAST(round(1 / (1 + exp(-(ln(share / (1 - share)) + evidence))) * 1000) AS BIGINT)) AS mass FROM e, p),
+pa AS (SELECT host, path, sum(mass) AS m, count(*) AS n FROM m GROUP BY host, path),
+ho AS (SELECT host, sum(m) AS hm, sum(n) AS hn FROM pa GROUP BY host),
+me AS (SELECT (sum(hm) / 1000 + 1) / (sum(hn) + 2) AS mean, sum(hn) AS total, count(*) AS hosts FROM ho),
+sp AS (SELECT mean, mean * (1 - mean) * hosts / total AS chance, (SELECT sum(hn * pow(hm / 1000 / hn - mean, 2)) FROM ho) / total AS spread FROM me),
+st AS (SELECT mean, least({STRONGEST}, greatest({WEAKEST}, mean * (1 - mean) / greatest(spread - chance, 1e-9) - 1)) AS k FROM sp),
+hp AS (SELECT host, (hm / 1000 + k * mean) / (hn + k) AS hprior FROM ho, st),
+pp AS (SELECT pa.host, path, (m / 1000 + k * hprior) / (n + k) AS prior FROM pa JOIN hp ON pa.host IS NOT DISTINCT FROM hp.host, st),
+r AS (SELECT m.doc_id, m.host, m.path, evidence, prior, 1 / (1 + exp(-(ln(prior / (1 - prior)) + evidence))) AS probability
+      FROM m JOIN pp ON pp.host IS NOT DISTINCT FROM m.host AND pp.path IS NOT DISTINCT FROM m.path)
+SELECT doc_id, host, path, round(evidence, 6) AS evidence, round(prior, 6) AS prior, round(probability, 6) AS probability, probability >= 0.5 AS keep FROM r
+"""
+
+
+def _rake() -> str:
+    steps, last = [], "c0"
+    for i in range(SWEEPS):
+        for margin in ("source", "lang", "topic"):
+            name = f"r{i}_{margin}"
+            steps.append(
+                f"{name} AS MATERIALIZED (SELECT source, lang, topic, tokens, share, g_source, g_lang, g_topic, "
+                f"w * g_{margin} / sum(w) OVER (PARTITION BY {margin}) AS w FROM {last})"
+            )
+            last = name
+    return ",\n".join(steps) + f",\nraked AS (SELECT source, lang, topic, tokens, w / share AS factor FROM {last})"
+
+
+OP5 = f"""
+WITH t AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+k AS (SELECT doc_id, source, lang, t, length(t) AS n, CASE WHEN length(t) > 0 THEN length(t) - length(replace(replace(t, ' ', ''), chr(10), '')) + 1 ELSE 0 END AS n_tokens FROM t),
+d AS (SELECT doc_id, source, lang, n_tokens, CASE
+  WHEN (n - length(replace(t, '|', ''))) * 10 > n_tokens THEN 'table' WHEN (n - length(replace(t, '!', ''))) * 10 > n_tokens THEN 'shout'
+  WHEN n_tokens < 60 THEN 'note' WHEN (n - length(replace(t, chr(10), ''))) * 30 > n_tokens THEN 'list' WHEN n_tokens > 1500 THEN 'essay' ELSE 'article' END AS topic FROM k),
+cells AS (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM d GROUP BY source, lang, topic HAVING sum(n_tokens) > 0),
+sh AS (SELECT *, tokens / (SELECT sum(tokens) FROM cells) AS share FROM cells),
+go AS (SELECT *, pow(sum(share) OVER (PARTITION BY source), {EXPONENTS["source"]}) AS g1, pow(sum(share) OVER (PARTITION BY lang), {EXPONENTS["lang"]}) AS g2,
+       pow(sum(share) OVER (PARTITION BY topic), {EXPONENTS["topic"]}) AS g3 FROM sh),
+c0 AS MATERIALIZED (SELECT source, lang, topic, tokens, share, share AS w, g1 / (SELECT sum(g) FROM (SELECT max(g1) AS g FROM go GROUP BY source)) AS g_source,
+       g2 / (SELECT sum(g) FROM (SELECT max(g2) AS g FROM go GROUP BY lang)) AS g_lang, g3 / (SELECT sum(g) FROM (SELECT max(g3) AS g FROM go GROUP BY topic)) AS g_topic FROM go),
+{_rake()},
+st AS (SELECT floor(ln(factor) * {STEPS}) AS step, sum(tokens) AS n, sum(tokens * factor) AS r, max(factor) AS top FROM raked WHERE factor > 0 GROUP BY 1),
+ab AS (SELECT step, top, coalesce(sum(n) OVER w, 0) AS full_n, coalesce(sum(r) OVER w, 0) AS spent FROM st WINDOW w AS (ORDER BY step DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+tr AS (SELECT step, top, ((SELECT sum(n) FROM st) * {BUDGET} - full_n) / ((SELECT sum(r) FROM st) - spent) AS c FROM ab),
+cc AS (SELECT coalesce(max_by(c, step), 1e18) AS c FROM tr WHERE c > 0 AND c * top <= 1),
+pr AS (SELECT source, lang, topic, factor, least(1.0, c * factor) AS probability FROM raked, cc)
+SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(coalesce(factor, 1.0), 6) AS factor, round(coalesce(probability, 1.0), 6) AS probability,
+  CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':{SEED}'), 1, 13) AS BIGINT) / 4503599627370496.0 < coalesce(probability, 1.0) AS sampled
+FROM d LEFT JOIN pr ON d.source IS NOT DISTINCT FROM pr.source AND d.lang IS NOT DISTINCT FROM pr.lang AND d.topic IS NOT DISTINCT FROM pr.topic
+"""
+
+OP10 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+ORACLE: dict[str, str] = {"op2_chat_format": OP2, "op5_source_mixing": OP5, "op9_quality": OP9, "op10_topk": OP10}

@@ -102,7 +102,7 @@ def probabilities(raked: DataFrame, work: Workspace, budget: float = BUDGET) ->
     above = Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
     steps = steps.withColumn("full", F.coalesce(F.sum("n").over(above), F.lit(0))).withColumn("spent", F.coalesce(F.sum("r").over(above), F.lit(0.0)))
     total, rest = live.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("factor"))).first()
-    tried = steps.withColumn("c", (F.lit((total or 0) * budget) - F.col("full")) / (F.lit(rest or 0.0) - F.col("spent")))
+    tried = steps.withColumn("c", F.try_divide(F.lit((total or 0) * budget) - F.col("full"), F.lit(rest or 0.0) - F.col("spent")))
     # All steps before this one are full; the first step whose top stays below 1 settles c.
     c = tried.where("c > 0 and c * top <= 1").agg(F.max_by("c", "step")).first()[0]
     return raked.withColumn("probability", F.least(F.lit(1.0), F.lit(1e18 if c is None else c) * F.col("factor")))

@@ -68,7 +68,7 @@ class BallTree:
         slack = np.sqrt((queries**2).sum(axis=1))[:, None] * self.radius[None, :]
         # Rounding of the bound itself: a little on the safe side.
         bound = bound + slack + 1e-9 * (np.abs(bound) + slack) + 1e-6
-        exact = bool(len(queries)) and np.abs(queries).max() * np.abs(self.points).max() * self.points.shape[1] < EXACT
+        exact = queries.size > 0 and np.abs(queries).max() * np.abs(self.points).max() * self.points.shape[1] < EXACT
         for q in range(len(queries)):
             least = floor[q]
             found_i: list[np.ndarray] = []
