@@ -131,3 +131,279 @@ def queries() -> dict[str, Run]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+# Traversal and analytics
+
+from .operators import analytics, history, metrics, pulls, traversal  # noqa: E402
+
+_IMPACT = "('uses', 'depends_on')"
+_BFS = f"""
+WITH RECURSIVE r(id, depth) AS (
+  SELECT 'supplier:1', 0 UNION SELECT e.src, r.depth + 1 FROM r JOIN (SELECT DISTINCT src, dst FROM edges WHERE relation IN {_IMPACT} AND src <> dst) e ON e.dst = r.id WHERE r.depth < 2
+), d AS (SELECT id, min(depth) AS depth FROM r GROUP BY id)
+SELECT d.id, d.depth, min(e.relation) AS via FROM d JOIN edges e ON e.src = d.id JOIN d p ON p.id = e.dst AND p.depth = d.depth - 1 WHERE d.depth > 0 AND e.relation IN {_IMPACT} GROUP BY 1, 2
+"""
+
+
+@graph_query(_BFS.replace("WITH RECURSIVE", "WITH"))
+def affected_by_supplier(g: Graph) -> DataFrame:
+    return traversal.affected(g, ["supplier:1"], 2)
+
+
+SQL["affected_by_supplier"] = SQL["affected_by_supplier"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@graph_query("SELECT DISTINCT src, relation FROM edges WHERE dst = 'part:5' AND relation <> 'contains' AND relation <> 'method'")
+def references_of_part(g: Graph) -> DataFrame:
+    return traversal.references(g.edges, "part:5")
+
+
+@graph_query("""
+SELECT 'out' AS direction, relation, dst AS id, label, context FROM edges JOIN nodes ON nodes.id = dst WHERE src = 'nation:3'
+UNION ALL SELECT 'in', relation, src, label, context FROM edges JOIN nodes ON nodes.id = src WHERE dst = 'nation:3'
+""")
+def explain_nation(g: Graph) -> DataFrame:
+    return traversal.explain_node(g, "nation:3")
+
+
+@graph_query("""
+WITH c AS (SELECT DISTINCT src AS id, label FROM edges JOIN nodes ON nodes.id = dst WHERE relation IN ('calls', 'invokes', 'calls_service', 'binds_native', 'uses'))
+SELECT id, count(*) AS callees, string_agg(label, ',' ORDER BY label) AS all_callees FROM c GROUP BY id
+""")
+def describe_nodes(g: Graph) -> DataFrame:
+    d = traversal.describe(g)
+    return d.select("id", F.size("callees").cast("long").alias("callees"), F.array_join("callees", ",").alias("all_callees"))
+
+
+@graph_query("""
+WITH c AS (SELECT DISTINCT src, dst FROM edges WHERE relation IN ('contains', 'method')),
+l1 AS (SELECT n.id AS start, c.dst AS id FROM nodes n JOIN c ON c.src = n.id WHERE n.kind = 'package'),
+l2 AS (SELECT DISTINCT start, c.dst AS id FROM l1 JOIN c ON c.src = l1.id), l3 AS (SELECT DISTINCT start, c.dst AS id FROM l2 JOIN c ON c.src = l2.id)
+SELECT start, depth, count(*) AS reached FROM (SELECT *, 1 AS depth FROM l1 UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 3 FROM l3) GROUP BY 1, 2
+""")
+def reach_by_region(g: Graph) -> DataFrame:
+    r = traversal.reachable(g.edges, g.nodes.where("kind = 'package'").select("id"), ["contains", "method"], 3)
+    return r.groupBy("start", "depth").agg(F.count("*").alias("reached"))
+
+
+@graph_query("""
+WITH n AS (SELECT count(*) AS nodes, count(DISTINCT community) AS communities FROM nodes),
+e AS (SELECT count(*) AS edges, count(*) FILTER (confidence = 'EXTRACTED') AS extracted, count(*) FILTER (confidence = 'INFERRED') AS inferred, count(*) FILTER (confidence = 'AMBIGUOUS') AS ambiguous,
+ count(*) FILTER (a.repo <> b.repo) AS cross_repo FROM edges LEFT JOIN nodes a ON a.id = src LEFT JOIN nodes b ON b.id = dst) SELECT * FROM n, e
+""")
+def graph_stats(g: Graph) -> DataFrame:
+    return analytics.stats(g)
+
+
+@graph_query("""
+WITH d AS (SELECT id, count(DISTINCT n) AS neighbours FROM (SELECT src AS id, dst AS n FROM edges WHERE weight > 0 AND src <> dst UNION ALL SELECT dst, src FROM edges WHERE weight > 0 AND src <> dst) GROUP BY id)
+SELECT id, label, neighbours FROM nodes JOIN d USING (id) ORDER BY neighbours DESC, id LIMIT 10
+""")
+def god_nodes(g: Graph) -> DataFrame:
+    return analytics.god_nodes(g)
+
+
+_SURPRISE = """
+WITH d AS (SELECT id, count(DISTINCT n) AS neighbours FROM (SELECT src AS id, dst AS n FROM edges WHERE weight > 0 AND src <> dst UNION ALL SELECT dst, src FROM edges WHERE weight > 0 AND src <> dst) GROUP BY id),
+m AS (SELECT nodes.*, regexp_replace(source_file, '/[^/]*$', '') AS folder, coalesce(neighbours, 0) AS nb FROM nodes LEFT JOIN d USING (id)),
+s AS (SELECT src, dst, relation, context, confidence, a.label AS src_label, b.label AS dst_label,
+ CAST(CASE confidence WHEN 'AMBIGUOUS' THEN 3 WHEN 'INFERRED' THEN 2 ELSE 1 END + CASE WHEN a.folder <> b.folder THEN 2 ELSE 0 END + coalesce(CAST(a.community <> b.community AS INTEGER), 0)
+ + CASE WHEN least(a.nb, b.nb) <= 2 AND greatest(a.nb, b.nb) >= 5 THEN 1 ELSE 0 END AS DOUBLE) AS score
+ FROM edges JOIN m a ON a.id = src JOIN m b ON b.id = dst WHERE src <> dst AND a.source_file <> b.source_file)
+"""
+
+
+@graph_query(_SURPRISE + "SELECT relation, confidence, score, count(*) AS n FROM s GROUP BY 1, 2, 3")
+def surprise_histogram(g: Graph) -> DataFrame:
+    return analytics.surprise_scores(g).groupBy("relation", "confidence", "score").agg(F.count("*").alias("n"))
+
+
+@graph_query(_SURPRISE + "SELECT * FROM s ORDER BY score DESC, src_label, dst_label, src, dst, relation, context LIMIT 5")
+def surprising_links(g: Graph) -> DataFrame:
+    return analytics.surprising(g)
+
+
+@graph_query("""
+WITH e AS (SELECT least(a.community, b.community) AS low, greatest(a.community, b.community) AS high, CASE confidence WHEN 'AMBIGUOUS' THEN 0 WHEN 'INFERRED' THEN 1 ELSE 2 END AS doubt, src, dst, relation
+ FROM edges JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE a.community <> b.community)
+SELECT low, high, src, dst, relation FROM (SELECT *, row_number() OVER (PARTITION BY low, high ORDER BY doubt, src, dst, relation) AS r FROM e) WHERE r = 1
+""")
+def cross_community_links(g: Graph) -> DataFrame:
+    return analytics.cross_community(g)
+
+
+_COHESION = """
+WITH p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst),
+i AS (SELECT x.community, count(*) AS pairs FROM p JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b WHERE x.community = y.community GROUP BY 1),
+s AS (SELECT community, count(*) AS size FROM nodes WHERE community IS NOT NULL GROUP BY 1)
+SELECT community, size, coalesce(pairs, 0) AS pairs, round(CASE WHEN size > 1 THEN coalesce(pairs, 0) / (size * (size - 1) / 2) ELSE 0 END, 9) AS cohesion FROM s LEFT JOIN i USING (community)
+"""
+
+
+@graph_query(_COHESION)
+def community_cohesion(g: Graph) -> DataFrame:
+    return analytics.cohesion(g).withColumn("cohesion", F.round("cohesion", 9))
+
+
+@graph_query("""
+WITH f AS (SELECT DISTINCT a.community AS a, b.community AS b FROM edges JOIN edges e2 ON edges.dst = e2.src JOIN nodes a ON a.id = edges.src JOIN nodes b ON b.id = e2.dst
+ WHERE edges.relation = 'uses' AND e2.relation = 'depends_on' AND a.community % 5 = 1 AND b.community % 5 = 1 AND a.community <> b.community)
+SELECT x.a || '>' || x.b AS cycle FROM f x JOIN f y ON x.b = y.a AND y.b = x.a WHERE x.a < x.b
+UNION ALL SELECT x.a || '>' || x.b || '>' || y.b FROM f x JOIN f y ON x.b = y.a JOIN f z ON y.b = z.a AND z.b = x.a WHERE x.a < x.b AND x.a < y.b AND x.b <> y.b
+""")
+def community_cycles(g: Graph) -> DataFrame:
+    c = g.nodes.where("community % 5 = 1").select("id", "community")
+    uses, needs = g.edges.where("relation = 'uses'"), g.edges.where("relation = 'depends_on'").select(F.col("src").alias("dst"), F.col("dst").alias("third"))
+    pairs = uses.join(needs, "dst").join(c.select(F.col("id").alias("src"), F.col("community").alias("a")), "src").join(c.select(F.col("id").alias("third"), F.col("community").alias("b")), "third")
+    out = analytics.cycles(pairs.where("a <> b").select("a", "b").distinct(), 3, None)
+    return out.select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ">").alias("cycle"))
+
+
+@graph_query("""
+WITH e AS (SELECT DISTINCT least(src, dst) || '|' || greatest(src, dst) || '|' || relation AS key, max(n_sites) OVER (PARTITION BY least(src, dst), greatest(src, dst), relation) AS most FROM edges)
+SELECT 'edge' AS what, 'removed' AS change, count(*) AS n FROM e WHERE most < 2 UNION ALL SELECT 'node', 'removed', count(*) FROM nodes WHERE visibility = 'internal'
+""")
+def diff_summary(g: Graph) -> DataFrame:
+    new = g.with_(nodes=g.nodes.where("visibility <> 'internal'"), edges=g.edges.where("n_sites >= 2"))
+    return analytics.graph_diff(g, new).groupBy("what", "change").agg(F.count("*").alias("n"))
+
+
+@graph_query("""
+WITH p AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, sum(weight) AS w FROM edges WHERE weight > 0 GROUP BY 1, 2),
+l AS (SELECT a, b, w, x.community AS la, y.community AS lb FROM p JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b WHERE x.community IS NOT NULL AND y.community IS NOT NULL),
+t AS (SELECT sum(w) AS m, sum(CASE WHEN la = lb THEN w ELSE 0 END) AS i FROM l),
+k AS (SELECT sum(k * k) AS s FROM (SELECT c, sum(w) AS k FROM (SELECT la AS c, w FROM l UNION ALL SELECT lb, w FROM l) GROUP BY c))
+SELECT round(i / m - s / (4 * m * m), 9) AS q FROM t, k
+""")
+def modularity_of_communities(g: Graph) -> DataFrame:
+    labels = g.nodes.where("community is not null").select("id", F.col("community").alias("l"))
+    return g.spark.createDataFrame([(round(analytics.modularity(analytics.weighted_pairs(g.edges), labels), 9),)], "q double")
+
+
+@graph_query("SELECT community, string_agg(label, ',' ORDER BY id) AS labels FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY id) AS r FROM nodes WHERE community IS NOT NULL) WHERE r <= 5 GROUP BY 1")
+def community_names(g: Graph) -> DataFrame:
+    return analytics.community_labels(g).select("community", F.array_join("labels", ",").alias("labels"))
+
+
+@graph_query("""
+WITH b AS (SELECT src AS id, dst AS n FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst),
+v1 AS (SELECT x.id, y.community, count(*) AS c FROM nodes x JOIN b ON b.id = x.id JOIN nodes y ON y.id = b.n WHERE x.community IS NULL AND y.community IS NOT NULL GROUP BY 1, 2),
+a1 AS (SELECT id, community FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, community) AS r FROM v1) WHERE r = 1)
+SELECT * FROM a1
+""")
+def assign_communities(g: Graph) -> DataFrame:
+    return analytics.local_assignment(g, 1)
+
+
+@graph_query("""
+WITH n AS (SELECT id, CASE WHEN len(string_split(source_file, '/')) > 1 THEN array_to_string(list_slice(string_split(source_file, '/'), 1, least(len(string_split(source_file, '/')) - 1, 2)), '/') ELSE '(root)' END AS m FROM nodes),
+p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst), j AS (SELECT x.m AS ma, y.m AS mb FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b),
+e AS (SELECT ma AS module, CAST(ma <> mb AS INTEGER) AS c FROM j UNION ALL SELECT mb, 1 FROM j WHERE ma <> mb)
+SELECT module, CAST(sum(c) AS BIGINT) AS crossing, count(*) AS total, round(sum(c) / count(*), 9) AS coupling FROM e GROUP BY 1
+""")
+def module_coupling(g: Graph) -> DataFrame:
+    return history.coupling(g).withColumn("coupling", F.round("coupling", 9))
+
+
+@graph_query("""
+WITH n AS (SELECT id, CASE WHEN len(string_split(source_file, '/')) > 1 THEN array_to_string(list_slice(string_split(source_file, '/'), 1, least(len(string_split(source_file, '/')) - 1, 2)), '/') ELSE '(root)' END AS m FROM nodes)
+SELECT DISTINCT x.m AS a, y.m AS b FROM edges JOIN n x ON x.id = src JOIN n y ON y.id = dst WHERE relation IN ('calls', 'imports', 'imports_from', 'uses', 'depends_on', 'references', 'inherits', 'implements') AND x.m <> y.m
+""")
+def module_dependencies(g: Graph) -> DataFrame:
+    return history.module_links(g)
+
+
+@graph_query("""
+WITH u AS (SELECT DISTINCT src, dst FROM edges), r AS (SELECT dst AS id, count(*) AS refs FROM u JOIN nodes x ON x.id = src JOIN nodes y ON y.id = dst WHERE x.source_file <> y.source_file GROUP BY 1)
+SELECT nodes.id, label, coalesce(refs, 0) AS refs FROM nodes LEFT JOIN r USING (id) WHERE kind = 'struct' AND loc >= 45 AND visibility = 'public' ORDER BY 3 DESC, 1 LIMIT 50
+""")
+def removed_interfaces(g: Graph) -> DataFrame:
+    return history.removed_interfaces(g, g.with_(nodes=g.nodes.where("not (kind = 'struct' and loc >= 45)")))
+
+
+def _transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select(F.concat_ws("|", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("commit"), F.col("event_type").alias("file"), "ts", "value")
+
+
+_TX = "t AS (SELECT DISTINCT user_id || '|' || strftime(ts, '%Y-%m-%d') AS c, event_type AS file FROM events)"
+
+
+@table_query(f"""WITH {_TX}, f AS (SELECT min(file) AS f0 FROM t), h AS (SELECT DISTINCT c FROM t, f WHERE file = f0),
+s AS (SELECT file, count(*) AS support FROM t JOIN h USING (c), f WHERE file <> f0 GROUP BY 1),
+r AS (SELECT file, support, CAST(floor((support * 200 + n) / (2 * n)) AS INTEGER) AS confidence FROM s, (SELECT count(*) AS n FROM h))
+SELECT * FROM r WHERE support >= 2 AND confidence >= 5 ORDER BY confidence DESC, support DESC, file LIMIT 10""")
+def co_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tx = _transactions(spark, sf_dir)
+    return history.co_change(tx, [tx.agg(F.min("file")).first()[0]], percent=5)
+
+
+@table_query("""WITH l AS (SELECT event_type AS path, CAST(sum(floor(abs(value))) AS BIGINT) AS added, count(*) AS deleted FROM events GROUP BY 1)
+SELECT path, added + deleted AS lines, deleted AS nodes, added + deleted + 3 * deleted AS score FROM l ORDER BY score DESC, path LIMIT 20""")
+def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tx = _transactions(spark, sf_dir)
+    numstat = tx.select(F.floor(F.abs("value")).alias("added"), F.lit(1).alias("deleted"), F.col("file").alias("path"))
+    return history.hotspots(numstat, tx.select(F.col("file").alias("path")))
+
+
+@table_query("""SELECT c_custkey, CAST(floor((least(n / 50.0, 1.0) * 0.3 + least(p / 20.0, 1.0) * 0.2 + least(k / 10.0, 1.0) * 0.2 + least(m / 5.0, 1.0) * 0.1 + least(u / 10.0, 1.0) * 0.1 + least(w / 500.0, 1.0) * 0.1) * 100 + 0.5) AS INTEGER) AS score FROM (
+SELECT o_custkey AS c_custkey, count(*) AS n, count(DISTINCT l_partkey) AS p, count(DISTINCT l_suppkey) AS k, count(DISTINCT l_returnflag) AS m, count(DISTINCT o_orderkey) AS u, CAST(sum(l_quantity) AS BIGINT) AS w
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)""")
+def change_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, l = spark.read.parquet(f"{sf_dir}/orders.parquet"), spark.read.parquet(f"{sf_dir}/lineitem.parquet")  # noqa: E741
+    f = o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count("*").alias("dependents"), F.countDistinct("l_partkey").alias("files"), F.countDistinct("l_suppkey").alias("public_api"),
+        F.countDistinct("l_returnflag").alias("communities"), F.countDistinct("o_orderkey").alias("untested"), F.sum("l_quantity").cast("long").alias("churn"),
+    )
+    return history.risk(f).select("c_custkey", "score")
+
+
+@table_query("""WITH p AS (SELECT o_orderkey AS number, CASE WHEN o_orderpriority LIKE '5%' THEN 'dev' ELSE 'main' END AS base, o_orderstatus AS st, CAST(floor(o_totalprice) AS BIGINT) % 30 AS age FROM orders),
+s AS (SELECT number, age, CASE WHEN base <> 'main' THEN 'WRONG-BASE' WHEN st = 'F' AND number % 7 = 0 THEN 'CI-FAIL' WHEN number % 11 = 0 THEN 'CHANGES' WHEN number % 13 = 0 THEN 'DRAFT' WHEN age >= 14 THEN 'STALE'
+ WHEN number % 3 = 0 THEN 'APPROVED' WHEN st = 'P' THEN 'PENDING' ELSE 'READY' END AS status FROM p) SELECT status, count(*) AS n, CAST(sum(age) AS BIGINT) AS days FROM s GROUP BY 1""")
+def pull_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    n = F.col("o_orderkey")
+    ran = F.when((F.col("o_orderstatus") == "F") & (n % 7 == 0), F.array(F.lit("SUCCESS"), F.lit("FAILURE"))).when(F.col("o_orderstatus") == "P", F.array(F.lit("QUEUED"), F.lit("SUCCESS"))).otherwise(F.array(F.lit("SUCCESS")))
+    rows = o.select(
+        n.alias("number"), F.when(F.col("o_orderpriority").like("5%"), "dev").otherwise("main").alias("base"), ran.alias("conclusions"),
+        F.when(n % 11 == 0, "CHANGES_REQUESTED").when(n % 3 == 0, "APPROVED").alias("review"), (n % 13 == 0).alias("draft"), (F.floor("o_totalprice") % 30).alias("age_days"),
+    ).withColumn("checks", pulls.checks("conclusions")).fillna("NONE", ["review"])
+    return rows.withColumn("status", pulls.status()).groupBy("status").agg(F.count("*").alias("n"), F.sum("age_days").alias("days"))
+
+
+_FILES = "SELECT o_orderkey AS number, 'part/' || p_name AS path FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderkey <= 2000"
+
+
+@graph_query(f"SELECT number, CAST(count(DISTINCT community) AS BIGINT) AS communities, count(DISTINCT id) AS nodes FROM ({_FILES}) f JOIN nodes ON source_file = 'shared/' || path GROUP BY 1")
+def pull_impact(g: Graph) -> DataFrame:
+    used = g.edges.where("relation = 'uses'").join(g.nodes.where("kind = 'struct'").select(F.col("id").alias("dst"), F.expr("substring(source_file, 8)").alias("path")), "dst")
+    files = used.select(F.expr("cast(substring(src, 7) as bigint)").alias("number"), "path").where("number <= 2000")
+    return pulls.impact(files, g)
+
+
+@table_query("""SELECT bin, count(*) AS n, round(avg(c), 9) AS mean_confidence, round(avg(h), 9) AS hit_rate FROM (
+SELECT least(1.0, n_chars / 8000.0) AS c, CAST(quality AS DOUBLE) AS h, CAST(least(floor(least(1.0, n_chars / 8000.0) * 10), 9) AS INTEGER) AS bin FROM documents JOIN labels USING (doc_id)) GROUP BY 1""")
+def reliability_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = metrics.reliability(_label_samples(spark, sf_dir))
+    return r.select("bin", "n", F.round("mean_confidence", 9).alias("mean_confidence"), F.round("hit_rate", 9).alias("hit_rate"))
+
+
+def _label_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, l = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")  # noqa: E741
+    return d.join(l, "doc_id").select(F.least(F.lit(1.0), F.col("n_chars") / 8000.0).alias("confidence"), (F.col("quality") == 1).alias("hit"))
+
+
+@table_query("SELECT round(avg(pow(least(1.0, n_chars / 8000.0) - quality, 2)), 9) AS brier FROM documents JOIN labels USING (doc_id)")
+def brier_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.brier(_label_samples(spark, sf_dir)).select(F.round("brier", 9).alias("brier"))
+
+
+@table_query("""WITH p AS (SELECT DISTINCT lang, doc_id FROM documents JOIN labels USING (doc_id) WHERE n_chars > 1000), r AS (SELECT DISTINCT lang, doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1),
+j AS (SELECT coalesce(p.lang, r.lang) AS lang, count(p.doc_id) AS n_predicted, count(r.doc_id) AS n_relevant, count(*) FILTER (p.doc_id IS NOT NULL AND r.doc_id IS NOT NULL) AS hits FROM p FULL JOIN r ON p.lang = r.lang AND p.doc_id = r.doc_id GROUP BY 1)
+SELECT *, CAST(CASE WHEN n_predicted > 0 THEN floor((hits * 200 + n_predicted) / (n_predicted * 2)) ELSE 0 END AS INTEGER) AS precision, CAST(CASE WHEN n_relevant > 0 THEN floor((hits * 200 + n_relevant) / (n_relevant * 2)) ELSE 0 END AS INTEGER) AS recall,
+CAST(CASE WHEN n_predicted + n_relevant > 0 THEN floor((2 * hits * 200 + n_predicted + n_relevant) / ((n_predicted + n_relevant) * 2)) ELSE 0 END AS INTEGER) AS f1 FROM j""")
+def label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
+    return metrics.set_scores(d.where("n_chars > 1000"), d.where("quality = 1"), ["doc_id"], ["lang"])
