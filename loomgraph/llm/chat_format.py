@@ -48,7 +48,8 @@ def branches(messages: DataFrame, tree: str, node: str, parent: str, score: str
     own = F.coalesce(F.col(score).cast("double"), F.lit(0.0)) if score else F.lit(0.0)
     base = messages.select(F.col(tree).alias("tree"), F.col(node).alias("node"), F.col(parent).alias("up"), own.alias("score"))
     base = work.save(base.where("node is not null").groupBy("tree", "node").agg(F.min("up").alias("up"), F.min("score").alias("score")), "replies")
-    known = base.select(F.col("tree").alias("t"), F.col("node").alias("n"))
+    # All these tables grow with the messages: joined by sort-merge, never broadcast.
+    known = base.select(F.col("tree").alias("t"), F.col("node").alias("n")).hint("merge")
     found = base.join(known, base.tree.eqNullSafe(known.t) & (base.up == known.n), "left")
     level = work.save(found.select("tree", "node", F.col("n").alias("up"), F.lit(1).cast("long").alias("depth"), "score"), "up")
     levels, open_before = [level], None
@@ -57,7 +58,7 @@ def branches(messages: DataFrame, tree: str, node: str, parent: str, score: str
         if not still or still == open_before:
             break
         open_before = still
-        above = level.select(*(F.col(c).alias(f"{c}2") for c in level.columns))
+        above = level.select(*(F.col(c).alias(f"{c}2") for c in level.columns)).hint("merge")
         joined = level.join(above, level.tree.eqNullSafe(above.tree2) & (level.up == above.node2), "left")
         level = work.save(
             joined.select(
@@ -66,7 +67,7 @@ def branches(messages: DataFrame, tree: str, node: str, parent: str, score: str
             "up",
         )
         levels.append(level)
-    parents = levels[0].where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
+    parents = levels[0].where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct().hint("merge")
     done = level.where("up is null")
     leaves = done.join(parents, done.tree.eqNullSafe(parents.t) & (done.node == parents.n), "left_anti")
     return leaves.select("tree", F.col("node").alias("leaf"), "depth", "score"), levels
@@ -99,27 +100,27 @@ def format_conversations(
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
     ranked = ends.withColumn("branch_rank", rank)
     chosen = work.save(ranked if best is None else ranked.where(F.col("branch_rank") <= best), "branches")
-    path = chosen.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("above"))
+    about = ["tree", "leaf", "branch_rank", "branch_score"]
+    path = chosen.select("tree", "leaf", "branch_rank", F.col("score").alias("branch_score"), F.col("leaf").alias("node"), F.lit(0).cast("long").alias("above"))
     for k in reversed(range(len(levels))):
-        step = levels[k].where("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+        step = levels[k].where("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up").hint("merge")
         higher = path.join(step, path.tree.eqNullSafe(step.t) & (path.node == step.n))
-        path = path.unionByName(higher.select("tree", "leaf", F.col("up").alias("node"), (F.col("above") + (1 << k)).alias("above")))
+        path = work.save(path.unionByName(higher.select(*about, F.col("up").alias("node"), (F.col("above") + (1 << k)).alias("above"))), "path")
     said = messages.select(F.col(tree).alias("t"), F.col(node).alias("n"), F.struct(text_or_empty(role).alias("role"), text_or_empty(text).alias("text")).alias("said"))
-    said = said.groupBy("t", "n").agg(F.min("said").alias("said"))
+    said = said.groupBy("t", "n").agg(F.min("said").alias("said")).hint("merge")
     turns = path.join(said, path.tree.eqNullSafe(said.t) & (path.node == said.n))
     head = F.concat(F.lit(START), escape_role(F.col("said.role")), F.lit("\n"))
-    turns = turns.select("tree", "leaf", "above", head.alias("head"), escape(F.col("said.text")).alias("body"), (F.col("said.role") == learn).alias("loss"))
+    turns = turns.select(*about, "above", head.alias("head"), escape(F.col("said.text")).alias("body"), (F.col("said.role") == learn).alias("loss"))
     order = Window.partitionBy("tree", "leaf").orderBy(F.desc("above"))
     size = F.length("head") + F.length("body") + len(END)
     turns = turns.withColumn("stop", F.sum(size.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - len(END))
     turns = turns.withColumn("start", F.col("stop") - F.length("body"))
     whole = turns.groupBy("tree", "leaf").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("above")).alias("at"), F.concat("head", "body", F.lit(END)).alias("block"), "start", "stop", "loss"))).alias("turns")
+        F.first("branch_rank").alias("branch_rank"),
+        F.first("branch_score").alias("branch_score"),
+        F.array_sort(F.collect_list(F.struct((-F.col("above")).alias("at"), F.concat("head", "body", F.lit(END)).alias("block"), "start", "stop", "loss"))).alias("turns"),
     )
-    out = whole.join(
-        chosen.select(F.col("tree").alias("t"), F.col("leaf").alias("l"), "branch_rank", F.col("score").alias("branch_score")), F.col("tree").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("l"))
-    )
-    return out.select(
+    return whole.select(
         F.col("tree").alias(tree),
         "leaf",
         "branch_rank",
