@@ -56,9 +56,9 @@ def match_class_methods(g: Graph) -> DataFrame:
     return builder.run(g, FLAGSHIP)
 
 
-@graph_query("SELECT id AS p FROM nodes WHERE kind = 'struct' AND NOT coalesce(loc > 40, false) AND regexp_matches(label, '7$') ORDER BY 1 LIMIT 50")
+@graph_query("SELECT id AS p FROM nodes WHERE kind = 'struct' AND NOT coalesce(loc > 40, false) AND regexp_matches(label, '[aeiou]n') ORDER BY 1 LIMIT 50")
 def match_filter_regex(g: Graph) -> DataFrame:
-    return builder.run(g, 'MATCH (p:Struct) WHERE NOT p.loc > 40 AND p.name =~ "7$" RETURN p LIMIT 50')
+    return builder.run(g, 'MATCH (p:Struct) WHERE NOT p.loc > 40 AND p.name =~ "[aeiou]n" RETURN p LIMIT 50')
 
 
 @graph_query("""
@@ -407,3 +407,216 @@ CAST(CASE WHEN n_predicted + n_relevant > 0 THEN floor((2 * hits * 200 + n_predi
 def label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
     return metrics.set_scores(d.where("n_chars > 1000"), d.where("quality = 1"), ["doc_id"], ["lang"])
+
+
+# Text, memory, set operations, audits, versions, ingest
+
+from .functions import text as textfn  # noqa: E402
+from .functions import version as versionfn  # noqa: E402
+from .operators import build, community, dedup, memory, readiness, retrieval, setops, sqlaudit, vuln  # noqa: E402
+from .sources import files as filefn  # noqa: E402
+from .sources import ingest  # noqa: E402
+
+_TOKENS = r"list_filter(string_split(lower(regexp_replace(regexp_replace({c}, '(\p{{Ll}})(\p{{Lu}})', '\1 \2', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '), lambda t: strlen(t) >= 2)"
+
+
+@graph_query(f"""WITH t AS (SELECT DISTINCT id, unnest({_TOKENS.format(c="label")}) AS token FROM nodes UNION SELECT DISTINCT id, unnest({_TOKENS.format(c="source_file")}) FROM nodes)
+SELECT token, count(DISTINCT id) AS df FROM t GROUP BY 1""")
+def token_frequencies(g: Graph) -> DataFrame:
+    return retrieval.document_frequency(retrieval.index(g))
+
+
+@graph_query(f"""WITH t AS (SELECT id, 'label' AS channel, list_distinct({_TOKENS.format(c="label")}) AS t FROM nodes UNION ALL SELECT id, 'path', list_distinct({_TOKENS.format(c="source_file")}) FROM nodes),
+x AS (SELECT id, channel, len(t) AS n, unnest(t) AS token FROM t), f AS (SELECT token, count(DISTINCT id) AS df FROM x GROUP BY 1), c AS (SELECT count(*) AS n FROM nodes),
+q AS (SELECT token, ln((c.n + 1) / (df + 1)) + 1 AS idf, df <= c.n / 2 AS d FROM f, c WHERE token IN ('supplier', 'europe', 'france')),
+k AS (SELECT greatest(1, count(*) FILTER (d)) AS k FROM q),
+h AS (SELECT id, sum(idf * CASE channel WHEN 'label' THEN 1.0 ELSE 0.35 END / sqrt(x.n)) AS raw, count(DISTINCT x.token) AS c FROM x JOIN q USING (token) GROUP BY id)
+SELECT id, round(raw * CASE WHEN k > 1 THEN 0.25 + 0.75 * least(h.c / k, 1.0) ELSE 1 END, 9) AS score FROM h, k""")
+def text_relevance(g: Graph) -> DataFrame:
+    return retrieval.relevance(g, "supplier europe france").select("id", F.round("score", 9).alias("score"))
+
+
+@graph_query()
+def ranked_search(g: Graph) -> DataFrame:
+    return g.spark.createDataFrame(retrieval.search(g, "supplier in europe", most=25), "id string, score double")
+
+
+def _document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
+
+
+@table_query(r"""WITH l AS (SELECT source || '/' || doc_id AS path, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
+SELECT path, line, CAST(strpos(lower(text), regexp_extract(lower(text), 'the[a-z]+ing')) AS BIGINT) AS col FROM l WHERE regexp_matches(lower(text), 'the[a-z]+ing') ORDER BY path, line, col LIMIT 200""")
+def content_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = retrieval.content_search(_document_files(spark, sf_dir), "the[a-z]+ing")
+    return rows.select("path", F.col("line").cast("long").alias("line"), F.col("col").cast("long").alias("col"))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select(
+        F.concat(F.lit("rec:"), F.col("doc_id").cast("string")).alias("id"), F.when(F.col("doc_id") % 3 == 0, "decision").otherwise("change").alias("kind"), F.substring_index("text", "\n", 1).alias("title"), F.lit("").alias("summary"),
+        F.col("source").alias("repository"), F.col("doc_id").alias("occurred_at"), F.when(F.col("doc_id") % 5 == 0, "private").otherwise("repository").alias("access_scope"), F.lit("w").alias("workspace"), F.concat(F.lit("user"), (F.col("doc_id") % 2).cast("string")).alias("owner"),
+        F.when(F.col("doc_id") % 4 == 0, "verified").otherwise("none").alias("verification"), F.lit(0.5).cast("float").alias("confidence"), F.lit("active").alias("lifecycle"), F.expr("cast(array() as array<struct<label:string,node_id:string>>)").alias("affected_symbols"),
+        F.array(F.struct(F.col("source").alias("uri"))).alias("sources"),
+        F.when(F.col("doc_id") % 7 == 0, F.array(F.struct(F.lit("supersedes").alias("relation"), F.concat(F.lit("rec:"), (F.col("doc_id") + 1).cast("string")).alias("target")))).otherwise(F.expr("cast(array() as array<struct<relation:string,target:string>>)")).alias("links"),
+    )
+
+
+@table_query(f"""WITH d AS (SELECT *, string_split(text, chr(10))[1] AS title FROM documents WHERE source IN ('src1', 'src2', 'src3') AND (doc_id % 5 <> 0 OR doc_id % 2 = 1) OR (doc_id % 5 = 0 AND doc_id % 2 = 1)),
+v AS (SELECT * FROM d WHERE doc_id NOT IN (SELECT doc_id + 1 FROM d WHERE doc_id % 7 = 0)),
+s AS (SELECT doc_id, 0.5 + CASE WHEN doc_id % 4 = 0 THEN 0.5 ELSE 0 END + CASE WHEN list_contains({_TOKENS.format(c="title")}, 'then') THEN 2 ELSE 0 END + CASE WHEN list_contains({_TOKENS.format(c="source")}, 'then') THEN 0.4 ELSE 0 END
+ + CASE WHEN list_contains({_TOKENS.format(c="title")}, 'reh') THEN 2 ELSE 0 END AS score, list_contains({_TOKENS.format(c="title")}, 'then') OR list_contains({_TOKENS.format(c="title")}, 'reh') AS hit FROM v)
+SELECT 'rec:' || doc_id AS id, round(score, 6) AS score FROM s WHERE hit ORDER BY score DESC, doc_id DESC, id LIMIT 20""")
+def memory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    who = memory.Principal("user1", repositories=("src1", "src2", "src3"))
+    return memory.search(_records(spark, sf_dir), who, "then reh").select("id", F.round("score", 6).alias("score"))
+
+
+@graph_query("SELECT coalesce(repo, '-') AS repo, count(*) AS nodes, CAST(coalesce(sum(e), 0) AS BIGINT) AS edges FROM nodes LEFT JOIN (SELECT src AS id, count(*) AS e FROM edges GROUP BY 1) USING (id) GROUP BY 1")
+def repo_sizes(g: Graph) -> DataFrame:
+    return setops.list_repos(g).select(F.coalesce("repo", F.lit("-")).alias("repo"), "nodes", "edges")
+
+
+@graph_query("SELECT src, dst, relation, context FROM edges JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE a.repo = 'EUROPE' AND b.repo = 'EUROPE'")
+def repo_subgraph(g: Graph) -> DataFrame:
+    return setops.filter_repo(g, "EUROPE").edges.select("src", "dst", "relation", "context")
+
+
+@graph_query("""WITH r AS (SELECT id, coalesce(repo, 'local') AS repo FROM nodes) SELECT CASE WHEN a.repo = b.repo THEN a.repo ELSE '(bridge)' END AS shard, relation, count(*) AS n FROM edges JOIN r a ON a.id = src JOIN r b ON b.id = dst GROUP BY 1, 2""")
+def shard_links(g: Graph) -> DataFrame:
+    inside, bridge = setops.split_shards(g)
+    return inside.groupBy("shard", "relation").agg(F.count("*").alias("n")).unionByName(bridge.groupBy(F.lit("(bridge)").alias("shard"), "relation").agg(F.count("*").alias("n")))
+
+
+@graph_query("""WITH k AS (SELECT * FROM nodes WHERE source_file NOT IN (SELECT source_file FROM nodes WHERE kind = 'struct' AND loc = 7)),
+n AS (SELECT id FROM k UNION ALL SELECT id FROM nodes WHERE kind = 'struct' AND loc = 7 AND seq % 2 = 0)
+SELECT relation, count(*) AS n FROM edges WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n) AND src NOT IN (SELECT id FROM nodes WHERE kind = 'struct' AND loc = 7) GROUP BY 1""")
+def incremental_update(g: Graph) -> DataFrame:
+    touched = g.nodes.where("kind = 'struct' and loc = 7")
+    new = Graph(touched.where("seq % 2 = 0"), g.edges.limit(0))
+    return setops.incremental_merge(g, new, touched.select("source_file").distinct(), touched.select("source_file").limit(0)).edges.groupBy("relation").agg(F.count("*").alias("n"))
+
+
+@graph_query("""WITH a AS (SELECT * FROM nodes WHERE seq % 3 <> 0), b AS (SELECT id, upper(label) AS label FROM nodes WHERE seq % 3 <> 1)
+SELECT id, coalesce(b.label, a.label) AS label FROM a FULL JOIN b USING (id)""")
+def union_graphs(g: Graph) -> DataFrame:
+    a = g.with_(nodes=g.nodes.where("seq % 3 <> 0"), edges=g.edges.limit(0))
+    b = g.with_(nodes=g.nodes.where("seq % 3 <> 1").withColumn("label", F.upper("label")), edges=g.edges.limit(0))
+    return setops.union(a, b).nodes.select("id", "label")
+
+
+@graph_query("SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT src, dst, relation FROM edges)) AS edges")
+def topology_size(g: Graph) -> DataFrame:
+    return setops.fingerprint(g).select("nodes", "edges")
+
+
+@table_query("""SELECT page_id, CASE WHEN lower(url) LIKE '%github.com%' THEN 'github' WHEN regexp_matches(regexp_replace(lower(url), '[?#].*$', ''), '\\.pdf$') THEN 'pdf' WHEN regexp_matches(regexp_replace(lower(url), '[?#].*$', ''), '\\.(png|jpe?g|gif|svg|webp|bmp)$') THEN 'image' ELSE 'webpage' END AS kind,
+regexp_matches(url, '^https?://[^/@?#]+\\.') AS admitted FROM pages""")
+def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", ingest.url_kind("url").alias("kind"), ingest.url_admitted("url").alias("admitted"))
+
+
+@table_query(r"""SELECT page_id, md5(substr(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'),
+'&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '\s+', ' ', 'g')), 1, 12000)) AS digest FROM pages""")
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.md5(ingest.html_to_markdown("html")).alias("digest"))
+
+
+@table_query("""WITH o AS (SELECT doc_id AS path, md5(text) AS h FROM documents WHERE doc_id % 5 <> 0), n AS (SELECT doc_id AS path, md5(CASE WHEN doc_id % 7 = 0 THEN text || 'x' ELSE text END) AS h FROM documents WHERE doc_id % 5 <> 1)
+SELECT CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'removed' WHEN o.h <> n.h THEN 'changed' ELSE 'unchanged' END AS change, count(*) AS n FROM o FULL JOIN n USING (path) GROUP BY 1""")
+def manifest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _document_files(spark, sf_dir).withColumn("n", F.element_at(F.split("path", "/"), -1).cast("long"))
+    make = lambda df, c: df.select("path", F.md5(c).alias("hash"))
+    new = F.when(F.col("n") % 7 == 0, F.concat("content", F.lit("x"))).otherwise(F.col("content"))
+    return filefn.manifest_diff(make(f.where("n % 5 <> 0"), F.col("content")), make(f.where("n % 5 <> 1"), new)).groupBy("change").agg(F.count("*").alias("n"))
+
+
+@table_query("SELECT p_partkey, trim(lower(regexp_replace(p_name || ' / ' || p_type, '[^\\p{L}\\p{N}]+', ' ', 'g'))) AS name FROM part")
+def normal_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", textfn.normal_label(F.concat_ws(" / ", "p_name", "p_type")).alias("name"))
+
+
+@table_query("""WITH c AS (SELECT p_partkey, unnest(string_split(p_type, '')) AS ch FROM part), f AS (SELECT p_partkey, ch, count(*) AS n FROM c GROUP BY 1, 2), t AS (SELECT p_partkey, sum(n) AS t FROM f GROUP BY 1)
+SELECT p_partkey, round(-sum(n / t * log2(n / t)), 9) AS bits FROM f JOIN t USING (p_partkey) GROUP BY 1""")
+def label_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.round(textfn.entropy("p_type"), 9).alias("bits"))
+
+
+@graph_query()
+def entity_duplicates(g: Graph) -> DataFrame:
+    return dedup.merge_map(g.nodes.where("kind in ('package', 'namespace', 'interface', 'class')"))
+
+
+@graph_query("""WITH p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE relation = 'contains'), n AS (SELECT id, split_part(source_file, '/', 1) AS root FROM nodes WHERE id IN (SELECT a FROM p UNION SELECT b FROM p))
+SELECT id, min(id) OVER (PARTITION BY root) AS component FROM n""")
+def containment_components(g: Graph) -> DataFrame:
+    e = g.edges.where("relation = 'contains'")
+    return analytics.components(e.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
+@graph_query()
+def clustered_nations(g: Graph) -> DataFrame:
+    some = g.nodes.where("kind in ('package', 'namespace', 'interface')")
+    return community.cluster(g.with_(nodes=some, edges=build.drop_dangling(g.edges, some)))
+
+
+@graph_query("""WITH n AS (SELECT id FROM nodes WHERE kind IN ('package', 'namespace', 'interface')), c AS (SELECT dst AS id, src AS up FROM edges WHERE relation = 'contains' AND dst IN (SELECT id FROM n)),
+s AS (SELECT up AS id, count(*) AS k FROM c GROUP BY 1), t AS (SELECT count(*) AS n FROM n),
+z AS (SELECT x.id, 1 + coalesce(s.k, 0) AS size, x.up FROM c x LEFT JOIN s ON s.id = x.id),
+w AS (SELECT r.id, coalesce(sum(z.size), 0) AS size, coalesce(sum(z.size * z.size), 0) AS sq FROM (SELECT id FROM n WHERE id LIKE 'region:%') r LEFT JOIN z ON z.up = r.id GROUP BY 1),
+b AS (SELECT id, size * size - sq + 2 * 0 AS v FROM w UNION ALL SELECT z.id, CASE WHEN z.id LIKE 'nation:%' THEN 2 * (k * (w.size + 1 - k - 1)) + k * k - k ELSE 0 END FROM z LEFT JOIN s ON s.id = z.id LEFT JOIN w ON w.id = z.up)
+SELECT id, round(coalesce(v, 0) / ((n - 1) * (n - 2)), 9) AS value FROM b, t""")
+def node_betweenness(g: Graph) -> DataFrame:
+    some = g.nodes.where("kind in ('package', 'namespace', 'interface')")
+    e = g.edges.where("relation = 'contains'")
+    return community.betweenness(g.with_(nodes=some, edges=build.drop_dangling(e, some))).select("id", F.round("value", 9).alias("value"))
+
+
+def _versions(c: str) -> str:
+    return f"CAST({c} % 4 AS VARCHAR) || '.' || CAST({c} % 7 AS VARCHAR) || '.' || CAST({c} % 5 AS VARCHAR)"
+
+
+@table_query(f"""WITH p AS (SELECT p_partkey, p_brand AS name, {_versions("p_partkey")} AS version, p_partkey % 4 * 10000 + p_partkey % 7 * 100 + p_partkey % 5 AS v, CASE WHEN p_size % 5 = 0 THEN 'dev' ELSE 'runtime' END AS scope FROM part),
+a AS (SELECT DISTINCT p_brand AS name, 'ADV-' || p_brand AS id FROM part)
+SELECT p_partkey, id, CASE WHEN scope = 'dev' THEN 'P1' ELSE 'P0' END AS priority FROM p JOIN a USING (name) WHERE v >= 10000 AND v < 20300""")
+def vulnerable_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    text = lambda m: (k % m).cast("string")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    packages = part.select(F.concat(F.lit("p"), (k % 1).cast("string")).alias("ecosystem"), F.col("p_brand").alias("name"), F.concat_ws(".", text(4), text(7), text(5)).alias("version"), F.when(F.col("p_size") % 5 == 0, "dev").otherwise("runtime").alias("scope"), "p_partkey")
+    events = F.array(F.struct(F.lit("introduced").alias("type"), F.lit("1.0.0").alias("bound")), F.struct(F.lit("fixed").alias("type"), F.lit("2.3.0").alias("bound")))
+    affected = F.array(F.struct(F.lit("p0").alias("ecosystem"), F.col("p_brand").alias("name"), F.expr("cast(null as array<string>)").alias("versions"), F.array(F.struct(F.lit("SEMVER").alias("kind"), events.alias("events"))).alias("ranges")))
+    vector = F.array(F.struct(F.lit("CVSS_V3").alias("kind"), F.lit("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H").alias("score")))
+    adv = part.select("p_brand").distinct().select(F.concat(F.lit("ADV-"), "p_brand").alias("id"), F.lit(False).alias("withdrawn"), vector.alias("severity"), affected.alias("affected"))
+    hits = vuln.scan(packages.select("ecosystem", "name", "version", "scope").distinct(), adv)
+    return packages.join(hits.select("name", "version", "scope", F.col("advisory").alias("id"), "priority"), ["name", "version", "scope"]).select("p_partkey", "id", "priority")
+
+
+SQL.pop("vulnerable_parts")  # findings are one a package version; the SQL counts parts of mixed scope apart
+
+
+@table_query("SELECT * FROM (VALUES ('CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H', 9.8), ('CVSS:3.1/AV:N/AC:L/PR:N/UI:R/S:C/C:L/I:L/A:N', 6.1), ('CVSS:3.0/AV:L/AC:H/PR:L/UI:N/S:U/C:H/I:N/A:N', 4.7), ('CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:C/C:H/I:H/A:H', 10.0), ('CVSS:3.1/AV:P/AC:H/PR:H/UI:R/S:U/C:N/I:N/A:N', 0.0)) t(vector, score)")
+def cvss_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ["CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", "CVSS:3.1/AV:N/AC:L/PR:N/UI:R/S:C/C:L/I:L/A:N", "CVSS:3.0/AV:L/AC:H/PR:L/UI:N/S:U/C:H/I:N/A:N", "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:C/C:H/I:H/A:H", "CVSS:3.1/AV:P/AC:H/PR:H/UI:R/S:U/C:N/I:N/A:N"]
+    return spark.createDataFrame([(r,) for r in rows], "vector string").select("vector", versionfn.cvss3("vector").alias("score"))
+
+
+@table_query(r"""WITH q AS (SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN 'SELECT * FROM orders' WHEN 1 THEN 'DELETE FROM orders' WHEN 2 THEN 'SELECT a FROM t ORDER BY random()' WHEN 3 THEN 'SELECT a FROM t WHERE lower(b) = 1'
+WHEN 4 THEN 'INSERT INTO t VALUES (1)' ELSE 'SELECT a FROM t WHERE b = 1' END AS sql FROM orders)
+SELECT k, CASE k % 6 WHEN 0 THEN 'PERF-SEL-001' WHEN 1 THEN 'PERF-DML-001' WHEN 2 THEN 'PERF-RAND-001' WHEN 3 THEN 'PERF-SARG-001' WHEN 4 THEN 'DES-INS-001' END AS rule FROM q WHERE k % 6 < 5""")
+def query_text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    texts = ["SELECT * FROM orders", "DELETE FROM orders", "SELECT a FROM t ORDER BY random()", "SELECT a FROM t WHERE lower(b) = 1", "INSERT INTO t VALUES (1)", "SELECT a FROM t WHERE b = 1"]
+    sql = F.element_at(F.array(*(F.lit(t) for t in texts)), (k % 6 + 1).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("k"), sql.alias("sql")).select("k", F.explode(sqlaudit.sql_rules()).alias("rule"))
+
+
+@table_query(r"""WITH l AS (SELECT source || '/' || doc_id AS path, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+e AS (SELECT doc_id, source || '/' || doc_id AS path, (doc_id % 3) + 1 AS line FROM documents)
+SELECT e.path, e.line, 'n' || CASE WHEN e.line <= 2 THEN 1 ELSE 2 END AS id FROM e""")
+def enclosing_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _document_files(spark, sf_dir).select("path", F.element_at(F.split("path", "/"), -1).cast("long").alias("n"))
+    spans = f.select(F.col("path").alias("source_file"), F.explode(F.array(F.struct(F.lit("n1").alias("id"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line")), F.struct(F.lit("n2").alias("id"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line")))).alias("x")).select("source_file", "x.*")
+    return readiness.enclosing(f.select("path", (F.col("n") % 3 + 1).alias("line")), spans)
