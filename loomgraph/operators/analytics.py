@@ -138,7 +138,7 @@ def strong_components(pairs: DataFrame, most: int = 50) -> DataFrame:
     p = cut(pairs.select("a", "b").distinct(), "pairs")
     loops = p.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("component"))
     rest = p.where("a <> b")
-    found = [loops]
+    found = []
     for _ in range(most):
         if is_empty(rest):
             break
@@ -163,10 +163,12 @@ def strong_components(pairs: DataFrame, most: int = 50) -> DataFrame:
         open_ = both.where("f <> k")
         rest = rest.join(open_.select(F.col("id").alias("a"), F.col("f").alias("fa"), F.col("k").alias("ka")), "a").join(open_.select(F.col("id").alias("b"), F.col("f").alias("fb"), F.col("k").alias("kb")), "b")
         rest = cut(rest.where("fa = fb and ka = kb").select("a", "b"), "rest")
-    out = reduce(DataFrame.unionAll, found).distinct()
-    large = out.groupBy("component").agg(F.count("*").alias("n"))
-    kept = out.join(large.where("n > 1"), "component", "left_semi").unionAll(out.join(large.where("n = 1"), "component", "left_semi").join(loops, "id", "left_semi").select("component", "id"))
-    return kept.select("id", "component").distinct()
+    if not found:
+        return loops
+    out = reduce(DataFrame.unionAll, found)
+    large = out.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
+    groups = out.join(large, "component", "left_semi").select("id", "component")
+    return groups.unionAll(loops.join(groups, "id", "left_anti").select("id", "component"))
 
 
 def graph_diff(old: Graph, new: Graph) -> DataFrame:

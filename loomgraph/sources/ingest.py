@@ -191,8 +191,12 @@ def mask_comments(text: str | Column) -> Column:
 def detect_links(files: DataFrame) -> DataFrame:
     """(src, dst, relation) of boundaries between languages and services in sources (path, content)."""
     masked = files.select("path", mask_comments("content").alias("t"))
-    found = F.flatten(F.array(*(F.transform(F.regexp_extract_all("t", F.lit(p), F.lit(1)), lambda m, r=r, prefix=prefix: F.struct(F.lit(r).alias("relation"), F.concat(F.lit(prefix), m).alias("dst"))) for r, p, prefix in DETECTORS)))
-    return masked.select("path", F.explode(found).alias("x")).select(F.concat(F.lit("file:"), "path").alias("src"), "x.dst", "x.relation").distinct()
+
+    def found(relation: str, pattern: str, prefix: str) -> Column:
+        return F.transform(F.regexp_extract_all("t", F.lit(pattern), F.lit(1)), lambda m: F.struct(F.lit(relation).alias("relation"), F.concat(F.lit(prefix), m).alias("dst")))
+
+    each = F.explode(F.flatten(F.array(*(found(*d) for d in DETECTORS))))
+    return masked.select("path", each.alias("x")).select(F.concat(F.lit("file:"), "path").alias("src"), "x.dst", "x.relation").distinct()
 
 
 def headings(files: DataFrame) -> DataFrame:
