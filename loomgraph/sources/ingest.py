@@ -203,3 +203,50 @@ def headings(files: DataFrame) -> DataFrame:
     """(path, line, level, title) of Markdown headings outside fenced code."""
     lines = files.select("path", F.posexplode(F.split(F.regexp_replace("content", r"(?s)```.*?```", ""), "\n")).alias("n", "text"))
     return lines.where(F.col("text").rlike(r"^#{1,6}\s+\S")).select("path", (F.col("n") + 1).alias("line"), F.length(F.regexp_extract("text", r"^(#+)", 1)).alias("level"), F.trim(F.regexp_replace("text", r"^#+\s+|\s+#*\s*$", "")).alias("title"))
+
+
+# More detectors of boundaries: remote calls, sockets, queues, processes, events.  Fixed values.
+SERVICES = (
+    ("calls_service", r"\b(\w+)(?:Stub|ServiceClient|_pb2_grpc\.\w+Stub)\s*\(", "grpc:"),
+    ("handled_by", r"\badd_(\w+)Servicer_to_server\s*\(|\bRegister(\w+)Server\s*\(", "grpc:"),
+    ("calls_service", r"\bnew\s+WebSocket\s*\(\s*[\"'](wss?://[^\"']+)[\"']", "socket:"),
+    ("handled_by", r"@(?:sock|socketio|ws)\.(?:on|route)\s*\(\s*[\"']([^\"']+)[\"']", "socket:"),
+    ("calls_service", r"\bsend_task\s*\(\s*[\"']([^\"']+)[\"']|\bbasic_publish\s*\([^)]*routing_key\s*=\s*[\"']([^\"']+)[\"']", "queue:"),
+    ("handled_by", r"@(?:app|celery)\.task\s*\(\s*name\s*=\s*[\"']([^\"']+)[\"']|\bbasic_consume\s*\([^)]*queue\s*=\s*[\"']([^\"']+)[\"']", "queue:"),
+    ("calls_service", r"\bipcRenderer\.(?:invoke|send)\s*\(\s*[\"']([^\"']+)[\"']", "ipc:"),
+    ("handled_by", r"\bipcMain\.(?:handle|on)\s*\(\s*[\"']([^\"']+)[\"']", "ipc:"),
+    ("binds_native", r"\[DllImport\s*\(\s*\"([^\"]+)\"|#\[pymodule\]\s*(?:pub\s+)?fn\s+(\w+)|\bNODE_MODULE\s*\(\s*(\w+)", "native:"),
+    ("calls_proc", r"(?i)\b(?:exec(?:ute)?|call)\s+([a-z_][\w.]*)\s*\(", "procedure:"),
+)
+
+
+def detect_services(files: DataFrame) -> DataFrame:
+    """(src, dst, relation): a pattern may name its target in any of its groups."""
+    masked = files.select("path", mask_comments("content").alias("t"))
+    out = None
+    for relation, pattern, prefix in SERVICES:
+        groups = re.compile(pattern).groups
+        names = F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all("t", F.lit(pattern), F.lit(g + 1)) for g in range(groups)))))
+        part = masked.select("path", F.explode(names).alias("m")).where("m <> ''").select(F.concat(F.lit("file:"), "path").alias("src"), F.concat(F.lit(prefix), "m").alias("dst"), F.lit(relation).alias("relation"))
+        out = part if out is None else out.unionAll(part)
+    return out.distinct()
+
+
+def dynamic_sites(files: DataFrame) -> DataFrame:
+    """(path, line, kind, key): reflection, dynamic imports and evaluation; key is null where no literal names the target."""
+    pattern = r"\b(getattr|setattr|importlib\.import_module|__import__|require|import|eval|exec|Class\.forName|Activator\.CreateInstance)\s*\("
+    lines = files.select("path", F.posexplode(F.split(mask_comments("content"), "\n")).alias("n", "text"))
+    hit = lines.where(F.col("text").rlike(pattern))
+    key = F.regexp_extract("text", r"\(\s*(?:\w+\s*,\s*)?[\"']([^\"']+)[\"']", 1)
+    return hit.select("path", (F.col("n") + 1).alias("line"), F.regexp_extract("text", pattern, 1).alias("kind"), F.nullif(key, F.lit("")).alias("key"))
+
+
+def cargo_workspace(text: str) -> list[tuple[str, str]]:
+    """(package, dependency) of a manifest; workspace-inherited ones too."""
+    import tomllib
+
+    doc = tomllib.loads(text)
+    name = doc.get("package", {}).get("name")
+    if name is None:
+        return []
+    return [(name, v.get("package", k) if isinstance(v, dict) else k) for group in ("dependencies", "dev-dependencies", "build-dependencies") for k, v in sorted(doc.get(group, {}).items())]
