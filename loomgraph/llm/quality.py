@@ -41,8 +41,8 @@ def features(text: str) -> list[Column]:
     n = F.length(t)
 
     def share(chars: str) -> Column:
-        lost = n - F.length(F.translate(t, chars, ""))
-        return F.when(n > 0, F.floor(lost * 1000 / n)).otherwise(0)
+        found = F.regexp_count(t, F.lit(f"[{chars}]"))
+        return F.when(n > 0, F.floor(found * 1000 / n)).otherwise(0)
 
     words = F.split(t, " ")
     return [
