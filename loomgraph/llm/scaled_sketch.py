@@ -18,7 +18,7 @@ SHINGLE = 5
 #: Shingle hashes below this share of the hash range are kept.
 FRACTION = 0.25
 #: Rows in a cell of neighbouring ids, and ranges of ids that are cut into cells by themselves.
-CELL_ROWS = 3000
+CELL_ROWS = 1000
 RANGES = 32
 
 
