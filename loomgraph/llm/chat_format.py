@@ -52,23 +52,23 @@ def branches(messages: DataFrame, tree: str, node: str, parent: str, score: str
     known = base.select(F.col("tree").alias("t"), F.col("node").alias("n")).hint("merge")
     found = base.join(known, base.tree.eqNullSafe(known.t) & (base.up == known.n), "left")
     level = work.save(found.select("tree", "node", F.col("n").alias("up"), F.lit(1).cast("long").alias("depth"), "score"), "up")
-    levels, open_before = [level], None
+    done, waiting = level.where("up is null"), level.where("up is not null")
+    levels, before = [], None
     while True:
-        still = level.where("up is not null").count()
-        if not still or still == open_before:
+        # Only messages that have not reached a root go another round.
+        still = waiting.count()
+        if not still or still == before:
             break
-        open_before = still
-        above = level.select(*(F.col(c).alias(f"{c}2") for c in level.columns)).hint("merge")
-        joined = level.join(above, level.tree.eqNullSafe(above.tree2) & (level.up == above.node2), "left")
-        level = work.save(
-            joined.select(
-                "tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score")
-            ),
-            "up",
-        )
-        levels.append(level)
-    parents = levels[0].where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct().hint("merge")
-    done = level.where("up is null")
+        before = still
+        levels.append(waiting)
+        every = done.unionByName(waiting)
+        above = every.select(*(F.col(c).alias(f"{c}2") for c in every.columns)).hint("merge")
+        joined = waiting.join(above, waiting.tree.eqNullSafe(above.tree2) & (waiting.up == above.node2))
+        level = work.save(joined.select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("score") + F.col("score2")).alias("score")), "up")
+        done, waiting = done.unionByName(level.where("up is null")), level.where("up is not null")
+    if not levels:
+        levels = [waiting]
+    parents = levels[0].select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct().hint("merge")
     leaves = done.join(parents, done.tree.eqNullSafe(parents.t) & (done.node == parents.n), "left_anti")
     return leaves.select("tree", F.col("node").alias("leaf"), "depth", "score"), levels
 
