@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..graph import Graph
+from ..graph import Graph, cut
 from .build import rewire
 from .primitives import bare_name, language
 
@@ -50,8 +50,8 @@ def resolve_calls(g: Graph, calls: DataFrame, imports: DataFrame, types: DataFra
     module), sourced (shell source); types: id, name of type nodes.  Steps: sourced files, members of the receiver's
     type, namespace imports, named imports, the only symbol of that name in the family of languages.
     """
-    d = definitions(g)
-    c = calls.withColumn("family", family("file"))
+    d = cut(definitions(g), "definitions")
+    c = cut(calls.withColumn("family", family("file")), "calls")
     by_file = imports.select("file", F.col("target_file"), F.col("name").alias("imported"), F.coalesce("sourced", F.lit(False)).alias("sourced"))
     own = d.select("id", "name", F.col("file").alias("target_file"), "kind")
     via = lambda rows, cond: rows.join(by_file.where(cond), "file").join(own, ["target_file", "name"])
@@ -66,7 +66,7 @@ def resolve_calls(g: Graph, calls: DataFrame, imports: DataFrame, types: DataFra
     found: list[DataFrame] = []
     left = c
     for step, find, confidence, score in passes:
-        hit = _lone(find(left), step, confidence, score)
+        hit = cut(_lone(find(left), step, confidence, score), "resolved")
         found.append(hit)
         left = left.join(hit.select("call"), "call", "left_anti")
     return reduce(DataFrame.unionAll, found)
