@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, byte_batches, connected_components, is_empty, text_or_empty, unused_name
@@ -82,6 +82,10 @@ def edit_similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     a, b = a[: len(a) - lo], b[: len(b) - lo]
     if max(len(a), len(b)) <= most:
         return True
+    # Word by word is one way to edit, so its cost bounds the distance from above.
+    left, right = a.split(" "), b.split(" ")
+    if len(left) == len(right) and sum(max(len(x), len(y)) for x, y in zip(left, right) if x != y) <= most:
+        return True
     return edit_distance(a, b) <= most
 
 
@@ -321,11 +325,15 @@ def dedup_lines(
     key, lost = unused_name(docs, "line_key"), unused_name(docs, "lines_gone")
     keyed = docs.withColumn(key, F.xxhash64(id_col, text_col))
     joined = keyed.join(gone.select(F.col("dkey").alias(key), F.col("gone").alias(lost)).hint("shuffle_hash"), key, "left")
-    parts = F.split(F.col(text_col), "\n")
-    numbers = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(lost))
-    rest = F.array_join(F.transform(numbers, lambda i: F.get(parts, i)), "\n")
+
+    def left_of(parts: Column) -> Column:
+        numbers = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(lost))
+        return F.array_join(F.transform(numbers, lambda i: F.get(parts, i)), "\n")
+
+    # The outer transform binds the lines once; inside a lambda they would be split again for each line.
+    rest = F.get(F.transform(F.array(F.split(F.col(text_col), "\n")), left_of), 0)
     text = F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(rest)
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("long")
+    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.regexp_count(F.col(text_col), F.lit("\n")) + 1).cast("long")
     n_dropped = F.coalesce(F.size(F.col(lost)), F.lit(0)).cast("long")
     others = [F.col(c) if c != text_col else text.alias(text_col) for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return joined.select(*others, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
