@@ -38,9 +38,9 @@ CLOSES_P = BLOCK - {"body", "head", "html", "caption", "legend", "option", "optg
 SAME = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "option": ("select",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 FURNITURE = frozenset(
-    "ad ads adsense adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer "
+    "ad adbanner adbox ads adsense adslot adunit advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookiebar cookies disclaimer discussion disqus footer "
     "gdpr login menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup popover promo promos promoted promotion recommended related replies "
-    "respond search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription toolbar widget widgets".split()
+    "respond responses search share sharing sidebar sidemenu sidenav signup skip social sponsor sponsored sponsors submenu subnav subscribe subscription toolbar topmenu topnav widget widgets".split()
 )
 #: Furniture only outside an article.
 OUTSIDE = frozenset("alert header masthead side topbar".split())
