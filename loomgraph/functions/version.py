@@ -113,3 +113,30 @@ def cvss3(vector: str | Column) -> Column:
 
 def band(score: Column) -> Column:
     return F.when(score.isNull(), "unknown").when(score >= 9, "critical").when(score >= 7, "high").when(score >= 4, "medium").when(score > 0, "low").otherwise("none")
+
+
+def satisfies(version: str, requirement: str) -> bool | None:
+    """Whether a version meets a requirement: comma-joined terms with =, >, >=, <, <=, ^, ~, * or none (caret); None if it cannot be read."""
+    mine = parse(version)
+    if mine is None:
+        return None
+    for term in (t.strip() for t in requirement.split(",")):
+        m = re.fullmatch(r"(\^|~|>=|<=|>|<|=)?\s*(.+)", term)
+        if term in ("", "*"):
+            continue
+        text = re.sub(r"\.[*xX]", "", m[2])
+        bound = parse(text)
+        if bound is None:
+            return None
+        given = text.lstrip("v").split("-")[0].count(".") + 1
+        op = m[1] or ("~" if text != m[2] else "^")
+        ok = {">=": mine >= bound, "<=": mine <= bound, ">": mine > bound, "<": mine < bound, "=": mine == bound}.get(op)
+        if ok is None:
+            if op == "~":
+                fixed = max(1, min(given, 2))
+            else:
+                fixed = next((i + 1 for i, n in enumerate(bound[:given][:3]) if n), given)
+            ok = mine >= bound and mine[:fixed] == bound[:fixed]
+        if not ok:
+            return False
+    return True

@@ -95,3 +95,36 @@ def commit_records(commits: DataFrame) -> DataFrame:
         stable_id(F.col("repository"), F.concat(F.lit("git:"), F.col("commit"))).alias("id"), F.lit("change").alias("kind"), F.substring_index("message", "\n", 1).alias("title"),
         F.col("message").alias("summary"), "repository", F.col("time").alias("occurred_at"), F.transform("files", lambda f: F.struct(F.lit("modified").alias("kind"), f.alias("new_path"))).alias("path_changes"),
     )
+
+
+def export_bundle(records: DataFrame, p: Principal, path: str) -> str:
+    """Writes the records that a principal may see as one JSON file set; returns the digest of their ids and contents."""
+    some = records.where(F.coalesce(can_access(p), F.lit(False)))
+    some.write.mode("overwrite").json(path)
+    return bundle_digest(some)
+
+
+def bundle_digest(records: DataFrame) -> str:
+    """Does not depend on the order of rows."""
+    row = records.select(F.xxhash64(F.to_json(F.struct(*sorted(records.columns)))).alias("h")).agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.bit_xor("h").alias("x")).first()
+    import hashlib
+
+    return hashlib.sha256(f"{row.n}|{row.s}|{row.x}".encode()).hexdigest()
+
+
+def import_bundle(store: DataFrame, path: str, digest: str) -> DataFrame:
+    """The store with a bundle's new records; a bundle of another digest is refused, and importing twice changes nothing."""
+    rows = store.sparkSession.read.schema(store.schema).json(path)
+    if bundle_digest(rows) != digest:
+        raise ValueError("the bundle does not have the digest that was given")
+    return insert(store, rows)
+
+
+def documents(files: DataFrame, repository: str) -> DataFrame:
+    """Records of decisions, procedures and conventions from Markdown files (path, content, time)."""
+    kind = F.when(F.col("path").rlike(r"(?i)(^|/)(adr|decisions?)/"), "decision").when(F.col("path").rlike(r"(?i)(runbook|procedure|how-?to)"), "procedure").otherwise("convention")
+    title = F.coalesce(F.nullif(F.regexp_extract("content", r"(?m)^#\s+(.+?)\s*$", 1), F.lit("")), F.element_at(F.split("path", "/"), -1))
+    return files.select(
+        stable_id(F.lit(repository), F.concat(F.lit("doc:"), F.col("path"))).alias("id"), kind.alias("kind"), title.alias("title"), F.substring(F.trim(F.regexp_replace("content", r"(?m)^#.*$", "")), 1, 2000).alias("summary"),
+        F.lit(repository).alias("repository"), F.col("time").alias("occurred_at"),
+    )

@@ -170,3 +170,55 @@ def explain_signal(plan: str) -> tuple[bool, float | None, int | None]:
 
     m = re.search(r"cost=(\d+(?:\.\d+)?)\.\.(\d+(?:\.\d+)?) rows=(\d+)", plan)
     return "Seq Scan" in plan, float(m[2]) if m else None, int(m[3]) if m else None
+
+
+def parses(sql: str, spark) -> bool:
+    """Whether a text of at most 2000 bytes parses once placeholders are values; the session's own parser decides."""
+    import re
+
+    text = re.sub(r"%\(\w+\)s|%s|\$\d+|:\w+|\?|@\w+|\{\w*\}", "1", sql).strip().rstrip(";")
+    if not text or len(sql.encode()) > 2000:
+        return False
+    try:
+        spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+        return True
+    except Exception:  # the parser's errors have no common type here
+        return False
+
+
+def advise(g: Graph, sql: str) -> DataFrame:
+    """(rule_id, detail) for one query: its text's rules, unknown tables, tenant tables without row security, filters without an index."""
+    spark = g.spark
+    one = spark.createDataFrame([(sql,)], "sql string")
+    rules = one.select(F.explode(sql_rules()).alias("rule_id"), F.lit("query text").alias("detail"))
+    named = F.regexp_extract_all("sql", F.lit(r"(?i)\b(?:from|join|into|update)\s+([a-z_][\w.]*)"), F.lit(1))
+    used = one.select(F.explode(F.array_distinct(F.transform(named, lambda t: F.lower(F.element_at(F.split(t, r"\."), -1))))).alias("name"))
+    tables = _of(g, "table").select("id", F.lower(F.element_at(F.split("label", r"\."), -1)).alias("name"), flag("rls_enabled").alias("rls"))
+    unknown = used.join(tables, "name", "left_anti").select(F.lit("ADV-TABLE-404").alias("rule_id"), F.col("name").alias("detail"))
+    mine = used.join(tables, "name")
+    tenant = mine.where("not rls").join(columns_of(g).where(F.col("name").isin(*TENANT)).select(F.col("table").alias("id")), "id", "left_semi").select(F.lit("SEC-RLS-001").alias("rule_id"), F.col("name").alias("detail"))
+    where = F.regexp_extract("sql", r"(?is)\bwhere\b(.*)", 1)
+    cols = one.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(where, F.lit(r"(?i)\b(\w+)\s*(?:=|<|>|in\b|like\b)"), F.lit(1)), lambda c: F.lower(c)))).alias("col"))
+    have = columns_of(g).select(F.col("table").alias("id"), F.col("name").alias("col")).join(mine.select("id"), "id", "left_semi").join(cols, "col")
+    plain = have.join(indexed_columns(g).select(F.col("table").alias("id"), F.col("name").alias("col")), ["id", "col"], "left_anti").select(F.lit("PERF-IDX-001").alias("rule_id"), F.col("col").alias("detail"))
+    return rules.unionAll(unknown).unionAll(tenant).unionAll(plain).distinct().orderBy("rule_id", "detail")
+
+
+def audit_with_plans(g: Graph, plan, least: str = "info") -> DataFrame:
+    """The audit, and a finding for each SELECT whose plan (a callable from SQL to an EXPLAIN text) scans in sequence.
+
+    Plans are asked for on the driver, one a distinct query text; at most a thousand of them.
+    """
+    base = audit(g, least)
+    sql = F.get_json_object("extra", "$.sql")
+    texts = [r.sql for r in g.edges.where("relation = 'queries'").select(sql.alias("sql")).where("lower(ltrim(sql)) like 'select%'").distinct().orderBy("sql").limit(1000).collect()]
+    slow = [t for t in texts if explain_signal(plan(t))[0]]
+    if not slow:
+        return base
+    rows = g.edges.where(sql.isin(slow)).select("src", "dst", sql.alias("sql"))
+    return base.unionAll(
+        rows.select(
+            F.lit("PERF-PLAN-001").alias("rule_id"), F.lit("medium").alias("severity"), F.lit("performance").alias("category"), F.lit("the plan scans a table in sequence").alias("text"),
+            F.array("src", "dst").alias("node_ids"), F.lit(None).cast("string").alias("location"), F.col("sql").alias("snippet"), F.lit(1.0).alias("confidence"),
+        )
+    )

@@ -106,3 +106,35 @@ def refresh_ledger(ledger: DataFrame, findings: DataFrame) -> DataFrame:
 def closed_gates(optional: DataFrame, enabled: DataFrame) -> DataFrame:
     """Optional dependencies (package, feature) that no enabled feature turns on."""
     return optional.join(enabled, ["package", "feature"], "left_anti").orderBy("package", "feature")
+
+
+def dependency_check(spark, ecosystem: str, name: str, version: str, advisories: DataFrame, rules: DataFrame, today: str) -> tuple[str, str | None]:
+    """('blocked' | 'constrained' | 'allowed', least version): a deny rule first, then affected versions, whose floor is the highest of the lowest fixes and pins."""
+    from ..functions.version import compare
+
+    one = spark.createDataFrame([(ecosystem, name, version, "runtime")], "ecosystem string, name string, version string, scope string")
+    mine = rules.where((F.col("package") == name) & ((F.col("action") != "exception") | (F.col("expires") >= today))).orderBy("ord").collect()
+    if any(r.action == "deny" for r in mine):
+        return "blocked", None
+    hits = scan(one, advisories)
+    floors = [r.fix for r in fixes(hits).collect()] + [r.version for r in mine if r.action == "pin"]
+    floor = None
+    for f in floors:
+        if floor is None or (compare(f, floor) or 0) > 0:
+            floor = f
+    if not hits.limit(1).take(1):
+        return ("constrained", floor) if floor and compare(version, floor) == -1 else ("allowed", floor)
+    return ("constrained", floor) if floor else ("blocked", None)
+
+
+def usage(g, packages: DataFrame) -> DataFrame:
+    """(name, sites, functions): external stubs of a package (label `package` or `package/member`) that located sources reach."""
+    stubs = g.nodes.where("coalesce(source_file, '') = ''").select(F.col("id").alias("dst"), F.split_part("label", F.lit("/"), F.lit(1)).alias("name"), F.split_part("label", F.lit("/"), F.lit(2)).alias("member"))
+    located = g.nodes.where("source_file <> ''").select(F.col("id").alias("src"))
+    e = g.edges.select("src", "dst").join(located, "src", "left_semi").join(stubs, "dst").join(packages.select("name").distinct(), "name", "left_semi")
+    return e.groupBy("name").agg(F.count_distinct("src").alias("sites"), F.array_sort(F.collect_set(F.nullif("member", F.lit("")))).alias("functions"))
+
+
+def remediation_scope(findings: DataFrame, sites: DataFrame) -> DataFrame:
+    """(advisory, files, symbols): what a fix touches.  sites: name, file, symbol."""
+    return findings.join(sites, "name").groupBy("advisory").agg(F.count_distinct("file").alias("files"), F.count_distinct("symbol").alias("symbols"))
