@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import CAPITALS, EDGES, STRONGEST, SYMBOLS, WEAKEST
+from .quality import CAPITALS, EDGES, LEAST, STRONGEST, SYMBOLS, WEAKEST
 from .source_mixing import BUDGET, EXPONENTS, SEED, STEPS, SWEEPS
 
 OP2 = r"""
@@ -32,18 +32,19 @@ OP9 = f"""
 WITH d AS (SELECT doc_id, source AS host, lang AS path, coalesce(text, '') AS t FROM documents),
 s AS (SELECT doc_id, host, path, {_SHARE.format(chars=SYMBOLS)} AS a, {_SHARE.format(chars=CAPITALS)} AS b,
         CAST(floor(len(list_distinct(string_split(t, ' '))) * 20 / len(string_split(t, ' '))) AS BIGINT) AS f3,
-        least(CAST(floor(length(t) / len(string_split(t, ' '))) AS BIGINT), 15) AS f4 FROM d),
-f AS (SELECT s.doc_id, host, path, {_BIN.format(v="a")} AS f1, {_BIN.format(v="b")} AS f2, f3, f4, good FROM s
+        least(CAST(floor(length(t) / len(string_split(t, ' '))) AS BIGINT), 15) AS f4,
+        CAST(floor(len(list_filter(list_zip(string_split(t, ' '), string_split(t, ' ')[2:]), lambda z: z[1] = z[2])) * 1000 / len(string_split(t, ' '))) AS BIGINT) AS e FROM d),
+f AS (SELECT s.doc_id, host, path, {_BIN.format(v="a")} AS f1, {_BIN.format(v="b")} AS f2, f3, f4, {_BIN.format(v="e")} AS f5, good FROM s
       LEFT JOIN (SELECT doc_id, max(quality) AS good FROM labels WHERE quality IN (0, 1) GROUP BY doc_id) l ON l.doc_id = s.doc_id),
 c AS (SELECT f, bin, sum(good) AS g, count(*) - sum(good) AS x FROM (
-        SELECT 1 AS f, f1 AS bin, good FROM f UNION ALL SELECT 2, f2, good FROM f UNION ALL SELECT 3, f3, good FROM f UNION ALL SELECT 4, f4, good FROM f)
+        SELECT 1 AS f, f1 AS bin, good FROM f UNION ALL SELECT 2, f2, good FROM f UNION ALL SELECT 3, f3, good FROM f UNION ALL SELECT 4, f4, good FROM f UNION ALL SELECT 5, f5, good FROM f)
       WHERE good IS NOT NULL GROUP BY f, bin),
 n AS (SELECT f, sum(g) AS good, sum(x) AS bad, count(*) AS bins FROM c GROUP BY f),
 w AS (SELECT c.f, c.bin, ln((g + 1) / (good + bins)) - ln((x + 1) / (bad + bins)) AS w FROM c JOIN n USING (f)),
 p AS (SELECT (good + 1) / (good + bad + 2) AS share FROM n WHERE f = 1),
-e AS (SELECT f.*, coalesce(w1.w, 0) + coalesce(w2.w, 0) + coalesce(w3.w, 0) + coalesce(w4.w, 0) AS evidence FROM f
+e AS (SELECT f.*, coalesce(w1.w, 0) + coalesce(w2.w, 0) + coalesce(w3.w, 0) + coalesce(w4.w, 0) + coalesce(w5.w, 0) AS evidence FROM f
       LEFT JOIN w w1 ON w1.f = 1 AND w1.bin = f1 LEFT JOIN w w2 ON w2.f = 2 AND w2.bin = f2
-      LEFT JOIN w w3 ON w3.f = 3 AND w3.bin = f3 LEFT JOIN w w4 ON w4.f = 4 AND w4.bin = f4),
+      LEFT JOIN w w3 ON w3.f = 3 AND w3.bin = f3 LEFT JOIN w w4 ON w4.f = 4 AND w4.bin = f4 LEFT JOIN w w5 ON w5.f = 5 AND w5.bin = f5),
 m AS (SELECT e.*, coalesce(good * 1000, CAST(round(1 / (1 + exp(-(ln(share / (1 - share)) + evidence))) * 1000) AS BIGINT)) AS mass FROM e, p),
 pa AS (SELECT host, path, sum(mass) AS m, count(*) AS n FROM m GROUP BY host, path),
 ho AS (SELECT host, sum(m) AS hm, sum(n) AS hn FROM pa GROUP BY host),
@@ -54,7 +55,7 @@ hp AS (SELECT host, (hm / 1000 + k * mean) / (hn + k) AS hprior FROM ho, st),
 pp AS (SELECT pa.host, path, (m / 1000 + k * hprior) / (n + k) AS prior FROM pa JOIN hp ON pa.host IS NOT DISTINCT FROM hp.host, st),
 r AS (SELECT m.doc_id, m.host, m.path, evidence, prior, 1 / (1 + exp(-(ln(prior / (1 - prior)) + evidence))) AS probability
       FROM m JOIN pp ON pp.host IS NOT DISTINCT FROM m.host AND pp.path IS NOT DISTINCT FROM m.path)
-SELECT doc_id, host, path, round(evidence, 6) AS evidence, round(prior, 6) AS prior, round(probability, 6) AS probability, probability >= 0.5 AS keep FROM r
+SELECT doc_id, host, path, round(evidence, 6) AS evidence, round(prior, 6) AS prior, round(probability, 6) AS probability, probability >= {LEAST} AS keep FROM r
 """
 
 

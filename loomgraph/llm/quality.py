@@ -24,9 +24,11 @@ from .common import Workspace, text_or_empty
 EDGES = [1, 5, 20, 50, 100, 200, 400]
 SYMBOLS = "*$#%&|!"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-FEATURES = ("f_symbols", "f_capitals", "f_distinct", "f_word")
+FEATURES = ("f_symbols", "f_capitals", "f_distinct", "f_word", "f_repeat")
 #: Most distinct bins a feature has; the bound on what reaches the driver is len(FEATURES) times this.
 MOST_BINS = 32
+#: Documents below this probability are rejected: throwing a good one away counts nine times as much as keeping a bad one.
+LEAST = 0.1
 #: Limits of the estimated strength of a prior, in documents.
 WEAKEST, STRONGEST = 1.0, 10_000.0
 
@@ -36,7 +38,7 @@ def _binned(value: Column) -> Column:
 
 
 def features(text: str) -> list[Column]:
-    """Four small integers of a whole text (null: empty): symbols and capitals per thousand characters, share of distinct words, length of words."""
+    """Five small integers of a whole text (null: empty): symbols and capitals per thousand characters, share of distinct words, length of words, words per thousand that repeat the one before."""
     t = text_or_empty(text)
     n = F.length(t)
 
@@ -50,6 +52,7 @@ def features(text: str) -> list[Column]:
         _binned(share(CAPITALS)).alias(FEATURES[1]),
         F.floor(F.size(F.array_distinct(words)) * 20 / F.size(words)).cast("int").alias(FEATURES[2]),
         F.least(F.floor(n / F.size(words)), F.lit(15)).cast("int").alias(FEATURES[3]),
+        _binned(F.floor(F.size(F.filter(F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: a == b), lambda same: same)) * 1000 / F.size(words))).alias(FEATURES[4]),
     ]
 
 
@@ -136,7 +139,7 @@ def judged(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label: str = "quality") -> DataFrame:
-    """(id, host, path, evidence, prior, probability): a row a document; good if the probability is 0.5 or more.
+    """(id, host, path, evidence, prior, probability): a row a document; kept if the probability is LEAST or more.
 
     Null hosts and paths are groups of their own.  A document that several
     labels name counts as good if one says so.
@@ -146,7 +149,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return judged(model.marked, model).select("id", "host", "path", "evidence", "prior", "probability")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label: str = "quality", least: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label: str = "quality", least: float = LEAST) -> DataFrame:
     """The documents with a probability of ``least`` or more; columns unchanged, no shuffle of texts."""
     work = Workspace(docs.sparkSession, "quality")
     model = fit(mark(docs, id_col, text_col, host_col, path_col), labels, work, id_col, label)

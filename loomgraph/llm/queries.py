@@ -95,7 +95,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("evidence", 6).alias("evidence"),
         F.round("prior", 6).alias("prior"),
         F.round("probability", 6).alias("probability"),
-        (F.col("probability") >= 0.5).alias("keep"),
+        (F.col("probability") >= quality.LEAST).alias("keep"),
     )
 
 

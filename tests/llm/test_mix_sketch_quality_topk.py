@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from loomgraph.llm import queries
 from loomgraph.llm.common import Workspace
-from loomgraph.llm.quality import classify, keep_good
+from loomgraph.llm.quality import LEAST, classify, keep_good
 from loomgraph.llm.scaled_sketch import FRACTION, SHINGLE, containment, fingerprints_with_edits, merge, with_sketch
 from loomgraph.llm.source_mixing import mix, probabilities, rake, sample
 from loomgraph.llm.topk import BallTree, quantised, top_k, usable
@@ -135,8 +135,8 @@ def test_held_out_accuracy(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = classify(docs, labels.where("doc_id % 2 = 0"))
     held = got.join(labels.where("doc_id % 2 = 1"), got.id == labels.doc_id)
-    right, n = held.select(F.avg(((F.col("probability") >= 0.5) == (F.col("quality") == 1)).cast("int")), F.count("*")).first()
-    assert n > 100 and right > 0.97
+    right, n = held.select(F.avg(((F.col("probability") >= LEAST) == (F.col("quality") == 1)).cast("int")), F.count("*")).first()
+    assert n > 100 and right > 0.99
 
 
 def test_sparse_sites_shrink_to_the_global_share(spark):
