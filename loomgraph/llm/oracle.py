@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import CAPITALS, EDGES, LEAST, STRONGEST, SYMBOLS, WEAKEST
+from .quality import CAPITALS, EDGES, LEAST, PSEUDO, STRONGEST, SYMBOLS, WEAKEST
 from .source_mixing import BUDGET, EXPONENTS, SEED, STEPS, SWEEPS
 
 OP2 = r"""
@@ -40,7 +40,7 @@ c AS (SELECT f, bin, sum(good) AS g, count(*) - sum(good) AS x FROM (
         SELECT 1 AS f, f1 AS bin, good FROM f UNION ALL SELECT 2, f2, good FROM f UNION ALL SELECT 3, f3, good FROM f UNION ALL SELECT 4, f4, good FROM f UNION ALL SELECT 5, f5, good FROM f)
       WHERE good IS NOT NULL GROUP BY f, bin),
 n AS (SELECT f, sum(g) AS good, sum(x) AS bad, count(*) AS bins FROM c GROUP BY f),
-w AS (SELECT c.f, c.bin, ln((g + 1) / (good + bins)) - ln((x + 1) / (bad + bins)) AS w FROM c JOIN n USING (f)),
+w AS (SELECT c.f, c.bin, ln((g + {PSEUDO}) / (good + {PSEUDO} * bins)) - ln((x + {PSEUDO}) / (bad + {PSEUDO} * bins)) AS w FROM c JOIN n USING (f)),
 p AS (SELECT (good + 1) / (good + bad + 2) AS share FROM n WHERE f = 1),
 e AS (SELECT f.*, coalesce(w1.w, 0) + coalesce(w2.w, 0) + coalesce(w3.w, 0) + coalesce(w4.w, 0) + coalesce(w5.w, 0) AS evidence FROM f
       LEFT JOIN w w1 ON w1.f = 1 AND w1.bin = f1 LEFT JOIN w w2 ON w2.f = 2 AND w2.bin = f2

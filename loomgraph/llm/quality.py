@@ -29,6 +29,8 @@ FEATURES = ("f_symbols", "f_capitals", "f_distinct", "f_word", "f_repeat")
 MOST_BINS = 32
 #: Documents below this probability are rejected: throwing a good one away counts nine times as much as keeping a bad one.
 LEAST = 0.1
+#: Added to each count of a bin.
+PSEUDO = 0.25
 #: Limits of the estimated strength of a prior, in documents.
 WEAKEST, STRONGEST = 1.0, 10_000.0
 
@@ -94,7 +96,7 @@ def fit(marked: DataFrame, labels: DataFrame, work: Workspace, id_col: str = "do
     bad = sum(b for _, b in per[0].values())
     ready = good > 0 and bad > 0
     weights = {
-        f: {b: log((g + 1) / (good + len(per[i]))) - log((x + 1) / (bad + len(per[i]))) for b, (g, x) in per[i].items()} if ready else {} for i, f in enumerate(FEATURES)
+        f: {b: log((g + PSEUDO) / (good + PSEUDO * len(per[i]))) - log((x + PSEUDO) / (bad + PSEUDO * len(per[i]))) for b, (g, x) in per[i].items()} if ready else {} for i, f in enumerate(FEATURES)
     }
     share = (good + 1) / (good + bad + 2)
     model = Model(weights, share, joined)
