@@ -52,15 +52,21 @@ def read_json(spark: SparkSession, path: str, force: bool = False) -> Graph:
 def write_store(g: Graph, root: str) -> None:
     """Parquet by repo: nodes/repo=..., edges/repo=... for links inside a repo, bridge for links across."""
     inside, bridge = split_shards(g)
+    _write_schemas(g, root, "overwrite")
     g.nodes.withColumn("repo", F.coalesce("repo", F.lit("local"))).write.partitionBy("repo").mode("overwrite").parquet(f"{root}/nodes")
     inside.withColumnRenamed("shard", "repo").write.partitionBy("repo").mode("overwrite").parquet(f"{root}/edges")
     bridge.write.mode("overwrite").parquet(f"{root}/bridge")
 
 
+def _write_schemas(g: Graph, root: str, mode: str) -> None:
+    """Empty tables that keep the schemas, as a folder by repo without any rows has no file."""
+    for part, df in (("nodes", g.nodes), ("edges", g.edges)):
+        df.limit(0).coalesce(1).write.mode(mode).parquet(f"{root}/schemas/{part}")
+
+
 def read_store(spark: SparkSession, root: str, repo: str | None = None, bridge: bool = False) -> Graph:
     """All repos or one (only its folders are read), with or without the links across."""
-    schema = lambda name: spark.read.parquet(f"{root}/{name}").schema
-    n, e = (spark.read.schema(_texts(schema(p))).parquet(f"{root}/{p}") for p in ("nodes", "edges"))
+    n, e = (spark.read.schema(_by_repo(spark.read.parquet(f"{root}/schemas/{p}").schema)).parquet(f"{root}/{p}") for p in ("nodes", "edges"))
     if repo is not None:
         n, e = n.where(F.col("repo") == repo), e.where(F.col("repo") == repo)
     e = e.drop("repo")
@@ -69,15 +75,16 @@ def read_store(spark: SparkSession, root: str, repo: str | None = None, bridge:
     return Graph(n, e)
 
 
-def _texts(schema: T.StructType) -> T.StructType:
-    """Partition values stay strings, whatever they look like."""
-    return T.StructType([T.StructField(f.name, T.StringType()) if f.name == "repo" else f for f in schema])
+def _by_repo(schema: T.StructType) -> T.StructType:
+    """With the repo of the folder as a string, whatever it looks like."""
+    return T.StructType([f for f in schema if f.name != "repo"] + [T.StructField("repo", T.StringType())])
 
 
 def replace_repo(g: Graph, root: str, repo: str) -> None:
     """Rewrites the folders of one repo only."""
     one = g.nodes.where(F.coalesce("repo", F.lit("local")) == repo).drop("repo")
     inside, _ = split_shards(g)
+    _write_schemas(g, root, "ignore")
     one.write.mode("overwrite").parquet(f"{root}/nodes/repo={repo}")
     inside.where(F.col("shard") == repo).drop("shard").write.mode("overwrite").parquet(f"{root}/edges/repo={repo}")
 
