@@ -72,10 +72,11 @@ class BKTree:
             n = parent[n]
         return n
 
-    def add(self, value: int, check=None) -> list[tuple[int, int]]:
+    def add(self, value: int, check=None, same: int | None = None) -> list[tuple[int, int]]:
         """Insert a value; returns the links that joined two components, as positions.
 
-        ``check(i, j)`` may veto a link after the distance test.
+        ``check(i, j)`` may veto a link after the distance test.  ``same`` is the
+        position of a member that is known to lie in the value's component.
         """
         values, children, parent, uniform, radius = self.values, self.children, self.parent, self.uniform, self.radius
         new = len(values)
@@ -87,6 +88,8 @@ class BKTree:
             return []
         out: list[tuple[int, int]] = []
         mine = new
+        if same is not None:
+            mine = parent[new] = self.find(same)
         stack = [0]
         while stack:
             n = stack.pop()

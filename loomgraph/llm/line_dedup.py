@@ -29,6 +29,8 @@ SIMILARITY = 0.8
 SLICE = 1 << 20
 #: In array blocks a meeting costs about a thousandth of a row.
 MEETING = 0.05
+#: Lines that one task compares by their texts at once.
+GROUP = 256
 #: Blocks of up to so many rows are compared by shifting the whole array.
 SMALL = 64
 #: What normalising makes of each byte; bytes of non-ASCII characters stay.
@@ -246,21 +248,24 @@ def _near(radius: int):
 
 
 def _verified(radius: int, similarity: float):
-    """Within each group of SimHash neighbours (sorted): a spanning forest of the links that the texts confirm."""
+    """Links that the texts confirm, a spanning forest a group (g, chunk); rows come sorted, labels name known components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, tree = None, BKTree(radius)
         ids: list[int] = []
         texts: list[str] = []
+        known: dict[int, int] = {}
         for batch in batches:
             left, right = [], []
-            clean = normalise(batch.column(3))
-            for g, fp, i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), clean):
-                if g != group:
-                    group, tree, ids, texts = g, BKTree(radius), [], []
+            g, chunk, fp, h, _, label = (batch.column(c).to_pylist() for c in range(6))
+            for key, f, i, text, c in zip(zip(g, chunk), fp, h, normalise(batch.column(4)), label):
+                if key != group:
+                    group, tree, ids, texts, known = key, BKTree(radius), [], [], {}
                 ids.append(i)
                 texts.append(text)
-                for p, q in tree.add(fp & 0xFFFFFFFFFFFFFFFF, lambda p, q: edit_similar(texts[p], texts[q], similarity)):
+                same = None if c is None else known.setdefault(c, len(ids) - 1)
+                joined = tree.add(f & 0xFFFFFFFFFFFFFFFF, lambda p, q: edit_similar(texts[p], texts[q], similarity), same if same != len(ids) - 1 else None)
+                for p, q in joined:
                     left.append(ids[p])
                     right.append(ids[q])
             if left:
@@ -269,6 +274,61 @@ def _verified(radius: int, similarity: float):
     return run
 
 
+def confirmed_links(lined: DataFrame, work: Workspace, parts: int, radius: int, similarity: float) -> DataFrame:
+    """(a, b): links within groups of SimHash neighbours (g, fp, h1, text) that the texts confirm, enough to connect what is connected.
+
+    A task takes a chunk of at most about GROUP lines.  Small groups are one
+    chunk.  Of large ones, first each chunk is linked by itself, then one line
+    of each part that came of it, as long as that joins many; nearly all lines
+    of a large group hang together by then.  The lines outside the largest part visit every chunk of
+    their group, so no pair of parts goes unseen.
+    """
+
+    def links(rows: DataFrame, name: str) -> DataFrame:
+        dealt = rows.select("g", "chunk", "fp", "h1", "text", "c", "visits").repartition(parts, "g", "chunk").sortWithinPartitions("g", "chunk", "visits", "h1")
+        return work.save(dealt.drop("visits").mapInArrow(_verified(radius, similarity), "a long, b long"), name)
+
+    def parted(rows: DataFrame, per: DataFrame, salt: int) -> DataFrame:
+        """rows with their chunk; per: g and n, its number of rows."""
+        chunks = F.ceil(F.col("n") / GROUP)
+        return rows.join(per, "g").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("h1", F.lit(salt)), chunks)).drop("n")
+
+    none, home = F.lit(None).cast("long"), F.lit(0)
+    sizes = work.save(lined.groupBy("g").agg(F.count("*").alias("n")), "sizes")
+    rows = work.save(parted(lined, sizes, 0).withColumn("c", none).withColumn("visits", home), "rows")
+    found = links(rows, "links")
+    large = sizes.where(F.col("n") > GROUP).select("g")
+    if is_empty(large):
+        return found
+    rows = rows.join(large, "g", "left_semi").drop("c")
+
+    def labelled(found: DataFrame) -> DataFrame:
+        same = connected_components(found, work).withColumnRenamed("node", "h1")
+        return work.save(rows.join(same, "h1", "left").withColumn("c", F.coalesce("component", "h1")).drop("component"), "labelled")
+
+    marked = labelled(found)
+    salt, before = 1, None
+    while True:
+        heads = marked.where("h1 = c").select("g", "fp", "h1", "text")
+        per = work.save(heads.groupBy("g").agg(F.count("*").alias("n")), "per")
+        most = per.agg(F.max("n")).first()[0]
+        if before is not None and 2 * most > before:  # parts that do not join any more
+            break
+        more = links(parted(heads, per, salt).withColumn("c", none).withColumn("visits", home), "heads")
+        if is_empty(more):
+            break
+        found = found.unionByName(more)
+        marked = labelled(found)
+        if most <= GROUP:
+            break
+        salt, before = salt + 1, most
+    largest = marked.groupBy("g", "c").agg(F.count("*").alias("n")).groupBy("g").agg(F.max_by("c", F.struct("n", "c")).alias("most"))
+    outside = marked.join(largest, "g").where("c <> most")
+    guests = outside.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "fp", "h1", "text", "c", F.lit(1).alias("visits"))
+    stay = marked.join(outside.select("g").distinct(), "g", "left_semi").select("g", "chunk", "fp", "h1", "text", "c", "visits")
+    return found.unionByName(links(stay.unionByName(guests), "visits"))
+
+
 def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, radius: int, similarity: float) -> DataFrame:
     """(dkey, gone): the numbers of the lines to drop, for each document that loses any."""
     spark = docs.sparkSession
@@ -294,8 +354,7 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, r
         text = narrow.select("dkey", "text").join(per_doc.hint("shuffle_hash"), "dkey")
         split = text.select(F.split("text", "\n").alias("parts"), "wanted").select(F.explode("wanted").alias("w"), "parts")
         lined = split.select("w.g", "w.fp", "w.h1", F.get("parts", F.col("w.line")).alias("text")).dropDuplicates(["g", "h1"])
-        sorted_groups = lined.repartition(parts, "g").sortWithinPartitions("g", "h1")
-        links = work.save(sorted_groups.mapInArrow(_verified(radius, similarity), "a long, b long"), "links")
+        links = confirmed_links(work.save(lined, "texts"), work, parts, radius, similarity)
         if not is_empty(links):
             same = connected_components(links, work)
             linked = members.join(same, members.h1 == same.node).select("h1", "component", "first")
