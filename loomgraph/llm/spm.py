@@ -7,7 +7,6 @@ the characters up to the next one.  Equal units are worked out once a slice.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
