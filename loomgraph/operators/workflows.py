@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,6 +120,3 @@ def notes(g: Graph) -> DataFrame:
     name = F.concat(F.regexp_replace("id", r'[\\/:*?"<>|]', "_"), F.lit(".md"))
     return g.nodes.join(lines, "id", "left").select(name.alias("path"), F.concat(F.lit("# "), "label", F.lit("\n\n"), F.coalesce("body", F.lit("")), F.lit("\n")).alias("text"))
 
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
