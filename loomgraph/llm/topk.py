@@ -184,7 +184,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str,
     # Blocks by hash of the id: each about BLOCK queries, so the driver holds one block at a time.
     blocks = max(1, -(-n // BLOCK))
     asked = work.save(asked.withColumn("block", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int")).repartition(blocks, "block"), "queries")
-    found = None
+    path = f"{work.root}/found"
+    schema = "query_id long, rank int, vec_id long, score long"
+    spark.createDataFrame([], schema).write.parquet(path)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "i"))
     for b in range(blocks):
         rows = asked.where(F.col("block") == b).collect()
         for d in sorted({r.d for r in rows}):
@@ -194,9 +197,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str,
             floor = np.full(len(some), -np.inf)
             for r in seen:
                 floor[r.q] = r.s
-            part = shards.mapInArrow(_searched(packed, floor.tobytes(), k), "q long, i long, s long")
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "i"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), "rank", F.col("i").alias("vec_id"), F.col("s").alias("score"))
+            # A block meets all shards, so its rows are final; writing them keeps the plan as short for many blocks as for one.
+            part = shards.mapInArrow(_searched(packed, floor.tobytes(), k), "q long, i long, s long").withColumn("rank", rank).where(F.col("rank") <= k)
+            part.select(F.col("q").alias("query_id"), "rank", F.col("i").alias("vec_id"), F.col("s").alias("score")).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
