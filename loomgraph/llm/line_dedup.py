@@ -280,8 +280,9 @@ def confirmed_links(lined: DataFrame, work: Workspace, parts: int, radius: int,
     A task takes a chunk of at most about GROUP lines.  Small groups are one
     chunk.  Of large ones, first each chunk is linked by itself, then one line
     of each part that came of it, as long as that joins many; nearly all lines
-    of a large group hang together by then.  The lines outside the largest part visit every chunk of
-    their group, so no pair of parts goes unseen.
+    of a large group of copies hang together by then.  The lines outside the
+    largest part then meet all lines of their group that share a block of bits
+    with them, so no link goes unseen.
     """
 
     def links(rows: DataFrame, name: str) -> DataFrame:
@@ -324,9 +325,15 @@ def confirmed_links(lined: DataFrame, work: Workspace, parts: int, radius: int,
         salt, before = salt + 1, most
     largest = marked.groupBy("g", "c").agg(F.count("*").alias("n")).groupBy("g").agg(F.max_by("c", F.struct("n", "c")).alias("most"))
     outside = marked.join(largest, "g").where("c <> most")
-    guests = outside.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "fp", "h1", "text", "c", F.lit(1).alias("visits"))
-    stay = marked.join(outside.select("g").distinct(), "g", "left_semi").select("g", "chunk", "fp", "h1", "text", "c", "visits")
-    return found.unionByName(links(stay.unionByName(guests), "visits"))
+    # Neighbours share a block of bits; where many lines of a group share one, it is dealt in chunks and outsiders go to each.
+    tables = plan(1, radius, MEETING)
+    some = marked.join(outside.select("g").distinct(), "g", "left_semi").join(outside.select("h1", F.lit(1).alias("out")), "h1", "left")
+    keyed = some.select("g", F.explode(block_keys(F.col("fp"), tables)).alias("k"), "fp", "h1", "text", "c", F.coalesce("out", F.lit(0)).alias("visits"))
+    blocks = keyed.groupBy("g", "k").agg(F.ceil(F.count("*") / GROUP).alias("chunks"), F.max("visits").alias("met")).where("met = 1").drop("met")
+    keyed = keyed.join(blocks, ["g", "k"])
+    chunk = F.when(F.col("visits") == 1, F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("h1"), F.col("chunks"))))
+    dealt = keyed.select(F.xxhash64("g", "k").alias("g"), F.explode(chunk).alias("chunk"), "fp", "h1", "text", "c", "visits")
+    return found.unionByName(links(dealt, "visits"))
 
 
 def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, radius: int, similarity: float) -> DataFrame:
