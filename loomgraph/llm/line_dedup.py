@@ -1,4 +1,4 @@
-"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one line a group.
+"""Fuzzy line dedup: lines that share a MinHash of word shingles, SimHash, edit similarity, one line a group.
 
 A line is what stands between two line feeds.  Its normalised form is lower
 case with every run of ASCII characters other than letters and digits as one
@@ -7,6 +7,11 @@ too) are left alone.  Two different normalised lines are linked if their 64-bit
 word SimHashes differ in at most ``radius`` bits and their edit similarity,
 1 - distance / longer length, is at least ``similarity``.  Of each connected
 group only the first occurrence stays (smallest document id, then line number).
+
+The radius is so wide that it lost none of the links that brute force on the
+texts alone finds in the small tables.  No table of bit blocks serves such a
+radius, so lines meet at one of MEETINGS MinHashes of their word shingles;
+a second SimHash and the lengths keep chance meetings from being compared.
 """
 
 from __future__ import annotations
@@ -20,15 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, byte_batches, connected_components, is_empty, text_or_empty, unused_name
-from .hamming import BKTree, block_keys, plan
+from .hamming import BKTree
 
 MIN_WORDS = 5
-RADIUS = 3
+RADIUS = 16
 SIMILARITY = 0.8
+#: Words of a shingle, and MinHashes of a line's shingles, one of which two lines must share to be compared.
+SHINGLE = 3
+MEETINGS = 8
 #: Bytes of text that a worker turns into lines at once.
 SLICE = 1 << 20
-#: In array blocks a meeting costs about a thousandth of a row.
-MEETING = 0.05
 #: Blocks of up to so many rows are compared by shifting the whole array.
 SMALL = 64
 #: What normalising makes of each byte; bytes of non-ASCII characters stay.
@@ -143,14 +149,31 @@ def simhash(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return out
 
 
+def meetings(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """MEETINGS keys for each run of word hashes: MinHashes of its shingles of SHINGLE words (of all its words, if it has fewer)."""
+    ends = np.repeat(starts + sizes, sizes)
+    at = np.arange(len(words))
+    with np.errstate(over="ignore"):
+        shingles = words.copy()
+        for k in range(1, SHINGLE):
+            shingles = shingles * np.uint64(P) + np.where(at + k < ends, np.concatenate([words[k:], np.zeros(min(k, len(words)), np.uint64)]), np.uint64(0))
+    cut = (at + SHINGLE > ends) & (at > np.repeat(starts, sizes))
+    out = np.empty((len(starts), MEETINGS), np.int32)
+    for k in range(MEETINGS):
+        h = mix(shingles, 6 + k)
+        h[cut] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        out[:, k] = (np.minimum.reduceat(h, starts) >> np.uint64(8)).astype(np.uint32).view(np.int32)
+    return out
+
+
 def line_table(keys: pa.Array, ids: pa.Array, texts: pa.Array, min_words: int) -> pa.RecordBatch:
-    """A row for each line of min_words words or more (one at least): its document, number, 128-bit hash and SimHash."""
+    """A row for each line of min_words words or more (one at least): its document, number, 128-bit hash, SimHashes, length in characters and meeting keys."""
     low = pc.utf8_lower(texts)
     offsets = np.frombuffer(low.buffers()[1], np.int32)[low.offset : low.offset + len(low) + 1].astype(np.int64)
     data = (low.buffers()[2].slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes() if offsets[-1] > offsets[0] else b"").translate(TABLE)
     offsets = offsets - offsets[0]
     raw = np.frombuffer(data, np.uint8)
-    names = ["dkey", "id", "line", "h1", "h2", "fp"]
+    names = ["dkey", "id", "line", "h1", "h2", "fp", "fp2", "size", "meet"]
     blank = (raw == 32) | (raw == 10)
     before = np.concatenate([[True], blank[:-1]]) if len(raw) else blank
     before[offsets[:-1][offsets[:-1] < len(raw)]] = True
@@ -170,7 +193,7 @@ def line_table(keys: pa.Array, ids: pa.Array, texts: pa.Array, min_words: int) -
         take = np.flatnonzero(count >= min_words)
     if not len(take):
         none = pa.array([], pa.int64())
-        return pa.RecordBatch.from_arrays([keys.slice(0, 0), ids.slice(0, 0), none.cast(pa.int32()), none, none, none], names=names)
+        return pa.RecordBatch.from_arrays([keys.slice(0, 0), ids.slice(0, 0), none.cast(pa.int32()), none, none, none, none, none.cast(pa.int32()), pa.array([], pa.list_(pa.int32()))], names=names)
     words = rolled(raw[~blank].astype(np.uint64) + np.uint64(1), np.cumsum(sizes) - sizes, sizes)
     words = mix(words, 1)[np.repeat(count >= min_words, count)]
     kept = count[take]
@@ -178,10 +201,15 @@ def line_table(keys: pa.Array, ids: pa.Array, texts: pa.Array, min_words: int) -
     h1 = mix(rolled(words, first, kept), 2).view(np.int64)
     h2 = mix(rolled(mix(words, 3), first, kept), 4).view(np.int64)
     fp = simhash(words, first, kept).view(np.int64)
+    fp2 = simhash(mix(words, 5), first, kept).view(np.int64)
+    chars = np.concatenate([[0], np.cumsum(~blank & (raw & 0xC0 != 0x80))])
+    last = begin[take] + kept - 1
+    size = (chars[starts[last] + sizes[last]] - chars[starts[begin[take]]] + kept - 1).astype(np.int32)
+    meet = pa.ListArray.from_arrays(pa.array(np.arange(0, MEETINGS * len(take) + 1, MEETINGS, dtype=np.int32)), pa.array(meetings(words, first, kept).ravel()))
     of = doc[begin[take]]
     number = line[begin[take]] - np.searchsorted(feeds, offsets[:-1])[of]
     at = pa.array(of)
-    return pa.RecordBatch.from_arrays([keys.take(at), ids.take(at), pa.array(number.astype(np.int32)), pa.array(h1), pa.array(h2), pa.array(fp)], names=names)
+    return pa.RecordBatch.from_arrays([keys.take(at), ids.take(at), pa.array(number.astype(np.int32)), pa.array(h1), pa.array(h2), pa.array(fp), pa.array(fp2), pa.array(size), meet], names=names)
 
 
 def _lines(min_words: int):
@@ -195,52 +223,59 @@ def _lines(min_words: int):
     return run
 
 
-def near_rows(keys: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
-    """Whether each row (sorted by key) has another one of its key within the radius."""
-    near = np.zeros(len(keys), bool)
+def near(x: tuple[np.ndarray, ...], i, j, radius: int, similarity: float) -> np.ndarray:
+    """Whether rows i and j may be linked; x holds the rows' SimHashes, second SimHashes and lengths."""
+    fp, fp2, size = x
+    longer = np.maximum(size[i], size[j])
+    ok = np.abs(size[i] - size[j]) <= ((1.0 - similarity) * longer + 1e-9).astype(np.int64)
+    return ok & (np.bitwise_count(fp[i] ^ fp[j]) <= radius) & (np.bitwise_count(fp2[i] ^ fp2[j]) <= radius)
+
+
+def near_links(keys: np.ndarray, x: tuple[np.ndarray, ...], radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the rows (sorted) of each key: all of them in small blocks, a spanning forest in large ones."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(starts, len(keys)))
     large = sizes > SMALL
-    left = np.flatnonzero(np.repeat((sizes > 1) & ~large, sizes))
+    at = np.flatnonzero(np.repeat((sizes > 1) & ~large, sizes))
     for shift in range(1, SMALL):
-        left = left[left + shift < len(keys)]
-        left = left[keys[left] == keys[left + shift]]
-        if not len(left):
+        at = at[at + shift < len(keys)]
+        at = at[keys[at] == keys[at + shift]]
+        if not len(at):
             break
-        hit = left[np.bitwise_count(fps[left] ^ fps[left + shift]) <= radius]
-        near[hit] = near[hit + shift] = True
+        hit = at[near(x, at, at + shift, radius, similarity)]
+        left.append(hit)
+        right.append(hit + shift)
     for a, n in zip(starts[large].tolist(), sizes[large].tolist()):
-        x = fps[a : a + n]
-        step = max(1, (1 << 20) // n)
-        for at in range(0, n, step):
-            near[a + at : a + min(n, at + step)] = (np.bitwise_count(x[at : at + step, None] ^ x[None, :]) <= radius).sum(axis=1) > 1
-    return near
-
-
-def _near(radius: int):
-    """A spanning forest of the SimHash links of each block; a task holds 24 bytes a row of its share."""
+        block = tuple(c[a : a + n] for c in x)
+        root = np.arange(n)
+        for i in range(1, n):
+            hit = np.flatnonzero(near(block, slice(0, i), i, radius, similarity))
+            if not len(hit):
+                continue
+            roots, where = np.unique(root[hit], return_index=True)
+            left.append(a + hit[where])
+            right.append(np.full(len(where), a + i))
+            root[i] = roots[0]
+            if len(roots) > 1:
+                root[:i][np.isin(root[:i], roots)] = roots[0]
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _near(radius: int, similarity: float):
+    """The links of the lines that meet at a key; a task holds 32 bytes a row of its share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[np.asarray(b.column(c)) for c in range(3)] for b in batches if b.num_rows]
+        got = [[np.asarray(b.column(c)) for c in range(5)] for b in batches if b.num_rows]
         if not got:
             return
-        keys, fps, ids = (np.concatenate([g[c] for g in got]) for c in range(3))
+        keys, fp, fp2, size, ids = (np.concatenate([g[c] for g in got]) for c in range(5))
         del got
         order = np.argsort(keys, kind="stable")
-        keys, fps, ids = keys[order], fps[order].view(np.uint64), ids[order]
-        some = np.flatnonzero(near_rows(keys, fps, radius))
-        key, tree, members = None, BKTree(radius), []
-        left: list[int] = []
-        right: list[int] = []
-        for k, fp, i in zip(keys[some].tolist(), fps[some].tolist(), ids[some].tolist()):
-            if k != key:
-                key, tree, members = k, BKTree(radius), []
-            members.append(i)
-            for p, q in tree.add(fp):
-                left.append(members[p])
-                right.append(members[q])
+        keys, fp, fp2, size, ids = keys[order], fp[order].view(np.uint64), fp2[order].view(np.uint64), size[order].astype(np.int64), ids[order]
+        left, right = near_links(keys, (fp, fp2, size), radius, similarity)
         for at in range(0, len(left), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(left[at : at + (1 << 16)], pa.int64()), pa.array(right[at : at + (1 << 16)], pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[left[at : at + (1 << 16)]]), pa.array(ids[right[at : at + (1 << 16)]])], names=["a", "b"])
 
     return run
 
@@ -275,15 +310,14 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, r
     work = Workspace(spark, "lines")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     narrow = docs.select(F.xxhash64(id_col, text_col).alias("dkey"), F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    lines = work.save(narrow.mapInArrow(_lines(min_words), "dkey long, id long, line int, h1 long, h2 long, fp long"), "lines")
+    lines = work.save(narrow.mapInArrow(_lines(min_words), "dkey long, id long, line int, h1 long, h2 long, fp long, fp2 long, size int, meet array<int>"), "lines")
     order = F.struct(F.col("id").isNull().alias("last"), "id", "dkey", "line")
     # A line that occurs once and has no neighbour is settled here; copies meet as one row.
     distinct = work.save(
-        lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.first("fp").alias("fp")), "distinct"
+        lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("fp", "fp2", "size", "meet"))), "distinct"
     )
-    tables = plan(distinct.count(), radius, MEETING)
-    keyed = distinct.select(F.explode(block_keys(F.col("fp"), tables)).alias("k"), "fp", F.col("h1").alias("node"))
-    near = work.save(keyed.repartition(parts, "k").mapInArrow(_near(radius), "a long, b long"), "near")
+    keyed = distinct.select(F.explode(F.array_distinct("meet")).alias("k"), "fp", "fp2", "size", F.col("h1").alias("node"))
+    near = work.save(keyed.repartition(parts, "k").mapInArrow(_near(radius, similarity), "a long, b long"), "near")
     groups = distinct.select("h1", "h2", "first", F.lit(None).cast("long").alias("g"), "n").limit(0)
     if not is_empty(near):
         close = connected_components(near, work).withColumnRenamed("component", "g")
