@@ -4,7 +4,7 @@ A line is what stands between two line feeds.  Its normalised form is lower
 case with every run of ASCII characters other than letters and digits as one
 space, none at the ends.  Lines of fewer than ``min_words`` words (blank ones
 too) are left alone.  Two different normalised lines are linked if their 64-bit
-word SimHashes differ in at most ``radius`` bits and their edit similarity,
+word SimHashes (two, of different word hashes) differ in at most ``radius`` bits each and their edit similarity,
 1 - distance / longer length, is at least ``similarity``.  Of each connected
 group only the first occurrence stays (smallest document id, then line number).
 
@@ -287,15 +287,21 @@ def _verified(radius: int, similarity: float):
         group, tree = None, BKTree(radius)
         ids: list[int] = []
         texts: list[str] = []
+        others: list[int] = []
+
+        def same(p: int, q: int) -> bool:
+            return (others[p] ^ others[q]).bit_count() <= radius and edit_similar(texts[p], texts[q], similarity)
+
         for batch in batches:
             left, right = [], []
             clean = normalise(batch.column(3))
-            for g, fp, i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), clean):
+            for g, fp, i, text, fp2 in zip(*(batch.column(c).to_pylist() for c in range(3)), clean, batch.column(4).to_pylist()):
                 if g != group:
-                    group, tree, ids, texts = g, BKTree(radius), [], []
+                    group, tree, ids, texts, others = g, BKTree(radius), [], [], []
+                others.append(fp2 & 0xFFFFFFFFFFFFFFFF)
                 ids.append(i)
                 texts.append(text)
-                for p, q in tree.add(fp & 0xFFFFFFFFFFFFFFFF, lambda p, q: edit_similar(texts[p], texts[q], similarity)):
+                for p, q in tree.add(fp & 0xFFFFFFFFFFFFFFFF, same):
                     left.append(ids[p])
                     right.append(ids[q])
             if left:
@@ -321,13 +327,13 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, r
     groups = distinct.select("h1", "h2", "first", F.lit(None).cast("long").alias("g"), "n").limit(0)
     if not is_empty(near):
         close = connected_components(near, work).withColumnRenamed("component", "g")
-        members = work.save(distinct.join(close, distinct.h1 == close.node).select("g", "fp", "h1", "first"), "members")
+        members = work.save(distinct.join(close, distinct.h1 == close.node).select("g", "fp", "fp2", "h1", "first"), "members")
         # The text of each such line, from its first occurrence.
-        named = members.select("g", "fp", "h1", F.col("first.dkey").alias("dkey"), F.col("first.line").alias("line"))
-        per_doc = named.groupBy("dkey").agg(F.collect_list(F.struct("line", "g", "fp", "h1")).alias("wanted"))
+        named = members.select("g", "fp", "fp2", "h1", F.col("first.dkey").alias("dkey"), F.col("first.line").alias("line"))
+        per_doc = named.groupBy("dkey").agg(F.collect_list(F.struct("line", "g", "fp", "fp2", "h1")).alias("wanted"))
         text = narrow.select("dkey", "text").join(per_doc.hint("shuffle_hash"), "dkey")
         split = text.select(F.split("text", "\n").alias("parts"), "wanted").select(F.explode("wanted").alias("w"), "parts")
-        lined = split.select("w.g", "w.fp", "w.h1", F.get("parts", F.col("w.line")).alias("text")).dropDuplicates(["g", "h1"])
+        lined = split.select("w.g", "w.fp", "w.h1", F.get("parts", F.col("w.line")).alias("text"), "w.fp2").dropDuplicates(["g", "h1"])
         sorted_groups = lined.repartition(parts, "g").sortWithinPartitions("g", "h1")
         links = work.save(sorted_groups.mapInArrow(_verified(radius, similarity), "a long, b long"), "links")
         if not is_empty(links):
