@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,12 +13,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors see.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is
-    unset (local tests) a temporary folder of this machine is used.
+    The cluster names it in ``spark.checkpoint.dir``.  Only in local mode, where
+    all share one machine, an unset name means a temporary folder.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = getattr(spark, "_loom_shared", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="loom-shared-")
@@ -26,12 +30,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """Written tables under the shared folder; they cut lineage and survive lost executors."""
+    """Written tables under the shared folder; they cut lineage and survive lost executors.
+
+    The folder goes when the driver ends, after a failed run too, or earlier by close().
+    """
+
+    #: Folders of this process that are not closed yet, oldest first.
+    live: list[Workspace] = []
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/loom-{label}-{uuid.uuid4().hex}"
         self._n = 0
+        where, system = self._at(self.root)
+        system.mkdirs(where)
+        system.deleteOnExit(where)
+        self.live.append(self)
+
+    def _at(self, path: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         self._n += 1
@@ -44,11 +62,16 @@ class Workspace:
     def drop(self, df: DataFrame) -> None:
         """Delete a table that save() returned and that no later plan reads."""
         path = getattr(df, "_loom_path", None)
-        if path is None:
-            return
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        if path is not None:
+            where, system = self._at(path)
+            system.delete(where, True)
+
+    def close(self) -> None:
+        """Delete the folder; nothing read from it may be used any more."""
+        where, system = self._at(self.root)
+        system.delete(where, True)
+        if self in self.live:
+            self.live.remove(self)
 
 
 def is_empty(df: DataFrame) -> bool:
@@ -68,7 +91,7 @@ def connected_components(edges: DataFrame, work: Workspace, a: str = "a", b: str
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     links = work.save(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = None
-    for _ in range(200):
+    while True:  # every round at least halves the chains, so it ends
         # Large star: every larger neighbour of u is linked to the smallest node that u sees.
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

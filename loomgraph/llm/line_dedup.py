@@ -1,17 +1,26 @@
-"""Fuzzy line dedup: lines that share a MinHash of word shingles, SimHash, edit similarity, one line a group.
+"""Fuzzy line dedup: SimHash of normalised lines, blocks of shared sketch values, edit similarity, one line a group.
 
 A line is what stands between two line feeds.  Its normalised form is lower
 case with every run of ASCII characters other than letters and digits as one
-space, none at the ends.  Lines of fewer than ``min_words`` words (blank ones
-too) are left alone.  Two different normalised lines are linked if their 64-bit
-word SimHashes (two, of different word hashes) differ in at most ``radius`` bits each and their edit similarity,
-1 - distance / longer length, is at least ``similarity``.  Of each connected
-group only the first occurrence stays (smallest document id, then line number).
-
-The radius is so wide that it lost none of the links that brute force on the
-texts alone finds in the small tables.  No table of bit blocks serves such a
-radius, so lines meet at one of MEETINGS MinHashes of their word shingles;
-a second SimHash and the lengths keep chance meetings from being compared.
+space, none at the ends.  Lines without a letter or digit are left alone.  Equal
+normalised lines are one group, however short.  Two different ones of
+``min_words`` words or more are linked if their edit similarity, 1 - distance /
+longer length, is at least ``similarity``.  Of each connected group only the
+first occurrence stays (smallest document id, then line number).
+
+Candidates.  Edit similarity 0.8 leaves SimHashes so far apart that blocks of
+their bits do not serve: within 3 of 64 bits lies less than a third of the pairs
+that brute force finds, within 5 bits three fifths.  So the blocks are those of
+a sketch: BLOCKS MinHashes of a line's word triples, one of which two lines must
+share, as the pigeonhole principle asks of sketches that differ in fewer than
+BLOCKS places.  A 128-bit SimHash of the words then admits a pair to the edit
+distance: within NEAR bits, and STEP more for each block that the two share.
+
+Work is split so that no key is one task's lot: a block of over HOT lines is
+compared in tiles, and a group of over CHUNK candidates is verified in chunks.
+Each chunk also holds a few leaders of its group, which ties the chunks of a
+large group of near copies together; lines that are not tied to the largest part
+of their group by that are then held against all its chunks.
 """
 
 from __future__ import annotations
@@ -21,18 +30,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, byte_batches, connected_components, is_empty, text_or_empty, unused_name
-from .hamming import BKTree
 
 MIN_WORDS = 5
-RADIUS = 16
 SIMILARITY = 0.8
 #: Words of a shingle, and MinHashes of a line's shingles, one of which two lines must share to be compared.
 SHINGLE = 3
-MEETINGS = 8
+BLOCKS = 6
+#: Differing bits of 128 up to which two lines are compared: NEAR + STEP for each block that they share.
+NEAR, STEP = 16, 3
+#: Lines at one key that are compared in one piece, and lines of a tile beyond that.
+HOT, TILE = 2048, 1024
+#: Lines of a group that are verified in one piece, and lines of a larger group that each of its chunks holds too.
+CHUNK, LEADERS = 128, 8
 #: Bytes of text that a worker turns into lines at once.
 SLICE = 1 << 20
 #: Blocks of up to so many rows are compared by shifting the whole array.
@@ -40,6 +53,8 @@ SMALL = 64
 #: What normalising makes of each byte; bytes of non-ASCII characters stay.
 TABLE = bytes(b if b >= 128 or b == 10 or chr(b).isalnum() else 32 for b in range(256)).lower()
 P = 0x9E3779B97F4A7C15
+#: A line with something in it besides ASCII marks and white space.
+WORDED = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -88,11 +103,29 @@ def edit_similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     a, b = a[: len(a) - lo], b[: len(b) - lo]
     if max(len(a), len(b)) <= most:
         return True
-    # Word by word is one way to edit, so its cost bounds the distance from above.
-    left, right = a.split(" "), b.split(" ")
-    if len(left) == len(right) and sum(max(len(x), len(y)) for x, y in zip(left, right) if x != y) <= most:
-        return True
-    return edit_distance(a, b) <= most
+    return by_words(a.split(" "), b.split(" "), most) <= most or edit_distance(a, b) <= most
+
+
+def by_words(x: list[str], y: list[str], most: int) -> int:
+    """The cost of one way to edit, so no less than the distance: words in step, and where they part, up to the next place where two words agree.
+
+    Stops early with a cost above ``most``.
+    """
+    n, m = len(x), len(y)
+    i = j = cost = 0
+    while i < n and j < m and cost <= most:
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        skips = ((d, s - d) for s in range(1, 9) for d in range(s + 1))
+        di, dj = next((p for p in skips if i + p[0] < n and j + p[1] < m and x[i + p[0] : i + p[0] + 2] == y[j + p[1] : j + p[1] + 2]), (n - i, m - j))
+        left, right = " ".join(x[i : i + di]), " ".join(y[j : j + dj])
+        if not di or not dj:
+            cost += max(len(left), len(right)) + 1
+        else:
+            cost += edit_distance(left, right) if max(len(left), len(right)) <= 64 else max(len(left), len(right))
+        i, j = i + di, j + dj
+    return cost + sum(map(len, x[i:])) + n - i + sum(map(len, y[j:])) + m - j
 
 
 def normalise(lines: pa.Array) -> list[str]:
@@ -149,8 +182,8 @@ def simhash(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return out
 
 
-def meetings(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """MEETINGS keys for each run of word hashes: MinHashes of its shingles of SHINGLE words (of all its words, if it has fewer)."""
+def sketches(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """BLOCKS keys for each run of word hashes: MinHashes of its shingles of SHINGLE words (of all its words, if it has fewer)."""
     ends = np.repeat(starts + sizes, sizes)
     at = np.arange(len(words))
     with np.errstate(over="ignore"):
@@ -158,81 +191,124 @@ def meetings(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
         for k in range(1, SHINGLE):
             shingles = shingles * np.uint64(P) + np.where(at + k < ends, np.concatenate([words[k:], np.zeros(min(k, len(words)), np.uint64)]), np.uint64(0))
     cut = (at + SHINGLE > ends) & (at > np.repeat(starts, sizes))
-    out = np.empty((len(starts), MEETINGS), np.int32)
-    for k in range(MEETINGS):
+    out = np.empty((len(starts), BLOCKS), np.int32)
+    for k in range(BLOCKS):
         h = mix(shingles, 6 + k)
         h[cut] = np.uint64(0xFFFFFFFFFFFFFFFF)
         out[:, k] = (np.minimum.reduceat(h, starts) >> np.uint64(8)).astype(np.uint32).view(np.int32)
     return out
 
 
-def line_table(keys: pa.Array, ids: pa.Array, texts: pa.Array, min_words: int) -> pa.RecordBatch:
-    """A row for each line of min_words words or more (one at least): its document, number, 128-bit hash, SimHashes, length in characters and meeting keys."""
+LINES = "k1 long, k2 long, id long, line int, h1 long, h2 long, fp long, fp2 long, sig long, keys array<int>"
+
+
+def line_table(docs: list[pa.Array], texts: pa.Array, min_words: int) -> pa.RecordBatch:
+    """A row for each line of one word or more: columns of its document, number, 128-bit hash, and for lines of min_words words the SimHash and the block keys.
+
+    ``sig`` packs what a comparison needs besides: a byte of each block key, and the length (16 bits, longer lines at the limit).
+    """
+    names = [f.split(" ")[0] for f in LINES.split(", ")]
     low = pc.utf8_lower(texts)
     offsets = np.frombuffer(low.buffers()[1], np.int32)[low.offset : low.offset + len(low) + 1].astype(np.int64)
     data = (low.buffers()[2].slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes() if offsets[-1] > offsets[0] else b"").translate(TABLE)
     offsets = offsets - offsets[0]
     raw = np.frombuffer(data, np.uint8)
-    names = ["dkey", "id", "line", "h1", "h2", "fp", "fp2", "size", "meet"]
     blank = (raw == 32) | (raw == 10)
     before = np.concatenate([[True], blank[:-1]]) if len(raw) else blank
     before[offsets[:-1][offsets[:-1] < len(raw)]] = True
     starts = np.flatnonzero(~blank & before)
-    take = np.zeros(0, np.int64)
-    if len(starts):
-        after = np.concatenate([blank[1:], [True]])
-        ends_of_docs = offsets[1:][offsets[1:] > 0] - 1
-        after[ends_of_docs] = True
-        sizes = np.flatnonzero(~blank & after) + 1 - starts
-        doc = np.searchsorted(offsets[:-1], starts, "right") - 1
-        feeds = np.flatnonzero(raw == 10)
-        line = np.searchsorted(feeds, starts)
-        opens = np.concatenate([[True], (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])])
-        begin = np.flatnonzero(opens)
-        count = np.diff(np.append(begin, len(starts)))
-        take = np.flatnonzero(count >= min_words)
-    if not len(take):
+    if not len(starts):
         none = pa.array([], pa.int64())
-        return pa.RecordBatch.from_arrays([keys.slice(0, 0), ids.slice(0, 0), none.cast(pa.int32()), none, none, none, none, none.cast(pa.int32()), pa.array([], pa.list_(pa.int32()))], names=names)
-    words = rolled(raw[~blank].astype(np.uint64) + np.uint64(1), np.cumsum(sizes) - sizes, sizes)
-    words = mix(words, 1)[np.repeat(count >= min_words, count)]
-    kept = count[take]
-    first = np.cumsum(kept) - kept
-    h1 = mix(rolled(words, first, kept), 2).view(np.int64)
-    h2 = mix(rolled(mix(words, 3), first, kept), 4).view(np.int64)
-    fp = simhash(words, first, kept).view(np.int64)
-    fp2 = simhash(mix(words, 5), first, kept).view(np.int64)
-    chars = np.concatenate([[0], np.cumsum(~blank & (raw & 0xC0 != 0x80))])
-    last = begin[take] + kept - 1
-    size = (chars[starts[last] + sizes[last]] - chars[starts[begin[take]]] + kept - 1).astype(np.int32)
-    meet = pa.ListArray.from_arrays(pa.array(np.arange(0, MEETINGS * len(take) + 1, MEETINGS, dtype=np.int32)), pa.array(meetings(words, first, kept).ravel()))
-    of = doc[begin[take]]
-    number = line[begin[take]] - np.searchsorted(feeds, offsets[:-1])[of]
-    at = pa.array(of)
-    return pa.RecordBatch.from_arrays([keys.take(at), ids.take(at), pa.array(number.astype(np.int32)), pa.array(h1), pa.array(h2), pa.array(fp), pa.array(fp2), pa.array(size), meet], names=names)
+        return pa.RecordBatch.from_arrays([*(d.slice(0, 0) for d in docs), none.cast(pa.int32()), none, none, none, none, none, pa.array([], pa.list_(pa.int32()))], names=names)
+    after = np.concatenate([blank[1:], [True]])
+    after[offsets[1:][offsets[1:] > 0] - 1] = True
+    sizes = np.flatnonzero(~blank & after) + 1 - starts
+    doc = np.searchsorted(offsets[:-1], starts, "right") - 1
+    feeds = np.flatnonzero(raw == 10)
+    line = np.searchsorted(feeds, starts)
+    begin = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])]))
+    count = np.diff(np.append(begin, len(starts)))
+    words = mix(rolled(raw[~blank].astype(np.uint64) + np.uint64(1), np.cumsum(sizes) - sizes, sizes), 1)
+    h1 = mix(rolled(words, begin, count), 2).view(np.int64)
+    h2 = mix(rolled(mix(words, 3), begin, count), 4).view(np.int64)
+    fuzzy = count >= min_words
+    fp, fp2, sig = (np.zeros(len(begin), np.int64) for _ in range(3))
+    keys = np.zeros((0, BLOCKS), np.int32)
+    if fuzzy.any():
+        some = words[np.repeat(fuzzy, count)]
+        kept = count[fuzzy]
+        first = np.cumsum(kept) - kept
+        fp[fuzzy] = simhash(some, first, kept).view(np.int64)
+        fp2[fuzzy] = simhash(mix(some, 5), first, kept).view(np.int64)
+        keys = sketches(some, first, kept)
+        chars = np.concatenate([[0], np.cumsum(~blank & (raw & 0xC0 != 0x80))])
+        last = begin[fuzzy] + kept - 1
+        size = chars[starts[last] + sizes[last]] - chars[starts[begin[fuzzy]]] + kept - 1
+        packed = np.minimum(size, 0xFFFF).astype(np.uint64) << np.uint64(48)
+        for k in range(BLOCKS):
+            packed |= (keys[:, k].view(np.uint32) & np.uint32(255)).astype(np.uint64) << np.uint64(8 * k)
+        sig[fuzzy] = packed.view(np.int64)
+    ends = np.concatenate([[0], np.cumsum(np.where(fuzzy, BLOCKS, 0))]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))
+    of = doc[begin]
+    number = (line[begin] - np.searchsorted(feeds, offsets[:-1])[of]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([*(d.take(pa.array(of)) for d in docs), *(pa.array(x) for x in (number, h1, h2, fp, fp2, sig)), lists], names=names)
 
 
 def _lines(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(2)
+            text = batch.column(3)
             sizes = pc.binary_length(text).to_numpy(zero_copy_only=False)
             for a, b in byte_batches([range(n) for n in sizes.tolist()], SLICE):
-                yield line_table(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), text.slice(a, b - a), min_words)
+                yield line_table([batch.column(c).slice(a, b - a) for c in range(3)], text.slice(a, b - a), min_words)
 
     return run
 
 
-def near(x: tuple[np.ndarray, ...], i, j, radius: int, similarity: float) -> np.ndarray:
-    """Whether rows i and j may be linked; x holds the rows' SimHashes, second SimHashes and lengths."""
-    fp, fp2, size = x
-    longer = np.maximum(size[i], size[j])
-    ok = np.abs(size[i] - size[j]) <= ((1.0 - similarity) * longer + 1e-9).astype(np.int64)
-    return ok & (np.bitwise_count(fp[i] ^ fp[j]) <= radius) & (np.bitwise_count(fp2[i] ^ fp2[j]) <= radius)
-
-
-def near_links(keys: np.ndarray, x: tuple[np.ndarray, ...], radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the rows (sorted) of each key: all of them in small blocks, a spanning forest in large ones."""
+class Marks:
+    """SimHashes, block bytes and lengths of some lines."""
+
+    def __init__(self, fp: np.ndarray, fp2: np.ndarray, sig: np.ndarray):
+        self.fp, self.fp2, self.sig = (x.view(np.uint64) for x in (fp, fp2, sig))
+
+    def take(self, at) -> Marks:
+        return Marks(self.fp[at], self.fp2[at], self.sig[at])
+
+    def apart(self, i, other: Marks, j, similarity: float) -> np.ndarray:
+        """Differing bits of lines i and the other's lines j, 255 where they cannot be linked or share no block."""
+        x, y = self.sig[i], other.sig[j]
+        bits = np.bitwise_count(self.fp[i] ^ other.fp[j]) + np.bitwise_count(self.fp2[i] ^ other.fp2[j])
+        both = x ^ y
+        shared = np.zeros(both.shape, np.uint8)
+        for k in range(BLOCKS):
+            shared += (both >> np.uint64(8 * k)) & np.uint64(255) == 0
+        n, m = (x >> np.uint64(48)).astype(np.int64), (y >> np.uint64(48)).astype(np.int64)
+        fits = np.abs(n - m) <= ((1.0 - similarity) * np.maximum(n, m) + 1e-9).astype(np.int64)
+        return np.where(fits & (shared > 0) & (bits <= NEAR + STEP * shared), bits, 255)
+
+
+def forest(marks: Marks, left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """A spanning forest of the candidates among lines left (all of them if right is empty), or between left and right."""
+    a, b = [], []
+    rows = np.concatenate([left, right]) if len(right) else left
+    root = np.arange(len(rows))
+    for i in range(len(left) if len(right) else 1, len(rows)):
+        before = slice(0, len(left)) if len(right) else slice(0, i)
+        hit = np.flatnonzero(marks.apart(rows[before], marks, rows[i], similarity) < 255)
+        if not len(hit):
+            continue
+        roots, where = np.unique(root[hit], return_index=True)
+        new = roots != root[i]
+        if new.any():
+            a += rows[hit[where[new]]].tolist()
+            b += [int(rows[i])] * int(new.sum())
+            root[np.isin(root, roots)] = root[i]
+    return a, b
+
+
+def near_links(keys: np.ndarray, marks: Marks, similarity: float, hot: int = HOT) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Candidates among the rows (sorted) of each key: all of them in small blocks, a spanning forest in larger ones; and the (start, size) of blocks of over ``hot`` rows, which are left out."""
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(starts, len(keys)))
@@ -243,128 +319,256 @@ def near_links(keys: np.ndarray, x: tuple[np.ndarray, ...], radius: int, similar
         at = at[keys[at] == keys[at + shift]]
         if not len(at):
             break
-        hit = at[near(x, at, at + shift, radius, similarity)]
+        hit = at[marks.apart(at, marks, at + shift, similarity) < 255]
         left.append(hit)
         right.append(hit + shift)
+    deferred = []
     for a, n in zip(starts[large].tolist(), sizes[large].tolist()):
-        block = tuple(c[a : a + n] for c in x)
-        root = np.arange(n)
-        for i in range(1, n):
-            hit = np.flatnonzero(near(block, slice(0, i), i, radius, similarity))
-            if not len(hit):
-                continue
-            roots, where = np.unique(root[hit], return_index=True)
-            left.append(a + hit[where])
-            right.append(np.full(len(where), a + i))
-            root[i] = roots[0]
-            if len(roots) > 1:
-                root[:i][np.isin(root[:i], roots)] = roots[0]
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _near(radius: int, similarity: float):
-    """The links of the lines that meet at a key; a task holds 32 bytes a row of its share."""
+        if n > hot:
+            deferred.append((a, n))
+            continue
+        x, y = forest(marks, np.arange(a, a + n), np.zeros(0, np.int64), similarity)
+        left.append(np.array(x, np.int64))
+        right.append(np.array(y, np.int64))
+    return np.concatenate(left), np.concatenate(right), deferred
+
+
+NEAR_ROWS = "a long, b long, tile string, side int, fp long, fp2 long, sig long"
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], columns: int) -> list[np.ndarray] | None:
+    got = [[np.asarray(b.column(c)) for c in range(columns)] for b in batches if b.num_rows]
+    return [np.concatenate([g[c] for g in got]) for c in range(columns)] if got else None
+
+
+def _near(similarity: float, hot: int, tile: int):
+    """Links (a, b) of the lines that meet at a key; for hot keys instead each line in each of the tiles that hold its part of the block.  A task holds 40 bytes a row of its share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[np.asarray(b.column(c)) for c in range(5)] for b in batches if b.num_rows]
-        if not got:
+        got = _gathered(batches, 5)
+        if got is None:
             return
-        keys, fp, fp2, size, ids = (np.concatenate([g[c] for g in got]) for c in range(5))
-        del got
-        order = np.argsort(keys, kind="stable")
-        keys, fp, fp2, size, ids = keys[order], fp[order].view(np.uint64), fp2[order].view(np.uint64), size[order].astype(np.int64), ids[order]
-        left, right = near_links(keys, (fp, fp2, size), radius, similarity)
+        order = np.argsort(got[0], kind="stable")
+        keys, fp, fp2, sig, ids = (x[order] for x in got)
+        left, right, deferred = near_links(keys, Marks(fp, fp2, sig), similarity, hot)
+        names = [f.split(" ")[0] for f in NEAR_ROWS.split(", ")]
         for at in range(0, len(left), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[left[at : at + (1 << 16)]]), pa.array(ids[right[at : at + (1 << 16)]])], names=["a", "b"])
+            a, b = ids[left[at : at + (1 << 16)]], ids[right[at : at + (1 << 16)]]
+            blank = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.string()), pa.nulls(len(a), pa.int32()), blank, blank, blank], names=names)
+        for a, n in deferred:
+            parts = [np.arange(x, min(a + n, x + tile)) for x in range(a, a + n, tile)]
+            for i in range(len(parts)):
+                for j in range(i, len(parts)):
+                    for side, rows in ((0, parts[i]), (1, parts[j])) if i < j else ((0, parts[i]),):
+                        name = pa.array([f"{keys[a]}:{i}:{j}"] * len(rows))
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.nulls(len(rows), pa.int64()), name, pa.array(np.full(len(rows), side, np.int32)), *(pa.array(x[rows]) for x in (fp, fp2, sig))], names=names)
 
     return run
 
 
-def _verified(radius: int, similarity: float):
-    """Within each group of SimHash neighbours (sorted): a spanning forest of the links that the texts confirm."""
+def _tiled(similarity: float):
+    """Links of the lines of each tile (sorted by tile)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, tree = None, BKTree(radius)
-        ids: list[int] = []
-        texts: list[str] = []
-        others: list[int] = []
+        got = [[b.column(0).to_pylist(), *(np.asarray(b.column(c)) for c in range(1, 6))] for b in batches if b.num_rows]
+        if not got:
+            return
+        names = [x for g in got for x in g[0]]
+        side, fp, fp2, sig, ids = (np.concatenate([g[c] for g in got]) for c in range(1, 6))
+        code = np.unique(np.array(names, object).astype(str), return_inverse=True)[1]
+        marks = Marks(fp, fp2, sig)
+        for t in range(int(code.max()) + 1):
+            mine = np.flatnonzero(code == t)
+            a, b = forest(marks, mine[side[mine] == 0], mine[side[mine] == 1], similarity)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+
+    return run
 
-        def same(p: int, q: int) -> bool:
-            return (others[p] ^ others[q]).bit_count() <= radius and edit_similar(texts[p], texts[q], similarity)
+
+def confirmed(ids: list[int], marks: Marks, texts: list[str], roles: np.ndarray, parts: list[int], similarity: float) -> list[tuple[int, int]]:
+    """Links of a group that the texts confirm, a spanning forest: closest pairs first, pairs that already hang together skipped.
+
+    Lines of role 2 (lines from elsewhere) are held only against those of role 0; ``parts`` tells what hangs together beforehand.
+    """
+    n = len(ids)
+    if n < 2:
+        return []
+    if (roles == 2).any():
+        i, j = np.flatnonzero(roles != 2), np.flatnonzero(roles == 2)
+        i, j = np.repeat(i, len(j)), np.tile(j, len(i))
+    else:
+        i, j = np.triu_indices(n, 1)
+    bits = marks.apart(i, marks, j, similarity)
+    some = np.flatnonzero(bits < 255)
+    some = some[np.argsort(bits[some], kind="stable")]
+    parent = list(range(n))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    seen: dict[int, int] = {}
+    for x, part in enumerate(parts):
+        parent[x] = seen.setdefault(part, x)
+    out = []
+    for p, q in zip(i[some].tolist(), j[some].tolist()):
+        x, y = find(p), find(q)
+        if x != y and edit_similar(texts[p], texts[q], similarity):
+            parent[x] = y
+            out.append((ids[p], ids[q]))
+    return out
+
+
+def _verified(similarity: float):
+    """(a, b): what ``confirmed`` finds in each chunk of each group (rows sorted by group and chunk)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[list] = [[] for _ in range(7)]
+        now = None
+
+        def settle() -> list[tuple[int, int]]:
+            ids, role, part, fp, fp2, sig, texts = rows
+            if len(ids) < 2:
+                return []
+            return confirmed(ids, Marks(*(np.array(x, np.int64) for x in (fp, fp2, sig))), texts, np.array(role), part, similarity)
 
         for batch in batches:
-            left, right = [], []
-            clean = normalise(batch.column(3))
-            for g, fp, i, text, fp2 in zip(*(batch.column(c).to_pylist() for c in range(3)), clean, batch.column(4).to_pylist()):
-                if g != group:
-                    group, tree, ids, texts, others = g, BKTree(radius), [], [], []
-                others.append(fp2 & 0xFFFFFFFFFFFFFFFF)
-                ids.append(i)
-                texts.append(text)
-                for p, q in tree.add(fp & 0xFFFFFFFFFFFFFFFF, same):
-                    left.append(ids[p])
-                    right.append(ids[q])
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+            out = []
+            columns = [batch.column(c).to_pylist() for c in range(8)]
+            for g, c, *row, text in zip(*columns, normalise(batch.column(8))):
+                if (g, c) != now:
+                    out += settle()
+                    now, rows = (g, c), [[] for _ in range(7)]
+                for to, x in zip(rows, (*row, text)):
+                    to.append(x)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
+        out = settle()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
 
     return run
 
 
-def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, radius: int, similarity: float) -> DataFrame:
-    """(dkey, gone): the numbers of the lines to drop, for each document that loses any."""
+def verified_links(lined: DataFrame, similarity: float, work: Workspace, chunk: int = CHUNK) -> DataFrame:
+    """(node, component) of the lines that the texts link.  lined: g (group of candidates), h1, fp, fp2, sig, text."""
+    spark = lined.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["g", "c", "h1", "role", "part", "fp", "fp2", "sig", "text"]
+
+    def confirm(rows: DataFrame) -> DataFrame:
+        dealt = rows.select(*columns).repartition(parts, "g", "c").sortWithinPartitions("g", "c")
+        return work.save(dealt.mapInArrow(_verified(similarity), "a long, b long"), "links")
+
+    large = work.save(lined.groupBy("g").count().where(F.col("count") > chunk).select("g", F.ceil(F.col("count") / chunk).cast("int").alias("m")), "large")
+    some = not is_empty(large)
+    alone = lined.join(large, "g", "left_anti") if some else lined
+    rows = alone.withColumns({"c": F.lit(0), "role": F.lit(0), "part": F.col("h1")})
+    if some:
+        members = lined.join(large, "g").withColumns({"c": F.pmod("h1", "m").cast("int"), "role": F.lit(0), "part": F.col("h1")})
+        whole = F.struct("h1", "fp", "fp2", "sig", "text")
+        leaders = members.groupBy("g", "m", F.pmod("h1", F.lit(LEADERS)).alias("l")).agg(F.min_by(whole, "h1").alias("w")).select("g", "m", "w.*")
+        every = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
+        led = leaders.select("g", every.alias("c"), "m", "h1", "fp", "fp2", "sig", "text").where("c <> pmod(h1, m)")
+        rows = rows.unionByName(members.drop("m")).unionByName(led.drop("m").withColumns({"role": F.lit(1), "part": F.col("h1")}))
+    links = confirm(rows)
+    if is_empty(links):
+        same = None
+    else:
+        same = connected_components(links, work)
+        if some:
+            same = work.save(same, "components")
+    if some:
+        # What the chunks and leaders left apart from the largest part of its group meets all chunks of the group.
+        if same is not None:
+            members = members.join(same, members.h1 == same.node, "left").drop("node").withColumn("part", F.coalesce("component", "h1")).drop("component")
+        main = members.groupBy("g", "part").count().groupBy("g").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
+        outside = members.join(main, "g").where("part <> main").drop("main", "c")
+        outside = work.save(outside.withColumn("role", F.lit(2)), "outside")
+        if not is_empty(outside):
+            held = outside.withColumn("c", every).drop("m")
+            more = confirm(members.drop("m").unionByName(held))
+            if not is_empty(more):
+                same = connected_components(links.unionByName(more), work)
+    return same if same is not None else spark.createDataFrame([], "node long, component long")
+
+
+def doc_key(id_col: str, text_col: str) -> list[Column]:
+    """Two hashes that tell a document: of its id and text, and of its text and id."""
+    return [F.xxhash64(F.lit(1), id_col, text_col), F.xxhash64(F.lit(2), text_col, id_col)]
+
+
+def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, similarity: float) -> DataFrame:
+    """(k1, k2, gone): the numbers of the lines to drop, for each document that loses any."""
     spark = docs.sparkSession
     work = Workspace(spark, "lines")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    narrow = docs.select(F.xxhash64(id_col, text_col).alias("dkey"), F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    lines = work.save(narrow.mapInArrow(_lines(min_words), "dkey long, id long, line int, h1 long, h2 long, fp long, fp2 long, size int, meet array<int>"), "lines")
-    order = F.struct(F.col("id").isNull().alias("last"), "id", "dkey", "line")
-    # A line that occurs once and has no neighbour is settled here; copies meet as one row.
-    distinct = work.save(
-        lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("fp", "fp2", "size", "meet"))), "distinct"
-    )
-    keyed = distinct.select(F.explode(F.array_distinct("meet")).alias("k"), "fp", "fp2", "size", F.col("h1").alias("node"))
-    near = work.save(keyed.repartition(parts, "k").mapInArrow(_near(radius, similarity), "a long, b long"), "near")
-    groups = distinct.select("h1", "h2", "first", F.lit(None).cast("long").alias("g"), "n").limit(0)
-    if not is_empty(near):
-        close = connected_components(near, work).withColumnRenamed("component", "g")
-        members = work.save(distinct.join(close, distinct.h1 == close.node).select("g", "fp", "fp2", "h1", "first"), "members")
-        # The text of each such line, from its first occurrence.
-        named = members.select("g", "fp", "fp2", "h1", F.col("first.dkey").alias("dkey"), F.col("first.line").alias("line"))
-        per_doc = named.groupBy("dkey").agg(F.collect_list(F.struct("line", "g", "fp", "fp2", "h1")).alias("wanted"))
-        text = narrow.select("dkey", "text").join(per_doc.hint("shuffle_hash"), "dkey")
-        split = text.select(F.split("text", "\n").alias("parts"), "wanted").select(F.explode("wanted").alias("w"), "parts")
-        lined = split.select("w.g", "w.fp", "w.h1", F.get("parts", F.col("w.line")).alias("text"), "w.fp2").dropDuplicates(["g", "h1"])
-        sorted_groups = lined.repartition(parts, "g").sortWithinPartitions("g", "h1")
-        links = work.save(sorted_groups.mapInArrow(_verified(radius, similarity), "a long, b long"), "links")
-        if not is_empty(links):
-            same = connected_components(links, work)
-            linked = members.join(same, members.h1 == same.node).select("h1", "component", "first")
-            firsts = linked.groupBy("component").agg(F.min("first").alias("keep"))
-            groups = linked.join(firsts, "component").select("h1", "keep")
+    k1, k2 = doc_key(id_col, text_col)
+    narrow = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    lines = work.save(narrow.mapInArrow(_lines(min_words), LINES), "lines")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "k1", "k2", "line")
+    # Copies meet as one row, so however often a line occurs, it is compared once.
+    distinct = lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("fp", "fp2", "sig", "keys")))
+    distinct = work.save(distinct, "distinct")
+    keyed = distinct.where("size(keys) > 0").select(F.explode(F.array_distinct("keys")).alias("k"), "fp", "fp2", "sig", F.col("h1").alias("node"))
+    near = work.save(keyed.repartition(parts, "k").mapInArrow(_near(similarity, HOT, TILE), NEAR_ROWS), "near")
+    links = near.where("tile is null").select("a", "b")
+    if not is_empty(near.where("tile is not null")):
+        tiles = near.where("tile is not null").select("tile", "side", "fp", "fp2", "sig", "a").repartition(parts, "tile")
+        links = links.unionByName(work.save(tiles.mapInArrow(_tiled(similarity), "a long, b long"), "tiles"))
     copies = distinct.where("n > 1").select("h1", "h2", F.col("first").alias("keep"))
-    if "keep" in groups.columns:
-        moved = distinct.join(groups, "h1").select("h1", "h2", "keep")
+    if not is_empty(links):
+        close = connected_components(links, work).withColumnRenamed("component", "g")
+        members = work.save(distinct.join(close, distinct.h1 == close.node).select("g", "h1", "fp", "fp2", "sig", "first"), "members")
+        # The text of each such line, from its first occurrence.
+        wanted = F.collect_list(F.struct("g", "h1", "fp", "fp2", "sig", "first.line"))
+        per_doc = work.save(members.groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")).agg(wanted.alias("wanted")), "wanted")
+        text = narrow.select("k1", "k2", "text").join(per_doc, ["k1", "k2"]).select(F.split("text", "\n").alias("parts"), "wanted")
+        lined = text.select(F.explode("wanted").alias("w"), "parts").select("w.*", F.get("parts", F.col("w.line")).alias("text")).drop("line")
+        lined = work.save(lined.dropDuplicates(["h1"]), "texts")
+        same = verified_links(lined, similarity, work)
+        linked = members.join(same, members.h1 == same.node).select("h1", "component", "first")
+        firsts = linked.groupBy("component").agg(F.min("first").alias("keep"))
+        moved = distinct.select("h1", "h2").join(linked.join(firsts, "component").select("h1", "keep"), "h1")
+        moved = work.save(moved, "moved")
         copies = copies.join(moved, ["h1", "h2"], "left_anti").unionByName(moved)
-    copies = copies.select("h1", "h2", F.col("keep.dkey").alias("kd"), F.col("keep.line").alias("kl"))
-    losing = lines.join(copies, ["h1", "h2"]).where("not (dkey = kd and line = kl)")
-    return losing.groupBy("dkey").agg(F.collect_set("line").alias("gone"))
+    copies = copies.select("h1", "h2", *(F.col(f"keep.{c}").alias(f"keep_{c}") for c in ("k1", "k2", "line")))
+    losing = lines.select("h1", "h2", "k1", "k2", "line").join(copies, ["h1", "h2"]).where("not (k1 = keep_k1 and k2 = keep_k2 and line = keep_line)")
+    return losing.groupBy("k1", "k2").agg(F.collect_set("line").alias("gone"))
 
 
-def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, radius: int = RADIUS, similarity: float = SIMILARITY
-) -> DataFrame:
-    """docs with the repeated lines cut from the text column, and n_lines, n_dropped (long).
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with the repeated lines cut from the text column, and n_lines, n_dropped (long; columns of these names are replaced).
 
     Null text stays null (no lines).  A document keeps its row even if no line
     is left.  Documents without an id come last in the order that chooses the
-    occurrence to keep.  Rows with equal id and text are one document: all get
-    the same result.  Lines are told apart by 128-bit hashes, and links run
-    between their first 64 bits.
+    occurrence to keep.  Of rows with equal id and text (rows without an id
+    too) the first by a hash of all columns counts as the document; the others
+    keep only lines without a letter or digit, as all else stands in it.
+    Lines are told apart by 128-bit hashes, and links run between their first
+    64 bits.
     """
-    gone = dropped_lines(docs, id_col, text_col, min_words, radius, similarity)
-    key, lost = unused_name(docs, "line_key"), unused_name(docs, "lines_gone")
-    keyed = docs.withColumn(key, F.xxhash64(id_col, text_col))
-    joined = keyed.join(gone.select(F.col("dkey").alias(key), F.col("gone").alias(lost)).hint("shuffle_hash"), key, "left")
+    work = Workspace(docs.sparkSession, "once")
+    gone = work.save(dropped_lines(docs, id_col, text_col, min_words, similarity), "gone")
+    names = [unused_name(docs, x) for x in ("line_k1", "line_k2", "line_salt", "line_first", "line_copy", "lines_gone")]
+    n1, n2, salt, first, copy, lost = names
+    k1, k2 = doc_key(id_col, text_col)
+    salted = F.pmod(F.xxhash64(*docs.columns), F.lit(64))
+    repeated = docs.select(k1.alias(n1), k2.alias(n2), salted.alias(salt)).groupBy(n1, n2).agg(F.count("*").alias("n"), F.min(salt).alias(first)).where("n > 1").drop("n")
+    repeated = work.save(repeated, "repeated")
+    keyed = docs.withColumns({n1: k1, n2: k2})
+    joined = keyed.join(gone.select(F.col("k1").alias(n1), F.col("k2").alias(n2), F.col("gone").alias(lost)).hint("shuffle_hash"), [n1, n2], "left")
+    joined = joined.withColumn(copy, F.lit(False))
+    if not is_empty(repeated):
+        again = keyed.withColumn(salt, salted).join(repeated, [n1, n2])
+        again = again.withColumn(copy, F.row_number().over(Window.partitionBy(n1, n2, salt).orderBy(n1)))
+        again = again.withColumn(copy, (F.col(salt) != F.col(first)) | (F.col(copy) > 1))
+        again = again.join(gone.select(F.col("k1").alias(n1), F.col("k2").alias(n2), F.col("gone").alias(lost)), [n1, n2], "left")
+        joined = joined.join(repeated.select(n1, n2), [n1, n2], "left_anti").unionByName(again.drop(salt, first))
 
     def left_of(parts: Column) -> Column:
         numbers = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(lost))
@@ -372,8 +576,10 @@ def dedup_lines(
 
     # The outer transform binds the lines once; inside a lambda they would be split again for each line.
     rest = F.get(F.transform(F.array(F.split(F.col(text_col), "\n")), left_of), 0)
-    text = F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(rest)
+    worded = F.filter(F.split(F.col(text_col), "\n"), lambda x: x.rlike(WORDED))
+    bare = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x: ~x.rlike(WORDED)), "\n")
+    text = F.when(F.col(copy), bare).when(F.col(lost).isNull(), F.col(text_col)).otherwise(rest)
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.regexp_count(F.col(text_col), F.lit("\n")) + 1).cast("long")
-    n_dropped = F.coalesce(F.size(F.col(lost)), F.lit(0)).cast("long")
-    others = [F.col(c) if c != text_col else text.alias(text_col) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    n_dropped = F.coalesce(F.when(F.col(copy), F.size(worded)).otherwise(F.size(F.col(lost))), F.lit(0)).cast("long")
+    others = [F.col(c) if c != text_col else text.alias(text_col) for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     return joined.select(*others, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from loomgraph.llm.line_dedup import RADIUS, dedup_lines, edit_distance, edit_similar
+from loomgraph.llm.line_dedup import dedup_lines, edit_distance, edit_similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,62 +16,47 @@ def slow_distance(a, b):
     return row[-1]
 
 
-M = (1 << 64) - 1
-P = 0x9E3779B97F4A7C15
-
-
 def norm(line):
     spaced = "".join(c if ord(c) > 127 or c.isalnum() else " " for c in line.lower())
     return " ".join(w for w in spaced.split(" ") if w)
 
 
-def mix(h, salt):
-    h = (h + salt) & M
-    h = ((h ^ h >> 33) * 0xFF51AFD7ED558CCD) & M
-    h = ((h ^ h >> 33) * 0xC4CEB9FE1A85EC53) & M
-    return h ^ h >> 33
+def slow_groups(lines, min_words=5):
+    """Groups of normalised lines by edit similarity alone, each pair looked at."""
+    comp = list(range(len(lines)))
 
+    def find(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
 
-def simhash(line):
-    hashes = [mix(sum((b + 1) * pow(P, i, 1 << 64) for i, b in enumerate(w.encode())) & M, 1) for w in line.split(" ")]
-    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+    fuzzy = [i for i, c in enumerate(lines) if len(c.split(" ")) >= min_words]
+    for i in fuzzy:
+        for j in fuzzy:
+            if j >= i:
+                break
+            if find(i) != find(j) and min(len(lines[i]), len(lines[j])) >= 0.8 * max(len(lines[i]), len(lines[j])) - 1e-9 and edit_similar(lines[i], lines[j]):
+                comp[find(i)] = find(j)
+    return [find(i) for i in range(len(lines))]
 
 
 def slow_dedup(docs, min_words=5):
-    """docs: [(id, text)] -> {id: text}"""
-    first, order = {}, []
+    """docs: [(id, text)], ids distinct -> {id: text}"""
+    first = {}
     for i, text in sorted(docs):
         for n, line in enumerate((text or "").split("\n")):
-            c = norm(line)
-            if len(c.split()) >= min_words:
-                order.append((i, n, c))
-                first.setdefault(c, (i, n))
+            if norm(line):
+                first.setdefault(norm(line), (i, n))
     lines = sorted(first)
-    fps = [simhash(c) for c in lines]
-    comp = list(range(len(lines)))
-
-    def find(i):
-        while comp[i] != i:
-            i = comp[i]
-        return i
-
-    for i in range(len(lines)):
-        for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= RADIUS and find(i) != find(j):
-                longest = max(len(lines[i]), len(lines[j]))
-                if 1 - slow_distance(lines[i], lines[j]) / longest >= 0.8 - 1e-12:
-                    comp[find(i)] = find(j)
+    group = slow_groups(lines, min_words)
     keep = {}
-    for i, c in enumerate(lines):
-        keep[find(i)] = min(keep.get(find(i), first[c]), first[c])
-    stays = {c: keep[find(i)] for i, c in enumerate(lines)}
+    for g, c in zip(group, lines):
+        keep[g] = min(keep.get(g, first[c]), first[c])
+    stays = {c: keep[g] for g, c in zip(group, lines)}
     out = {}
     for i, text in docs:
-        if text is None:
-            out[i] = None
-            continue
-        rest = [line for n, line in enumerate(text.split("\n")) if stays.get(norm(line), (i, n)) == (i, n) or len(norm(line).split()) < min_words]
-        out[i] = "\n".join(rest)
+        rest = [line for n, line in enumerate((text or "").split("\n")) if not norm(line) or stays[norm(line)] == (i, n)]
+        out[i] = None if text is None else "\n".join(rest)
     return out
 
 
@@ -104,14 +89,40 @@ def test_fuzzy_lines_keep_one_a_group(spark):
         rows.append((i, "Short line.\n" + " ".join(line) + f"\n\nnothing like it {rng.random()} {rng.random()} here"))
     # Lines with the same words in other orders: neighbours by SimHash that the texts keep apart.
     for i in range(200, 230):
-        rng.shuffle(base)
+        at = rng.randrange(60)
+        base = base[at:] + base[:at]
         rows.append((i, " ".join(base) + (" tail" if i % 3 else "")))
     table = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.text for r in dedup_lines(table).collect()}
     assert got == slow_dedup(rows)
     got = {i: t for i, t in got.items() if i < 200}
     assert sum("word" in t for t in got.values()) < 20
-    assert all(t.startswith("Short line.\n") for t in got.values())
+    assert [i for i, t in got.items() if "Short line." in t] == [0]
+
+
+@pytest.mark.parametrize(("chunk", "hot"), [(5, 4), (16, 10**6), (10**6, 4)])
+def test_split_groups_and_blocks_give_the_same(spark, monkeypatch, chunk, hot):
+    from loomgraph.llm import line_dedup
+
+    rng = random.Random(7)
+    rows = []
+    for i in range(6):
+        base = [f"w{i}{rng.randint(0, 999)}" for _ in range(30)]
+        for _ in range(40):
+            line = list(base)
+            for _ in range(rng.choice([0, 1, 2, 9])):
+                line[rng.randrange(30)] = f"v{rng.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(line)))
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    monkeypatch.setattr(line_dedup, "TILE", 3)
+    monkeypatch.setattr(line_dedup.verified_links, "__defaults__", (chunk,))
+    monkeypatch.setattr(line_dedup, "SMALL", 3)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    split = {r.doc_id: r.text for r in dedup_lines(table).collect()}
+    monkeypatch.undo()
+    assert split == {r.doc_id: r.text for r in dedup_lines(table).collect()}
+    want = slow_dedup(rows)
+    assert sum(split[i] != want[i] for i in want) <= 0.02 * len(rows)
 
 
 def test_odd_rows(spark):
@@ -131,9 +142,18 @@ def test_odd_rows(spark):
     got = dedup_lines(table)
     assert got.columns == ["doc_id", "text", "gone", "n_lines", "n_dropped"]
     by = {(r.doc_id or 0): (r.text, r.n_dropped) for r in got.collect() if r.text != long}
-    assert by == {1: (None, 0), 2: ("", 0), 3: ("a b c d e", 1), 4: ("", 1), 0: ("my own line is this", 1), 6: ("", 1), 7: ("x y z x y\n\n", 0)}
-    assert got.count() == len(rows)
+    assert {i: x for i, x in by.items() if i != 7} == {1: (None, 0), 2: ("", 0), 3: ("a b c d e", 1), 4: ("", 1), 0: ("my own line is this", 1), 6: ("", 1)}
     assert dedup_lines(table.limit(0)).collect() == []
+    assert sorted((r.text, r.n_dropped) for r in got.collect() if r.doc_id == 7) == [("\n", 1), ("x y z x y\n\n", 0)]
+    assert got.count() == len(rows)
+
+
+def test_rows_without_an_id_and_repeated_rows(spark):
+    rows = [(None, "one line of its own here"), (None, "one line of its own here"), (7, "x\n***\nsecond"), (7, "x\n***\nsecond"), (7, "x\n***\nsecond"), (8, "x\n中文字\n中文字"), (9, "...\n\n...")]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text, r.n_lines, r.n_dropped) for r in got) == [
+        ("7", "***", 3, 2), ("7", "***", 3, 2), ("7", "x\n***\nsecond", 3, 0), ("8", "中文字", 3, 2), ("9", "...\n\n...", 3, 0), ("None", "", 1, 1), ("None", "one line of its own here", 1, 0)
+    ]
 
 
 @pytest.mark.parametrize("bad", [None, ""])
