@@ -51,10 +51,12 @@ class Workspace:
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def save(self, df: DataFrame, name: str = "t", hashes: bool = False) -> DataFrame:
+        """Write df and read it again; ``hashes``: most columns are hashes, which neither a dictionary nor compression makes smaller."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        writer = df.write.mode("overwrite").option("compression", "snappy" if hashes else "zstd")
+        (writer.option("parquet.enable.dictionary", "false") if hashes else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._loom_path = path
         return out

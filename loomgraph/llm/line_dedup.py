@@ -26,6 +26,7 @@ of their group by that are then held against all its chunks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,11 @@ NEAR, STEP = 16, 3
 #: Lines at one key that are compared in one piece, and lines of a tile beyond that.
 HOT, TILE = 2048, 1024
 #: Lines of a group that are verified in one piece, and lines of a larger group that each of its chunks holds too.
-CHUNK, LEADERS = 128, 8
+CHUNK, LEADERS = 250, 8
+#: Characters of groups that wait for their distances at once.
+HELD = 1 << 24
+#: Pairs whose distances are worked out side by side.
+SIDE = 96
 #: Bytes of text that a worker turns into lines at once.
 SLICE = 1 << 20
 #: Blocks of up to so many rows are compared by shifting the whole array.
@@ -84,26 +89,98 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
-def edit_similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
-    """1 - distance / longer length >= similarity; equal ends are cut off first, which leaves the distance as it is."""
-    longer = max(len(a), len(b))
-    most = int((1.0 - similarity) * longer + 1e-9)
-    if abs(len(a) - len(b)) > most:
-        return False
-    short = min(len(a), len(b))
-    lo, hi = 0, short
-    while lo < hi:  # common start
+def most_edits(a: str, b: str, similarity: float) -> int:
+    return int((1.0 - similarity) * max(len(a), len(b)) + 1e-9)
+
+
+def trimmed(a: str, b: str) -> tuple[str, str]:
+    """Without common start and end, which leaves the distance as it is."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
         mid = (lo + hi + 1) // 2
-        lo, hi = (mid, hi) if a[:mid] == b[:mid] else (lo, mid - 1)
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
     a, b = a[lo:], b[lo:]
     lo, hi = 0, min(len(a), len(b))
-    while lo < hi:  # common end
+    while lo < hi:
         mid = (lo + hi + 1) // 2
         lo, hi = (mid, hi) if a[len(a) - mid :] == b[len(b) - mid :] else (lo, mid - 1)
-    a, b = a[: len(a) - lo], b[: len(b) - lo]
-    if max(len(a), len(b)) <= most:
+    return a[: len(a) - lo], b[: len(b) - lo]
+
+
+def quickly_similar(a: str, b: str, similarity: float = SIMILARITY) -> bool | None:
+    """Whether 1 - distance / longer length >= similarity, as far as lengths or one way to edit tell; None if they don't."""
+    most = most_edits(a, b, similarity)
+    if abs(len(a) - len(b)) > most:
+        return False
+    a, b = trimmed(a, b)
+    if max(len(a), len(b)) <= most or by_words(a.split(" "), b.split(" "), most) <= most:
         return True
-    return by_words(a.split(" "), b.split(" "), most) <= most or edit_distance(a, b) <= most
+    return None
+
+
+def edit_similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
+    """1 - distance / longer length >= similarity."""
+    got = quickly_similar(a, b, similarity)
+    return edit_distance(*trimmed(a, b)) <= most_edits(a, b, similarity) if got is None else got
+
+
+def edit_distances(pairs: list[tuple[str, str]]) -> list[int]:
+    """Levenshtein distances of many pairs at once: edit_distance with the columns of all pairs as fields of one whole number.
+
+    A field has a bit more than its pattern, so that sums do not run into the
+    next one; bits above a shorter pattern never reach those below.  The
+    distance is the text's length and the sum of the last column's steps.
+    """
+    pairs = [(a, b) if len(a) <= len(b) else (b, a) for a, b in pairs]
+    size = max(len(a) for a, _ in pairs) // 8 + 1
+    masks = []
+    for a, _ in pairs:
+        where: dict[str, int] = {}
+        for i, ch in enumerate(a):
+            where[ch] = where.get(ch, 0) | (1 << i)
+        masks.append({ch: x.to_bytes(size, "little") for ch, x in where.items()})
+    none = bytes(size)
+    ones = int.from_bytes((1).to_bytes(size, "little") * len(pairs), "little")
+    full = ones * ((1 << (8 * size - 1)) - 1)
+    plus, minus, out = full, 0, [0] * len(pairs)
+    ends: dict[int, list[int]] = {}
+    for k, (_, b) in enumerate(pairs):
+        ends.setdefault(len(b), []).append(k)
+    texts = [b for _, b in pairs]
+    last = max(ends)
+    for at in range(last + 1):
+        for k in ends.get(at, ()):
+            low = (1 << len(pairs[k][0])) - 1
+            shift = 8 * size * k
+            out[k] = at + (plus >> shift & low).bit_count() - (minus >> shift & low).bit_count()
+        if at == last:
+            break
+        eq = int.from_bytes(b"".join([m.get(t[at], none) if at < len(t) else none for m, t in zip(masks, texts)]), "little")
+        level = ((((eq & plus) + plus) ^ plus) | eq | minus) & full
+        down = plus & level
+        up = (((minus | (full ^ (plus | level))) << 1) | ones) & full
+        plus = ((down << 1) & full) | (full ^ (level | up))
+        minus = up & level
+    return out
+
+
+def all_similar(pairs: list[tuple[str, str]], similarity: float) -> list[bool]:
+    """edit_similar of each pair, by the distances alone; pairs of like lengths go together."""
+    cut = [trimmed(a, b) for a, b in pairs]
+    sizes = [max(map(len, c)) for c in cut]
+    order = sorted(range(len(pairs)), key=sizes.__getitem__)
+    out = [False] * len(pairs)
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < min(len(order), at + SIDE) and sizes[order[end]] <= 1.15 * sizes[order[at]] + 16:
+            end += 1
+        some = order[at:end]
+        got = edit_distances([cut[k] for k in some]) if len(some) > 3 else [edit_distance(*cut[k]) for k in some]
+        for k, d in zip(some, got):
+            out[k] = d <= most_edits(*pairs[k], similarity)
+        at = end
+    return out
 
 
 def by_words(x: list[str], y: list[str], most: int) -> int:
@@ -192,10 +269,12 @@ def sketches(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
             shingles = shingles * np.uint64(P) + np.where(at + k < ends, np.concatenate([words[k:], np.zeros(min(k, len(words)), np.uint64)]), np.uint64(0))
     cut = (at + SHINGLE > ends) & (at > np.repeat(starts, sizes))
     out = np.empty((len(starts), BLOCKS), np.int32)
+    shingles = mix(shingles, 6)
     for k in range(BLOCKS):
-        h = mix(shingles, 6 + k)
-        h[cut] = np.uint64(0xFFFFFFFFFFFFFFFF)
-        out[:, k] = (np.minimum.reduceat(h, starts) >> np.uint64(8)).astype(np.uint32).view(np.int32)
+        with np.errstate(over="ignore"):  # the high half of a product with an odd number
+            h = ((shingles * np.uint64(P + 2 * k * 0x632BE59BD9B4E019 & (1 << 64) - 1)) >> np.uint64(32)).astype(np.uint32)
+        h[cut] = 0xFFFFFFFF
+        out[:, k] = np.minimum.reduceat(h, starts).view(np.int32)
     return out
 
 
@@ -256,10 +335,15 @@ def line_table(docs: list[pa.Array], texts: pa.Array, min_words: int) -> pa.Reco
 
 
 def _lines(min_words: int):
+    """A row of line -1 for each document, and the rows of its lines."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(3)
             sizes = pc.binary_length(text).to_numpy(zero_copy_only=False)
+            none = pa.nulls(batch.num_rows, pa.int64())
+            mark = pa.array(np.full(batch.num_rows, -1, np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], mark, none, none, none, none, none, pa.nulls(batch.num_rows, pa.list_(pa.int32()))], names=[f.split(" ")[0] for f in LINES.split(", ")])
             for a, b in byte_batches([range(n) for n in sizes.tolist()], SLICE):
                 yield line_table([batch.column(c).slice(a, b - a) for c in range(3)], text.slice(a, b - a), min_words)
 
@@ -387,69 +471,104 @@ def _tiled(similarity: float):
     return run
 
 
-def confirmed(ids: list[int], marks: Marks, texts: list[str], roles: np.ndarray, parts: list[int], similarity: float) -> list[tuple[int, int]]:
-    """Links of a group that the texts confirm, a spanning forest: closest pairs first, pairs that already hang together skipped.
+class Groups:
+    """Groups of lines whose links the texts are to confirm; all groups of a batch wait for one round of edit distances.
 
-    Lines of role 2 (lines from elsewhere) are held only against those of role 0; ``parts`` tells what hangs together beforehand.
+    A spanning forest of the links is wanted, so closest pairs come first and
+    pairs that already hang together are skipped.  ``parts`` tells what hangs
+    together beforehand; lines of role 2 (from elsewhere) are held only against
+    those of role 0.
     """
-    n = len(ids)
-    if n < 2:
-        return []
-    if (roles == 2).any():
-        i, j = np.flatnonzero(roles != 2), np.flatnonzero(roles == 2)
-        i, j = np.repeat(i, len(j)), np.tile(j, len(i))
-    else:
-        i, j = np.triu_indices(n, 1)
-    bits = marks.apart(i, marks, j, similarity)
-    some = np.flatnonzero(bits < 255)
-    some = some[np.argsort(bits[some], kind="stable")]
-    parent = list(range(n))
 
-    def find(x: int) -> int:
+    def __init__(self, similarity: float):
+        self.similarity = similarity
+        self.parent: list[int] = []
+        self.ids: list[int] = []
+        self.texts: list[str] = []
+        #: Pairs that no quick look settles: differing bits, and the two lines.
+        self.open: list[tuple[int, int, int]] = []
+        self.links: list[tuple[int, int]] = []
+
+    def find(self, x: int) -> int:
+        parent = self.parent
         while parent[x] != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
-    seen: dict[int, int] = {}
-    for x, part in enumerate(parts):
-        parent[x] = seen.setdefault(part, x)
-    out = []
-    for p, q in zip(i[some].tolist(), j[some].tolist()):
-        x, y = find(p), find(q)
-        if x != y and edit_similar(texts[p], texts[q], similarity):
-            parent[x] = y
-            out.append((ids[p], ids[q]))
-    return out
+    def link(self, p: int, q: int) -> None:
+        self.parent[self.find(p)] = self.find(q)
+        self.links.append((self.ids[p], self.ids[q]))
+
+    def add(self, ids: list[int], roles: list[int], parts: list[int], fp: list[int], fp2: list[int], sig: list[int], texts: list[str]) -> None:
+        n, base = len(ids), len(self.ids)
+        if n < 2:
+            return
+        self.ids += ids
+        self.texts += texts
+        seen: dict[int, int] = {}
+        self.parent += [seen.setdefault(part, base + x) for x, part in enumerate(parts)]
+        marks = Marks(*(np.array(x, np.int64) for x in (fp, fp2, sig)))
+        if 2 in roles:
+            role = np.array(roles)
+            i, j = np.flatnonzero(role != 2), np.flatnonzero(role == 2)
+            i, j = np.repeat(i, len(j)), np.tile(j, len(i))
+        else:
+            i, j = _pairs(n)
+        bits = marks.apart(i, marks, j, self.similarity)
+        some = np.flatnonzero(bits < 255)
+        some = some[np.argsort(bits[some], kind="stable")]
+        for d, p, q in zip(bits[some].tolist(), (base + i[some]).tolist(), (base + j[some]).tolist()):
+            if self.find(p) != self.find(q):
+                got = quickly_similar(self.texts[p], self.texts[q], self.similarity)
+                if got:
+                    self.link(p, q)
+                elif got is None:
+                    self.open.append((d, p, q))
+
+    def settle(self) -> list[tuple[int, int]]:
+        """The links of all groups so far."""
+        waiting = sorted(self.open)
+        for at in range(0, len(waiting), 2048):
+            some = [(p, q) for _, p, q in waiting[at : at + 2048] if self.find(p) != self.find(q)]
+            for (p, q), ok in zip(some, all_similar([(self.texts[p], self.texts[q]) for p, q in some], self.similarity)):
+                if ok and self.find(p) != self.find(q):
+                    self.link(p, q)
+        out = self.links
+        self.__init__(self.similarity)
+        return out
+
+
+@lru_cache(64)
+def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
 
 
 def _verified(similarity: float):
-    """(a, b): what ``confirmed`` finds in each chunk of each group (rows sorted by group and chunk)."""
+    """(a, b): the links in each chunk of each group (rows sorted by group and chunk)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[list] = [[] for _ in range(7)]
-        now = None
+        groups, now, held = Groups(similarity), None, 0
 
-        def settle() -> list[tuple[int, int]]:
-            ids, role, part, fp, fp2, sig, texts = rows
-            if len(ids) < 2:
-                return []
-            return confirmed(ids, Marks(*(np.array(x, np.int64) for x in (fp, fp2, sig))), texts, np.array(role), part, similarity)
+        def settled() -> pa.RecordBatch:
+            links = groups.settle()
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            out = []
             columns = [batch.column(c).to_pylist() for c in range(8)]
             for g, c, *row, text in zip(*columns, normalise(batch.column(8))):
                 if (g, c) != now:
-                    out += settle()
+                    groups.add(*rows)
+                    held += sum(map(len, rows[6]))
                     now, rows = (g, c), [[] for _ in range(7)]
+                    if held > HELD:
+                        yield settled()
+                        held = 0
                 for to, x in zip(rows, (*row, text)):
                     to.append(x)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
-        out = settle()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
+        groups.add(*rows)
+        yield settled()
 
     return run
 
@@ -498,22 +617,23 @@ def verified_links(lined: DataFrame, similarity: float, work: Workspace, chunk:
 
 
 def doc_key(id_col: str, text_col: str) -> list[Column]:
-    """Two hashes that tell a document: of its id and text, and of its text and id."""
-    return [F.xxhash64(F.lit(1), id_col, text_col), F.xxhash64(F.lit(2), text_col, id_col)]
+    """What tells a document: a hash of its id and text, and its id (0 for none)."""
+    return [F.xxhash64(id_col, text_col), F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long"))]
 
 
-def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, similarity: float) -> DataFrame:
-    """(k1, k2, gone): the numbers of the lines to drop, for each document that loses any."""
+def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, similarity: float, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(k1, k2, gone): the numbers of the lines to drop, for each document that loses any; and (k1, k2) of documents that have several rows."""
     spark = docs.sparkSession
-    work = Workspace(spark, "lines")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     k1, k2 = doc_key(id_col, text_col)
     narrow = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    lines = work.save(narrow.mapInArrow(_lines(min_words), LINES), "lines")
+    lines = work.save(narrow.mapInArrow(_lines(min_words), LINES), "lines", hashes=True)
+    repeated = work.save(lines.where("line < 0").groupBy("k1", "k2").count().where("count > 1").select("k1", "k2"), "repeated")
+    lines = lines.where("line >= 0")
     order = F.struct(F.col("id").isNull().alias("last"), "id", "k1", "k2", "line")
     # Copies meet as one row, so however often a line occurs, it is compared once.
     distinct = lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("fp", "fp2", "sig", "keys")))
-    distinct = work.save(distinct, "distinct")
+    distinct = work.save(distinct, "distinct", hashes=True)
     keyed = distinct.where("size(keys) > 0").select(F.explode(F.array_distinct("keys")).alias("k"), "fp", "fp2", "sig", F.col("h1").alias("node"))
     near = work.save(keyed.repartition(parts, "k").mapInArrow(_near(similarity, HOT, TILE), NEAR_ROWS), "near")
     links = near.where("tile is null").select("a", "b")
@@ -538,7 +658,7 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, s
         copies = copies.join(moved, ["h1", "h2"], "left_anti").unionByName(moved)
     copies = copies.select("h1", "h2", *(F.col(f"keep.{c}").alias(f"keep_{c}") for c in ("k1", "k2", "line")))
     losing = lines.select("h1", "h2", "k1", "k2", "line").join(copies, ["h1", "h2"]).where("not (k1 = keep_k1 and k2 = keep_k2 and line = keep_line)")
-    return losing.groupBy("k1", "k2").agg(F.collect_set("line").alias("gone"))
+    return work.save(losing.groupBy("k1", "k2").agg(F.collect_set("line").alias("gone")), "gone"), repeated
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -552,23 +672,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines are told apart by 128-bit hashes, and links run between their first
     64 bits.
     """
-    work = Workspace(docs.sparkSession, "once")
-    gone = work.save(dropped_lines(docs, id_col, text_col, min_words, similarity), "gone")
-    names = [unused_name(docs, x) for x in ("line_k1", "line_k2", "line_salt", "line_first", "line_copy", "lines_gone")]
-    n1, n2, salt, first, copy, lost = names
+    gone, repeated = dropped_lines(docs, id_col, text_col, min_words, similarity, Workspace(docs.sparkSession, "lines"))
+    n1, n2, salt, first, copy, lost = (unused_name(docs, x) for x in ("line_k1", "line_k2", "line_salt", "line_first", "line_copy", "lines_gone"))
     k1, k2 = doc_key(id_col, text_col)
-    salted = F.pmod(F.xxhash64(*docs.columns), F.lit(64))
-    repeated = docs.select(k1.alias(n1), k2.alias(n2), salted.alias(salt)).groupBy(n1, n2).agg(F.count("*").alias("n"), F.min(salt).alias(first)).where("n > 1").drop("n")
-    repeated = work.save(repeated, "repeated")
+    gone = gone.select(F.col("k1").alias(n1), F.col("k2").alias(n2), F.col("gone").alias(lost))
     keyed = docs.withColumns({n1: k1, n2: k2})
-    joined = keyed.join(gone.select(F.col("k1").alias(n1), F.col("k2").alias(n2), F.col("gone").alias(lost)).hint("shuffle_hash"), [n1, n2], "left")
-    joined = joined.withColumn(copy, F.lit(False))
+    joined = keyed.join(gone.hint("shuffle_hash"), [n1, n2], "left").withColumn(copy, F.lit(False))
     if not is_empty(repeated):
-        again = keyed.withColumn(salt, salted).join(repeated, [n1, n2])
-        again = again.withColumn(copy, F.row_number().over(Window.partitionBy(n1, n2, salt).orderBy(n1)))
-        again = again.withColumn(copy, (F.col(salt) != F.col(first)) | (F.col(copy) > 1))
-        again = again.join(gone.select(F.col("k1").alias(n1), F.col("k2").alias(n2), F.col("gone").alias(lost)), [n1, n2], "left")
-        joined = joined.join(repeated.select(n1, n2), [n1, n2], "left_anti").unionByName(again.drop(salt, first))
+        twice = repeated.select(F.col("k1").alias(n1), F.col("k2").alias(n2))
+        again = keyed.join(twice, [n1, n2], "left_semi").withColumn(salt, F.pmod(F.xxhash64(*docs.columns), F.lit(64)))
+        firsts = again.groupBy(n1, n2).agg(F.min(salt).alias(first))
+        again = again.withColumn(copy, F.row_number().over(Window.partitionBy(n1, n2, salt).orderBy(n1))).join(firsts, [n1, n2])
+        again = again.withColumn(copy, (F.col(salt) != F.col(first)) | (F.col(copy) > 1)).join(gone, [n1, n2], "left")
+        joined = joined.join(twice, [n1, n2], "left_anti").unionByName(again.drop(salt, first))
 
     def left_of(parts: Column) -> Column:
         numbers = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(lost))
@@ -579,7 +695,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     worded = F.filter(F.split(F.col(text_col), "\n"), lambda x: x.rlike(WORDED))
     bare = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x: ~x.rlike(WORDED)), "\n")
     text = F.when(F.col(copy), bare).when(F.col(lost).isNull(), F.col(text_col)).otherwise(rest)
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.regexp_count(F.col(text_col), F.lit("\n")) + 1).cast("long")
+    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1).cast("long")
     n_dropped = F.coalesce(F.when(F.col(copy), F.size(worded)).otherwise(F.size(F.col(lost))), F.lit(0)).cast("long")
     others = [F.col(c) if c != text_col else text.alias(text_col) for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     return joined.select(*others, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
