@@ -81,8 +81,9 @@ def op8_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("edited", 256).alias("edited_sha256"),
         scaled_sketch.as_string(F.col("sketch")).alias("fingerprint"),
         scaled_sketch.as_string(F.col("edited_sketch")).alias("edited_fingerprint"),
-        "near_edited",
-        "near_next",
+        # Where the sketches cannot tell, nothing speaks for a likeness.
+        F.coalesce("near_edited", F.lit(0.0)).alias("near_edited"),
+        F.coalesce("near_next", F.lit(0.0)).alias("near_next"),
     )
 
 

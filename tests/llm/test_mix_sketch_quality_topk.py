@@ -6,7 +6,7 @@ import pytest
 from loomgraph.llm import queries
 from loomgraph.llm.common import Workspace
 from loomgraph.llm.quality import LEAST, classify, keep_good
-from loomgraph.llm.scaled_sketch import FRACTION, SHINGLE, containment, fingerprints_with_edits, merge, with_sketch
+from loomgraph.llm.scaled_sketch import FRACTION, LEAST_KEPT, SHINGLE, contained, containment, fingerprints_with_edits, merge, with_sketch
 from loomgraph.llm.source_mixing import mix, probabilities, rake, sample
 from loomgraph.llm.topk import BallTree, quantised, top_k, usable
 from pyspark.sql import functions as F
@@ -65,18 +65,24 @@ def slow_sketch(spark, texts):
     cols = ", ".join(f"c{i} long" for i in range(SHINGLE))
     rows = spark.createDataFrame(flat or [(None,) * SHINGLE], cols).select("*", F.xxhash64(*(f"c{i}" for i in range(SHINGLE))).alias("h")).collect()
     of = {tuple(r[:SHINGLE]): r.h for r in rows}
-    limit = -(2**63) + FRACTION * 2**64
     out = []
     for x in shingles.values():
         hs = sorted({of[s + (None,) * (SHINGLE - len(s))] for s in x})
-        out.append([h for h in hs if h < limit] or hs[:1])
+        fraction = 1.0
+        while fraction > FRACTION and len(hs) * fraction / 2 >= LEAST_KEPT:
+            fraction /= 2
+        out.append((fraction, [h for h in hs if fraction == 1 or h < -(2**63) + fraction * 2**64]))
     return out
 
 
 def slow_containment(a, b):
-    if not a or not b:
-        return float(len(a) == len(b))
-    return len(set(a) & set(b)) / min(len(a), len(b))
+    if len(a[1]) / a[0] > len(b[1]) / b[0]:
+        a, b = b, a
+    if not a[1]:
+        return float(not b[1])
+    limit = -(2**63) + min(a[0], b[0]) * 2**64
+    mine = {h for h in a[1] if h < limit or a[0] == b[0] == 1}
+    return len(mine & set(b[1])) / len(mine) if mine else 0.0
 
 
 def check_edits(spark, rows, got):
@@ -88,8 +94,8 @@ def check_edits(spark, rows, got):
     for i, (doc, text) in enumerate(order):
         r = got[doc]
         assert r.n_chars == len(text or "") and r.edited_sha256 == hashlib.sha256(edited[i].encode()).hexdigest()
-        assert r.fingerprint == "".join(f"{h & (1 << 64) - 1:016x}" for h in sk[i])
-        assert r.edited_fingerprint == "".join(f"{h & (1 << 64) - 1:016x}" for h in ek[i])
+        assert r.fingerprint == "".join(f"{h & (1 << 64) - 1:016x}" for h in sk[i][1])
+        assert r.edited_fingerprint == "".join(f"{h & (1 << 64) - 1:016x}" for h in ek[i][1])
         assert r.near_edited == pytest.approx(slow_containment(sk[i], ek[i])) and r.near_next == pytest.approx(slow_containment(sk[i], sk[(i + 1) % len(sk)]))
 
 
@@ -98,10 +104,7 @@ def test_sketch_query_against_brute_force(spark):
     check_edits(spark, rows, {r.doc_id: r for r in queries.op8_scaled_sketch(spark, SF).collect()})
 
 
-def test_next_document_with_scattered_ids(spark, monkeypatch, tmp_path):
-    from loomgraph.llm import scaled_sketch
-
-    monkeypatch.setattr(scaled_sketch, "CELL_ROWS", 3)
+def test_next_document_with_scattered_ids(spark, tmp_path):
     rng = random.Random(9)
     ids = sorted({rng.choice([rng.randint(-50, 50), rng.randint(0, 10**15)]) for _ in range(150)})
     rows = [(i, rng.choice([None, "", " ", "w " * rng.randint(1, 30), f"text {i} é "]) if rng.random() < 0.3 else " ".join(f"w{rng.randint(0, 99)}" for _ in range(rng.randint(1, 80)))) for i in ids]
@@ -110,12 +113,27 @@ def test_next_document_with_scattered_ids(spark, monkeypatch, tmp_path):
 
 
 def test_sketches_merge(spark):
-    a, b = "a b c d e f g h i j k l m n o p", "q r s t u v w x y z aa bb cc dd"
-    df = spark.createDataFrame([(a, b)], "a string, b string")
-    df = with_sketch(with_sketch(df, "a", "sa"), "b", "sb")
-    r = df.select("sa", "sb", merge(F.col("sa"), F.col("sb")).alias("m"), containment(F.col("sa"), merge(F.col("sa"), F.col("sb"))).alias("c")).first()
-    limit = -(2**63) + FRACTION * 2**64
-    assert r.m == (sorted(h for h in {*r.sa, *r.sb} if h < limit) or [min(r.sa + r.sb)]) and r.c == 1.0
+    rng = random.Random(5)
+    texts = [" ".join(f"{p}{rng.randint(0, 10**6)}" for _ in range(n)) for p, n in (("a", 40), ("b", 5000), ("c", 300))]
+    df = spark.createDataFrame([(a, b, f"{a} {b}") for a in texts for b in texts if a != b], "a string, b string, both string")
+    for name in ("a", "b", "both"):
+        df = with_sketch(df, name, f"s{name}")
+    a, b, m = F.col("sa"), F.col("sb"), merge(F.col("sa"), F.col("sb"))
+    for r in df.select("sa", "sb", "sboth", m.alias("m"), contained(a, m).alias("c"), contained(a, b).alias("none")).collect():
+        assert r.m.fraction == min(r.sa.fraction, r.sb.fraction) and r.c in (1.0, None) and r.none in (0.0, None)
+        # The words around the seam make a few shingles of their own.
+        assert r.m.fraction >= r.sboth.fraction and set(h for h in r.m.hashes if h < -(2**63) + r.sboth.fraction * 2**64) <= set(r.sboth.hashes)
+
+
+def test_short_texts_inside_a_long_one(spark):
+    rng = random.Random(6)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(4000)]
+    long = " ".join(words)
+    rows = [(" ".join(words[i : i + n]), long) for n in (6, 12, 60) for i in range(0, 3900, 13)]
+    df = with_sketch(with_sketch(spark.createDataFrame(rows, "a string, b string"), "a", "sa"), "b", "sb")
+    got = [(len(r.a.split()), r.c) for r in df.select("a", containment(F.col("sa"), F.col("sb")).alias("c")).collect()]
+    assert {c for _, c in got} == {1.0, None}
+    assert sum(c is None for n, c in got if n == 60) < 0.1 * sum(n == 60 for n, _ in got)
 
 
 def test_sketch_odd_rows(spark):
