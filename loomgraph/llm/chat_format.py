@@ -39,15 +39,12 @@ def unescape_role(role: Column) -> Column:
     return F.replace(out, F.lit("\\s"), F.lit("\\"))
 
 
-def branches(messages: DataFrame, tree: str, node: str, parent: str, score: str | None, work: Workspace) -> tuple[DataFrame, list[DataFrame]]:
-    """(tree, leaf, depth, score) of every root-to-leaf path, and the tables of ancestors 2^k above.
+def branches(base: DataFrame, work: Workspace) -> tuple[DataFrame, list[DataFrame]]:
+    """base: tree, node, up, score, a row a message -> (tree, leaf, depth, score) of every root-to-leaf path, and the tables of ancestors 2^k above.
 
     Messages on a cycle reach no root and are in no path.  A parent that the
     tree does not hold counts as none.
     """
-    own = F.coalesce(F.col(score).cast("double"), F.lit(0.0)) if score else F.lit(0.0)
-    base = messages.select(F.col(tree).alias("tree"), F.col(node).alias("node"), F.col(parent).alias("up"), own.alias("score"))
-    base = work.save(base.where("node is not null").groupBy("tree", "node").agg(F.min("up").alias("up"), F.min("score").alias("score")), "replies")
     # All these tables grow with the messages: joined by sort-merge, never broadcast.
     known = base.select(F.col("tree").alias("t"), F.col("node").alias("n")).hint("merge")
     found = base.join(known, base.tree.eqNullSafe(known.t) & (base.up == known.n), "left")
@@ -93,10 +90,16 @@ def format_conversations(
     past-the-end code point of its text in ``formatted``, and whether the loss
     falls on it (its role is ``learn``).  Null role or text counts as empty; a
     null tree is a tree of its own.  Of messages that share tree and id the
-    first by (role, text) counts.
+    first by (role, text, parent, score) counts, with all that it says.
+    Messages without an id are left out.  A very long text is one row of one
+    task; more columns are ignored.
     """
     work = Workspace(messages.sparkSession, "chat")
-    ends, levels = branches(messages, tree, node, parent, score, work)
+    own = F.coalesce(F.col(score).cast("double"), F.lit(0.0)) if score else F.lit(0.0)
+    whole = F.struct(text_or_empty(role).alias("role"), text_or_empty(text).alias("text"), F.col(parent).alias("up"), own.alias("score"))
+    base = messages.where(F.col(node).isNotNull()).select(F.col(tree).alias("tree"), F.col(node).alias("node"), whole.alias("m"))
+    base = work.save(base.groupBy("tree", "node").agg(F.min("m").alias("m")).select("tree", "node", "m.*"), "replies")
+    ends, levels = branches(base.select("tree", "node", "up", "score"), work)
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
     ranked = ends.withColumn("branch_rank", rank)
     chosen = work.save(ranked if best is None else ranked.where(F.col("branch_rank") <= best), "branches")
@@ -106,8 +109,7 @@ def format_conversations(
         step = levels[k].where("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up").hint("merge")
         higher = path.join(step, path.tree.eqNullSafe(step.t) & (path.node == step.n))
         path = work.save(path.unionByName(higher.select(*about, F.col("up").alias("node"), (F.col("above") + (1 << k)).alias("above"))), "path")
-    said = messages.select(F.col(tree).alias("t"), F.col(node).alias("n"), F.struct(text_or_empty(role).alias("role"), text_or_empty(text).alias("text")).alias("said"))
-    said = said.groupBy("t", "n").agg(F.min("said").alias("said")).hint("merge")
+    said = base.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.struct("role", "text").alias("said")).hint("merge")
     turns = path.join(said, path.tree.eqNullSafe(said.t) & (path.node == said.n))
     head = F.concat(F.lit(START), escape_role(F.col("said.role")), F.lit("\n"))
     turns = turns.select(*about, "above", head.alias("head"), escape(F.col("said.text")).alias("body"), (F.col("said.role") == learn).alias("loss"))
@@ -166,3 +168,15 @@ def turns_as_replies(conversations: DataFrame) -> DataFrame:
     at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
     numbered = conversations.select("conv_id", at.alias("node"), "role", "text")
     return numbered.select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text")
+
+
+def turns_as_tree(conversations: DataFrame, width: int = 2) -> DataFrame:
+    """Rows by turn as a tree: conv_id, node, parent, role, text, score.
+
+    Turn n answers turn n // ``width``, as if each turn had been answered
+    ``width`` times; a reply's score is the length of its text.  A stand-in for
+    tables that hold trees.
+    """
+    rows = turns_as_replies(conversations).drop("parent")
+    parent = F.floor(F.col("node") / width).cast("long")
+    return rows.select("conv_id", "node", F.when(parent > 0, parent).alias("parent"), "role", "text", F.length("text").cast("double").alias("score"))

@@ -104,4 +104,23 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-ORACLE: dict[str, str] = {"op2_chat_format": OP2, "op5_source_mixing": OP5, "op9_quality": OP9, "op10_topk": OP10}
+TREES = r"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS node, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+), marked AS (
+  SELECT conv_id, node, role, length(text) AS score, length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) AS n_body,
+         '<|im_start|>' || replace(replace(replace(role, '\', '\s'), chr(10), '\n'), '<', '\l') || chr(10) || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '<|im_end|>' || chr(10) AS block FROM turns
+), paths AS (
+  SELECT conv_id, node, score, 1 AS n_turns, block AS formatted, CASE WHEN role = 'assistant' THEN n_body ELSE 0 END AS loss_chars FROM marked WHERE node = 1
+  UNION ALL
+  SELECT m.conv_id, m.node, p.score + m.score, p.n_turns + 1, p.formatted || m.block, p.loss_chars + CASE WHEN m.role = 'assistant' THEN m.n_body ELSE 0 END
+  FROM paths p JOIN marked m ON m.conv_id = p.conv_id AND m.node // 2 = p.node AND m.node > 1
+), leaves AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, node) AS INTEGER) AS branch_rank FROM paths p
+  WHERE NOT EXISTS (SELECT 1 FROM marked m WHERE m.conv_id = p.conv_id AND m.node > 1 AND m.node // 2 = p.node)
+)
+SELECT conv_id, node AS leaf, branch_rank, CAST(score AS BIGINT) AS branch_score, CAST(n_turns AS BIGINT) AS n_turns, sha256(formatted) AS formatted_sha256, CAST(loss_chars AS BIGINT) AS loss_chars
+FROM leaves WHERE branch_rank <= 3
+"""
+
+ORACLE: dict[str, str] = {"reply_trees": TREES, "op2_chat_format": OP2, "op5_source_mixing": OP5, "op9_quality": OP9, "op10_topk": OP10}

@@ -47,6 +47,16 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best branches of each reply tree, turns of a conversation taken as a binary tree."""
+    tree = chat_format.turns_as_tree(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    out = chat_format.format_conversations(tree, score="score", best=3)
+    return out.select(
+        "conv_id", "leaf", "branch_rank", F.col("branch_score").cast("long").alias("branch_score"), "n_turns", F.sha2("formatted", 256).alias("formatted_sha256"),
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + F.when(x.loss, x.stop - x.start).otherwise(0).cast("long")).alias("loss_chars"),
+    )
+
+
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -108,7 +118,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_sentencepiece, op2_chat_format, op3_html_extract, op4_token_counts, op5_source_mixing, op6_line_dedup, op7_simhash_dedup, op8_scaled_sketch, op9_quality, op10_topk)
+        for f in (op1_sentencepiece, op2_chat_format, op3_html_extract, op4_token_counts, op5_source_mixing, op6_line_dedup, op7_simhash_dedup, op8_scaled_sketch, op9_quality, op10_topk, reply_trees)
     }
 
 

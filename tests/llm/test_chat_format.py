@@ -71,3 +71,22 @@ def test_long_chain_and_odd_turns(spark):
     assert got[5].texts == [r[3] for r in rows[:300]] and got[5].m == "".join(r[3] for r in rows[:300] if r[2] == "assistant")
     assert got[6].roles == ["", "sys\ntem<|", "sys\ntem<|"] and got[6].texts == ["", "", ""]
     assert got[7].texts == ["x" * 200_000]
+
+
+def test_of_repeated_ids_one_whole_message_counts(spark):
+    rows = [(1, 1, None, "user", "root", 0.0), (1, 3, 1, "user", "three", 0.0), (1, 2, 1, "user", "b text", 5.0), (1, 2, 3, "user", "a text", 1.0), (1, None, 1, "user", "no id", 1.0)]
+    out = format_conversations(spark.createDataFrame(rows, SCHEMA), "tree", "node", "parent", score="score").collect()
+    assert [(r.leaf, r.n_turns, r.branch_score) for r in out] == [(2, 3, 1.0)] and out[0].formatted.count("text") == 1 and "three" in out[0].formatted
+
+
+def test_reply_trees_against_sql(spark):
+    import duckdb
+    from loomgraph.llm.oracle import ORACLE
+
+    c = duckdb.connect()
+    c.sql(f"create view conversations as select * from '{SF}/conversations.parquet'")
+    want = c.sql(ORACLE["reply_trees"]).df()
+    got = queries.reply_trees(spark, SF).toPandas()
+    assert sorted(got.columns) == sorted(want.columns)
+    order = ["conv_id", "branch_rank"]
+    assert got[sorted(got.columns)].sort_values(order).values.tolist() == want[sorted(want.columns)].sort_values(order).values.tolist()
