@@ -41,6 +41,50 @@ def test_furniture_is_left_out():
         assert main_text(html[: html.rindex("</body>")]) == WANT, page
 
 
+PARA = ["The first paragraph of this text has quite a few words, so that it looks like prose.", "A second one follows it, and it too goes on for a while before it ends with a stop.", "The third says that nothing here is marked as an article, only by how dense it is."]
+LINKS = "".join(f'<div><a href="/{i}">Section {i} of the site</a></div>' for i in range(8))
+PROSE = "".join(f"<div>{p}</div>" for p in PARA)
+#: Pages without article or main, hand-made: (page, text).
+DENSE = [
+    (f"<body><div>{LINKS}</div><div><h1>Top</h1>{PROSE}</div><div>{LINKS}</div></body>", ["Top", *PARA]),
+    (f"<body>{LINKS}<h1>Top</h1>{PROSE}{LINKS}</body>", ["Top", *PARA]),
+    (f"<body><form id='aspnetForm'><div class='nav'>Home</div><h1>Top</h1>{PROSE}<input name=q></form></body>", ["Top", *PARA]),
+    (f"<body><div class='post no-sidebar'><h1>Top</h1>{PROSE}</div><div class='sidebar'>{PARA[0]}</div></body>", ["Top", *PARA]),
+    (f"<body><div class='sidebar-left'><div class='sidebar'>Side words here</div><h1>Top</h1>{PROSE}</div></body>", ["Top", *PARA]),
+    (f"<body><div><h1>Top</h1><div>{PARA[0]}</div><p><a href=x>a paragraph that is wholly one link</a></p><div>{PARA[1]}</div><div class=ad>Buy this</div><div>{PARA[2]}</div></div></body>", ["Top", PARA[0], "a paragraph that is wholly one link", *PARA[1:]]),
+    (f"<body><div><h1>Top</h1>{PROSE}</div><div id='comments'><h3>Comments</h3>{PROSE * 3}</div></body>", ["Top", *PARA]),
+    (f"<body><div><h2>Top</h2><table><tr><td>cell one</td><td>cell two</td></tr></table>{PROSE}</div><footer>{PARA[0]}</footer></body>", ["Top", "cell one cell two", *PARA]),
+]
+
+
+def test_pages_without_an_article():
+    for page, want in DENSE:
+        assert main_text(page) == "\n\n".join(want), page
+
+
+def test_the_clusters_decide(monkeypatch):
+    from loomgraph.llm import html_extract
+
+    monkeypatch.setattr(html_extract, "THRESHOLD", -1.0)  # every line counts as content
+    assert sum(main_text(page) != "\n\n".join(want) for page, want in DENSE) >= 6
+    pages = [p.format(ARTICLE) for p in AROUND]
+    assert sum(main_text(f"<html><body>{p}</body></html>") != WANT for p in pages) >= 3
+
+
+def test_whole_page_form_and_article():
+    assert main_text(f"<body><form id='aspnetForm'><article>{ARTICLE}</article></form></body>") == WANT
+    assert main_text(f"<body><div class='post no-sidebar'><article>{ARTICLE}</article></div></body>") == WANT
+
+
+def test_time_is_linear_in_nesting():
+    import time
+
+    for page in ("<div>" * 100_000 + "text of the page", "<div>text " * 60_000, "<p><b>" * 60_000 + "x", "<i>" * 60_000 + "</b>" * 60_000 + "x", "<ul>" + "<li><div>" * 60_000 + "x"):
+        began = time.process_time()
+        assert main_text(page)
+        assert time.process_time() - began < 8
+
+
 def test_odd_html(spark):
     assert main_text("") == "" and main_text("<html><body></body></html>") == "" and main_text("<p>") == ""
     assert main_text("just text") == "just text"
