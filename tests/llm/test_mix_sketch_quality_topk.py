@@ -193,7 +193,9 @@ def slow_top(rows, k, queries_):
 def test_topk_against_brute_force(spark, monkeypatch):
     from loomgraph.llm import topk
 
-    monkeypatch.setattr(topk, "BLOCK", 20)
+    monkeypatch.setattr(topk, "BLOCK", 20 * 72)
+    monkeypatch.setattr(topk, "SHARD", 300)
+    monkeypatch.setattr(topk, "AHEAD", 1)
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 8) / 8]) for i in range(2000)]  # many ties
     rows += [(3000, None), (3001, [1.0, None] + [0.0] * 6), (3002, [float("nan")] * 8), (3003, [1.0, 2.0]), (3004, [2.0, 1.0]), (3005, [])]
@@ -214,9 +216,33 @@ def test_topk_few_rows(spark):
     assert top_k(df.limit(0), df, "vec_id", "v").collect() == [] and top_k(df, df.limit(0), "vec_id", "v").collect() == []
 
 
+def test_the_bound_spares_leaves_of_clustered_vectors(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 16)) * 400
+    rows = [(i, [float(v) for v in np.floor(centres[i % 40] + rng.normal(size=16) * 10)]) for i in range(8000)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    report = {}
+    got = top_k(df, df.where("vec_id % 200 = 0"), "vec_id", "v", 10, report)
+    x = np.array([v for _, v in rows])
+    want = []
+    for q in range(0, 8000, 200):
+        s = x @ x[q]
+        best = [i for i in np.lexsort((np.arange(8000), -s)).tolist() if i != q][:10]
+        want += [(q, n + 1, i, int(s[i])) for n, i in enumerate(best)]
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert 0 < report["read"] < 0.5 * report["leaves"], report
+
+
+def test_scores_beyond_doubles(spark):
+    big = 2.0**29
+    df = spark.createDataFrame([(i, [big + i, big - i]) for i in range(150)], "vec_id long, v array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(df, df.where("vec_id = 100"), "vec_id", "v", 3).collect()]
+    assert [r[2] for r in sorted(got)] == [149, 148, 147]
+
+
 def test_ball_tree_bound_holds():
     rng = np.random.default_rng(1)
     tree = BallTree(rng.normal(size=(700, 5)) * 100)
     q = rng.normal(size=5)
-    for (a, b, _, _), c, r in zip(tree.nodes, tree.centre, tree.radius):
+    for (a, b, _, _), c, r in zip(tree.nodes.tolist(), tree.centre, tree.radius):
         assert (tree.points[a:b] @ q).max() <= q @ c + np.linalg.norm(q) * r + 1e-6
