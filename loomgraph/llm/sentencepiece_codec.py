@@ -34,6 +34,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text encoded at once, units advanced at once, and units remembered by a worker.
 SLICE = 4 << 20
 BLOCK = 1 << 15
+#: Units of equal length that are too few for columns: each is walked by itself, so that one very long unit costs a step a character.
+FEW = 12
 REMEMBERED = 800_000
 
 
@@ -70,6 +72,38 @@ def _advance(words: list[str], length: int, p: Probe) -> np.ndarray:
     return back
 
 
+def _walk(word: str, p: Probe) -> list[tuple[int, int]]:
+    """(piece, start) of the best path of one unit, by the rules of _advance."""
+    n, longest = len(word), p.vocabulary.longest
+    index, scores = p.index, p.scores
+    bpe = p.vocabulary.kind == BPE
+    best = [np.float32(0)] + [None] * n
+    back: list[tuple[int, int]] = [(-1, 0)] * (n + 1)
+    for end in range(1, n + 1):
+        for start in range(max(0, end - longest), end):
+            piece = index.get(word[start:end], -1)
+            if piece < 0:
+                if start < end - 1:
+                    continue
+                piece = p.size
+            if best[start] is None:
+                continue
+            if bpe:
+                last = back[start][0]
+                if piece < p.size and not p.pair_fits_one(-1 if last == p.size else last, piece):
+                    continue
+                value = best[start]
+            else:
+                value = best[start] + scores[piece]
+            if best[end] is None or value > best[end]:
+                best[end], back[end] = value, (piece, start)
+    out = []
+    while n:
+        out.append(back[n])
+        n = back[n][1]
+    return out[::-1]
+
+
 def encode_units(words: list[str], p: Probe) -> list[list[int]]:
     """Ids of each unit."""
     out: list[list[int]] = [[]] * len(words)
@@ -81,7 +115,18 @@ def encode_units(words: list[str], p: Probe) -> list[list[int]]:
         length = int(lengths[order[at]])
         end = min(int(np.searchsorted(lengths[order], length, "right")), at + max(1, BLOCK // max(1, length)) * 8)
         chosen = [words[i] for i in order[at:end].tolist()]
-        if length:
+        if length and len(chosen) < FEW:
+            for i, word in zip(order[at:end].tolist(), chosen):
+                found = []
+                for piece, start in _walk(word, p):
+                    if piece < p.size:
+                        found.append(int(ids[piece]))
+                    elif v.fallback:
+                        found.extend(v.unknown_ids(word[start]))
+                    elif not found or found[-1] != v.unk:
+                        found.append(v.unk)
+                out[i] = found
+        elif length:
             back = _advance(chosen, length, p)
             width = np.append(p.lengths[: p.size], 1)
             where = np.full(len(chosen), length)
@@ -206,7 +251,9 @@ def _codec(vocabulary: Vocabulary):
 def encode_and_decode(docs: DataFrame, text_col: str = "text", model: str = MODEL, ids: str = "piece_ids", decoded: str = "decoded") -> DataFrame:
     """docs with two more columns: the piece ids of the text and the text that they decode to.
 
-    Null and empty texts have no pieces and decode to an empty text.  Decoding
+    Null and empty texts have no pieces and decode to an empty text.  Repeated
+    rows are encoded each for itself; a very long text, or one long unit without
+    spaces, takes time in proportion to its length.  Decoding
     gives the text back, but for U+2581, which a model file cannot tell from a
     space.  Columns of docs that bear the new names are replaced.  No shuffle.
     The model file is read by the driver.

@@ -93,6 +93,7 @@ class Probe:
         self.likely[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
         self.scores = np.append(v.scores, v.unknown_score)
         self.rank = dict(zip(v.pieces, v.scores.tolist()))
+        self.index = {x: i for i, x in enumerate(v.pieces)}
         self._pairs: dict[int, bool] = {}
         self._none = self._main = self._recent = (np.zeros(0, np.int64), np.zeros(0, bool))
 

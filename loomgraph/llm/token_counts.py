@@ -134,7 +134,8 @@ def _counted(vocabulary: Vocabulary):
 def count_tokens(docs: DataFrame, text_col: str = "text", model: str = MODEL, name: str = "n_tokens") -> DataFrame:
     """docs without the text column, with the number of tokens of the text (long).
 
-    Null and empty texts count 0.  A column of docs that bears the new name is
+    Null and empty texts count 0; repeated rows count each for itself; a very
+    long text or unit takes time in proportion to its length.  A column of docs that bears the new name is
     replaced.  No shuffle; the model file is read by the driver.
     """
     vocabulary = Vocabulary.read(model)

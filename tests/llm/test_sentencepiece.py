@@ -85,3 +85,20 @@ def test_odd_rows(spark):
     assert counts.columns == ["doc_id", "decoded", "n_tokens"]
     assert sorted(r.n_tokens for r in counts.collect()) == sorted(len(library.encode(t or "")) for _, t, _ in rows)
     assert encode_and_decode(docs.limit(0)).collect() == [] and count_tokens(docs.limit(0)).collect() == []
+
+
+def test_one_very_long_unit():
+    import random
+    import time
+
+    import pyarrow as pa
+    import sentencepiece
+    from loomgraph.llm.sentencepiece_codec import MODEL, Encoder
+    from loomgraph.llm.spm import Vocabulary
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefghij中文字é") for _ in range(n)) for n in (40_000, 3000, 3000, 7)]
+    began = time.process_time()
+    got = Encoder(Vocabulary.read(MODEL)).encode(pa.array(texts)).to_pylist()
+    assert time.process_time() - began < 20
+    assert got[1:] == [sentencepiece.SentencePieceProcessor(model_file=MODEL).encode(t) for t in texts[1:]]
