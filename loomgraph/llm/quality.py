@@ -144,7 +144,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(id, host, path, evidence, prior, probability): a row a document; kept if the probability is LEAST or more.
 
     Null hosts and paths are groups of their own.  A document that several
-    labels name counts as good if one says so.
+    labels name counts as good if one says so.  Null texts count as empty,
+    repeated rows each for itself; a very long text is looked at as a whole.
+    Equal evidence gives equal results, so ties need no rule.  Columns of docs
+    are read by name only, so others may have any name.
     """
     work = Workspace(docs.sparkSession, "quality")
     model = fit(mark(docs, id_col, text_col, host_col, path_col), labels, work, id_col, label)

@@ -48,6 +48,11 @@ def form_topic(text: str | Column) -> Column:
     )
 
 
+def draw_key(id_col: str, text_col: str) -> Column:
+    """What the sample goes by: the id, without one a hash of the text."""
+    return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.md5(text_or_empty(text_col))))
+
+
 def unit_hash(key: str, seed: str = SEED) -> Column:
     """A number in [0, 1) that depends on the key and the seed alone."""
     digest = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}")))
@@ -115,24 +120,32 @@ def mix(
     source_col: str = "source",
     lang_col: str = "lang",
     topic: Column | None = None,
+    tokens: Column | None = None,
     targets: dict[str, dict[str, float]] | None = None,
     budget: float = BUDGET,
     seed: str = SEED,
 ) -> tuple[DataFrame, DataFrame]:
     """(marks, cells): a row a document with its cell, n_tokens, factor, probability and sampled; and the table of cells.
 
-    Documents without tokens keep the probability 1 (they weigh nothing in any
-    mix).  Rows that share an id are sampled together.
+    ``topic`` and ``tokens`` are columns of docs where there are such, as a
+    tokenizer's counts; else topics go by the form of a text and tokens are the
+    parts between spaces and line feeds, both in the plan itself.  Documents
+    without tokens (null or empty text) keep the probability 1, as they weigh
+    nothing in any mix.  Rows that share an id are sampled together, rows
+    without one by their text; the cells do not depend on the rows' order.  A
+    very long text weighs by its tokens.  Columns of docs are read by name
+    only, so others may have any name.
     """
     work = Workspace(docs.sparkSession, "mix")
     topic = form_topic(text_col) if topic is None else topic
+    tokens = token_count(text_col) if tokens is None else F.coalesce(tokens.cast("long"), F.lit(0).cast("long"))
     marks = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), topic.alias("topic"), token_count(text_col).alias("n_tokens")
+        F.col(id_col).alias("id"), draw_key(id_col, text_col).alias("draw"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), topic.alias("topic"), tokens.alias("n_tokens")
     )
     marks = work.save(marks, "marks")
     counts = work.save(marks.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens")), "counts")
     cells = work.save(probabilities(rake(counts, work, targets), work, budget), "probabilities")
-    return with_probability(marks, cells, "id", seed), cells
+    return with_probability(marks, cells, "draw", seed).drop("draw"), cells
 
 
 def with_probability(rows: DataFrame, cells: DataFrame, id_col: str, seed: str = SEED) -> DataFrame:
@@ -144,8 +157,19 @@ def with_probability(rows: DataFrame, cells: DataFrame, id_col: str, seed: str =
     return out.withColumn("sampled", unit_hash(id_col, seed) < F.col("probability"))
 
 
-def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", budget: float = BUDGET, seed: str = SEED) -> DataFrame:
-    """The sampled documents; columns unchanged, no shuffle of texts."""
-    _, cells = mix(docs, id_col, text_col, source_col, lang_col, budget=budget, seed=seed)
-    rows = docs.select(F.struct(*docs.columns).alias("whole"), F.col(id_col).alias("mix_id"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), form_topic(text_col).alias("topic"))
-    return with_probability(rows, cells, "mix_id", seed).where("sampled").select("whole.*")
+def sample(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    lang_col: str = "lang",
+    topic: Column | None = None,
+    tokens: Column | None = None,
+    budget: float = BUDGET,
+    seed: str = SEED,
+) -> DataFrame:
+    """The sampled documents; columns unchanged, no shuffle of texts.  See ``mix`` for odd rows."""
+    _, cells = mix(docs, id_col, text_col, source_col, lang_col, topic, tokens, budget=budget, seed=seed)
+    own = form_topic(text_col) if topic is None else topic
+    rows = docs.select(F.struct(*docs.columns).alias("whole"), draw_key(id_col, text_col).alias("draw"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), own.alias("topic"))
+    return with_probability(rows, cells, "draw", seed).where("sampled").select("whole.*")

@@ -42,6 +42,15 @@ def test_sampling_follows_the_probabilities(spark):
     assert sample(docs).count() == marks.where("sampled").count()
 
 
+def test_given_topics_and_tokens_and_rows_without_ids(spark):
+    rows = [(None, f"text number {i}", "s", "en", f"t{i % 2}", 1 + 9 * (i % 2)) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, subject string, counted long")
+    marks, cells = mix(docs, topic=F.col("subject"), tokens=F.col("counted"))
+    assert {(r.topic, r.tokens) for r in cells.collect()} == {("t0", 2000), ("t1", 20000)}
+    got = {r.topic: (r.p, r.s) for r in marks.groupBy("topic").agg(F.avg("probability").alias("p"), F.avg(F.col("sampled").cast("int")).alias("s")).collect()}
+    assert got["t0"][0] > got["t1"][0] and all(abs(p - s) < 0.05 for p, s in got.values())
+
+
 def test_mixing_odd_rows(spark):
     rows = [(1, None, None, None, "x"), (2, "", "src", "en", "x"), (None, "a b c", None, "en", "x"), (4, "a b " * 50_000, "src", None, None), (4, "a b", "src", "en", "x"), (4, "a b", "src", "en", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, probability string")
