@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .graph import Graph
 from .operators import analytics, build, community, contracts, exports, history, metrics, primitives, pulls, readiness, resolution, retrieval, traversal, vuln
 from .plans import builder, patterns
-from .queries import SQL, _transactions, graph_query, table_query
+from .queries import _SURPRISE, _transactions, graph_query, table_query
 from .sources import ingest
 
 
@@ -18,14 +18,14 @@ def _typed(g: Graph) -> Graph:
     uses, needs = e.where("relation = 'uses'").select("src", F.col("dst").alias("mid")), e.where("relation = 'depends_on'").select(F.col("src").alias("mid"), "dst")
     ref = lambda df, context: df.select("src", "dst", F.lit("references").alias("relation"), F.lit(context).alias("context"), F.lit("INFERRED").alias("confidence"), F.lit(1.0).alias("weight")).distinct()
     made = ref(uses.join(needs, "mid"), "return_type")
-    back = ref(e.where("relation = 'method'").select(F.col("dst").alias("src"), F.col("src").alias("dst")).where("cast(substring(src, 7) as bigint) % 7 = 0"), "return_type")
+    back = ref(e.where("relation = 'method'").select(F.col("dst").alias("src"), F.col("src").alias("dst")), "return_type")
     held = e.where("relation = 'contains'")
     near = held.where("dst like 'customer:%'").select("src", F.col("dst").alias("a")).join(held.where("dst like 'supplier:%'").select("src", F.col("dst").alias("b")), "src").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     implements = e.where("relation = 'depends_on'").withColumn("relation", F.lit("implements"))
     return g.with_(edges=e.unionByName(made).unionByName(back).unionByName(ref(near, "field")).unionByName(implements))
 
 
-@graph_query("SELECT 'customer:' || o_custkey AS id FROM orders WHERE o_orderkey % 7 = 0 GROUP BY o_custkey")
+@graph_query("SELECT 'customer:' || o_custkey AS id FROM orders GROUP BY o_custkey")
 def pattern_singletons(g: Graph) -> DataFrame:
     return patterns.singletons(_typed(g))
 
@@ -62,11 +62,11 @@ def effective_loc(g: Graph) -> DataFrame:
     return primitives.effective_loc(g.with_(nodes=n))
 
 
-@graph_query("SELECT src, dst, relation, context, string_agg(seq, ',' ORDER BY seq) AS sites FROM (SELECT DISTINCT src, dst, relation, context, seq FROM links WHERE relation = 'uses') GROUP BY 1, 2, 3, 4 HAVING count(*) > 1")
+@graph_query("SELECT src, dst, relation, context, string_agg(seq, ',' ORDER BY seq) AS sites FROM (SELECT DISTINCT src, dst, relation, context, seq FROM links) GROUP BY 1, 2, 3, 4 HAVING count(*) > 1")
 def merged_sites(g: Graph) -> DataFrame:
     from .sources.tables import links
 
-    raw = links(g.spark, _folder_of(g)).where("relation = 'uses'")
+    raw = links(g.spark, _folder_of(g))
     marked = raw.withColumn("source_file", F.col("seq").cast("string")).withColumn("source_location", F.lit("L1"))
     out = build.merge_sites(marked)
     return out.where(F.size("sites") > 1).select("src", "dst", "relation", "context", F.array_join(F.transform("sites", lambda s: s.source_file), ",").alias("sites"))
@@ -121,9 +121,9 @@ def resolve_calls(g: Graph) -> DataFrame:
     return resolution.resolve_calls(some, calls, imports).select("call", "target", "step")
 
 
-@table_query("SELECT l_orderkey || '/' || l_linenumber || '/' || l_partkey AS id, 't' || (l_partkey % 3) AS template FROM lineitem WHERE l_partkey % 4 < 3 AND l_partkey % 4 = l_partkey % 3 GROUP BY ALL")
+@table_query("SELECT l_orderkey || '/' || l_linenumber || '/' || l_partkey AS id, 't' || (l_partkey % 3) AS template FROM lineitem GROUP BY ALL")
 def match_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    item = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_partkey % 4 < 3 and l_partkey % 4 = l_partkey % 3")
+    item = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     shape = F.element_at(F.array(F.lit("/part/"), F.lit("/orders/"), F.lit("/a/b/")), (F.col("l_partkey") % 3 + 1).cast("int"))
     concrete = item.select(F.concat_ws("/", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey"))).alias("id"), F.concat(shape, F.col("l_partkey").cast("string")).alias("path")).distinct()
     templates = spark.createDataFrame([("t0", "/part/{id}"), ("t1", "/orders/:id"), ("t2", "/a/*"), ("t9", "/z/{x}/y")], "id string, path string")
@@ -185,29 +185,35 @@ def as_of_co_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("seed", "file").agg(F.count("*").alias("n"), F.sum("support").alias("support"), F.sum("seen").alias("seen"), F.sum(F.col("hit").cast("long")).alias("hits"))
 
 
-@graph_query("""WITH f AS (SELECT o_orderkey % 40 AS number, 'part/' || p_name AS path FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderkey <= 400 UNION SELECT o_orderkey % 40, 'customer/' || c_name FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey <= 400),
+@graph_query("""WITH f AS (SELECT o_orderkey AS number, 'part/' || p_name AS path FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey UNION SELECT o_orderkey, 'customer/' || c_name FROM orders JOIN customer ON c_custkey = o_custkey),
 h AS (SELECT DISTINCT number, community FROM f JOIN nodes ON split_part(path, '/', 1) = split_part(id, ':', 1) AND label = split_part(path, '/', 2) WHERE community IS NOT NULL)
 SELECT community, string_agg(number, ',' ORDER BY number) AS numbers FROM h GROUP BY 1 HAVING count(*) >= 2""")
 def pull_conflicts(g: Graph) -> DataFrame:
     some = g.edges.where("relation in ('uses', 'method')")
     orders = some.where("relation = 'uses'").select(F.col("src").alias("o"), F.col("dst").alias("id")).unionAll(some.where("relation = 'method'").select(F.col("dst").alias("o"), F.col("src").alias("id")))
     number = F.expr("cast(substring(o, 7) as bigint)")
-    files = orders.where(number <= 400).join(g.nodes.select("id", "label"), "id").select((number % 40).alias("number"), F.concat_ws("/", F.split_part("id", F.lit(":"), F.lit(1)), "label").alias("path")).distinct()
+    files = orders.join(g.nodes.select("id", "label"), "id").select(number.alias("number"), F.concat_ws("/", F.split_part("id", F.lit(":"), F.lit(1)), "label").alias("path")).distinct()
     return pulls.conflicts(files, g).select("community", F.array_join(F.transform("numbers", lambda n: n.cast("string")), ",").alias("numbers"))
 
 
-@graph_query("""WITH c AS (SELECT DISTINCT src, dst FROM edges WHERE relation = 'contains') SELECT path, count(*) AS n FROM (
-SELECT 2 AS path FROM nodes a, nodes b WHERE a.id = 'nation:3' AND b.id = 'region:1' AND (b.id, a.id) NOT IN (SELECT src, dst FROM c) LIMIT 0) GROUP BY 1
-UNION ALL SELECT 3, 1""")
-def path_length(g: Graph) -> DataFrame:
-    tree = g.with_(edges=g.edges.where("relation = 'contains'"))
-    start = tree.edges.where("src = 'nation:3' and dst like 'customer:%'").agg(F.min("dst")).first()[0]
-    end = tree.edges.where("src = 'nation:3' and dst like 'supplier:%'").agg(F.min("dst")).first()[0]
-    found = traversal.shortest_path(tree, start, end) if start and end else None
-    return g.spark.createDataFrame([(len(found) if found else 3, 1)], "path int, n long")
+#: The first customer, and of the customers that hang at the same root the last one.
+_ENDS = """c AS (SELECT DISTINCT dst AS id, src AS up FROM edges WHERE relation = 'contains'),
+k AS (SELECT a.id, b.up AS root FROM c a JOIN c b ON b.id = a.up WHERE a.id LIKE 'customer:%'),
+ends AS (SELECT min(id) AS first, max(id) FILTER (root = (SELECT arg_min(root, id) FROM k)) AS last FROM k)"""
 
 
-SQL.pop("path_length")
+@graph_query(f"""WITH {_ENDS},
+n AS (SELECT id AS a, up AS b FROM c UNION ALL SELECT up, id FROM c),
+walk AS (WITH RECURSIVE w AS (SELECT first AS id, [first] AS path FROM ends UNION ALL SELECT n.b, list_append(path, n.b) FROM w JOIN n ON n.a = w.id WHERE NOT list_contains(path, n.b)) SELECT * FROM w)
+SELECT CAST(unnest(range(len(path))) AS INTEGER) AS position, unnest(path) AS id FROM walk WHERE id = (SELECT last FROM ends)""")
+def path_between_customers(g: Graph) -> DataFrame:
+    tree = g.with_(edges=g.edges.where("relation = 'contains'"))
+    up = tree.edges.select(F.col("dst").alias("id"), F.col("src").alias("up"))
+    k = up.where("id like 'customer:%'").join(up.select(F.col("id").alias("up"), F.col("up").alias("root")), "up")
+    first = k.agg(F.min("id"), F.min_by("root", "id")).first()
+    last = k.where(F.col("root") == first[1]).agg(F.max("id")).first()[0]
+    found = traversal.shortest_path(tree, first[0], last)
+    return g.spark.createDataFrame(list(enumerate(found or [])), "position int, id string")
 
 
 @graph_query()
@@ -216,9 +222,13 @@ def edge_betweenness(g: Graph) -> DataFrame:
     return community.betweenness(g.with_(nodes=some, edges=build.drop_dangling(g.edges, some)), edges=True)
 
 
-@graph_query("SELECT family, count(*) > 0 AS \"any\" FROM (SELECT 1 AS family UNION ALL SELECT 2 UNION ALL SELECT 3) GROUP BY 1")
-def question_families(g: Graph) -> DataFrame:
-    return analytics.questions(g, 9).where("family <= 3").groupBy("family").agg((F.count("*") > 0).alias("any"))
+@graph_query(_SURPRISE + """, h AS (SELECT id, count(DISTINCT n) AS k FROM (SELECT src AS id, dst AS n FROM edges WHERE weight > 0 AND src <> dst UNION ALL SELECT dst, src FROM edges WHERE weight > 0 AND src <> dst) GROUP BY id)
+SELECT 1 AS family, 'What depends on ' || label || '?' AS question, id FROM (SELECT nodes.* FROM nodes JOIN h USING (id) ORDER BY k DESC, id LIMIT 3)
+UNION ALL SELECT 2, 'Why is ' || src_label || ' linked to ' || dst_label || '?', src FROM (SELECT * FROM s ORDER BY score DESC, src_label, dst_label, src, dst, relation, context LIMIT 3)
+UNION ALL SELECT 3, 'Is ' || src || ' really linked to ' || dst || '?', src FROM (SELECT DISTINCT src, dst FROM edges WHERE confidence = 'AMBIGUOUS' ORDER BY 1, 2 LIMIT 3)
+UNION ALL SELECT 4, 'What is ' || label || ' for?', id FROM (SELECT * FROM nodes WHERE id NOT IN (SELECT src FROM edges UNION ALL SELECT dst FROM edges) ORDER BY id LIMIT 3)""")
+def suggested_questions(g: Graph) -> DataFrame:
+    return analytics.questions(g, 12)
 
 
 @table_query(r"""SELECT 'file:documents/' || doc_id || '.py' AS src, count(*) AS n FROM (SELECT doc_id, unnest(range(doc_id % 3)) AS k FROM documents) GROUP BY 1""")

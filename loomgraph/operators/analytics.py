@@ -129,7 +129,7 @@ def components(pairs: DataFrame, label: DataFrame | None = None) -> DataFrame:
         labels = new
 
 
-def strong_components(pairs: DataFrame, most: int = 50) -> DataFrame:
+def strong_components(pairs: DataFrame) -> DataFrame:
     """(id, component) of all strongly connected groups of two nodes or more, and of nodes with a loop.
 
     Forward and backward minimum labels: nodes that share both lie in one group;
@@ -139,9 +139,7 @@ def strong_components(pairs: DataFrame, most: int = 50) -> DataFrame:
     loops = p.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("component"))
     rest = p.where("a <> b")
     found = []
-    for _ in range(most):
-        if is_empty(rest):
-            break
+    while not is_empty(rest):  # a round settles at least the group of the smallest id
         ids = rest.select(F.col("a").alias("id")).unionAll(rest.select(F.col("b").alias("id"))).distinct()
 
         def spread(here: str, there: str, ids: DataFrame = ids, rest: DataFrame = rest) -> DataFrame:

@@ -73,14 +73,21 @@ def wiki_pages(g: Graph, most: int = 50) -> DataFrame:
     return j.select("community", text.alias("page"))
 
 
+#: Communities that a report lists; it says how many more there are.
+COMMUNITIES = 50
+
+
 def report(g: Graph, thin: int = 3) -> str:
     """A Markdown report of small aggregates: overview, hubs, surprises, communities."""
     s = stats(g).first()
+    shown = cohesion(g).where(F.col("size") >= thin).orderBy(F.desc("size"), "community")
     total = max(s.edges, 1)
     out = ["# Graph report", "", f"{s.nodes} nodes, {s.edges} links, {s.communities} communities", f"extracted {100 * s.extracted // total} %, inferred {100 * s.inferred // total} %, ambiguous {100 * s.ambiguous // total} %", "", "## Hubs"]
     out += [f"- {r.label}: {r.neighbours}" for r in god_nodes(g, 10).collect()]
     out += ["", "## Surprises"] + [f"- {r.src_label} {r.relation} {r.dst_label} ({r.score:g})" for r in surprising(g, 5).collect()]
-    out += ["", "## Communities"] + [f"- {r.community}: {r['size']} nodes, cohesion {r.cohesion:.3f}" for r in cohesion(g).where(F.col("size") >= thin).orderBy(F.desc("size"), "community").limit(50).collect()]
+    out += ["", "## Communities"] + [f"- {r.community}: {r['size']} nodes, cohesion {r.cohesion:.3f}" for r in shown.limit(COMMUNITIES).collect()]
+    more = shown.count() - COMMUNITIES
+    out += [f"- and {more} more"] if more > 0 else []
     return "\n".join(out) + "\n"
 
 

@@ -67,14 +67,15 @@ def subsystem_report(findings: DataFrame) -> DataFrame:
     return out.select("subsystem", "n", F.when(F.col("rank") == 0, "high").when(F.col("rank") == 1, "medium").otherwise("low").alias("worst")).orderBy(F.col("rank"), F.desc("n"), "subsystem")
 
 
-def text_scan(files: DataFrame, name: str, most: int = 500) -> DataFrame:
-    """(path, line, col): whole-word places of a name, in order, all to be reviewed."""
+def text_scan(files: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """(path, line, col): whole-word places of a name, in order, all to be reviewed; with ``most`` only the first so many."""
     quoted = r"\b\Q" + name + r"\E\b"
     hits = lines_of(files).where(F.contains("text", F.lit(name))).where(F.col("text").rlike(quoted))
     # Each place: the lengths of what stands before it add up.
     parts = F.split("text", quoted, -1)
     before = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda a, p: a + F.length(p)) + (i - 1) * len(name) + 1)
-    return hits.select("path", "line", F.explode(before).alias("col")).orderBy("path", "line", "col").limit(most)
+    places = hits.select("path", "line", F.explode(before).alias("col")).orderBy("path", "line", "col")
+    return places if most is None else places.limit(most)
 
 
 def candidates(nodes: DataFrame, name: str) -> DataFrame:
@@ -88,8 +89,9 @@ def select_target(nodes: DataFrame, name: str, node_id: str | None = None, file:
         some = some.where(F.col("id") == node_id)
     if file is not None:
         some = some.where(F.contains("source_file", F.lit(file)))
-    ids = [r.id for r in some.limit(20).collect()]
-    return ("one" if len(ids) == 1 else "none" if not ids else "ambiguous"), ids
+    ids = [r.id for r in some.limit(21).collect()]
+    how = "one" if len(ids) == 1 else "none" if not ids else "ambiguous" if len(ids) <= 20 else "ambiguous-more"
+    return how, ids[:20]
 
 
 def rename_plan(g: Graph, target: str, new_name: str, files: DataFrame | None = None, depth: int = 2) -> dict[str, DataFrame]:

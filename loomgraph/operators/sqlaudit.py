@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..graph import Graph
+from ..graph import Graph, cut
 
 # Rule ids with severity and category, and the words that they look for.
 RULES = {
@@ -204,18 +205,27 @@ def advise(g: Graph, sql: str) -> DataFrame:
     return rules.unionAll(unknown).unionAll(tenant).unionAll(plain).distinct().orderBy("rule_id", "detail")
 
 
+#: Query texts held by the driver at once.
+PLANS = 1000
+
+
 def audit_with_plans(g: Graph, plan, least: str = "info") -> DataFrame:
     """The audit, and a finding for each SELECT whose plan (a callable from SQL to an EXPLAIN text) scans in sequence.
 
-    Plans are asked for on the driver, one a distinct query text; at most a thousand of them.
+    Plans are asked for on the driver, one a distinct query text, a block of texts at a time.
     """
     base = audit(g, least)
     sql = F.get_json_object("extra", "$.sql")
-    texts = [r.sql for r in g.edges.where("relation = 'queries'").select(sql.alias("sql")).where("lower(ltrim(sql)) like 'select%'").distinct().orderBy("sql").limit(1000).collect()]
-    slow = [t for t in texts if explain_signal(plan(t))[0]]
-    if not slow:
+    texts = cut(g.edges.where("relation = 'queries'").select(sql.alias("sql")).where("lower(ltrim(sql)) like 'select%'").distinct(), "texts")
+    slow = None
+    for block in iter(lambda it=texts.toLocalIterator(): list(islice(it, PLANS)), []):
+        found = [(r.sql,) for r in block if explain_signal(plan(r.sql))[0]]
+        if found:
+            part = cut(g.spark.createDataFrame(found, "sql string"), "slow")
+            slow = part if slow is None else slow.unionAll(part)
+    if slow is None:
         return base
-    rows = g.edges.where(sql.isin(slow)).select("src", "dst", sql.alias("sql"))
+    rows = g.edges.select("src", "dst", sql.alias("sql")).join(slow, "sql")
     return base.unionAll(
         rows.select(
             F.lit("PERF-PLAN-001").alias("rule_id"), F.lit("medium").alias("severity"), F.lit("performance").alias("category"), F.lit("the plan scans a table in sequence").alias("text"),

@@ -38,8 +38,8 @@ def ownership(relation: str | Column = "relation") -> Column:
     return (F.col(relation) if isinstance(relation, str) else relation).rlike(OWNERSHIP)
 
 
-def shortest_path(g: Graph, start: str, end: str, most: int = 64) -> list[str] | None:
-    """Fewest undirected hops; of equal paths the one whose relations have the better class, then lower degree, then id.
+def shortest_path(g: Graph, start: str, end: str) -> list[str] | None:
+    """None if there is no path, however long.  Fewest undirected hops; of equal paths the one whose relations have the better class, then lower degree, then id.
 
     Each level keeps one trail a node; only the path itself comes to the driver.
     """
@@ -50,11 +50,12 @@ def shortest_path(g: Graph, start: str, end: str, most: int = 64) -> list[str] |
         return [start]
     e = g.edges.where("src <> dst")
     both = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), path_priority().alias("p")).unionAll(e.select(F.col("dst").alias("a"), F.col("src").alias("b"), path_priority().alias("p")))
-    steps = both.groupBy("a", "b").agg(F.min("p").alias("p")).join(degree(g.edges).select(F.col("id").alias("b"), "degree"), "b")
+    # Cut before the loop: a level reads the steps, it does not work them out again.
+    steps = cut(both.groupBy("a", "b").agg(F.min("p").alias("p")).join(degree(g.edges).select(F.col("id").alias("b"), "degree"), "b"), "steps")
     # The trail of a node compares as a breadth-first queue would serve it.
     front = g.spark.createDataFrame([(start, [])], "a string, trail array<struct<p:int,degree:bigint,id:string>>")
     seen = front.select(F.col("a").alias("b"))
-    for _ in range(most):
+    while True:
         step = F.array(F.struct(F.col("p").cast("int").alias("p"), F.col("degree").cast("bigint").alias("degree"), F.col("b").alias("id")))
         reached = front.join(steps, "a").join(seen, "b", "left_anti").select("b", F.concat("trail", step).alias("trail"))
         level = cut(reached.groupBy("b").agg(F.min("trail").alias("trail")), "level")
@@ -65,7 +66,6 @@ def shortest_path(g: Graph, start: str, end: str, most: int = 64) -> list[str] |
             return [start, *(t.id for t in got.trail)]
         front = level.select(F.col("b").alias("a"), "trail")
         seen = seen.unionAll(level.select("b"))
-    return None
 
 
 def explain_node(g: Graph, node_id: str) -> DataFrame:
@@ -81,16 +81,18 @@ def references(edges: DataFrame, node_id: str) -> DataFrame:
     return edges.where((F.col("dst") == node_id) & ~ownership()).select("src", "relation").distinct()
 
 
-def affected(g: Graph, seeds: list[str], depth: int, relations: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
-    """(id, depth, via): what depends on the seeds over the relations, with the least depth and the smallest relation there.
+def affected(g: Graph, seeds: list[str] | DataFrame, depth: int, relations: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """(id, depth, via): what depends on the seeds (ids, or a table of them) over the relations, with the least depth and the smallest relation there.
 
     Seeds are left out of the result; with ``exclude`` only those are, so a seed
     that another seed reaches is reported.
     """
     relations = IMPACT_RELATIONS if relations is None else relations
     into = g.edges.where(F.col("relation").isin(relations) & (F.col("src") != F.col("dst"))).select("src", "dst", "relation").distinct()
+    if depth > 1:
+        into = cut(into, "steps")
     spark = g.spark
-    roots = spark.createDataFrame([(s,) for s in seeds], "id string").distinct()
+    roots = (seeds.select("id") if isinstance(seeds, DataFrame) else spark.createDataFrame([(s,) for s in seeds], "id string")).distinct()
     seen = roots.select("id") if exclude is None else spark.createDataFrame([(s,) for s in exclude], "id string").distinct()
     front, found = roots, []
     for d in range(1, depth + 1):
@@ -113,19 +115,21 @@ def members(g: Graph, type_id: str) -> DataFrame:
 
 def affected_with_members(g: Graph, seed: str, depth: int, relations: list[str] | None = None) -> DataFrame:
     """Impact of a node; a type-like seed stands for its members too, and members reached otherwise are reported."""
-    seeds = [seed]
+    seeds = g.spark.createDataFrame([(seed,)], "id string")
     if g.nodes.where((F.col("id") == seed) & type_like()).limit(1).take(1):
-        seeds += [r.id for r in members(g, seed).limit(100_000).collect()]
+        seeds = cut(seeds.unionAll(members(g, seed)), "seeds")
     return affected(g, seeds, depth, relations, exclude=[seed])
 
 
+SHOWN = 100
 STAGES = ("exact", "label", "bare", "file", "part")
 
 
 def resolve(g: Graph, name: str) -> tuple[str, list[str]]:
     """('unique', [id]), ('ambiguous', ids of the first stage with any) or ('missing', []).
 
-    Stages: id, label without case, bare name, file, part of a label; `name@file` narrows by file.
+    Stages: id, label without case, bare name, file, part of a label; `name@file` narrows by file.  More than
+    SHOWN ambiguous ids are no list that anyone can choose from: the first so many come with 'ambiguous-more'.
     """
     wanted, _, hint = name.partition("@")
     n = g.nodes.where(F.contains("source_file", F.lit(hint))) if hint else g.nodes
@@ -136,8 +140,8 @@ def resolve(g: Graph, name: str) -> tuple[str, list[str]]:
     first = hits.agg(F.min("stage")).first()[0]
     if first is None:
         return "missing", []
-    ids = [r.id for r in hits.where(F.col("stage") == first).orderBy("id").limit(100).collect()]
-    return ("unique" if len(ids) == 1 else "ambiguous"), ids
+    ids = [r.id for r in hits.where(F.col("stage") == first).orderBy("id").limit(SHOWN + 1).collect()]
+    return ("unique" if len(ids) == 1 else "ambiguous" if len(ids) <= SHOWN else "ambiguous-more"), ids[:SHOWN]
 
 
 def candidates(g: Graph, ids: list[str]) -> DataFrame:
@@ -183,7 +187,7 @@ def reachable(edges: DataFrame, starts: DataFrame, relations: list[str] | None,
     """(start, id, depth): least number of hops from each start (column id), up to a depth."""
     here, there = ("src", "dst") if forward else ("dst", "src")
     some = edges if relations is None else edges.where(F.col("relation").isin(relations))
-    steps = some.select(F.col(here).alias("id"), F.col(there).alias("next")).distinct()
+    steps = cut(some.select(F.col(here).alias("id"), F.col(there).alias("next")).distinct(), "steps")
     front = starts.select(F.col("id").alias("start"), "id").distinct()
     seen, found = front, []
     for d in range(1, depth + 1):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ def scan(packages: DataFrame, advisories: DataFrame, exceptions: DataFrame | Non
     """Findings: packages (ecosystem, name, version, scope) joined to affected ranges on the package; withdrawn advisories are left out.
 
     advisories: id, withdrawn, severity (array of kind and score), affected (array of ecosystem, name, versions, ranges
-    of events).  exceptions: advisory, package, expires (ISO date).
+    of events).  exceptions: advisory, package, expires (ISO date).  A package of several scopes is a finding in each; of
+    several affected entries that hit one version the surest counts.
     """
     a = advisories.where("not coalesce(withdrawn, false)").select("id", "severity", F.explode("affected").alias("x"))
     a = a.select("id", "severity", F.col("x.ecosystem").alias("ecosystem"), F.col("x.name").alias("name"), F.col("x.versions").alias("versions"), F.transform("x.ranges", lambda r: r.events).alias("ranges"))
@@ -23,12 +25,13 @@ def scan(packages: DataFrame, advisories: DataFrame, exceptions: DataFrame | Non
     j = j.withColumn("verdict", range_verdict("version", "versions", "ranges")).where("verdict <> 'unaffected'")
     score = cvss3(F.get(F.filter("severity", lambda s: s.kind == "CVSS_V3"), F.lit(0)).score)
     out = j.select(F.concat_ws("|", "id", "ecosystem", "name", "version").alias("finding"), F.col("id").alias("advisory"), "ecosystem", "name", "version", "scope", "verdict", score.alias("score"), "ranges")
-    out = out.dropDuplicates(["finding"])
+    first = F.struct(F.col("verdict") != "affected", "verdict", F.to_json("ranges"))
+    out = out.groupBy("finding", "scope").agg(F.min_by(F.struct(*(c for c in out.columns if c not in ("finding", "scope"))), first).alias("x")).select("finding", "scope", "x.*")
     if exceptions is not None:
         live = exceptions.where(F.col("expires") >= today).select("advisory", F.col("package").alias("name"))
         out = out.join(live, ["advisory", "name"], "left_anti")
     out = out.withColumn("band", band(F.col("score"))).withColumn("priority", priority())
-    return out.orderBy("priority", "finding")
+    return out.orderBy("priority", "finding", "scope")
 
 
 def priority() -> Column:
@@ -49,15 +52,15 @@ def applicability(findings: DataFrame, usage: DataFrame) -> DataFrame:
     return j.select("finding", verdict.alias("applicability"), evidence.alias("evidence"))
 
 
-def runtime_reachable(roots: DataFrame, links: DataFrame, most: int = 64) -> DataFrame:
+def runtime_reachable(roots: DataFrame, links: DataFrame, most: int | None = None) -> DataFrame:
     """(key, depth, parent): packages reached from the roots over non-development links; multi-source shortest paths.
 
-    roots: key; links: src, dst, scope.
+    roots: key; links: src, dst, scope.  ``most`` bounds the depth where a caller wants that.
     """
-    steps = links.where("coalesce(scope, '') <> 'dev'").select("src", "dst").distinct()
+    steps = cut(links.where("coalesce(scope, '') <> 'dev'").select("src", "dst").distinct(), "steps")
     front = cut(roots.select("key", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")).distinct(), "roots")
     found, seen = [front], front.select("key")
-    for d in range(1, most + 1):
+    for d in count(1) if most is None else range(1, most + 1):
         level = front.select(F.col("key").alias("src")).join(steps, "src").groupBy(F.col("dst").alias("key")).agg(F.min("src").alias("parent"))
         front = cut(level.join(seen, "key", "left_anti").select("key", F.lit(d).alias("depth"), "parent"), "level")
         if is_empty(front):

@@ -26,7 +26,7 @@ def cluster(g: Graph, hub_percentile: float | None = None, resolution: float = 1
         rest = g.nodes.join(hubs, "id", "left_anti").select(*g.nodes.columns)
         ids = rest.select("id")
         inner = g.with_(nodes=rest, edges=g.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*g.edges.columns))
-    labels = cut(community.cluster(inner, resolution).withColumn("community", F.col("community").cast("int")), "labels")
+    labels = cut(community.cluster(inner, resolution).drop("approximate").withColumn("community", F.col("community").cast("int")), "labels")
     marked = inner.with_(nodes=inner.nodes.drop("community").join(labels, "id"))
     total = labels.count()
     wide = analytics.cohesion(marked).where((F.col("size") > OVERSIZE * total) & (F.col("size") > 10) | (F.col("size") >= LOOSE_SIZE) & (F.col("cohesion") < LOOSE)).select("community")
@@ -36,7 +36,7 @@ def cluster(g: Graph, hub_percentile: float | None = None, resolution: float = 1
         e = marked.edges.join(names.select(F.col("id").alias("src"), F.col("c").alias("a")), "src").join(names.select(F.col("id").alias("dst"), F.col("c").alias("b")), "dst").where("a = b").select(*marked.edges.columns)
         own = members.select("id")
         e = e.join(own.withColumnRenamed("id", "src"), "src", "left_semi").select(*marked.edges.columns)
-        again = community.cluster(inner.with_(nodes=inner.nodes.join(own, "id", "left_semi"), edges=e), resolution * 2).withColumn("community", F.col("community").cast("int") + total)
+        again = community.cluster(inner.with_(nodes=inner.nodes.join(own, "id", "left_semi"), edges=e), resolution * 2).drop("approximate").withColumn("community", F.col("community").cast("int") + total)
         labels = cut(labels.join(own, "id", "left_anti").select("id", "community").unionByName(again), "labels")
     if hub_percentile is not None:
         lacking = g.with_(nodes=g.nodes.drop("community").join(labels, "id", "left"))

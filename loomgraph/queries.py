@@ -242,12 +242,12 @@ def community_cohesion(g: Graph) -> DataFrame:
 
 @graph_query("""
 WITH f AS (SELECT DISTINCT a.community AS a, b.community AS b FROM edges JOIN edges e2 ON edges.dst = e2.src JOIN nodes a ON a.id = edges.src JOIN nodes b ON b.id = e2.dst
- WHERE edges.relation = 'uses' AND e2.relation = 'depends_on' AND a.community % 5 = 1 AND b.community % 5 = 1 AND a.community <> b.community)
+ WHERE edges.relation = 'uses' AND e2.relation = 'depends_on' AND a.community <> b.community)
 SELECT x.a || '>' || x.b AS cycle FROM f x JOIN f y ON x.b = y.a AND y.b = x.a WHERE x.a < x.b
 UNION ALL SELECT x.a || '>' || x.b || '>' || y.b FROM f x JOIN f y ON x.b = y.a JOIN f z ON y.b = z.a AND z.b = x.a WHERE x.a < x.b AND x.a < y.b AND x.b <> y.b
 """)
 def community_cycles(g: Graph) -> DataFrame:
-    c = g.nodes.where("community % 5 = 1").select("id", "community")
+    c = g.nodes.where("community is not null").select("id", "community")
     uses, needs = g.edges.where("relation = 'uses'"), g.edges.where("relation = 'depends_on'").select(F.col("src").alias("dst"), F.col("dst").alias("third"))
     pairs = uses.join(needs, "dst").join(c.select(F.col("id").alias("src"), F.col("community").alias("a")), "src").join(c.select(F.col("id").alias("third"), F.col("community").alias("b")), "third")
     out = analytics.cycles(pairs.where("a <> b").select("a", "b").distinct(), 3, None)
@@ -367,13 +367,13 @@ def pull_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("status", pulls.status()).groupBy("status").agg(F.count("*").alias("n"), F.sum("age_days").alias("days"))
 
 
-_FILES = "SELECT o_orderkey AS number, 'part/' || p_name AS path FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderkey <= 2000"
+_FILES = "SELECT o_orderkey AS number, 'part/' || p_name AS path FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey"
 
 
 @graph_query(f"SELECT number, CAST(count(DISTINCT community) AS BIGINT) AS communities, count(DISTINCT id) AS nodes FROM ({_FILES}) f JOIN nodes ON source_file = 'shared/' || path GROUP BY 1")
 def pull_impact(g: Graph) -> DataFrame:
     used = g.edges.where("relation = 'uses'").join(g.nodes.where("kind = 'struct'").select(F.col("id").alias("dst"), F.expr("substring(source_file, 8)").alias("path")), "dst")
-    files = used.select(F.expr("cast(substring(src, 7) as bigint)").alias("number"), "path").where("number <= 2000")
+    files = used.select(F.expr("cast(substring(src, 7) as bigint)").alias("number"), "path")
     return pulls.impact(files, g)
 
 
@@ -588,8 +588,6 @@ def vulnerable_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packages.join(hits.select("name", "version", "scope", F.col("advisory").alias("id"), "priority"), ["name", "version", "scope"]).select("p_partkey", "id", "priority")
 
 
-SQL.pop("vulnerable_parts")  # findings are one a package version; the SQL counts parts of mixed scope apart
-
 
 @table_query("SELECT * FROM (VALUES ('CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H', 9.8), ('CVSS:3.1/AV:N/AC:L/PR:N/UI:R/S:C/C:L/I:L/A:N', 6.1), ('CVSS:3.0/AV:L/AC:H/PR:L/UI:N/S:U/C:H/I:N/A:N', 4.7), ('CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:C/C:H/I:H/A:H', 10.0), ('CVSS:3.1/AV:P/AC:H/PR:H/UI:R/S:U/C:N/I:N/A:N', 0.0)) t(vector, score)")
 def cvss_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
