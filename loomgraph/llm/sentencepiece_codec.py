@@ -34,8 +34,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text encoded at once, units advanced at once, and units remembered by a worker.
 SLICE = 4 << 20
 BLOCK = 1 << 15
-#: Units of equal length that are too few for columns: each is walked by itself, so that one very long unit costs a step a character.
-FEW = 12
+#: Long units of equal length that are too few for columns: each is walked by itself, so that one very long unit costs a step a character.
+FEW, LONG = 12, 64
 REMEMBERED = 800_000
 
 
@@ -115,7 +115,7 @@ def encode_units(words: list[str], p: Probe) -> list[list[int]]:
         length = int(lengths[order[at]])
         end = min(int(np.searchsorted(lengths[order], length, "right")), at + max(1, BLOCK // max(1, length)) * 8)
         chosen = [words[i] for i in order[at:end].tolist()]
-        if length and len(chosen) < FEW:
+        if length >= LONG and len(chosen) < FEW:
             for i, word in zip(order[at:end].tolist(), chosen):
                 found = []
                 for piece, start in _walk(word, p):
