@@ -124,20 +124,22 @@ def shingle_hashes(text: str, shingle: int = WORDS) -> tuple[Column, Column]:
     return words.alias("w"), made
 
 
-def similar_documents(docs: DataFrame, id_col: str, text_col: str, work: Workspace, similarity: float = SIMILARITY) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str, text_col: str, work: Workspace, similarity: float = SIMILARITY, among: DataFrame | None = None) -> DataFrame:
     """(a, b): links between ids, each confirmed by the texts: copies by their words, others by the Jaccard similarity of their shingle sets.
 
     Rows without an id link nothing.  Of rows that share an id each text counts.
+    ``among``: ids (column id); other documents are left out.
     """
     narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    marked = work.save(narrow.mapInArrow(_pair_fingerprints, "id long, fp long, words long"), "pairs-of-words")
+    marked = narrow.mapInArrow(_pair_fingerprints, "id long, fp long, words long")
+    marked = work.save(marked if among is None else marked.join(among.select("id").hint("merge"), "id", "left_semi"), "pairs-of-words")
     points = work.save(marked.groupBy("fp", "words").agg(F.min("id").alias("rep")), "points")
     copies = marked.join(points, ["fp", "words"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     found = hamming_links(points, "fp", "rep", CANDIDATE_RADIUS, points.count()).where("a <> b")
     found = work.save(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     ends = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     words, made = shingle_hashes("text")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ends, "id", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ends.hint("merge"), "id", "left_semi")
     sets = work.save(texts.select("id", words).select("id", made.alias("s")), "shingles")
     left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
@@ -160,13 +162,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ea
     ids = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.count("*").alias("n"))
     ids = work.save(ids, "ids")
     if earlier is not None:
-        key = unused_name(earlier, "own_id")
-        before = earlier.join(ids.select(F.col("id").alias(key)), F.col(id_col).cast("long") == F.col(key), "left_semi")
-        links = links.unionByName(similar_documents(before, id_col, text_col, work))
+        links = links.unionByName(similar_documents(earlier, id_col, text_col, work, among=ids))
     components = connected_components(links, work)
     key = unused_name(docs, "gone_id")
     gone = components.where("node <> component").select(F.col("node").alias(key))
-    kept = docs.join(gone, F.col(id_col).cast("long") == F.col(key), "left_anti")
+    kept = docs.join(gone.hint("merge"), F.col(id_col).cast("long") == F.col(key), "left_anti")
     again = ids.where("n > 1").select(F.col("id").alias(key))
     if is_empty(again):
         return kept
