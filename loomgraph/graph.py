@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -48,3 +49,13 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
 
 def is_empty(df: DataFrame) -> bool:
     return not df.limit(1).take(1)
+
+
+def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """The rows with their place in an order as a long from 0: ranges of the order are numbered by themselves, then moved by the counts before them."""
+    dealt = cut(df.repartitionByRange(*order).withColumn("range_", F.spark_partition_id()), "ranges")
+    # One row a range: this window is as small as the number of partitions.
+    before = F.sum("n_").over(Window.orderBy("range_")) - F.col("n_")
+    starts = dealt.groupBy("range_").agg(F.count("*").alias("n_")).select("range_", before.alias("before_"))
+    place = F.row_number().over(Window.partitionBy("range_").orderBy(*order)) - 1 + F.col("before_")
+    return dealt.join(starts, "range_").withColumn(name, place).select(*df.columns, name)

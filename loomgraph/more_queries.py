@@ -218,8 +218,7 @@ def path_between_customers(g: Graph) -> DataFrame:
 
 @graph_query()
 def edge_betweenness(g: Graph) -> DataFrame:
-    some = g.nodes.where("kind in ('package', 'namespace', 'interface')")
-    return community.betweenness(g.with_(nodes=some, edges=build.drop_dangling(g.edges, some)), edges=True)
+    return community.betweenness(g, edges=True)
 
 
 @graph_query(_SURPRISE + """, h AS (SELECT id, count(DISTINCT n) AS k FROM (SELECT src AS id, dst AS n FROM edges WHERE weight > 0 AND src <> dst UNION ALL SELECT dst, src FROM edges WHERE weight > 0 AND src <> dst) GROUP BY id)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..graph import Graph, cut
+from ..graph import Graph, cut, numbered
 from ..sources.store import read_json, read_store, replace_repo
 from . import analytics, community, history, setops
 from .primitives import degree
@@ -41,10 +41,8 @@ def cluster(g: Graph, hub_percentile: float | None = None, resolution: float = 1
     if hub_percentile is not None:
         lacking = g.with_(nodes=g.nodes.drop("community").join(labels, "id", "left"))
         labels = labels.unionByName(analytics.local_assignment(lacking, 2))
-    from pyspark.sql import Window
-
     sizes = labels.groupBy("community").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    number = sizes.select("community", (F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1).alias("new"))
+    number = numbered(sizes, "new", F.desc("n"), F.col("first")).select("community", "new")
     return labels.join(number, "community").select("id", F.col("new").alias("community"))
 
 

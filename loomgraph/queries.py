@@ -407,7 +407,7 @@ def label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 from .functions import text as textfn  # noqa: E402
 from .functions import version as versionfn  # noqa: E402
-from .operators import build, community, dedup, memory, readiness, retrieval, setops, sqlaudit, vuln  # noqa: E402
+from .operators import community, dedup, memory, readiness, retrieval, setops, sqlaudit, vuln  # noqa: E402
 from .sources import files as filefn  # noqa: E402
 from .sources import ingest  # noqa: E402
 
@@ -538,9 +538,13 @@ def label_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.round(textfn.entropy("p_type"), 9).alias("bits"))
 
 
-@graph_query()
-def entity_duplicates(g: Graph) -> DataFrame:
-    return dedup.merge_map(g.nodes.where("kind in ('package', 'namespace', 'interface', 'class')"))
+# No two part names are both long and alike enough to merge, so the SQL needs the rule of equal names in one file only.
+@table_query("""WITH n AS (SELECT 'part:' || p_partkey AS id, p_name AS name, p_brand AS file FROM part),
+g AS (SELECT name, file, arg_min(id, (length(id), id)) AS new FROM n GROUP BY 1, 2)
+SELECT id AS old, new FROM n JOIN g USING (name, file) WHERE id <> new""")
+def entity_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return dedup.merge_map(part.select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("label"), F.lit("concept").alias("file_type"), F.col("p_brand").alias("source_file")))
 
 
 @graph_query("""WITH p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE relation = 'contains'), n AS (SELECT id, split_part(source_file, '/', 1) AS root FROM nodes WHERE id IN (SELECT a FROM p UNION SELECT b FROM p))
@@ -551,21 +555,24 @@ def containment_components(g: Graph) -> DataFrame:
 
 
 @graph_query()
-def clustered_nations(g: Graph) -> DataFrame:
-    some = g.nodes.where("kind in ('package', 'namespace', 'interface')")
-    return community.cluster(g.with_(nodes=some, edges=build.drop_dangling(g.edges, some)))
-
-
-@graph_query("""WITH n AS (SELECT id FROM nodes WHERE kind IN ('package', 'namespace', 'interface')), c AS (SELECT dst AS id, src AS up FROM edges WHERE relation = 'contains' AND dst IN (SELECT id FROM n)),
-s AS (SELECT up AS id, count(*) AS k FROM c GROUP BY 1), t AS (SELECT count(*) AS n FROM n),
-z AS (SELECT x.id, 1 + coalesce(s.k, 0) AS size, x.up FROM c x LEFT JOIN s ON s.id = x.id),
-w AS (SELECT r.id, coalesce(sum(z.size), 0) AS size, coalesce(sum(z.size * z.size), 0) AS sq FROM (SELECT id FROM n WHERE id LIKE 'region:%') r LEFT JOIN z ON z.up = r.id GROUP BY 1),
-b AS (SELECT id, size * size - sq + 2 * 0 AS v FROM w UNION ALL SELECT z.id, CASE WHEN z.id LIKE 'nation:%' THEN 2 * (k * (w.size + 1 - k - 1)) + k * k - k ELSE 0 END FROM z LEFT JOIN s ON s.id = z.id LEFT JOIN w ON w.id = z.up)
-SELECT id, round(coalesce(v, 0) / ((n - 1) * (n - 2)), 9) AS value FROM b, t""")
+def clustered_graph(g: Graph) -> DataFrame:
+    return community.cluster(g)
+
+
+# Shortest paths from the first hundred nodes: counts of paths outwards, shares back; more than a thousand nodes are sampled so.
+@graph_query("""WITH near AS (SELECT DISTINCT src AS a, dst AS b FROM edges WHERE src <> dst UNION SELECT DISTINCT dst, src FROM edges WHERE src <> dst),
+size AS (SELECT count(DISTINCT id) AS n FROM nodes), sources AS (SELECT DISTINCT id FROM nodes ORDER BY id LIMIT 100),
+paths AS (WITH RECURSIVE f(s, v, d, p) USING KEY (s, v) AS (
+  SELECT id, id, 0, CAST(1 AS DOUBLE) FROM sources UNION
+  SELECT f.s, near.b, f.d + 1, sum(f.p) FROM f JOIN near ON near.a = f.v ANTI JOIN recurring.f AS seen ON seen.s = f.s AND seen.v = near.b GROUP BY f.s, near.b, f.d) SELECT * FROM f),
+dag AS MATERIALIZED (SELECT x.s, x.v, y.v AS w, x.p / y.p AS share, x.d FROM paths x JOIN near ON near.a = x.v JOIN paths y ON y.s = x.s AND y.v = near.b AND y.d = x.d + 1),
+shares AS (WITH RECURSIVE back(s, v, d, c) AS (
+  SELECT s, v, d, CAST(0 AS DOUBLE) FROM paths WHERE d = (SELECT max(d) FROM paths) UNION ALL
+  SELECT x.s, x.v, x.d, coalesce(g.c, 0) FROM (SELECT DISTINCT d FROM back) k JOIN paths x ON x.d = k.d - 1
+  LEFT JOIN (SELECT dag.s, dag.v, sum(share * (1 + back.c)) AS c FROM dag JOIN back ON back.s = dag.s AND back.v = dag.w AND back.d = dag.d + 1 GROUP BY 1, 2) g ON g.s = x.s AND g.v = x.v) SELECT * FROM back)
+SELECT id, round(coalesce(v, 0) * n / 100 / ((n - 1) * (n - 2)), 9) AS value FROM (SELECT DISTINCT id FROM nodes) LEFT JOIN (SELECT v AS id, sum(c) AS v FROM shares WHERE s <> v GROUP BY 1) USING (id), size""")
 def node_betweenness(g: Graph) -> DataFrame:
-    some = g.nodes.where("kind in ('package', 'namespace', 'interface')")
-    e = g.edges.where("relation = 'contains'")
-    return community.betweenness(g.with_(nodes=some, edges=build.drop_dangling(e, some))).select("id", F.round("value", 9).alias("value"))
+    return community.betweenness(g).select("id", F.round("value", 9).alias("value"))
 
 
 def _versions(c: str) -> str:

@@ -1,6 +1,7 @@
 import random
 from itertools import permutations
 
+import loomgraph.graph as graphs
 import pytest
 from loomgraph.functions import text, version
 from loomgraph.graph import Graph
@@ -141,6 +142,67 @@ def test_betweenness_of_a_path(spark):
     assert edges == pytest.approx({("a", "b"): 6 / 12, ("b", "c"): 8 / 12, ("c", "d"): 6 / 12})
 
 
+def test_betweenness_equals_counted_paths(spark):
+    rng = random.Random(5)
+    links = sorted({(f"n{a:02}", f"n{b:02}") for a, b in ((rng.randrange(24), rng.randrange(24)) for _ in range(40)) if a != b})
+    g = graph(spark, [*links, links[0][::-1], ("n01", "n01")], extra=["lone"])
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def shortest(a, b):
+        found, front = [], [[a]]
+        while front and not found:
+            found = [p for p in front if p[-1] == b]
+            seen = {x for p in front for x in p}
+            front = [[*p, x] for p in front for x in near[p[-1]] if x not in seen]
+        return found
+
+    n, nodes, edges = len(near) + 1, dict.fromkeys([*near, "lone"], 0.0), {}
+    for a in near:
+        for b in near:
+            ways = shortest(a, b) if a != b else []
+            for way in ways:
+                for x in way[1:-1]:
+                    nodes[x] += 1 / len(ways) / ((n - 1) * (n - 2))
+                for x, y in zip(way, way[1:]):
+                    edges[min(x, y), max(x, y)] = edges.get((min(x, y), max(x, y)), 0.0) + 1 / len(ways) / (n * (n - 1))
+    assert {r.id: r.value for r in community.betweenness(g).collect()} == pytest.approx(nodes)
+    assert {(r.a, r.b): r.value for r in community.betweenness(g, edges=True).collect()} == pytest.approx(edges)
+    nothing = graph(spark, [("a", "a")])
+    assert [tuple(r) for r in community.betweenness(nothing).collect()] == [("a", 0.0)] and community.betweenness(nothing, edges=True).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_leiden_is_connected_and_never_below_louvain(seed):
+    rng = random.Random(seed)
+    spots = [(rng.randrange(40), rng.randrange(40)) for _ in range(90)]
+    pairs = [(f"n{min(p):02}", f"n{max(p):02}", rng.choice([0.5, 1.0, 3.0])) for p in sorted(set(spots))]
+    total = 2 * sum(w for _, _, w in pairs)
+
+    def quality(label):
+        mass = {}
+        for a, b, w in pairs:
+            for x in (a, b):
+                mass[label[x]] = mass.get(label[x], 0.0) + w
+        return sum(2 * w for a, b, w in pairs if label[a] == label[b]) / total - sum((m / total) ** 2 for m in mass.values())
+
+    plain, fine = community.louvain(pairs), community.leiden(pairs)
+    assert quality(fine) >= quality(community.connected_parts(plain, pairs)) - 1e-9
+    assert community.connected_parts(fine, pairs) == fine
+    one = dict.fromkeys(plain, "x")
+    assert quality(plain) > max(quality(one), quality({x: x for x in plain}))
+
+
+def test_places_in_an_order(spark):
+    df = spark.range(500).selectExpr("id % 7 as a", "cast(id as string) as b").repartition(6)
+    got = [tuple(r) for r in graphs.numbered(df, "place", F.desc("a"), F.col("b")).collect()]
+    want = sorted(((-(i % 7), str(i)) for i in range(500)))
+    assert sorted((p, -a, b) for a, b, p in got) == [(i, *w) for i, w in enumerate(want)]
+    assert graphs.numbered(df.limit(0), "place", "b").count() == 0
+
+
 def test_diff_is_undirected_in_links(spark):
     a, b = graph(spark, [("a", "b"), ("b", "c")]), graph(spark, [("b", "a"), ("b", "d")])
     assert {tuple(r) for r in analytics.graph_diff(a, b).collect()} == {("node", "added", "d"), ("node", "removed", "c"), ("edge", "added", "b|d|calls"), ("edge", "removed", "b|c|calls")}
@@ -150,9 +212,21 @@ def test_diff_is_undirected_in_links(spark):
 
 
 def test_entity_dedup(spark):
-    rows = [("x1", "Customer Account Manager", "f1"), ("x2", "customer-account-manager", "f1"), ("x3", "Customer Account Managers", "f2"), ("x4", "Invoice Payment Handler", "f3"), ("x5", "util v1", "f4"), ("x6", "util v2", "f5")]
+    rows = [
+        ("x1", "Customer Account Manager", "f1"), ("x2", "customer-account-manager", "f1"), ("x3", "Custmer Account Manager", "f2"),
+        ("x4", "Invoice Payment Handlers", "f2"),  # goes on where x7 ends
+        ("x5", "util v1", "f4"), ("x6", "util v2", "f5"),  # variants of a stem
+        ("x7", "Invoice Payment Handler", ""), ("x8", "Invoice Payment Handler", None), ("x9", "invoice payment handler", "f3"),  # no file that they share
+        ("y1", None, "f1"), ("y2", "--", "f1"), ("y3", "--", "f1"),
+    ]
     n = spark.createDataFrame(rows, "id string, label string, source_file string")
-    assert {(r.old, r.new) for r in dedup.merge_map(n).collect()} == {("x2", "x1"), ("x3", "x1")}
+    want = {("x2", "x1"), ("x3", "x1")}
+    assert {(r.old, r.new) for r in dedup.merge_map(n).collect()} == want
+    typed = lambda kind: n.withColumn("file_type", F.lit(kind))
+    assert dedup.merge_map(typed("code")).count() == 0 and {(r.old, r.new) for r in dedup.merge_map(typed("concept")).collect()} == want
+    assert dedup.merge_map(n.withColumn("extra", F.lit('{"_node_type": "resource"}'))).count() == 0
+    assert dedup.merge_map(n.withColumn("repo", F.when(F.col("id") < "x5", "a").otherwise("b"))).count() == 0
+    assert dedup.merge_map(n.limit(0)).count() == 0
     b, r = dedup.bands()
     assert b * r <= 128
 
