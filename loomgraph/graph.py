@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -17,32 +18,50 @@ class Graph:
     hyperedges: DataFrame | None = None
     directed: bool = True
     commit: str | None = None
+    #: Nodes and edges are read from tables: loops may read them again instead of writing their own.
+    stored: bool = False
 
     @property
     def spark(self) -> SparkSession:
         return self.nodes.sparkSession
 
     def with_(self, **changes) -> Graph:
-        return Graph(**{**self.__dict__, **changes})
+        changed = not {"nodes", "edges", "stored"}.isdisjoint(changes)
+        return Graph(**{**self.__dict__, **({"stored": False} if changed else {}), **changes})
 
     def cached(self) -> Graph:
         return self.with_(nodes=self.nodes.cache(), edges=self.edges.cache())
 
 
-def _folder(spark: SparkSession) -> str:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
+def hadoop_path(spark: SparkSession, path: str):
+    """The path and the file system that holds it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def tables_folder(spark: SparkSession) -> str:
+    """This session's folder for tables, in the one that ``spark.checkpoint.dir`` names; it goes when the driver ends.
+
+    Only in local mode, where all share one machine, an unset name means a temporary folder.
+    """
     own = getattr(spark, "_loom_tables", None)
     if own is None:
-        own = spark._loom_tables = "file://" + tempfile.mkdtemp(prefix="loom-tables-")
+        context = spark.sparkContext
+        named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        own = f"{named.rstrip('/')}/loom-tables-{uuid.uuid4().hex}" if named else "file://" + tempfile.mkdtemp(prefix="loom-tables-")
+        where, system = hadoop_path(spark, own)
+        system.mkdirs(where)
+        system.deleteOnExit(where)
+        spark._loom_tables = own
     return own
 
 
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """The same rows from a table in the shared folder: a loop's plan stays short, and lost executors lose nothing."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/loom-{name}-{uuid.uuid4().hex}"
+    path = f"{tables_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -9,7 +9,7 @@ from .graph import Graph
 from .operators import analytics, build, community, contracts, exports, history, metrics, primitives, pulls, readiness, resolution, retrieval, traversal, vuln
 from .plans import builder, patterns
 from .queries import _SURPRISE, _transactions, graph_query, table_query
-from .sources import ingest
+from .sources import ingest, tables
 
 
 def _typed(g: Graph) -> Graph:
@@ -62,21 +62,13 @@ def effective_loc(g: Graph) -> DataFrame:
     return primitives.effective_loc(g.with_(nodes=n))
 
 
-@graph_query("SELECT src, dst, relation, context, string_agg(seq, ',' ORDER BY seq) AS sites FROM (SELECT DISTINCT src, dst, relation, context, seq FROM links) GROUP BY 1, 2, 3, 4 HAVING count(*) > 1")
-def merged_sites(g: Graph) -> DataFrame:
-    from .sources.tables import links
-
-    raw = links(g.spark, _folder_of(g))
+@graph_query("SELECT src, dst, relation, context, string_agg(seq, ',' ORDER BY seq) AS sites FROM (SELECT DISTINCT src, dst, relation, context, seq FROM links) GROUP BY 1, 2, 3, 4 HAVING count(*) > 1", of=tables.links)
+def merged_sites(raw: DataFrame) -> DataFrame:
     marked = raw.withColumn("source_file", F.col("seq").cast("string")).withColumn("source_location", F.lit("L1"))
     out = build.merge_sites(marked)
     return out.where(F.size("sites") > 1).select("src", "dst", "relation", "context", F.array_join(F.transform("sites", lambda s: s.source_file), ",").alias("sites"))
 
 
-def _folder_of(g: Graph) -> str:
-    """The folder that the projection was read from."""
-    return g.nodes.inputFiles()[0].rsplit("/", 1)[0]
-
-
 @graph_query("SELECT id, CASE WHEN count(*) OVER (PARTITION BY lower(label)) <= 2 THEN 1.0 ELSE round(greatest(0.35, sqrt(2.0 / count(*) OVER (PARTITION BY lower(label)))), 9) END AS prior FROM nodes")
 def repeated_labels(g: Graph) -> DataFrame:
     return g.nodes.select("id", F.round(retrieval.repeated_label_prior(), 9).alias("prior"))

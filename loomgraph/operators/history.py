@@ -113,9 +113,9 @@ def forecast(g: Graph, seeds: list[str], depth: int = 3, most: int = 200) -> dic
 def edit_impact(g: Graph, target: str, edit: str) -> DataFrame:
     """(id, relation, verdict): dependents of a node that a delete, signature or visibility change breaks or asks to review."""
     into = g.edges.where(F.col("dst") == target).select(F.col("src").alias("id"), "relation", "confidence").distinct()
-    own = g.nodes.where(F.col("id") == target).select(F.col("source_file").alias("own_file"))
-    rows = into.join(g.nodes.select("id", "source_file"), "id").join(F.broadcast(own), F.lit(True))
+    own = g.nodes.where(F.col("id") == target).agg(F.min("source_file")).first()[0]
+    rows = into.join(g.nodes.select("id", "source_file"), "id")
     sure = F.col("confidence") == "EXTRACTED"
     callers = F.col("relation").isin("calls", "invokes", "uses", "method", "inherits", "implements")
-    breaks = {"delete": sure, "signature": sure & callers, "visibility": sure & (F.col("source_file") != F.col("own_file"))}[edit]
+    breaks = {"delete": sure, "signature": sure & callers, "visibility": sure & (F.col("source_file") != F.lit(own))}[edit]
     return rows.select("id", "relation", F.when(breaks, "breaks").otherwise("review").alias("verdict")).orderBy("verdict", "id", "relation")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import query_tokens, symbol_shaped, tokens, variants
-from ..graph import Graph
+from ..graph import Graph, cut
 from .primitives import is_test_path
 
 # Weights of the channels, of inflected forms and of aliases of intents.
@@ -56,8 +56,8 @@ def hub_penalty(degree: Column, mean: float) -> Column:
     return 1 / (1 + F.log(1 + degree / max(mean, 1.0)))
 
 
-def weights(query: str, known: DataFrame) -> dict[str, tuple[str, float]]:
-    """token -> (concept, weight): the words of a query, their other forms and aliases that the index knows."""
+def forms(query: str) -> dict[str, tuple[str, float]]:
+    """token -> (concept, weight): the words of a query, their other forms and aliases."""
     words = query_tokens(query)
     wanted: dict[str, tuple[str, float]] = {}
     for w in words:
@@ -67,24 +67,24 @@ def weights(query: str, known: DataFrame) -> dict[str, tuple[str, float]]:
             wanted.setdefault(v, (w, INFLECTED))
         if not symbol_shaped(query) and " " in query and w in INTENTS:
             wanted.setdefault(INTENTS[w], (w, ALIASED))
-    have = {r.token for r in known.where(F.col("token").isin(list(wanted))).select("token").distinct().collect()}
-    return {t: x for t, x in wanted.items() if t in have}
+    return wanted
 
 
 def relevance(g: Graph, query: str, idx: DataFrame | None = None) -> DataFrame:
     """(id, score, concepts): sum of idf and weight by channel over the root of the channel's tokens, scaled by coverage and prior."""
-    idx = index(g) if idx is None else idx
-    n = g.nodes.count()
-    freq = document_frequency(idx)
-    wanted = weights(query, freq)
-    spark = g.spark
-    if not wanted:
-        return spark.createDataFrame([], "id string, score double, concepts array<string>")
-    terms = spark.createDataFrame([(t, c, float(w)) for t, (c, w) in wanted.items()], "token string, concept string, weight double")
-    terms = terms.join(freq.where(F.col("token").isin(list(wanted))), "token").withColumn("idf", idf(F.col("df"), n))
-    discriminating = max(1, terms.where(F.col("df") <= n / 2).select("concept").distinct().count())
+    wanted, n = forms(query), g.nodes.count()
+    # One pass over the index keeps the entries of the query's words; counts and scores come from those.
+    found = (index(g) if idx is None else idx).where(F.col("token").isin(list(wanted)))
+    found = cut(found, "entries")
+    known = {r.token: r.df for r in document_frequency(found).collect()}
+    if not known:
+        return g.spark.createDataFrame([], "id string, score double, concepts array<string>")
+    rows = [(t, *wanted[t], df) for t, df in known.items()]
+    terms = g.spark.createDataFrame(rows, "token string, concept string, weight double, df long").withColumn("idf", idf(F.col("df"), n))
+    discriminating = max(1, len({c for _, c, _, df in rows if df <= n / 2}))
     share = F.create_map(*(F.lit(x) for kv in CHANNELS.items() for x in kv))
-    hits = idx.join(F.broadcast(terms), "token")
+    # As many terms as the query has words and forms.
+    hits = found.join(F.broadcast(terms), "token")
     # Of several forms of a concept the best one counts in a channel.
     best = hits.groupBy("id", "channel", "concept").agg(F.max(F.col("idf") * F.col("weight")).alias("v"), F.first("n_tokens").alias("n_tokens"))
     per = best.groupBy("id").agg(F.sum(F.col("v") * F.try_element_at(share, F.col("channel")) / F.sqrt("n_tokens")).alias("raw"), F.array_sort(F.collect_set("concept")).alias("concepts"))
@@ -114,7 +114,8 @@ def search(g: Graph, query: str, most: int = 50, idx: DataFrame | None = None, r
         return []
     e = g.edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
     both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    deg = both.groupBy("a").agg(F.count("*").alias("degree"))
+    both = cut(both.repartition("a").sortWithinPartitions("a"), "both")
+    deg = cut(both.groupBy("a").agg(F.count("*").alias("degree")), "degrees")
     mean = deg.agg(F.avg("degree")).first()[0] or 1.0
     heap = [(0, -(r.score + boost * recent.get(r.id, 0.0)), r.id, 0) for r in start]
     heapq.heapify(heap)

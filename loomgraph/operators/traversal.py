@@ -88,8 +88,8 @@ def affected(g: Graph, seeds: list[str] | DataFrame, depth: int, relations: list
     that another seed reaches is reported.
     """
     relations = IMPACT_RELATIONS if relations is None else relations
-    into = g.edges.where(F.col("relation").isin(relations) & (F.col("src") != F.col("dst"))).select("src", "dst", "relation").distinct()
-    if depth > 1:
+    into = g.edges.where(F.col("relation").isin(relations) & (F.col("src") != F.col("dst"))).select("src", "dst", "relation")
+    if depth > 1 and not g.stored:
         into = cut(into, "steps")
     spark = g.spark
     roots = (seeds.select("id") if isinstance(seeds, DataFrame) else spark.createDataFrame([(s,) for s in seeds], "id string")).distinct()

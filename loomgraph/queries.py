@@ -10,18 +10,18 @@ from pyspark.sql import functions as F
 from .graph import Graph
 from .operators import primitives
 from .plans import builder
-from .sources.tables import graph_from_tables, sql_views
+from .sources.tables import graph_from_tables, sql_views, stored_graph
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
 SQL: dict[str, str] = {}
 
 
-def graph_query(sql: str | None = None) -> Callable[[Callable[[Graph], DataFrame]], Callable[[Graph], DataFrame]]:
-    """Registers a function of the projected graph; the SQL may use nodes, links and edges."""
+def graph_query(sql: str | None = None, of: Callable = stored_graph) -> Callable[[Callable], Callable]:
+    """Registers a function of what ``of`` makes of (spark, sf_dir), the stored graph by default; the SQL may use nodes, links and edges."""
 
-    def register(f: Callable[[Graph], DataFrame]) -> Callable[[Graph], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(graph_from_tables(spark, sf_dir))
+    def register(f: Callable) -> Callable:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(of(spark, sf_dir))
         if sql is not None:
             text = sql.strip()
             rest = text[5:].lstrip() if text.upper().startswith("WITH ") else None
@@ -120,7 +120,7 @@ def degree_map(g: Graph) -> DataFrame:
     return primitives.degree_map(g.edges)
 
 
-@graph_query("SELECT src, dst, relation, context, confidence, weight, n_sites FROM edges")
+@graph_query("SELECT src, dst, relation, context, confidence, weight, n_sites FROM edges", of=graph_from_tables)
 def assembled_edges(g: Graph) -> DataFrame:
     return g.edges
 
