@@ -622,12 +622,12 @@ def enclosing_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Run]:
-    from . import more_queries  # noqa: F401  registers the rest
+    from . import more_queries, operator_queries  # noqa: F401  registers the rest
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import more_queries  # noqa: F401
+    from . import more_queries, operator_queries  # noqa: F401
 
     return dict(SQL)
