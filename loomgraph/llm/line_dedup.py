@@ -20,7 +20,7 @@ Work is split so that no key is one task's lot: a block of over HOT lines is
 compared in tiles, and a group of over CHUNK candidates is verified in chunks.
 Each chunk also holds a few leaders of its group, which ties the chunks of a
 large group of near copies together; lines that are not tied to the largest part
-of their group by that are then held against all its chunks.
+of a block by that are then held against all lines of the block.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, byte_batches, connected_components, is_empty, text_or_empty, unused_name
+from .common import Workspace, byte_batches, connected_components, freed, is_empty, text_or_empty, unused_name
 
 MIN_WORDS = 5
 SIMILARITY = 0.8
@@ -47,6 +47,8 @@ NEAR, STEP = 16, 3
 HOT, TILE = 2048, 1024
 #: Lines of a group that are verified in one piece, and lines of a larger group that each of its chunks holds too.
 CHUNK, LEADERS = 250, 8
+#: Pairs of lines that are looked at side by side.
+PIECE = 1 << 18
 #: Characters of groups that wait for their distances at once.
 HELD = 1 << 24
 #: Pairs whose distances are worked out side by side.
@@ -391,21 +393,36 @@ def forest(marks: Marks, left: np.ndarray, right: np.ndarray, similarity: float)
     return a, b
 
 
+def roots_of(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
+    x = parent[x]
+    while True:
+        up = parent[x]
+        if (up == x).all():
+            return x
+        x = up
+
+
 def near_links(keys: np.ndarray, marks: Marks, similarity: float, hot: int = HOT) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Candidates among the rows (sorted) of each key: all of them in small blocks, a spanning forest in larger ones; and the (start, size) of blocks of over ``hot`` rows, which are left out."""
+    """Candidates among the rows (sorted) of each key, as many as tie together what all of them tie; and the (start, size) of blocks of over ``hot`` rows, which are left out."""
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(starts, len(keys)))
     large = sizes > SMALL
     at = np.flatnonzero(np.repeat((sizes > 1) & ~large, sizes))
+    parent = np.arange(len(keys))
     for shift in range(1, SMALL):
         at = at[at + shift < len(keys)]
         at = at[keys[at] == keys[at + shift]]
         if not len(at):
             break
-        hit = at[marks.apart(at, marks, at + shift, similarity) < 255]
+        hit = at[roots_of(parent, at) != roots_of(parent, at + shift)] if shift > 1 else at
+        hit = hit[marks.apart(hit, marks, hit + shift, similarity) < 255]
         left.append(hit)
         right.append(hit + shift)
+        while len(hit):
+            a, b = roots_of(parent, hit), roots_of(parent, hit + shift)
+            hit = hit[a != b]
+            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
     deferred = []
     for a, n in zip(starts[large].tolist(), sizes[large].tolist()):
         if n > hot:
@@ -475,9 +492,7 @@ class Groups:
     """Groups of lines whose links the texts are to confirm; all groups of a batch wait for one round of edit distances.
 
     A spanning forest of the links is wanted, so closest pairs come first and
-    pairs that already hang together are skipped.  ``parts`` tells what hangs
-    together beforehand; lines of role 2 (from elsewhere) are held only against
-    those of role 0.
+    pairs that already hang together are skipped.
     """
 
     def __init__(self, similarity: float):
@@ -500,21 +515,15 @@ class Groups:
         self.parent[self.find(p)] = self.find(q)
         self.links.append((self.ids[p], self.ids[q]))
 
-    def add(self, ids: list[int], roles: list[int], parts: list[int], fp: list[int], fp2: list[int], sig: list[int], texts: list[str]) -> None:
+    def add(self, ids: list[int], fp: list[int], fp2: list[int], sig: list[int], texts: list[str]) -> None:
         n, base = len(ids), len(self.ids)
         if n < 2:
             return
         self.ids += ids
         self.texts += texts
-        seen: dict[int, int] = {}
-        self.parent += [seen.setdefault(part, base + x) for x, part in enumerate(parts)]
+        self.parent += range(base, base + n)
         marks = Marks(*(np.array(x, np.int64) for x in (fp, fp2, sig)))
-        if 2 in roles:
-            role = np.array(roles)
-            i, j = np.flatnonzero(role != 2), np.flatnonzero(role == 2)
-            i, j = np.repeat(i, len(j)), np.tile(j, len(i))
-        else:
-            i, j = _pairs(n)
+        i, j = _pairs(n)
         bits = marks.apart(i, marks, j, self.similarity)
         some = np.flatnonzero(bits < 255)
         some = some[np.argsort(bits[some], kind="stable")]
@@ -548,7 +557,7 @@ def _verified(similarity: float):
     """(a, b): the links in each chunk of each group (rows sorted by group and chunk)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[list] = [[] for _ in range(7)]
+        rows: list[list] = [[] for _ in range(5)]
         groups, now, held = Groups(similarity), None, 0
 
         def settled() -> pa.RecordBatch:
@@ -556,12 +565,12 @@ def _verified(similarity: float):
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in range(8)]
-            for g, c, *row, text in zip(*columns, normalise(batch.column(8))):
+            columns = [batch.column(c).to_pylist() for c in range(6)]
+            for g, c, *row, text in zip(*columns, normalise(batch.column(6))):
                 if (g, c) != now:
                     groups.add(*rows)
-                    held += sum(map(len, rows[6]))
-                    now, rows = (g, c), [[] for _ in range(7)]
+                    held += sum(map(len, rows[4]))
+                    now, rows = (g, c), [[] for _ in range(5)]
                     if held > HELD:
                         yield settled()
                         held = 0
@@ -573,47 +582,115 @@ def _verified(similarity: float):
     return run
 
 
-def verified_links(lined: DataFrame, similarity: float, work: Workspace, chunk: int = CHUNK) -> DataFrame:
-    """(node, component) of the lines that the texts link.  lined: g (group of candidates), h1, fp, fp2, sig, text."""
-    spark = lined.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    columns = ["g", "c", "h1", "role", "part", "fp", "fp2", "sig", "text"]
+def _tied(similarity: float):
+    """(a, b): at each key the links among lines that do not hang together yet, as many as tie their parts together.
 
-    def confirm(rows: DataFrame) -> DataFrame:
-        dealt = rows.select(*columns).repartition(parts, "g", "c").sortWithinPartitions("g", "c")
-        return work.save(dealt.mapInArrow(_verified(similarity), "a long, b long"), "links")
+    What is not of the largest part of a key is held against all its lines, in
+    pieces, closest pairs first; no pair leaves the task but as a link.  Of the
+    keys that two lines share the first one looks at them.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        table = pa.Table.from_batches(got)
+        keys, fp, fp2, sig, ids, part = (table.column(c).to_numpy() for c in range(6))
+        own = table.column(6).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, BLOCKS)
+        texts = table.column(7)
+        order = np.argsort(keys, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+        marks = Marks(fp, fp2, sig)
+        parent: dict[int, int] = {}
+        known: dict[int, str] = {}
+
+        def find(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        def settle(i: np.ndarray, j: np.ndarray, links: list[tuple[int, int]]) -> None:
+            new = [x for x in np.unique(np.concatenate([i, j])).tolist() if x not in known]
+            known.update(zip(new, normalise(texts.take(pa.array(new, pa.int64())).combine_chunks())))
+            waiting = []
+            for x, y in zip(i.tolist(), j.tolist()):
+                p, q = find(int(part[x])), find(int(part[y]))
+                if p != q:
+                    ok = quickly_similar(known[x], known[y], similarity)
+                    if ok:
+                        parent[p] = q
+                        links.append((x, y))
+                    elif ok is None:
+                        waiting.append((x, y))
+            for at in range(0, len(waiting), 2048):
+                some = [(x, y) for x, y in waiting[at : at + 2048] if find(int(part[x])) != find(int(part[y]))]
+                for (x, y), ok in zip(some, all_similar([(known[x], known[y]) for x, y in some], similarity)):
+                    p, q = find(int(part[x])), find(int(part[y]))
+                    if ok and p != q:
+                        parent[p] = q
+                        links.append((x, y))
+
+        for a, n in zip(starts.tolist(), np.diff(np.append(starts, len(keys))).tolist()):
+            rows = order[a : a + n]
+            where, count = np.unique(part[rows], return_inverse=True, return_counts=True)[1:]
+            if len(count) < 2:
+                continue
+            outside = np.flatnonzero(where != np.argmax(count))
+            step = max(1, PIECE // n)
+            links: list[tuple[int, int]] = []
+            for x in range(0, len(outside), step):
+                i, j = np.repeat(outside[x : x + step], n), np.tile(np.arange(n), len(outside[x : x + step]))
+                some = (where[i] != where[j]) & ((where[j] == np.argmax(count)) | (i < j))
+                i, j = rows[i[some]], rows[j[some]]
+                bits = marks.apart(i, marks, j, similarity)
+                hit = np.flatnonzero(bits < 255)
+                i, j, bits = i[hit], j[hit], bits[hit]
+                same = own[i] == own[j]
+                mine = ~same.any(axis=1) | (own[i, same.argmax(axis=1)] == keys[rows[0]])
+                i, j = i[mine], j[mine]
+                closest = np.argsort(bits[mine], kind="stable")
+                if len(closest):
+                    settle(i[closest], j[closest], links)
+            known.clear()
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(ids[[x for x, _ in links]]), pa.array(ids[[y for _, y in links]])], names=["a", "b"])
+
+    return run
+
+
+def verified_links(lined: DataFrame, keyed: DataFrame, similarity: float, work: Workspace, chunk: int = CHUNK) -> DataFrame:
+    """(node, component) of the lines that the texts link.  lined: g (group of candidates), h1, fp, fp2, sig, text.  keyed: node, keys: the block keys of lines."""
+    spark = lined.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["g", "c", "h1", "fp", "fp2", "sig", "text"]
     large = work.save(lined.groupBy("g").count().where(F.col("count") > chunk).select("g", F.ceil(F.col("count") / chunk).cast("int").alias("m")), "large")
     some = not is_empty(large)
     alone = lined.join(large, "g", "left_anti") if some else lined
-    rows = alone.withColumns({"c": F.lit(0), "role": F.lit(0), "part": F.col("h1")})
+    rows = alone.withColumn("c", F.lit(0))
     if some:
-        members = lined.join(large, "g").withColumns({"c": F.pmod("h1", "m").cast("int"), "role": F.lit(0), "part": F.col("h1")})
+        members = lined.join(large, "g").withColumn("c", F.pmod("h1", "m").cast("int"))
         whole = F.struct("h1", "fp", "fp2", "sig", "text")
         leaders = members.groupBy("g", "m", F.pmod("h1", F.lit(LEADERS)).alias("l")).agg(F.min_by(whole, "h1").alias("w")).select("g", "m", "w.*")
         every = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
         led = leaders.select("g", every.alias("c"), "m", "h1", "fp", "fp2", "sig", "text").where("c <> pmod(h1, m)")
-        rows = rows.unionByName(members.drop("m")).unionByName(led.drop("m").withColumns({"role": F.lit(1), "part": F.col("h1")}))
-    links = confirm(rows)
-    if is_empty(links):
-        same = None
-    else:
-        same = connected_components(links, work)
-        if some:
-            same = work.save(same, "components")
-    if some:
-        # What the chunks and leaders left apart from the largest part of its group meets all chunks of the group.
-        if same is not None:
-            members = members.join(same, members.h1 == same.node, "left").drop("node").withColumn("part", F.coalesce("component", "h1")).drop("component")
-        main = members.groupBy("g", "part").count().groupBy("g").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
-        outside = members.join(main, "g").where("part <> main").drop("main", "c")
-        outside = work.save(outside.withColumn("role", F.lit(2)), "outside")
-        if not is_empty(outside):
-            held = outside.withColumn("c", every).drop("m")
-            more = confirm(members.drop("m").unionByName(held))
-            if not is_empty(more):
-                same = connected_components(links.unionByName(more), work)
-    return same if same is not None else spark.createDataFrame([], "node long, component long")
+        rows = rows.unionByName(members.drop("m")).unionByName(led.drop("m"))
+    dealt = rows.select(*columns).repartition(parts, "g", "c").sortWithinPartitions("g", "c")
+    links = work.save(dealt.mapInArrow(freed(_verified(similarity)), "a long, b long"), "links")
+    same = connected_components(links, work)
+    if not some:
+        return same
+    # What the chunks and leaders left apart meets again at the blocks.
+    same = work.save(same, "components")
+    apart = members.select("g", "h1").join(same, members.h1 == same.node, "left").select("g", "h1", F.coalesce("component", "h1").alias("part"))
+    split = apart.groupBy("g").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("g")
+    apart = work.save(apart.join(split, "g", "left_semi").drop("g"), "apart", hashes=True)
+    if is_empty(apart):
+        return same
+    whole = apart.join(lined.select("h1", "fp", "fp2", "sig", "text"), "h1").join(keyed, F.col("h1") == F.col("node"))
+    blocks = whole.select(F.explode(F.array_distinct("keys")).alias("k"), "fp", "fp2", "sig", "node", "part", "keys", "text")
+    more = work.save(blocks.repartition(parts, "k").mapInArrow(freed(_tied(similarity)), "a long, b long"), "more")
+    return connected_components(links.unionByName(more), work)
 
 
 def doc_key(id_col: str, text_col: str) -> list[Column]:
@@ -627,7 +704,7 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, s
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     k1, k2 = doc_key(id_col, text_col)
     narrow = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    lines = work.save(narrow.mapInArrow(_lines(min_words), LINES), "lines", hashes=True)
+    lines = work.save(narrow.mapInArrow(freed(_lines(min_words)), LINES), "lines", hashes=True)
     repeated = work.save(lines.where("line < 0").groupBy("k1", "k2").count().where("count > 1").select("k1", "k2"), "repeated")
     lines = lines.where("line >= 0")
     order = F.struct(F.col("id").isNull().alias("last"), "id", "k1", "k2", "line")
@@ -635,22 +712,23 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, s
     distinct = lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("fp", "fp2", "sig", "keys")))
     distinct = work.save(distinct, "distinct", hashes=True)
     keyed = distinct.where("size(keys) > 0").select(F.explode(F.array_distinct("keys")).alias("k"), "fp", "fp2", "sig", F.col("h1").alias("node"))
-    near = work.save(keyed.repartition(parts, "k").mapInArrow(_near(similarity, HOT, TILE), NEAR_ROWS), "near")
+    near = work.save(keyed.repartition(parts, "k").mapInArrow(freed(_near(similarity, HOT, TILE)), NEAR_ROWS), "near")
     links = near.where("tile is null").select("a", "b")
     if not is_empty(near.where("tile is not null")):
         tiles = near.where("tile is not null").select("tile", "side", "fp", "fp2", "sig", "a").repartition(parts, "tile")
-        links = links.unionByName(work.save(tiles.mapInArrow(_tiled(similarity), "a long, b long"), "tiles"))
+        links = links.unionByName(work.save(tiles.mapInArrow(freed(_tiled(similarity)), "a long, b long"), "tiles"))
     copies = distinct.where("n > 1").select("h1", "h2", F.col("first").alias("keep"))
     if not is_empty(links):
         close = connected_components(links, work).withColumnRenamed("component", "g")
         members = work.save(distinct.join(close, distinct.h1 == close.node).select("g", "h1", "fp", "fp2", "sig", "first"), "members")
+        work.drop(near)
         # The text of each such line, from its first occurrence.
         wanted = F.collect_list(F.struct("g", "h1", "fp", "fp2", "sig", "first.line"))
         per_doc = work.save(members.groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")).agg(wanted.alias("wanted")), "wanted")
         text = narrow.select("k1", "k2", "text").join(per_doc, ["k1", "k2"]).select(F.split("text", "\n").alias("parts"), "wanted")
         lined = text.select(F.explode("wanted").alias("w"), "parts").select("w.*", F.get("parts", F.col("w.line")).alias("text")).drop("line")
         lined = work.save(lined.dropDuplicates(["h1"]), "texts")
-        same = verified_links(lined, similarity, work)
+        same = verified_links(lined, distinct.select(F.col("h1").alias("node"), "keys"), similarity, work)
         linked = members.join(same, members.h1 == same.node).select("h1", "component", "first")
         firsts = linked.groupBy("component").agg(F.min("first").alias("keep"))
         moved = distinct.select("h1", "h2").join(linked.join(firsts, "component").select("h1", "keep"), "h1")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_batches, unused_name
+from .common import byte_batches, freed, unused_name
 from .spm import BPE, Probe, Vocabulary, probe, units
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -191,7 +191,7 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(vocabulary: Vocabulary) -> Encoder:
-    """One for each worker process and model, so that tasks share what it remembers."""
+    """One for each worker process and model, so that tasks share its tables."""
     if vocabulary.digest not in _encoders:
         _encoders.clear()
         _encoders[vocabulary.digest] = Encoder(vocabulary)
@@ -244,8 +244,9 @@ def _codec(vocabulary: Vocabulary):
                 ids = coder.encode(text.slice(a, b - a))
                 rest = [batch.column(c).slice(a, b - a) for c in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*rest, text.slice(a, b - a), ids, decode(ids, vocabulary)], names=[*batch.schema.names, "ids", "decoded"])
+        coder.clear()
 
-    return run
+    return freed(run)
 
 
 def encode_and_decode(docs: DataFrame, text_col: str = "text", model: str = MODEL, ids: str = "piece_ids", decoded: str = "decoded") -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, byte_batches, connected_components, is_empty, unused_name
+from .common import Workspace, byte_batches, connected_components, freed, is_empty, unused_name
 from .hamming import hamming_links
 from .line_dedup import P, mix, rolled, simhash
 
@@ -317,7 +317,7 @@ def _left(similarity: float):
 def common_tokens(texts: DataFrame, rows: int) -> np.ndarray:
     """The most frequent tokens of a sample, sorted (COMMON at most).  Which they are changes cost and never the result."""
     some = texts.where(F.pmod(F.xxhash64("id"), F.lit(max(1, rows // SAMPLE))) == 0).select("text")
-    counted = some.mapInArrow(_tokens, "token long").groupBy("token").count().where("count > 2")
+    counted = some.mapInArrow(freed(_tokens), "token long").groupBy("token").count().where("count > 2")
     return np.sort(np.array([r.token for r in counted.orderBy(F.desc("count"), "token").limit(COMMON).select("token").collect()], np.int64).view(np.uint64))
 
 
@@ -337,7 +337,7 @@ def similar_documents(docs: DataFrame, id_col: str, text_col: str, work: Workspa
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     common = common_tokens(narrow, narrow.count())
-    marked = narrow.mapInArrow(_prefixes(common, similarity), "id long, n long, c long, c2 long, fp long, prefix array<long>")
+    marked = narrow.mapInArrow(freed(_prefixes(common, similarity)), "id long, n long, c long, c2 long, fp long, prefix array<long>")
     marked = work.save(marked if among is None else marked.join(among.select("id").hint("merge"), "id", "left_semi"), "marked", hashes=True)
     points = work.save(marked.groupBy("c", "c2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")), "points", hashes=True)
     reps = work.save(points.select("c", "rep"), "reps")
@@ -355,12 +355,12 @@ def similar_documents(docs: DataFrame, id_col: str, text_col: str, work: Workspa
         return rows.join(of, rows.c == of.node, "left").withColumn("part", F.coalesce("component", "c")).drop("node", "component")
 
     spread = tied(filled.select("c", "n", "prefix")).select(F.posexplode("prefix").alias("at", "token"), "c", "n", "part").select("token", "c", "n", "at", "part")
-    met = work.save(spread.repartition(parts, "token").mapInArrow(_met(similarity, most), MET), "met", hashes=True)
+    met = work.save(spread.repartition(parts, "token").mapInArrow(freed(_met(similarity, most)), MET), "met", hashes=True)
     work.drop(points)
     links = links.unionByName(confirmed(met.where("b is not null").select("a", "b"), narrow, reps, similarity, work))
     hot = met.where("b is null").select("token", F.col("a").alias("c"), "n", "at")
     if not is_empty(hot):
-        rest = work.save(tied(hot).repartition(parts, "token").mapInArrow(_left(similarity), "a long, b long"), "rest")
+        rest = work.save(tied(hot).repartition(parts, "token").mapInArrow(freed(_left(similarity)), "a long, b long"), "rest")
         links = links.unionByName(confirmed(rest, narrow, reps, similarity, work))
     work.drop(met)
     ends = links.join(reps.withColumnsRenamed({"c": "a", "rep": "x"}), "a").join(reps.withColumnsRenamed({"c": "b", "rep": "y"}), "b")
@@ -374,7 +374,7 @@ def confirmed(found: DataFrame, texts: DataFrame, reps: DataFrame, similarity: f
         return pairs
     ends = work.save(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "ends", hashes=True)
     some = texts.join(reps.join(ends, "c").select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi")
-    sets = work.save(some.mapInArrow(_sets, "c long, s array<long>").join(ends, "c", "left_semi").dropDuplicates(["c"]), "sets", hashes=True)
+    sets = work.save(some.mapInArrow(freed(_sets), "c long, s array<long>").join(ends, "c", "left_semi").dropDuplicates(["c"]), "sets", hashes=True)
     left, right = (sets.withColumnsRenamed({"c": c, "s": f"s{c}"}) for c in "ab")
     both = pairs.join(left, "a").join(right, "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
     out = work.save(both.where(F.col("n") >= F.lit(similarity) * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b"), "sure")
