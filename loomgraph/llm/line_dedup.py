@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,9 @@ PIECE = 1 << 18
 #: Characters of groups that wait for their distances at once.
 HELD = 1 << 24
 #: Pairs whose distances are worked out side by side.
-SIDE = 96
+SIDE = 192
+#: Characters after which pairs that are sure to lie too far apart leave.
+LOOK = 64
 #: Bytes of text that a worker turns into lines at once.
 SLICE = 1 << 20
 #: Blocks of up to so many rows are compared by shifting the whole array.
@@ -126,12 +129,14 @@ def edit_similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     return edit_distance(*trimmed(a, b)) <= most_edits(a, b, similarity) if got is None else got
 
 
-def edit_distances(pairs: list[tuple[str, str]]) -> list[int]:
+def edit_distances(pairs: list[tuple[str, str]], most: list[int] | None = None) -> list[int]:
     """Levenshtein distances of many pairs at once: edit_distance with the columns of all pairs as fields of one whole number.
 
     A field has a bit more than its pattern, so that sums do not run into the
     next one; bits above a shorter pattern never reach those below.  The
     distance is the text's length and the sum of the last column's steps.
+    ``most``: a pair leaves as soon as its distance is sure to be larger, with
+    a number between the two.
     """
     pairs = [(a, b) if len(a) <= len(b) else (b, a) for a, b in pairs]
     size = max(len(a) for a, _ in pairs) // 8 + 1
@@ -142,27 +147,56 @@ def edit_distances(pairs: list[tuple[str, str]]) -> list[int]:
             where[ch] = where.get(ch, 0) | (1 << i)
         masks.append({ch: x.to_bytes(size, "little") for ch, x in where.items()})
     none = bytes(size)
-    ones = int.from_bytes((1).to_bytes(size, "little") * len(pairs), "little")
-    full = ones * ((1 << (8 * size - 1)) - 1)
-    plus, minus, out = full, 0, [0] * len(pairs)
+    sizes = np.array([(len(a), len(b)) for a, b in pairs])
     ends: dict[int, list[int]] = {}
-    for k, (_, b) in enumerate(pairs):
-        ends.setdefault(len(b), []).append(k)
-    texts = [b for _, b in pairs]
-    last = max(ends)
-    for at in range(last + 1):
+    for k, n in enumerate(sizes[:, 1].tolist()):
+        ends.setdefault(n, []).append(k)
+    out, alive, at = [0] * len(pairs), list(range(len(pairs))), 0
+
+    def of(x: int) -> np.ndarray:
+        return np.frombuffer(x.to_bytes(size * len(alive), "little"), np.uint8).reshape(-1, size)
+
+    def over() -> None:
         for k in ends.get(at, ()):
-            low = (1 << len(pairs[k][0])) - 1
-            shift = 8 * size * k
-            out[k] = at + (plus >> shift & low).bit_count() - (minus >> shift & low).bit_count()
-        if at == last:
-            break
-        eq = int.from_bytes(b"".join([m.get(t[at], none) if at < len(t) else none for m, t in zip(masks, texts)]), "little")
-        level = ((((eq & plus) + plus) ^ plus) | eq | minus) & full
-        down = plus & level
-        up = (((minus | (full ^ (plus | level))) << 1) | ones) & full
-        plus = ((down << 1) & full) | (full ^ (level | up))
-        minus = up & level
+            if k in place:
+                low, shift = (1 << len(pairs[k][0])) - 1, 8 * size * place[k]
+                out[k] = at + (plus >> shift & low).bit_count() - (minus >> shift & low).bit_count()
+
+    plus, minus = (1 << 8 * size * len(pairs)) - 1, 0
+    while alive:
+        place = {k: p for p, k in enumerate(alive)}
+        ones = int.from_bytes((1).to_bytes(size, "little") * len(alive), "little")
+        full = ones * ((1 << (8 * size - 1)) - 1)
+        plus &= full
+        lists = []
+        for k in alive:
+            get = masks[k].get
+            lists.append([get(ch, none) for ch in pairs[k][1][at : at + LOOK]])
+        for column in zip_longest(*lists, fillvalue=none):
+            if at in ends:
+                over()
+            eq = int.from_bytes(b"".join(column), "little")
+            level = ((((eq & plus) + plus) ^ plus) | eq | minus) & full
+            down = plus & level
+            up = (((minus | (full ^ (plus | level))) << 1) | ones) & full
+            plus = ((down << 1) & full) | (full ^ (level | up))
+            minus = up & level
+            at += 1
+        over()
+        n, m = sizes[alive].T
+        stays = m > at
+        if most is not None and stays.any():
+            # No way to the end is shorter than what it took to this column and the difference of the lengths that are left.
+            steps = np.unpackbits(of(plus), axis=1, bitorder="little").astype(np.int8) - np.unpackbits(of(minus), axis=1, bitorder="little").astype(np.int8)
+            row = np.arange(1, 8 * size + 1)
+            least = np.cumsum(steps, axis=1, dtype=np.int32) + np.abs((n - m)[:, None] + at - row)
+            least[row > n[:, None]] = np.iinfo(np.int32).max
+            least = at + np.minimum(least.min(axis=1), np.abs(n - m + at))
+            for p in np.flatnonzero(stays & (least > np.array(most)[alive])).tolist():
+                out[alive[p]], stays[p] = int(least[p]), False
+        if not stays.all():
+            plus, minus = (int.from_bytes(of(x)[stays].tobytes(), "little") for x in (plus, minus))
+            alive = [k for k, s in zip(alive, stays.tolist()) if s]
     return out
 
 
@@ -178,7 +212,7 @@ def all_similar(pairs: list[tuple[str, str]], similarity: float) -> list[bool]:
         while end < min(len(order), at + SIDE) and sizes[order[end]] <= 1.15 * sizes[order[at]] + 16:
             end += 1
         some = order[at:end]
-        got = edit_distances([cut[k] for k in some]) if len(some) > 3 else [edit_distance(*cut[k]) for k in some]
+        got = edit_distances([cut[k] for k in some], [most_edits(*pairs[k], similarity) for k in some]) if len(some) > 3 else [edit_distance(*cut[k]) for k in some]
         for k, d in zip(some, got):
             out[k] = d <= most_edits(*pairs[k], similarity)
         at = end
@@ -363,33 +397,56 @@ class Marks:
 
     def apart(self, i, other: Marks, j, similarity: float) -> np.ndarray:
         """Differing bits of lines i and the other's lines j, 255 where they cannot be linked or share no block."""
-        x, y = self.sig[i], other.sig[j]
         bits = np.bitwise_count(self.fp[i] ^ other.fp[j]) + np.bitwise_count(self.fp2[i] ^ other.fp2[j])
-        both = x ^ y
+        hit = np.flatnonzero(bits <= NEAR + STEP * BLOCKS)
+        out = np.full(bits.shape, 255, np.uint8)
+        if not len(hit):
+            return out
+        x, y = self.sig[i][hit], other.sig[j][hit]
+        bits, both = bits[hit], x ^ y
         shared = np.zeros(both.shape, np.uint8)
         for k in range(BLOCKS):
             shared += (both >> np.uint64(8 * k)) & np.uint64(255) == 0
         n, m = (x >> np.uint64(48)).astype(np.int64), (y >> np.uint64(48)).astype(np.int64)
         fits = np.abs(n - m) <= ((1.0 - similarity) * np.maximum(n, m) + 1e-9).astype(np.int64)
-        return np.where(fits & (shared > 0) & (bits <= NEAR + STEP * shared), bits, 255)
+        out[hit] = np.where(fits & (shared > 0) & (bits <= NEAR + STEP * shared), bits, 255)
+        return out
+
+    def close(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places in i and in j of the pairs whose bits alone do not rule them out."""
+        bits = np.bitwise_count(self.fp[i][:, None] ^ self.fp[j]) + np.bitwise_count(self.fp2[i][:, None] ^ self.fp2[j])
+        return np.nonzero(bits <= NEAR + STEP * BLOCKS)
 
 
 def forest(marks: Marks, left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
     """A spanning forest of the candidates among lines left (all of them if right is empty), or between left and right."""
     a, b = [], []
-    rows = np.concatenate([left, right]) if len(right) else left
-    root = np.arange(len(rows))
-    for i in range(len(left) if len(right) else 1, len(rows)):
-        before = slice(0, len(left)) if len(right) else slice(0, i)
-        hit = np.flatnonzero(marks.apart(rows[before], marks, rows[i], similarity) < 255)
-        if not len(hit):
-            continue
-        roots, where = np.unique(root[hit], return_index=True)
-        new = roots != root[i]
-        if new.any():
-            a += rows[hit[where[new]]].tolist()
-            b += [int(rows[i])] * int(new.sum())
-            root[np.isin(root, roots)] = root[i]
+    among = not len(right)
+    rows = left if among else np.concatenate([left, right])
+    marks, first = marks.take(rows), 0 if among else len(left)
+    parent = np.arange(len(rows))
+    step = max(1, PIECE // max(1, len(left)))
+    for x in range(first, len(rows), step):
+        before = min(x + step, len(rows)) if among else first
+        i, j = marks.close(slice(x, x + step), slice(0, before))
+        i = i + x
+        if among:
+            i, j = i[j < i], j[j < i]
+        for at in range(0, len(i), PIECE):
+            p, q = i[at : at + PIECE], j[at : at + PIECE]
+            some = roots_of(parent, p) != roots_of(parent, q)
+            p, q = p[some], q[some]
+            hit = marks.apart(p, marks, q, similarity) < 255
+            p, q = p[hit], q[hit]
+            while len(p):
+                u, v = roots_of(parent, p), roots_of(parent, q)
+                some = u != v
+                p, q, u, v = p[some], q[some], u[some], v[some]
+                # One link of each root to a smaller one: no circle can come of that.
+                top, where = np.unique(np.maximum(u, v), return_index=True)
+                parent[top] = np.minimum(u, v)[where]
+                a += rows[p[where]].tolist()
+                b += rows[q[where]].tolist()
     return a, b
 
 
@@ -640,7 +697,8 @@ def _tied(similarity: float):
             step = max(1, PIECE // n)
             links: list[tuple[int, int]] = []
             for x in range(0, len(outside), step):
-                i, j = np.repeat(outside[x : x + step], n), np.tile(np.arange(n), len(outside[x : x + step]))
+                i, j = marks.close(rows[outside[x : x + step]], rows)
+                i = outside[x + i]
                 some = (where[i] != where[j]) & ((where[j] == np.argmax(count)) | (i < j))
                 i, j = rows[i[some]], rows[j[some]]
                 bits = marks.apart(i, marks, j, similarity)

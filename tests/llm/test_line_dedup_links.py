@@ -1,8 +1,10 @@
 """What line dedup hands on grows with the lines, not with the pairs of a block."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
-from loomgraph.llm.line_dedup import Marks, _tied, near_links
+from loomgraph.llm.line_dedup import Marks, _tied, edit_distance, edit_distances, forest, most_edits, near_links
 
 
 def marks(rng, n, groups):
@@ -35,3 +37,42 @@ def test_lines_apart_are_tied_without_a_row_a_pair():
     got = pa.Table.from_batches(list(_tied(0.8)(iter([table])))).to_pydict()
     assert len(got["a"]) == 10 and {x for ab in zip(got["a"], got["b"]) for x in ab if x >= 390} == set(range(390, 400))
     assert all(group[a] == group[b] for a, b in zip(got["a"], got["b"]))
+
+
+def test_pairs_that_lie_too_far_apart_leave_early():
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcde ") for _ in range(n))
+    pairs = [(word(rng.randrange(300)), word(rng.randrange(300))) for _ in range(40)]
+    for _ in range(40):
+        a = list(word(rng.randrange(1, 300)))
+        for _ in range(rng.randrange(60)):
+            a.insert(rng.randrange(len(a) + 1), rng.choice("abé"))
+        pairs.append(("".join(a), "".join(x for x in a if rng.random() < 0.95)))
+    true, most = [edit_distance(a, b) for a, b in pairs], [most_edits(a, b, 0.8) for a, b in pairs]
+    assert edit_distances(pairs) == true
+    got = edit_distances(pairs, most)
+    assert all(g == d if d <= m else m < g <= d for g, d, m in zip(got, true, most))
+    assert got != true
+
+
+def test_a_dense_block_yields_a_forest_of_all_its_links():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 6).astype(np.uint64)
+    fp = (base[rng.integers(0, 6, 700)] ^ (np.uint64(1) << rng.integers(0, 64, 700).astype(np.uint64))).view(np.int64)
+    marks = Marks(fp, fp.copy(), np.full(700, 50 << 48, np.int64))
+    for left, right in ((np.arange(700), np.zeros(0, np.int64)), (np.arange(300), np.arange(300, 700))):
+        i, j = np.triu_indices(700, 1) if not len(right) else (np.repeat(left, len(right)), np.tile(right, len(left)))
+        hit = marks.apart(i, marks, j, 0.8) < 255
+        want = linked(700, i[hit].tolist(), j[hit].tolist())
+        a, b = forest(marks, left, right, 0.8)
+        assert linked(700, a, b) == want
+        assert len(a) == 700 - len(set(want))
+
+
+def linked(n, a, b):
+    root = list(range(n))
+    for x, y in zip(a, b):
+        u, v = root[x], root[y]
+        if u != v:
+            root = [min(u, v) if r in (u, v) else r for r in root]
+    return root
