@@ -314,11 +314,25 @@ def _left(similarity: float):
     return run
 
 
-def common_tokens(texts: DataFrame, rows: int) -> np.ndarray:
-    """The most frequent tokens of a sample, sorted (COMMON at most).  Which they are changes cost and never the result."""
+def common_tokens(texts: DataFrame, rows: int, work: Workspace, most: int = COMMON) -> np.ndarray:
+    """The most frequent tokens of a sample, sorted (about ``most``).  Which they are changes cost and never the result.
+
+    No more than those reach the driver, however many tokens the sample has and
+    however many tasks hold them: a limit would take so many from each task.
+    """
     some = texts.where(F.pmod(F.xxhash64("id"), F.lit(max(1, rows // SAMPLE))) == 0).select("text")
     counted = some.mapInArrow(freed(_tokens), "token long").groupBy("token").count().where("count > 2")
-    return np.sort(np.array([r.token for r in counted.orderBy(F.desc("count"), "token").limit(COMMON).select("token").collect()], np.int64).view(np.uint64))
+    counted = work.save(counted, "tokens", hashes=True)
+    room, wanted = most, F.lit(True)
+    for r in counted.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).collect():
+        if r.n > room:
+            # Tokens are 63 bits of a hash, so a range of them is a share of this count.
+            wanted = (F.col("count") > r["count"]) | ((F.col("count") == r["count"]) & (F.col("token") < (room << 63) // r.n))
+            break
+        room -= r.n
+    got = counted.where(wanted).select("token").collect()
+    work.drop(counted)
+    return np.sort(np.array([r.token for r in got], np.int64).view(np.uint64))
 
 
 def similar_documents(docs: DataFrame, id_col: str, text_col: str, work: Workspace, similarity: float = SIMILARITY, among: DataFrame | None = None, most: int = MOST) -> DataFrame:
@@ -336,7 +350,7 @@ def similar_documents(docs: DataFrame, id_col: str, text_col: str, work: Workspa
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    common = common_tokens(narrow, narrow.count())
+    common = common_tokens(narrow, narrow.count(), work)
     marked = narrow.mapInArrow(freed(_prefixes(common, similarity)), "id long, n long, c long, c2 long, fp long, prefix array<long>")
     marked = work.save(marked if among is None else marked.join(among.select("id").hint("merge"), "id", "left_semi"), "marked", hashes=True)
     points = work.save(marked.groupBy("c", "c2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")), "points", hashes=True)
