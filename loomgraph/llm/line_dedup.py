@@ -25,6 +25,7 @@ of a block by that are then held against all lines of the block.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import zip_longest
@@ -491,9 +492,29 @@ def near_links(keys: np.ndarray, marks: Marks, similarity: float, hot: int = HOT
     return np.concatenate(left), np.concatenate(right), deferred
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node that links tie to a smaller one, and the smallest node that it hangs together with: the same parts, without chains."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    p, q = at.reshape(2, -1)
+    parent = np.arange(len(nodes))
+    while len(p):
+        u, v = parent[p], parent[q]
+        some = u != v
+        p, q, u, v = p[some], q[some], u[some], v[some]
+        np.minimum.at(parent, np.maximum(u, v), np.minimum(u, v))
+        while (parent != (up := parent[parent])).any():
+            parent = up
+    moved = np.flatnonzero(parent != np.arange(len(nodes)))
+    return nodes[moved], nodes[parent[moved]]
+
+
 NEAR_ROWS = "a long, b long, tile string, side int, fp long, fp2 long, sig long"
 
 
+#: Of a row of verified_links: its group is in one chunk; it is in its own chunk of a larger group; it is a leader in another one.
+WHOLE, MEMBER, GUEST = 0, 1, 2
+
+
 def _gathered(batches: Iterator[pa.RecordBatch], columns: int) -> list[np.ndarray] | None:
     got = [[np.asarray(b.column(c)) for c in range(columns)] for b in batches if b.num_rows]
     return [np.concatenate([g[c] for g in got]) for c in range(columns)] if got else None
@@ -510,8 +531,9 @@ def _near(similarity: float, hot: int, tile: int):
         keys, fp, fp2, sig, ids = (x[order] for x in got)
         left, right, deferred = near_links(keys, Marks(fp, fp2, sig), similarity, hot)
         names = [f.split(" ")[0] for f in NEAR_ROWS.split(", ")]
+        left, right = stars(ids[left], ids[right])
         for at in range(0, len(left), 1 << 16):
-            a, b = ids[left[at : at + (1 << 16)]], ids[right[at : at + (1 << 16)]]
+            a, b = left[at : at + (1 << 16)], right[at : at + (1 << 16)]
             blank = pa.nulls(len(a), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.string()), pa.nulls(len(a), pa.int32()), blank, blank, blank], names=names)
         for a, n in deferred:
@@ -536,11 +558,14 @@ def _tiled(similarity: float):
         side, fp, fp2, sig, ids = (np.concatenate([g[c] for g in got]) for c in range(1, 6))
         code = np.unique(np.array(names, object).astype(str), return_inverse=True)[1]
         marks = Marks(fp, fp2, sig)
+        left: list[int] = []
+        right: list[int] = []
         for t in range(int(code.max()) + 1):
             mine = np.flatnonzero(code == t)
             a, b = forest(marks, mine[side[mine] == 0], mine[side[mine] == 1], similarity)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+            left += a
+            right += b
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in stars(ids[left], ids[right])], names=["a", "b"])
 
     return run
 
@@ -559,7 +584,8 @@ class Groups:
         self.texts: list[str] = []
         #: Pairs that no quick look settles: differing bits, and the two lines.
         self.open: list[tuple[int, int, int]] = []
-        self.links: list[tuple[int, int]] = []
+        #: Group and kind of each line.
+        self.of: list[tuple[int, int]] = []
 
     def find(self, x: int) -> int:
         parent = self.parent
@@ -570,12 +596,12 @@ class Groups:
 
     def link(self, p: int, q: int) -> None:
         self.parent[self.find(p)] = self.find(q)
-        self.links.append((self.ids[p], self.ids[q]))
 
-    def add(self, ids: list[int], fp: list[int], fp2: list[int], sig: list[int], texts: list[str]) -> None:
+    def add(self, group: int, kinds: list[int], ids: list[int], fp: list[int], fp2: list[int], sig: list[int], texts: list[str]) -> None:
         n, base = len(ids), len(self.ids)
         if n < 2:
             return
+        self.of += [(group, k) for k in kinds]
         self.ids += ids
         self.texts += texts
         self.parent += range(base, base + n)
@@ -592,15 +618,20 @@ class Groups:
                 elif got is None:
                     self.open.append((d, p, q))
 
-    def settle(self) -> list[tuple[int, int]]:
-        """The links of all groups so far."""
+    def settle(self) -> list[tuple[int, int, int, int]]:
+        """(group, kind, line, smallest line that it hangs together with) of all groups so far, without lines that hang alone."""
         waiting = sorted(self.open)
         for at in range(0, len(waiting), 2048):
             some = [(p, q) for _, p, q in waiting[at : at + 2048] if self.find(p) != self.find(q)]
             for (p, q), ok in zip(some, all_similar([(self.texts[p], self.texts[q]) for p, q in some], self.similarity)):
                 if ok and self.find(p) != self.find(q):
                     self.link(p, q)
-        out = self.links
+        least: dict[int, int] = {}
+        roots = [self.find(p) for p in range(len(self.ids))]
+        size = Counter(roots)
+        for r, x in zip(roots, self.ids):
+            least[r] = min(least.get(r, x), x)
+        out = [(*g, x, least[r]) for g, x, r in zip(self.of, self.ids, roots) if size[r] > 1]
         self.__init__(self.similarity)
         return out
 
@@ -611,34 +642,41 @@ def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _verified(similarity: float):
-    """(a, b): the links in each chunk of each group (rows sorted by group and chunk)."""
+    """PARTS: what hangs together in each chunk of each group (rows sorted by group and chunk)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[list] = [[] for _ in range(5)]
-        groups, now, held = Groups(similarity), None, 0
+        rows: list[list] = [[] for _ in range(6)]
+        groups, now, held = Groups(similarity), (0, 0), 0
 
         def settled() -> pa.RecordBatch:
-            links = groups.settle()
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], names=["a", "b"])
+            got = groups.settle()
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in range(4)], names=["g", "kind", "node", "part"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in range(6)]
-            for g, c, *row, text in zip(*columns, normalise(batch.column(6))):
+            columns = [batch.column(c).to_pylist() for c in range(7)]
+            for g, c, *row, text in zip(*columns, normalise(batch.column(7))):
                 if (g, c) != now:
-                    groups.add(*rows)
-                    held += sum(map(len, rows[4]))
-                    now, rows = (g, c), [[] for _ in range(5)]
+                    groups.add(now[0], *rows)
+                    held += sum(map(len, rows[5]))
+                    now, rows = (g, c), [[] for _ in range(6)]
                     if held > HELD:
                         yield settled()
                         held = 0
                 for to, x in zip(rows, (*row, text)):
                     to.append(x)
-        groups.add(*rows)
+        groups.add(now[0], *rows)
         yield settled()
 
     return run
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, component): the parts of the chunks of each group that lines in several chunks tie together."""
+    got = _gathered(batches, 2)
+    if got is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in stars(*got)], names=["part", "component"])
+
+
 def _tied(similarity: float):
     """(a, b): at each key the links among lines that do not hang together yet, as many as tie their parts together.
 
@@ -721,34 +759,49 @@ def verified_links(lined: DataFrame, keyed: DataFrame, similarity: float, work:
     """(node, component) of the lines that the texts link.  lined: g (group of candidates), h1, fp, fp2, sig, text.  keyed: node, keys: the block keys of lines."""
     spark = lined.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    columns = ["g", "c", "h1", "fp", "fp2", "sig", "text"]
+    columns = ["g", "c", "kind", "h1", "fp", "fp2", "sig", "text"]
     large = work.save(lined.groupBy("g").count().where(F.col("count") > chunk).select("g", F.ceil(F.col("count") / chunk).cast("int").alias("m")), "large")
     some = not is_empty(large)
     alone = lined.join(large, "g", "left_anti") if some else lined
-    rows = alone.withColumn("c", F.lit(0))
+    rows = alone.withColumns({"c": F.lit(0), "kind": F.lit(WHOLE)})
     if some:
-        members = lined.join(large, "g").withColumn("c", F.pmod("h1", "m").cast("int"))
+        members = lined.join(large, "g").withColumns({"c": F.pmod("h1", "m").cast("int"), "kind": F.lit(MEMBER)})
         whole = F.struct("h1", "fp", "fp2", "sig", "text")
         leaders = members.groupBy("g", "m", F.pmod("h1", F.lit(LEADERS)).alias("l")).agg(F.min_by(whole, "h1").alias("w")).select("g", "m", "w.*")
         every = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
-        led = leaders.select("g", every.alias("c"), "m", "h1", "fp", "fp2", "sig", "text").where("c <> pmod(h1, m)")
+        led = leaders.select("g", every.alias("c"), F.lit(GUEST).alias("kind"), "m", "h1", "fp", "fp2", "sig", "text").where("c <> pmod(h1, m)")
         rows = rows.unionByName(members.drop("m")).unionByName(led.drop("m"))
     dealt = rows.select(*columns).repartition(parts, "g", "c").sortWithinPartitions("g", "c")
-    links = work.save(dealt.mapInArrow(freed(_verified(similarity)), "a long, b long"), "links")
-    same = connected_components(links, work)
+    found = work.save(dealt.mapInArrow(freed(_verified(similarity)), "g long, kind long, node long, part long"), "parts")
+    # A group in one piece is settled by that; the chunks of a larger one meet at the lines that several of them hold.
+    settled = found.where(F.col("kind") == WHOLE).select("node", F.col("part").alias("component"))
     if not some:
-        return same
+        return settled
+    chunked = found.where(F.col("kind") != WHOLE)
+    guests = chunked.where(F.col("kind") == GUEST)
+    homes = chunked.where(F.col("kind") == MEMBER).join(guests.select("node").distinct(), "node", "left_semi")
+    merged = guests.select("node", "part", "g").unionByName(homes.select("node", "part", "g")).repartition(parts, "g")
+    merged = work.save(merged.mapInArrow(freed(_merged), "part long, component long"), "merged")
+    same = chunked.join(merged, "part", "left").select("node", F.coalesce("component", "part").alias("component"))
+    same = work.save(same.distinct(), "components")
     # What the chunks and leaders left apart meets again at the blocks.
-    same = work.save(same, "components")
     apart = members.select("g", "h1").join(same, members.h1 == same.node, "left").select("g", "h1", F.coalesce("component", "h1").alias("part"))
     split = apart.groupBy("g").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("g")
     apart = work.save(apart.join(split, "g", "left_semi").drop("g"), "apart", hashes=True)
     if is_empty(apart):
-        return same
+        return settled.unionByName(same)
     whole = apart.join(lined.select("h1", "fp", "fp2", "sig", "text"), "h1").join(keyed, F.col("h1") == F.col("node"))
     blocks = whole.select(F.explode(F.array_distinct("keys")).alias("k"), "fp", "fp2", "sig", "node", "part", "keys", "text")
     more = work.save(blocks.repartition(parts, "k").mapInArrow(freed(_tied(similarity)), "a long, b long"), "more")
-    return connected_components(links.unionByName(more), work)
+    if is_empty(more):
+        return settled.unionByName(same)
+    # Only parts that are tied by that need a search; a line without a link so far is a part of its own.
+    for end in "ab":
+        more = more.join(apart.select(F.col("h1").alias(end), F.col("part").alias(f"part_{end}")), end)
+    tied = work.save(connected_components(more, work, "part_a", "part_b").withColumnsRenamed({"node": "part", "component": "whole"}), "tied")
+    moved = same.join(tied, same.component == tied.part, "left").select("node", F.coalesce("whole", "component").alias("component"))
+    alone = tied.join(same, tied.part == same.node, "left_anti").select(F.col("part").alias("node"), F.col("whole").alias("component"))
+    return settled.unionByName(moved).unionByName(alone)
 
 
 def doc_key(id_col: str, text_col: str) -> list[Column]:
@@ -783,7 +836,7 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, s
         # The text of each such line, from its first occurrence.
         wanted = F.collect_list(F.struct("g", "h1", "fp", "fp2", "sig", "first.line"))
         per_doc = work.save(members.groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")).agg(wanted.alias("wanted")), "wanted")
-        text = narrow.select("k1", "k2", "text").join(per_doc, ["k1", "k2"]).select(F.split("text", "\n").alias("parts"), "wanted")
+        text = narrow.select("k1", "k2", "text").join(per_doc.hint("shuffle_hash"), ["k1", "k2"]).select(F.split("text", "\n").alias("parts"), "wanted")
         lined = text.select(F.explode("wanted").alias("w"), "parts").select("w.*", F.get("parts", F.col("w.line")).alias("text")).drop("line")
         lined = work.save(lined.dropDuplicates(["h1"]), "texts")
         same = verified_links(lined, distinct.select(F.col("h1").alias("node"), "keys"), similarity, work)

@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from loomgraph.llm.line_dedup import Marks, _tied, edit_distance, edit_distances, forest, most_edits, near_links
+import pytest
+from loomgraph.llm import line_dedup
+from loomgraph.llm.line_dedup import Marks, _tied, edit_distance, edit_distances, forest, most_edits, near_links, stars
 
 
 def marks(rng, n, groups):
@@ -76,3 +78,31 @@ def linked(n, a, b):
         if u != v:
             root = [min(u, v) if r in (u, v) else r for r in root]
     return root
+
+
+def test_stars_have_the_parts_of_chains():
+    rng = np.random.default_rng(4)
+    chain = rng.permutation(5000) * 3
+    assert [x.tolist() for x in stars(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [[], []]
+    cut = np.flatnonzero(np.arange(4999) % 1000 != 999)
+    got = dict(zip(*(x.tolist() for x in stars(chain[:-1][cut], chain[1:][cut]))))
+    want = {x: min(part) for part in chain.reshape(5, 1000).tolist() for x in part if x != min(part)}
+    assert got == want
+
+
+@pytest.mark.parametrize(("chunk", "searches"), [(250, 1), (8, 2)])
+def test_only_what_lies_in_several_tasks_is_searched_again(spark, monkeypatch, chunk, searches):
+    """A group in one chunk is settled there; a larger one by the lines that its chunks share."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(4):
+        base = [f"w{i}{rng.randint(0, 999)}" for _ in range(30)]
+        for _ in range(30):
+            line = list(base)
+            line[rng.randrange(30)] = f"v{rng.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(line)))
+    calls, search = [], line_dedup.connected_components
+    monkeypatch.setattr(line_dedup, "connected_components", lambda *a, **k: calls.append(1) or search(*a, **k))
+    monkeypatch.setattr(line_dedup.verified_links, "__defaults__", (chunk,))
+    got = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.text}
+    assert got == {0, 30, 60, 90} and len(calls) <= searches
