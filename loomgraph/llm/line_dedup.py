@@ -57,10 +57,14 @@ HELD = 1 << 24
 SIDE = 192
 #: Characters after which pairs that are sure to lie too far apart leave.
 LOOK = 64
-#: Bytes of text that a worker turns into lines at once.
-SLICE = 1 << 20
+#: Bytes of text that a worker turns into lines at once; the arrays of a slice should fit a cache.
+SLICE = 1 << 18
 #: Blocks of up to so many rows are compared by shifting the whole array.
 SMALL = 64
+#: Lines that a task packs at once.
+PACKED = 1 << 17
+#: Bits of the filter that keeps texts without a wanted line out of a shuffle.
+FILTER = 1 << 24
 #: What normalising makes of each byte; bytes of non-ASCII characters stay.
 TABLE = bytes(b if b >= 128 or b == 10 or chr(b).isalnum() else 32 for b in range(256)).lower()
 P = 0x9E3779B97F4A7C15
@@ -371,18 +375,115 @@ def line_table(docs: list[pa.Array], texts: pa.Array, min_words: int) -> pa.Reco
     return pa.RecordBatch.from_arrays([*(d.take(pa.array(of)) for d in docs), *(pa.array(x) for x in (number, h1, h2, fp, fp2, sig)), lists], names=names)
 
 
-def _lines(min_words: int):
-    """A row of line -1 for each document, and the rows of its lines."""
+#: Rows of lines and of blocks as tasks hand them on: many in one value, as a row each costs the JVM more than the work on it.
+LINE = np.dtype([(x, "<i8") for x in ("h1", "h2", "k1", "k2", "id", "fp", "fp2", "sig")] + [("line", "<i4"), ("last", "?"), ("fuzzy", "?"), ("keys", "<i4", (BLOCKS,))])
+BLOCK = np.dtype([("k", "<i4"), *((x, "<i8") for x in ("fp", "fp2", "sig", "node"))])
+NARROW = "k1 long, k2 long, line int, h1 long, h2 long, bucket int, packed binary"
+PACKS = "bucket int, packed binary"
+
+
+def packs(rows: np.ndarray, by: str, parts: int) -> tuple[pa.Array, pa.Array]:
+    """(bucket, packed): the rows in one value for each of ``parts`` buckets that has any; equal values of the column ``by`` share a bucket."""
+    bucket = (mix(rows[by].astype(np.int64).view(np.uint64), 7) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    data, bucket = rows[order].tobytes(), bucket[order]
+    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    ends = np.append(starts[1:], len(rows)) * rows.itemsize
+    return pa.array(bucket[starts]), pa.array([data[a:b] for a, b in zip((starts * rows.itemsize).tolist(), ends.tolist())], pa.binary())
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for b in batches for x in b.column(1))])
+
+
+def _lines(min_words: int, parts: int):
+    """NARROW: a row of line -1 for each document, rows of its lines, and the lines once more, packed by their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split(" ")[0] for f in NARROW.split(", ")]
+        held: list[np.ndarray] = []
+
+        def narrow(k1: pa.Array, k2: pa.Array, line: pa.Array, h1: pa.Array, h2: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([k1, k2, line, h1, h2, pa.nulls(len(k1), pa.int32()), pa.nulls(len(k1), pa.binary())], names=names)
+
+        def flushed() -> pa.RecordBatch:
+            bucket, packed = packs(np.concatenate(held), "h1", parts)
+            held.clear()
+            none = pa.nulls(len(bucket), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(bucket), pa.int32()), none, none, bucket, packed], names=names)
+
         for batch in batches:
             text = batch.column(3)
             sizes = pc.binary_length(text).to_numpy(zero_copy_only=False)
             none = pa.nulls(batch.num_rows, pa.int64())
-            mark = pa.array(np.full(batch.num_rows, -1, np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], mark, none, none, none, none, none, pa.nulls(batch.num_rows, pa.list_(pa.int32()))], names=[f.split(" ")[0] for f in LINES.split(", ")])
+            yield narrow(*batch.columns[:2], pa.array(np.full(batch.num_rows, -1, np.int32)), none, none)
             for a, b in byte_batches([range(n) for n in sizes.tolist()], SLICE):
-                yield line_table([batch.column(c).slice(a, b - a) for c in range(3)], text.slice(a, b - a), min_words)
+                table = line_table([batch.column(c).slice(a, b - a) for c in range(3)], text.slice(a, b - a), min_words)
+                if not table.num_rows:
+                    continue
+                yield narrow(*(table.column(c) for c in ("k1", "k2", "line", "h1", "h2")))
+                rows = np.zeros(table.num_rows, LINE)
+                for c in ("h1", "h2", "k1", "k2", "fp", "fp2", "sig", "line"):
+                    rows[c] = np.asarray(table.column(c))
+                rows["id"] = np.asarray(table.column("id").fill_null(0))
+                rows["last"] = np.asarray(table.column("id").is_null())
+                rows["fuzzy"] = np.diff(np.asarray(table.column("keys").offsets)) > 0
+                rows["keys"][rows["fuzzy"]] = np.asarray(table.column("keys").flatten()).reshape(-1, BLOCKS)
+                held.append(rows)
+                if sum(map(len, held)) >= PACKED:
+                    yield flushed()
+        if held:
+            yield flushed()
+
+    return run
+
+
+DISTINCT = "h1 long, h2 long, lead boolean, n long, first struct<last: boolean, id: long, k1: long, k2: long, line: int>, fp long, fp2 long, sig long, keys array<int>"
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """DISTINCT: each line once, with its first occurrence and how often it occurs; of lines that share h1, one has lead."""
+    rows = unpacked(batches, LINE)
+    if not len(rows):
+        return
+    rows = rows[np.lexsort([rows[c] for c in ("line", "k2", "k1", "id", "last", "h2", "h1")])]
+    lead = np.concatenate([[True], rows["h1"][1:] != rows["h1"][:-1]])
+    begin = np.flatnonzero(lead | np.concatenate([[True], rows["h2"][1:] != rows["h2"][:-1]]))
+    n = np.diff(np.append(begin, len(rows)))
+    rows, lead = rows[begin], lead[begin]
+    for at in range(0, len(rows), 1 << 16):
+        x = rows[at : at + (1 << 16)]
+        column = {c: pa.array(np.ascontiguousarray(x[c])) for c in LINE.names if c != "keys"}
+        ends = np.concatenate([[0], np.cumsum(np.where(x["fuzzy"], BLOCKS, 0))]).astype(np.int32)
+        keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(x["keys"][x["fuzzy"]].ravel()))
+        first = ("last", "id", "k1", "k2", "line")
+        first = pa.StructArray.from_arrays([column[c] for c in first], names=first)
+        columns = [column["h1"], column["h2"], pa.array(lead[at : at + (1 << 16)]), pa.array(n[at : at + (1 << 16)]), first, column["fp"], column["fp2"], column["sig"], keys]
+        yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "lead", "n", "first", "fp", "fp2", "sig", "keys"])
+
+
+def _blocks(parts: int):
+    """PACKS: each line (h1, fp, fp2, sig, keys) at each of its keys, packed by the key."""
+
+    def packed(got: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(got).combine_chunks()
+        keys = np.sort(table.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, BLOCKS), axis=1)
+        line, place = np.nonzero(np.concatenate([np.ones((len(keys), 1), bool), keys[:, 1:] != keys[:, :-1]], axis=1))
+        rows = np.zeros(len(line), BLOCK)
+        rows["k"] = keys[line, place]
+        for to, c in (("fp", "fp"), ("fp2", "fp2"), ("sig", "sig"), ("node", "h1")):
+            rows[to] = table.column(c).to_numpy()[line]
+        return pa.RecordBatch.from_arrays(list(packs(rows, "k", parts)), names=["bucket", "packed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[pa.RecordBatch] = []
+        for batch in batches:
+            got += [batch] if batch.num_rows else []
+            if sum(b.num_rows for b in got) >= PACKED:
+                yield packed(got)
+                got.clear()
+        if got:
+            yield packed(got)
 
     return run
 
@@ -521,14 +622,19 @@ def _gathered(batches: Iterator[pa.RecordBatch], columns: int) -> list[np.ndarra
 
 
 def _near(similarity: float, hot: int, tile: int):
-    """Links (a, b) of the lines that meet at a key; for hot keys instead each line in each of the tiles that hold its part of the block.  A task holds 40 bytes a row of its share."""
+    """Links (a, b) of the lines that meet at a key; for hot keys instead each line in each of the tiles that hold its part of the block.  A task holds 36 bytes a row of its share, and as much for those of keys that several rows have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _gathered(batches, 5)
-        if got is None:
+        got = unpacked(batches, BLOCK)
+        if not len(got):
             return
-        order = np.argsort(got[0], kind="stable")
-        keys, fp, fp2, sig, ids = (x[order] for x in got)
+        order = np.argsort(got["k"], kind="stable")
+        keys = got["k"][order]
+        same = keys[1:] == keys[:-1]
+        got = got[order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]]
+        if not len(got):
+            return
+        keys, fp, fp2, sig, ids = (np.ascontiguousarray(got[c]) for c in ("k", "fp", "fp2", "sig", "node"))
         left, right, deferred = near_links(keys, Marks(fp, fp2, sig), similarity, hot)
         names = [f.split(" ")[0] for f in NEAR_ROWS.split(", ")]
         left, right = stars(ids[left], ids[right])
@@ -809,21 +915,31 @@ def doc_key(id_col: str, text_col: str) -> list[Column]:
     return [F.xxhash64(id_col, text_col), F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long"))]
 
 
+def maybe(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """k1, k2, text of the texts that may be wanted (by k1), all wanted ones and few others: a filter of FILTER bits at most, 2 MB, tells."""
+    place = F.pmod("k1", F.lit(FILTER))
+    bits = wanted.groupBy(F.bitmap_bucket_number(place).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    at = F.bitmap_bit_position(place).cast("int")
+    paged = texts.select("k1", "k2", "text", F.bitmap_bucket_number(place).alias("page"), at.alias("at"))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return paged.join(F.broadcast(bits), "page").where(F.getbit(byte, F.pmod("at", F.lit(8))) == 1).select("k1", "k2", "text")
+
+
 def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, similarity: float, work: Workspace) -> tuple[DataFrame, DataFrame]:
     """(k1, k2, gone): the numbers of the lines to drop, for each document that loses any; and (k1, k2) of documents that have several rows."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     k1, k2 = doc_key(id_col, text_col)
     narrow = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    lines = work.save(narrow.mapInArrow(freed(_lines(min_words)), LINES), "lines", hashes=True)
+    lines = work.save(narrow.mapInArrow(freed(_lines(min_words, parts)), NARROW), "lines", hashes=True)
     repeated = work.save(lines.where("line < 0").groupBy("k1", "k2").count().where("count > 1").select("k1", "k2"), "repeated")
-    lines = lines.where("line >= 0")
-    order = F.struct(F.col("id").isNull().alias("last"), "id", "k1", "k2", "line")
     # Copies meet as one row, so however often a line occurs, it is compared once.
-    distinct = lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("fp", "fp2", "sig", "keys")))
-    distinct = work.save(distinct, "distinct", hashes=True)
-    keyed = distinct.where("size(keys) > 0").select(F.explode(F.array_distinct("keys")).alias("k"), "fp", "fp2", "sig", F.col("h1").alias("node"))
-    near = work.save(keyed.repartition(parts, "k").mapInArrow(freed(_near(similarity, HOT, TILE)), NEAR_ROWS), "near")
+    dealt = lines.where("bucket is not null").select("bucket", "packed").repartitionById(parts, "bucket")
+    distinct = work.save(dealt.mapInArrow(freed(_distinct), DISTINCT), "distinct", hashes=True)
+    lines = lines.where("line >= 0")
+    keyed = distinct.where("size(keys) > 0").select("h1", "fp", "fp2", "sig", "keys")
+    dealt = keyed.mapInArrow(freed(_blocks(parts)), PACKS).repartitionById(parts, "bucket")
+    near = work.save(dealt.mapInArrow(freed(_near(similarity, HOT, TILE)), NEAR_ROWS), "near")
     links = near.where("tile is null").select("a", "b")
     if not is_empty(near.where("tile is not null")):
         tiles = near.where("tile is not null").select("tile", "side", "fp", "fp2", "sig", "a").repartition(parts, "tile")
@@ -831,19 +947,20 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, s
     copies = distinct.where("n > 1").select("h1", "h2", F.col("first").alias("keep"))
     if not is_empty(links):
         close = connected_components(links, work).withColumnRenamed("component", "g")
-        members = work.save(distinct.join(close, distinct.h1 == close.node).select("g", "h1", "fp", "fp2", "sig", "first"), "members")
+        members = work.save(distinct.join(close, distinct.h1 == close.node).select("g", *distinct.columns), "members", hashes=True)
         work.drop(near)
         # The text of each such line, from its first occurrence.
         wanted = F.collect_list(F.struct("g", "h1", "fp", "fp2", "sig", "first.line"))
-        per_doc = work.save(members.groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")).agg(wanted.alias("wanted")), "wanted")
-        text = narrow.select("k1", "k2", "text").join(per_doc.hint("shuffle_hash"), ["k1", "k2"]).select(F.split("text", "\n").alias("parts"), "wanted")
+        leads = members.where("lead")
+        per_doc = work.save(leads.groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")).agg(wanted.alias("wanted")), "wanted")
+        text = maybe(narrow, per_doc).join(per_doc.hint("shuffle_hash"), ["k1", "k2"]).select(F.split("text", "\n").alias("parts"), "wanted")
         lined = text.select(F.explode("wanted").alias("w"), "parts").select("w.*", F.get("parts", F.col("w.line")).alias("text")).drop("line")
-        lined = work.save(lined.dropDuplicates(["h1"]), "texts")
-        same = verified_links(lined, distinct.select(F.col("h1").alias("node"), "keys"), similarity, work)
-        linked = members.join(same, members.h1 == same.node).select("h1", "component", "first")
+        # Only a document of several rows gives a line more than once.
+        lined = work.save(lined if is_empty(repeated) else lined.dropDuplicates(["h1"]), "texts")
+        same = verified_links(lined, leads.select(F.col("h1").alias("node"), "keys"), similarity, work)
+        linked = members.join(same, members.h1 == same.node).select("h1", "h2", "component", "first")
         firsts = linked.groupBy("component").agg(F.min("first").alias("keep"))
-        moved = distinct.select("h1", "h2").join(linked.join(firsts, "component").select("h1", "keep"), "h1")
-        moved = work.save(moved, "moved")
+        moved = work.save(linked.join(firsts, "component").select("h1", "h2", "keep"), "moved")
         copies = copies.join(moved, ["h1", "h2"], "left_anti").unionByName(moved)
     copies = copies.select("h1", "h2", *(F.col(f"keep.{c}").alias(f"keep_{c}") for c in ("k1", "k2", "line")))
     losing = lines.select("h1", "h2", "k1", "k2", "line").join(copies, ["h1", "h2"]).where("not (k1 = keep_k1 and k2 = keep_k2 and line = keep_line)")

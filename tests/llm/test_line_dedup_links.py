@@ -106,3 +106,40 @@ def test_only_what_lies_in_several_tasks_is_searched_again(spark, monkeypatch, c
     monkeypatch.setattr(line_dedup.verified_links, "__defaults__", (chunk,))
     got = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.text}
     assert got == {0, 30, 60, 90} and len(calls) <= searches
+
+
+def test_lines_are_handed_on_packed():
+    """A task hands on its lines, and their blocks, as a row for each bucket; each line comes out once, with its first occurrence."""
+    texts = [f"one two three four five six {i % 7}\n\nshort {i % 3}\nonly here {i}" for i in range(60)]
+    ids = pa.array([None if i % 10 == 9 else 60 - i for i in range(60)], pa.int64())
+    number = pa.array(np.arange(60) * 3)
+    batch = pa.RecordBatch.from_arrays([number, number, ids, pa.array(texts)], names=["k1", "k2", "id", "text"])
+    rows = pa.Table.from_batches(list(line_dedup._lines(5, 4)(iter([batch]))))
+    narrow = [r for r in rows.to_pylist() if r["bucket"] is None]
+    packed = rows.select(["bucket", "packed"]).filter(rows["bucket"].is_valid())
+    assert len(packed) <= 4 and len([r for r in narrow if r["line"] < 0]) == 60
+    want = {}
+    for r in narrow:
+        if r["line"] >= 0:
+            i = r["k1"] // 3
+            want.setdefault((r["h1"], r["h2"]), []).append((ids[i].as_py() is None, ids[i].as_py() or 0, r["k1"], r["k2"], r["line"]))
+    assert len(want) == 7 + 3 + 60
+    out = pa.Table.from_batches(list(line_dedup._distinct(iter(packed.to_batches()))))
+    assert {(r["h1"], r["h2"]): (r["n"], tuple(r["first"].values())) for r in out.to_pylist()} == {k: (len(v), min(v)) for k, v in want.items()}
+    assert out.num_rows == len(want) and all(out["lead"].to_pylist())
+    fuzzy = [r for r in out.to_pylist() if r["keys"]]
+    lines = pa.RecordBatch.from_pylist([{c: r[c] for c in ("h1", "fp", "fp2", "sig", "keys")} for r in fuzzy])
+    blocks = list(line_dedup._blocks(4)(iter([lines])))
+    assert sum(b.num_rows for b in blocks) <= 4
+    got = line_dedup.unpacked(iter(blocks), line_dedup.BLOCK)
+    assert {(x["k"], x["node"], x["sig"]) for x in got} == {(k, r["h1"], r["sig"]) for r in fuzzy for k in r["keys"]}
+    assert len(got) == len({(x["k"], x["node"]) for x in got})
+
+
+def test_the_filter_of_texts_loses_none(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FILTER", 1 << 17)
+    rng = random.Random(3)
+    rows = [(rng.randrange(-(1 << 63), 1 << 63), i, "x") for i in range(3000)]
+    texts = spark.createDataFrame(rows, "k1 long, k2 long, text string")
+    got = {r.k2 for r in line_dedup.maybe(texts, texts.where("k2 < 300")).collect()}
+    assert set(range(300)) <= got and len(got) < 400
