@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import Graph
+from ..graph import Graph, cut, unique
 from .analytics import cycles
 from .primitives import is_test_path
 from .traversal import affected
@@ -36,9 +36,11 @@ def dependency_delta(old: Graph, new: Graph, depth: int = 2) -> DataFrame:
 
 def removed_interfaces(old: Graph, new: Graph, n: int = 50) -> DataFrame:
     """Code nodes that are gone and were public, or of unknown visibility with uses from other files; most used first."""
-    gone = old.nodes.where("file_type = 'code'").join(new.nodes.select("id"), "id", "left_anti")
+    gone = cut(old.nodes.where("file_type = 'code'").join(unique(new.nodes.select("id")), "id", "left_anti").select("id", "label", "source_file", "visibility"), "gone")
     file = old.nodes.select(F.col("id"), F.col("source_file").alias("f"))
-    used = old.edges.select("src", "dst").distinct().join(file.select(F.col("id").alias("src"), F.col("f").alias("fa")), "src").join(file.select(F.col("id").alias("dst"), F.col("f").alias("fb")), "dst")
+    # Only links to what is gone are asked for.
+    into = old.edges.select("src", "dst").join(gone.select(F.col("id").alias("dst")), "dst", "left_semi").repartition("src").distinct()
+    used = into.join(unique(file.select(F.col("id").alias("src"), F.col("f").alias("fa"))), "src").join(gone.select(F.col("id").alias("dst"), F.col("source_file").alias("fb")), "dst")
     refs = used.where("fa <> fb").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("refs"))
     out = gone.join(refs, "id", "left").fillna(0, ["refs"]).where("visibility = 'public' or (visibility is null and refs > 0)")
     return out.select("id", "label", "refs").orderBy(F.desc("refs"), "id").limit(n)
@@ -112,7 +114,7 @@ def forecast(g: Graph, seeds: list[str], depth: int = 3, most: int = 200) -> dic
 
 def edit_impact(g: Graph, target: str, edit: str) -> DataFrame:
     """(id, relation, verdict): dependents of a node that a delete, signature or visibility change breaks or asks to review."""
-    into = g.edges.where(F.col("dst") == target).select(F.col("src").alias("id"), "relation", "confidence").distinct()
+    into = cut(g.edges.where(F.col("dst") == target).select(F.col("src").alias("id"), "relation", "confidence").distinct(), "into")
     own = g.nodes.where(F.col("id") == target).agg(F.min("source_file")).first()[0]
     rows = into.join(g.nodes.select("id", "source_file"), "id")
     sure = F.col("confidence") == "EXTRACTED"

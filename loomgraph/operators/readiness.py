@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import Graph
+from ..graph import Graph, cut
 from .primitives import bare_name, is_test_path
 from .traversal import affected
 
@@ -97,7 +97,7 @@ def select_target(nodes: DataFrame, name: str, node_id: str | None = None, file:
 def rename_plan(g: Graph, target: str, new_name: str, files: DataFrame | None = None, depth: int = 2) -> dict[str, DataFrame]:
     """edits (certain sites), review (uncertain ones and text places), collisions, blast radius."""
     own = g.nodes.where(F.col("id") == target).select("label", "source_file").first()
-    into = g.edges.where((F.col("dst") == target) & ~F.col("relation").isin("contains", "method"))
+    into = cut(g.edges.where((F.col("dst") == target) & ~F.col("relation").isin("contains", "method")).select("src", "relation", "confidence"), "into")
     sites = into.join(g.nodes.select(F.col("id").alias("src"), F.col("source_file").alias("path")), "src").select("src", "path", "relation", "confidence").distinct()
     clash = candidates(g.nodes, new_name).where(F.col("source_file") == own.source_file).select("id") if own else g.nodes.limit(0).select("id")
     review = sites.where("confidence <> 'EXTRACTED'")
@@ -109,7 +109,8 @@ def rename_plan(g: Graph, target: str, new_name: str, files: DataFrame | None =
 
 def relocate_plan(g: Graph, target: str, new_file: str, depth: int = 2) -> dict[str, DataFrame]:
     """One import update a file that refers to the target, collisions of base name, blast radius."""
-    into = g.edges.where((F.col("dst") == target) & ~F.col("relation").isin("contains", "method"))
+    # One node's links are few: as a table they meet the nodes by broadcast, and no node moves.
+    into = cut(g.edges.where((F.col("dst") == target) & ~F.col("relation").isin("contains", "method")).select("src"), "into")
     files = into.join(g.nodes.select(F.col("id").alias("src"), F.col("source_file").alias("path")), "src").where("path <> ''").select("path").distinct().orderBy("path")
     base = new_file.rsplit("/", 1)[-1]
     clash = g.nodes.where((F.element_at(F.split("source_file", "/"), -1) == base) & (F.col("source_file") != new_file)).select("source_file").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..graph import Graph
+from ..graph import Graph, unique
 from .build import edge_key, rewire
 
 
@@ -83,6 +83,13 @@ def split_shards(g: Graph) -> tuple[DataFrame, DataFrame]:
     return inside, e.where("ra <> rb").drop("ra", "rb")
 
 
+def shard_sizes(g: Graph) -> DataFrame:
+    """(shard, relation, n): links of each repo, and of `(bridge)` those across, in one pass."""
+    r = unique(g.nodes.select("id", F.coalesce("repo", F.lit("local")).alias("repo")))
+    e = g.edges.select("src", "dst", "relation").join(r.select(F.col("id").alias("src"), F.col("repo").alias("ra")), "src").join(r.select(F.col("id").alias("dst"), F.col("repo").alias("rb")), "dst")
+    return e.groupBy(F.when(F.col("ra") == F.col("rb"), F.col("ra")).otherwise("(bridge)").alias("shard"), "relation").agg(F.count("*").alias("n"))
+
+
 def shard_digest(g: Graph) -> DataFrame:
     """(shard, digest): a digest of ids and link keys that does not depend on order, by repo."""
     inside, _ = split_shards(g)
