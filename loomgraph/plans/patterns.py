@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import Graph
+from ..graph import Graph, unique
 from ..operators.primitives import effective_loc, fan
 from ..schemas import type_like
 
@@ -21,27 +23,49 @@ def god_classes(g: Graph, loc: int = 500, out: int = 20) -> DataFrame:
     return big.join(fan(g.edges, True).where(F.col("fan_out") > out), "id").select("id").orderBy("id")
 
 
-def singletons(g: Graph) -> DataFrame:
+@dataclass(frozen=True)
+class Chain:
+    """References of two steps, left (src, mid) and right (mid, dst): each source of a mid refers to each target of it.
+
+    Kept as two tables: their pairs grow as sources times targets of a mid.
+    """
+
+    context: str
+    left: DataFrame
+    right: DataFrame
+
+
+def singletons(g: Graph, chains: tuple[Chain, ...] = ()) -> DataFrame:
     """Classes with a reference to themselves in a field or return type, from themselves or one of their methods."""
     refs = g.edges.where("relation = 'references' and context in ('field', 'return_type')").select("src", "dst").distinct()
     own = g.edges.where("relation = 'method'").select(F.col("src").alias("owner"), F.col("dst").alias("src")).distinct()
     by_method = refs.join(own, "src").where("owner = dst").select(F.col("dst").alias("id"))
-    found = refs.where("src = dst").select(F.col("src").alias("id")).unionAll(by_method).distinct()
+    found = refs.where("src = dst").select(F.col("src").alias("id")).unionAll(by_method)
+    for c in chains:
+        if c.context in ("field", "return_type"):
+            # A class by itself, and by its methods: the two steps have to end where they came from.
+            ends = c.left.join(unique(own), "src").select("mid", F.col("owner").alias("dst")).unionAll(c.left.select("mid", F.col("src").alias("dst")))
+            found = found.unionAll(ends.join(c.right, ["mid", "dst"], "left_semi").select(F.col("dst").alias("id")))
+    found = found.distinct()
     return g.nodes.where("kind = 'class'").join(found, "id", "left_semi").select("id").orderBy("id")
 
 
-def _to_abstraction(g: Graph, kinds: tuple[str, ...], context: str) -> DataFrame:
+def _to_abstraction(g: Graph, kinds: tuple[str, ...], context: str, chains: tuple[Chain, ...]) -> DataFrame:
     abstract = implementations(g.edges).where("n >= 2").select(F.col("id").alias("dst"))
     refs = g.edges.where((F.col("relation") == "references") & (F.col("context") == context)).join(abstract, "dst", "left_semi").select(F.col("src").alias("id"))
+    for c in chains:
+        if c.context == context:
+            mids = c.right.join(unique(abstract), "dst", "left_semi").select("mid").distinct()
+            refs = refs.unionAll(c.left.join(unique(mids), "mid", "left_semi").select(F.col("src").alias("id")))
     return g.nodes.where(F.col("kind").isin(*kinds)).join(refs, "id", "left_semi").select("id").orderBy("id")
 
 
-def factories(g: Graph) -> DataFrame:
-    return _to_abstraction(g, ("function", "method"), "return_type")
+def factories(g: Graph, chains: tuple[Chain, ...] = ()) -> DataFrame:
+    return _to_abstraction(g, ("function", "method"), "return_type", chains)
 
 
-def observers(g: Graph) -> DataFrame:
-    return _to_abstraction(g, ("class",), "field")
+def observers(g: Graph, chains: tuple[Chain, ...] = ()) -> DataFrame:
+    return _to_abstraction(g, ("class",), "field", chains)
 
 
 def service_locators(g: Graph, least: int = 3) -> DataFrame:
