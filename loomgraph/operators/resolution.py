@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph, cut
@@ -30,19 +30,24 @@ def family(path: str | Column = "source_file") -> Column:
 
 def definitions(g: Graph) -> DataFrame:
     """(id, name, file, family, kind, parent): located symbols by bare name, with the type that owns them."""
-    owner = g.edges.where("relation in ('method', 'contains')").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+    held = g.edges.where("relation in ('method', 'contains')").join(g.nodes.where("source_file <> ''").select(F.col("id").alias("dst")), "dst", "left_semi")
+    owner = held.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
     n = g.nodes.where("source_file <> ''").select("id", bare_name().alias("name"), F.col("source_file").alias("file"), family().alias("family"), "kind")
     return n.join(owner, "id", "left")
 
 
 def _lone(candidates: DataFrame, step: str, confidence: str, score: float) -> DataFrame:
-    """Calls with one candidate; of several, callables are preferred to other kinds."""
-    rank = F.when(F.col("kind").isin(*CALLABLE), 0).otherwise(1)
-    best = candidates.withColumn("rank", rank).withColumn("top", F.min("rank").over(Window.partitionBy("call"))).where("rank = top")
-    one = best.groupBy("call").agg(F.count_distinct("id").alias("n"), F.min("id").alias("target")).where("n = 1")
+    """Calls with one candidate; of several, callables are preferred to other kinds.  candidates: call, and first and last of ``_ends``."""
+    one = candidates.groupBy("call").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first.id = last.id").withColumn("target", F.col("first.id"))
     return one.select("call", "target", F.lit(step).alias("step"), F.lit(confidence).alias("confidence"), F.lit(score).alias("score"))
 
 
+def _ends(symbols: DataFrame, *keys: str) -> DataFrame:
+    """One row a key: the least and the greatest id of the preferred kind, which tell whether it is the only one; calls never meet all symbols of a name."""
+    rank = F.when(F.col("kind").isin(*CALLABLE), 0).otherwise(1)
+    return symbols.groupBy(*keys).agg(F.min(F.struct(rank.alias("rank"), "id")).alias("first"), F.max(F.struct((-rank).alias("rank"), "id")).alias("last"))
+
+
 def resolve_calls(g: Graph, calls: DataFrame, imports: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """(call, target, step, confidence, score).
 
@@ -53,15 +58,15 @@ def resolve_calls(g: Graph, calls: DataFrame, imports: DataFrame, types: DataFra
     d = cut(definitions(g), "definitions")
     c = cut(calls.withColumn("family", family("file")), "calls")
     by_file = imports.select("file", F.col("target_file"), F.col("name").alias("imported"), F.coalesce("sourced", F.lit(False)).alias("sourced"))
-    own = d.select("id", "name", F.col("file").alias("target_file"), "kind")
+    own = _ends(d.select("id", "name", F.col("file").alias("target_file"), "kind"), "target_file", "name")
     via = lambda rows, cond: rows.join(by_file.where(cond), "file").join(own, ["target_file", "name"])
     type_nodes = g.nodes.where("kind in ('class', 'interface', 'trait', 'struct', 'enum', 'record', 'type')").select(F.col("id").alias("parent"), F.col("label").alias("receiver")) if types is None else types.select(F.col("id").alias("parent"), F.col("name").alias("receiver"))
     passes = [
         ("sourced", lambda rows: via(rows, F.col("sourced")), "EXTRACTED", 1.0),
-        ("member", lambda rows: rows.where("receiver is not null").join(type_nodes, "receiver").join(d.select("id", "name", "parent", "kind"), ["parent", "name"]), "EXTRACTED", 1.0),
+        ("member", lambda rows: rows.where("receiver is not null").join(type_nodes, "receiver").join(_ends(d, "parent", "name"), ["parent", "name"]), "EXTRACTED", 1.0),
         ("namespace", lambda rows: via(rows, ~F.col("sourced") & F.col("imported").isNull()), "EXTRACTED", 1.0),
         ("import", lambda rows: via(rows, ~F.col("sourced") & F.col("imported").isNotNull()).where("imported = name"), "EXTRACTED", 1.0),
-        ("unique", lambda rows: rows.where("receiver is null").join(d.select("id", "name", "family", "kind"), ["name", "family"]), "INFERRED", 0.8),
+        ("unique", lambda rows: rows.where("receiver is null").join(_ends(d, "name", "family"), ["name", "family"]), "INFERRED", 0.8),
     ]
     found: list[DataFrame] = []
     left = c
