@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..graph import cut
+
 OPERATIONS = (
     "vendor string, key string, protocol string, method string, canonical_path string, webhook boolean, security_digest string, "
     "request_fields map<string,struct<type:string,required:boolean,enum_values:array<string>>>, response_fields map<string,struct<type:string,required:boolean,enum_values:array<string>>>"
@@ -95,7 +97,9 @@ def bind_http(calls: DataFrame, hosts: DataFrame, operations: DataFrame) -> Data
 
     calls: src, host, method, path, source_file, source_location; hosts: host, vendor.
     """
+    # As a table its size is known: few hosts meet the calls by broadcast, never all calls of a host in one task.
     lone = hosts.groupBy("host").agg(F.count_distinct("vendor").alias("n"), F.min("vendor").alias("vendor")).where("n = 1").drop("n")
+    lone = cut(lone, "hosts")
     j = calls.join(lone, "host").withColumn("canonical_path", canonical_path(F.col("path")))
     ops = operations.select("vendor", "method", "canonical_path", "key")
     return j.join(ops, ["vendor", "method", "canonical_path"]).select("src", "vendor", "key", "source_file", "source_location").distinct()
